@@ -24,3 +24,246 @@ WITH p AS ({_POOLS}), c AS ({_CENTROIDS})
 SELECT p.pool, round(quantile_cont(1 - list_cosine_similarity(p.e, c.c), 0.5), 9) AS separation
 FROM p JOIN c USING (pool) GROUP BY p.pool
 """
+
+from itertools import combinations as _comb  # noqa: E402
+
+from shiftkit.functions.hashing import sql_hash_u32 as _h  # noqa: E402
+from shiftkit.functions.stopwords import ENGLISH_STOP_WORDS as _SW  # noqa: E402
+
+_IS_US = "CASE WHEN lang = 'en' THEN 1 ELSE 0 END"
+_MID = "(SELECT (min(epoch_us(ts)) + max(epoch_us(ts))) // 2 FROM events)"
+_EVENTS_PHASE = f"SELECT *, CASE WHEN epoch_us(ts) <= {_MID} THEN 'original' ELSE 'updated' END AS phase FROM events"
+_ANSWERS_LONG = """
+SELECT 'persona' AS agent, 'model' AS model,
+  CASE WHEN role = 'user' THEN 'answer.q_' || conv_id || '_' || turn
+       WHEN role = 'assistant' THEN 'answer.q_' || conv_id || '_' || (turn - 1) || '_comment'
+       ELSE 'agent.' || role || '_' || conv_id || '_' || turn END AS variable,
+  text AS value
+FROM conversations
+"""
+_UPDATES_LONG = """
+SELECT 'persona' AS agent,
+  CASE WHEN role = 'user' AND turn % 2 = 0 THEN 'answer.' || (['clean','redact','improve'])[turn // 2 + 1] || '_' || conv_id
+       WHEN role = 'assistant' AND turn % 2 = 1 THEN 'answer.' || (['clean','redact','improve'])[turn // 2 + 1] || '_' || conv_id || '_comment'
+       ELSE 'agent.' || role || '_' || conv_id || '_' || turn END AS variable,
+  CASE WHEN length(text) < 40 THEN NULL ELSE text END AS value, text AS _raw
+FROM conversations WHERE turn <= 5
+"""
+_PARSED_UPDATES = f"""
+SELECT *, regexp_extract(variable, '^[^.]*\\.([^_]*)', 1) AS update_type,
+  CAST(string_split(variable, '_')[-1] AS BIGINT) AS key
+FROM ({_UPDATES_LONG}) WHERE variable LIKE '%answer%' AND variable NOT LIKE '%\\_comment%' ESCAPE '\\'
+"""
+_PIVOT_UPDATES = f"""
+SELECT key, max(value) FILTER (WHERE update_type = 'clean') AS clean,
+  max(value) FILTER (WHERE update_type = 'redact') AS redact,
+  max(value) FILTER (WHERE update_type = 'improve') AS improve
+FROM ({_PARSED_UPDATES}) GROUP BY key
+"""
+_DECISIONS_LONG = """
+SELECT 'quality' AS agent, 'answer.q_' || doc_id AS variable, CASE WHEN quality = 1 THEN 'Yes' ELSE 'No' END AS value FROM labels
+UNION ALL
+SELECT 'toxic', 'answer.q_' || doc_id, CASE WHEN toxic = 1 THEN 'Yes' ELSE 'No' END FROM labels
+"""
+_MODELS = ["click", "error", "purchase", "signup", "view"]
+_PAIRS = list(_comb(_MODELS, 2))
+_GRID = f"""
+SELECT event_id, event_type AS drafting_model,
+  CASE WHEN phase = 'updated' THEN 'rewrite' END AS improving_model,
+  'judge_' || (user_id % 3) AS scoring_model, value AS score
+FROM ({_EVENTS_PHASE})
+"""
+_THREE = f"""
+SELECT l.doc_id, l.quality AS decision, l.toxic AS decision_generic, {_IS_US} AS decision_tailored
+FROM labels l JOIN documents d USING (doc_id)
+"""
+_WIDE = "SELECT user_id, " + ", ".join(
+    f"avg(value) FILTER (WHERE event_type = '{m}') AS \"{m}\"" for m in _MODELS) + " FROM events GROUP BY user_id"
+_GAPS = " UNION ALL ".join(
+    f"SELECT user_id, '{a}' AS model_a, '{b}' AS model_b, \"{a}\" - \"{b}\" AS gap FROM ({_WIDE})" for a, b in _PAIRS)
+_BEFORE_AFTER = f"""
+WITH m AS (SELECT user_id, event_type, phase, avg(value) AS s FROM ({_EVENTS_PHASE}) GROUP BY ALL)
+SELECT o.user_id, o.event_type, o.s AS score_original, u.s AS score_updated
+FROM (SELECT * FROM m WHERE phase = 'original') o
+LEFT JOIN (SELECT * FROM m WHERE phase = 'updated') u USING (user_id, event_type)
+"""
+_DELTA_WIDE = "SELECT user_id, " + ", ".join(
+    f"first(score_updated - score_original) FILTER (WHERE event_type = '{m}') AS \"{m}\"" for m in _MODELS
+) + f" FROM ({_BEFORE_AFTER}) GROUP BY user_id"
+_DID = " UNION ALL ".join(
+    f"SELECT user_id, '{a}' AS model_a, '{b}' AS model_b, \"{a}\" - \"{b}\" AS did FROM ({_DELTA_WIDE})" for a, b in _PAIRS)
+
+ORACLE.update({
+    "corpus_union": """
+SELECT 'documents' AS dir, CAST(doc_id AS VARCHAR) AS text_name, text FROM documents
+UNION ALL SELECT 'pages', CAST(page_id AS VARCHAR), html FROM pages""",
+    "category_file_ids": """
+SELECT doc_id, source, lower(replace(source, ' ', '')) || '_' ||
+  CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS VARCHAR) AS file_id FROM documents""",
+    "drop_null_text": """
+SELECT d.doc_id, c.text AS answer FROM documents d
+LEFT JOIN conversations c ON c.conv_id = d.doc_id AND c.role = 'user' AND c.turn = 0
+WHERE c.text IS NOT NULL""",
+    "filter_active": "SELECT doc_id, source, n_chars FROM documents WHERE n_chars > 1000",
+    "keyword_filter": "SELECT doc_id, lang FROM documents WHERE regexp_matches(lower(text), '(nicht|vous|tion)')",
+    "binary_label": f"SELECT doc_id, {_IS_US} AS is_us FROM documents",
+    "complete_cases": """
+SELECT d.doc_id, d.source, l.quality, l.toxic FROM documents d LEFT JOIN labels l USING (doc_id)
+WHERE d.doc_id IS NOT NULL AND d.source IS NOT NULL AND l.quality IS NOT NULL AND l.toxic IS NOT NULL""",
+    "trim_scores": f"""
+SELECT event_id, coalesce(improving_model, 'none') AS improving_model, CAST(trunc(score) AS INTEGER) AS score
+FROM ({_GRID}) WHERE score IS NOT NULL""",
+    "correct_flag": f"""
+SELECT l.doc_id, l.quality, {_IS_US} AS pred, CAST(l.quality = {_IS_US} AS INTEGER) AS correct
+FROM labels l JOIN documents d USING (doc_id)""",
+    "median_threshold_label": """
+SELECT doc_id, n_chars, CASE WHEN n_chars > (SELECT quantile_cont(n_chars, 0.5) FROM documents) THEN 1 ELSE 0 END AS pred
+FROM documents""",
+    "survey_long": """
+SELECT doc_id AS agent, 'answer.quality' AS variable, CAST(quality AS VARCHAR) AS value, 'quality' AS question FROM labels
+UNION ALL SELECT doc_id, 'answer.toxic', CAST(toxic AS VARCHAR), 'toxic' FROM labels""",
+    "score_comment_pairs": f"""
+WITH b AS (
+  SELECT agent, model,
+    CASE WHEN variable LIKE '%comment%' THEN regexp_extract(variable, '^.{{7}}(.*)_[^_]*$', 1) ELSE substr(variable, 8) END AS resume,
+    variable LIKE '%comment%' AS c, value
+  FROM ({_ANSWERS_LONG}) WHERE variable LIKE '%answer%')
+SELECT agent, model, resume, max(value) FILTER (WHERE NOT c) AS score, max(value) FILTER (WHERE c) AS comment
+FROM b GROUP BY agent, model, resume
+HAVING count(*) FILTER (WHERE NOT c) > 0 AND count(*) FILTER (WHERE c) > 0""",
+    "parse_decisions": f"""
+SELECT agent AS persona, regexp_extract(variable, '_(.*)', 1) AS key, CASE WHEN value = 'Yes' THEN 1 ELSE 0 END AS decision
+FROM ({_DECISIONS_LONG}) WHERE variable LIKE '%answer.q\\_%' ESCAPE '\\' AND NOT suffix(variable, '_comment')""",
+    "parse_answers": f"""
+SELECT regexp_extract(variable, 'q_(\\d+)_', 1) AS key, value
+FROM ({_ANSWERS_LONG}) WHERE variable LIKE '%answer.q\\_%' ESCAPE '\\'""",
+    "parse_updates": f"SELECT variable, update_type, key, value FROM ({_PARSED_UPDATES})",
+    "pivot_updates": _PIVOT_UPDATES,
+    "profiles_with_updates": f"""
+SELECT d.doc_id, d.text AS original, p.clean, p.redact, p.improve
+FROM documents d JOIN ({_PIVOT_UPDATES}) p ON p.key = d.doc_id
+WHERE p.key IS NOT NULL AND p.clean IS NOT NULL AND p.redact IS NOT NULL AND p.improve IS NOT NULL""",
+    "split_model_prefix": """
+WITH n AS (SELECT conv_id, turn, role || '_' || conv_id || '_' || turn AS name FROM conversations)
+SELECT conv_id, turn,
+  CASE WHEN split_part(name, '_', 1) IN ('assistant', 'system') THEN split_part(name, '_', 1) ELSE 'no_update' END AS update_model,
+  CASE WHEN split_part(name, '_', 1) IN ('assistant', 'system') THEN substr(name, instr(name, '_') + 1) ELSE name END AS resume
+FROM n""",
+    "short_model_name": """
+SELECT event_id, CASE event_type WHEN 'click' THEN 'clk' WHEN 'error' THEN 'err' WHEN 'purchase' THEN 'buy'
+  WHEN 'signup' THEN 'sgn' WHEN 'view' THEN 'viw' END AS model_short FROM events""",
+    "parse_label_list": """
+SELECT event_id,
+  array_to_string(CAST(regexp_extract_all(props, '\\d', 0) AS INTEGER[]), ',') AS labels_digit,
+  array_to_string(CAST(regexp_extract_all(props, '\\d+', 0) AS INTEGER[]), ',') AS labels_number
+FROM events""",
+    "decision_three_way": _THREE,
+    "decision_flips": f"""
+SELECT decision, decision_generic, decision_tailored, count(*) AS n FROM ({_THREE}) GROUP BY ALL""",
+    "scores_wide": "SELECT c.c_custkey, " + ", ".join(f"round(w.\"{m}\", 9) AS \"{m}\"" for m in _MODELS)
+    + f" FROM customer c LEFT JOIN ({_WIDE}) w ON w.user_id = c.c_custkey",
+    "scores_before_after": f"""
+SELECT user_id, event_type, round(score_original, 9) AS score_original, round(score_updated, 9) AS score_updated
+FROM ({_BEFORE_AFTER})""",
+    "patch_answers": f"""
+WITH u AS ({_UPDATES_LONG}),
+p AS (SELECT variable, 'retry: ' || _raw AS value FROM u WHERE value IS NULL AND starts_with(variable, 'answer.'))
+SELECT u.variable, coalesce(p.value, u.value) AS value FROM u LEFT JOIN p USING (variable)""",
+    "unanswered_questions": f"""
+SELECT u.variable, string_split(u.variable, '.')[-1] AS question_name, u.key, u.update_type,
+  u.update_type || ': ' || d.text AS prompt
+FROM ({_PARSED_UPDATES}) u JOIN documents d ON d.doc_id = u.key
+WHERE u.value IS NULL OR u.value = ''""",
+    "train_test_anti": f"""
+SELECT doc_id, quality FROM labels WHERE NOT ({_h(11, 'doc_id')} / 4294967296.0 < 0.8)""",
+    "truth_vs_prediction": f"""
+SELECT l.doc_id, l.quality AS decision_true, {_IS_US} AS decision_pred FROM labels l JOIN documents d USING (doc_id)""",
+    "pool_union": """
+SELECT vec_id, label AS pool, label || '_' || (row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1) AS name
+FROM embeddings""",
+    "model_gap": f"SELECT user_id, model_a, model_b, round(gap, 9) AS gap FROM ({_GAPS})",
+    "score_histogram": f"""
+WITH g AS (SELECT * FROM ({_GAPS}) WHERE gap IS NOT NULL),
+r AS (SELECT model_a, model_b, min(gap) AS lo, max(gap) AS hi FROM g GROUP BY ALL),
+b AS (SELECT g.model_a, g.model_b,
+        CASE WHEN r.hi = r.lo THEN 19 ELSE least(floor((g.gap - r.lo) / ((r.hi - r.lo) / 20)), 19) END AS bin
+      FROM g JOIN r USING (model_a, model_b)),
+c AS (SELECT model_a, model_b, bin, count(*) AS n FROM b GROUP BY ALL)
+SELECT r.model_a, r.model_b, CAST(s.bin AS INTEGER) AS bin,
+  round(r.lo + s.bin * ((r.hi - r.lo) / 20), 9) AS bin_lo, round(r.lo + (s.bin + 1) * ((r.hi - r.lo) / 20), 9) AS bin_hi,
+  CAST(coalesce(c.n, 0) AS BIGINT) AS n
+FROM r CROSS JOIN range(20) s(bin) LEFT JOIN c ON c.model_a = r.model_a AND c.model_b = r.model_b AND c.bin = s.bin""",
+    "score_did": f"SELECT user_id, model_a, model_b, round(did, 9) AS did FROM ({_DID})",
+    "did_histogram": f"""
+WITH d AS ({_DID}),
+k AS (SELECT DISTINCT model_a, model_b FROM d),
+c AS (SELECT model_a, model_b, CAST(least(floor(did), 8) AS INTEGER) AS bin_lo, count(*) AS n
+      FROM d WHERE did >= -10 AND did <= 9 GROUP BY ALL)
+SELECT k.model_a, k.model_b, CAST(s.b AS INTEGER) AS bin_lo, CAST(coalesce(c.n, 0) AS BIGINT) AS n
+FROM k CROSS JOIN range(-10, 9) s(b) LEFT JOIN c ON c.model_a = k.model_a AND c.model_b = k.model_b AND c.bin_lo = s.b""",
+    "score_matrix": f"""
+SELECT event_type AS eval_model, user_id AS resume,
+  round(avg(value) FILTER (WHERE phase = 'original'), 9) AS original,
+  round(avg(value) FILTER (WHERE phase = 'updated'), 9) AS updated
+FROM ({_EVENTS_PHASE}) GROUP BY event_type, user_id""",
+    "improvement_ranking": f"""
+SELECT concat_ws(' -> ', drafting_model, improving_model, scoring_model) AS chain,
+  round(avg(score), 9) AS mean_score, count(*) AS n
+FROM ({_GRID}) GROUP BY 1""",
+    "describe_scores": """
+SELECT event_type, count(value) AS count, round(avg(value), 9) AS mean, round(stddev_samp(value), 9) AS std,
+  round(min(value), 9) AS min, round(quantile_cont(value, 0.25), 9) AS q25, round(quantile_cont(value, 0.5), 9) AS q50,
+  round(quantile_cont(value, 0.75), 9) AS q75, round(max(value), 9) AS max
+FROM events GROUP BY event_type""",
+    "evaluator_counts": "SELECT event_type, count(DISTINCT user_id) AS n_users FROM events GROUP BY event_type",
+    "category_counts": """
+SELECT split_part(source || '_' || doc_id, '_', 1) AS category, count(*) AS n FROM documents GROUP BY 1""",
+    "null_profile": """
+SELECT count(*) AS n_rows, count(*) FILTER (WHERE d.doc_id IS NULL) AS null_doc_id,
+  count(*) FILTER (WHERE text IS NULL) AS null_text, count(*) FILTER (WHERE lang IS NULL) AS null_lang,
+  count(*) FILTER (WHERE source IS NULL) AS null_source, count(*) FILTER (WHERE n_chars IS NULL) AS null_n_chars,
+  count(*) FILTER (WHERE quality IS NULL) AS null_quality, count(*) FILTER (WHERE toxic IS NULL) AS null_toxic
+FROM documents d LEFT JOIN labels l USING (doc_id)""",
+    "confusion_matrix": """
+WITH ls AS (SELECT quality AS l FROM labels UNION SELECT toxic FROM labels),
+c AS (SELECT quality AS true_label, toxic AS pred_label, count(*) AS n FROM labels GROUP BY ALL)
+SELECT t.l AS true_label, p.l AS pred_label, CAST(coalesce(c.n, 0) AS BIGINT) AS n
+FROM ls t CROSS JOIN ls p LEFT JOIN c ON c.true_label = t.l AND c.pred_label = p.l
+WHERE t.l IS NOT NULL AND p.l IS NOT NULL""",
+    "accuracy": "SELECT round(avg(CAST(quality = toxic AS DOUBLE)), 9) AS accuracy, count(*) AS n FROM labels",
+    "token_f1": """
+WITH c AS (SELECT * FROM conversations),
+p AS (SELECT u.text AS original, a.text AS updated FROM c u JOIN c a
+      ON a.conv_id = u.conv_id AND a.turn - 1 = u.turn AND u.role = 'user' AND a.role = 'assistant'),
+t AS (SELECT list_transform(list_filter(regexp_split_to_array(original, '\\s+'), lambda x: x <> ''), lambda x: least(length(x), 12)) AS t,
+             list_transform(list_filter(regexp_split_to_array(updated, '\\s+'), lambda x: x <> ''), lambda x: least(length(x), 12)) AS p
+      FROM p),
+s AS (SELECT * FROM t WHERE len(t) = len(p)),
+z AS (SELECT unnest(t) AS a, unnest(p) AS b FROM s)
+SELECT (SELECT count(*) FROM s) AS n_sequences, count(*) AS n_tokens,
+  round(count(*) FILTER (WHERE a = b) / count(*), 9) AS micro_f1 FROM z""",
+    "auroc_hard": """
+WITH c AS (SELECT count(*) FILTER (WHERE quality = 1 AND toxic = 1) AS tp, count(*) FILTER (WHERE quality = 1 AND toxic = 0) AS fn,
+  count(*) FILTER (WHERE quality = 0 AND toxic = 0) AS tn, count(*) FILTER (WHERE quality = 0 AND toxic = 1) AS fp FROM labels)
+SELECT tp, fn, tn, fp, round((tp / (tp + fn) + tn / (tn + fp)) / 2, 9) AS auroc FROM c""",
+    "distinct_elements": """
+SELECT pool, count(DISTINCT x) AS n_distinct FROM (SELECT label AS pool, unnest(embedding) AS x FROM embeddings) GROUP BY pool""",
+    "sample_n": f"SELECT doc_id FROM documents ORDER BY {_h(7, 'doc_id')}, doc_id LIMIT 100",
+    "stratified_sample": f"""
+SELECT * FROM (SELECT doc_id, {_IS_US} AS is_us,
+  row_number() OVER (PARTITION BY {_IS_US} ORDER BY {_h(7, 'doc_id')}, doc_id) AS srank FROM documents) WHERE srank <= 25""",
+    "stratified_train_test": f"""
+SELECT doc_id, is_us, CASE WHEN srank <= 25 THEN 'train' ELSE 'test' END AS split FROM (
+  SELECT doc_id, {_IS_US} AS is_us,
+    row_number() OVER (PARTITION BY {_IS_US} ORDER BY {_h(7, 'doc_id')}, doc_id) AS srank FROM documents) WHERE srank <= 50""",
+    "positional_split": """
+SELECT doc_id, CASE WHEN row_number() OVER (ORDER BY doc_id) - 1 < floor(0.8 * (SELECT count(*) FROM labels)) THEN 'train' ELSE 'test' END AS split
+FROM labels""",
+    "hash_split": f"SELECT doc_id, CASE WHEN {_h(7, 'doc_id')} / 4294967296.0 < 0.8 THEN 'train' ELSE 'test' END AS split FROM documents",
+    "bootstrap_draws": f"""
+WITH idx AS (SELECT label AS pool, vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS j,
+                    count(*) OVER (PARTITION BY label) AS n FROM embeddings),
+d AS (SELECT pool, it, ({_h(3, 'pool', 'it', 'j')}) % n AS pick FROM idx CROSS JOIN range(20) t(it))
+SELECT d.pool, CAST(d.it AS INTEGER) AS iter, idx.vec_id, count(*) AS weight
+FROM d JOIN idx ON idx.pool = d.pool AND idx.j = d.pick GROUP BY ALL""",
+})

@@ -43,3 +43,548 @@ def pool_separation(spark, sf):
 
     out = sep(_pools(spark, sf), ["pool"], "embedding", "cosine")
     return out.select("pool", r9("separation").alias("separation"))
+
+
+# ---------------------------------------------------------------------------------------------
+# stand-in views
+
+
+def _docs(spark, sf):
+    return read_table(spark, sf, "documents")
+
+
+def _is_us():
+    return F.when(F.col("lang") == "en", 1).otherwise(0)
+
+
+def _events_phase(spark, sf):
+    """``events`` as evaluations: resume = user_id, model = event_type, score = value; rows in the
+    first half of the time range are 'original', the rest 'updated'."""
+    ev = read_table(spark, sf, "events")
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    mid = ev.agg(F.floor((F.min(us) + F.max(us)) / 2).cast("long")).scalar()
+    return ev.withColumn("phase", F.when(us <= mid, "original").otherwise("updated"))
+
+
+def _answers_long(spark, sf):
+    """``conversations`` as melted survey answers: a user turn is the answer to ``q_<conv>_<turn>``,
+    the assistant turn after it is that answer's comment."""
+    c = read_table(spark, sf, "conversations")
+    cid, turn = F.col("conv_id").cast("string"), F.col("turn")
+    var = (
+        F.when(F.col("role") == "user", F.concat(F.lit("answer.q_"), cid, F.lit("_"), turn.cast("string")))
+        .when(F.col("role") == "assistant",
+              F.concat(F.lit("answer.q_"), cid, F.lit("_"), (turn - 1).cast("string"), F.lit("_comment")))
+        .otherwise(F.concat(F.lit("agent."), F.col("role"), F.lit("_"), cid, F.lit("_"), turn.cast("string")))
+    )
+    return c.select(F.lit("persona").alias("agent"), F.lit("model").alias("model"), var.alias("variable"),
+                    F.col("text").alias("value"))
+
+
+UPDATE_TYPES = ["clean", "redact", "improve"]
+
+
+def _updates_long(spark, sf):
+    """``conversations`` as update answers: user turns 0, 2, 4 answer ``<type>_<conv_id>`` for the
+    three update types, the assistant turn after each is its comment; answers under 40 characters
+    count as missing."""
+    c = read_table(spark, sf, "conversations").where(F.col("turn") <= 5)
+    kinds = F.array(*[F.lit(k) for k in UPDATE_TYPES])
+    user = (F.col("role") == "user") & (F.col("turn") % 2 == 0)
+    asst = (F.col("role") == "assistant") & (F.col("turn") % 2 == 1)
+    kind = F.element_at(kinds, (F.floor(F.col("turn") / 2) + 1).cast("int"))
+    cid = F.col("conv_id").cast("string")
+    var = (
+        F.when(user, F.concat(F.lit("answer."), kind, F.lit("_"), cid))
+        .when(asst, F.concat(F.lit("answer."), kind, F.lit("_"), cid, F.lit("_comment")))
+        .otherwise(F.concat(F.lit("agent."), F.col("role"), F.lit("_"), cid, F.lit("_"), F.col("turn").cast("string")))
+    )
+    val = F.when(F.length("text") < 40, F.lit(None).cast("string")).otherwise(F.col("text"))
+    return c.select(F.lit("persona").alias("agent"), var.alias("variable"), val.alias("value"), F.col("text").alias("_raw"))
+
+
+def _decisions_long(spark, sf):
+    """``labels`` as two personas' yes/no answers: persona 'quality' and 'toxic', question q_<doc_id>."""
+    lab = read_table(spark, sf, "labels")
+
+    def part(col):
+        return lab.select(F.lit(col).alias("agent"), F.concat(F.lit("answer.q_"), F.col("doc_id").cast("string")).alias("variable"),
+                          F.when(F.col(col) == 1, "Yes").otherwise("No").alias("value"))
+    return part("quality").unionByName(part("toxic"))
+
+
+# ---------------------------------------------------------------------------------------------
+# IO
+
+
+@query
+def corpus_union(spark, sf):
+    from shiftkit.sources.corpus import corpus_union as union
+
+    docs = _docs(spark, sf).select(F.col("doc_id").alias("text_name"), "text")
+    pages = read_table(spark, sf, "pages").select(F.col("page_id").alias("text_name"), F.col("html").alias("text"))
+    return union([("documents", docs), ("pages", pages)])
+
+
+@query
+def category_file_ids(spark, sf):
+    from shiftkit.sources.corpus import category_file_ids as ids
+
+    return ids(_docs(spark, sf).select("doc_id", "source"), "source", "doc_id")
+
+
+# ---------------------------------------------------------------------------------------------
+# filters and predicates
+
+
+@query
+def drop_null_text(spark, sf):
+    conv = read_table(spark, sf, "conversations").where((F.col("role") == "user") & (F.col("turn") == 0))
+    j = _docs(spark, sf).select("doc_id").join(
+        conv.select(F.col("conv_id").alias("doc_id"), F.col("text").alias("answer")), "doc_id", "left")
+    return j.dropna(subset=["answer"])
+
+
+@query
+def filter_active(spark, sf):
+    return _docs(spark, sf).where(F.col("n_chars") > 1000).select("doc_id", "source", "n_chars")
+
+
+KEYWORDS = ["nicht", "vous", "tion"]
+
+
+@query
+def keyword_filter(spark, sf):
+    from shiftkit.operators.text import keyword_filter as kf
+
+    return kf(_docs(spark, sf), "text", KEYWORDS).select("doc_id", "lang")
+
+
+@query
+def binary_label(spark, sf):
+    return _docs(spark, sf).select("doc_id", _is_us().alias("is_us"))
+
+
+@query
+def complete_cases(spark, sf):
+    lab = read_table(spark, sf, "labels")
+    return _docs(spark, sf).select("doc_id", "source").join(lab, "doc_id", "left").dropna(how="any")
+
+
+def _grid(spark, sf):
+    """``events`` as an improvement grid: draft model = event_type; improver 'rewrite' in the
+    second half of the time range, NULL (baseline) before; judge = judge_<user_id mod 3>."""
+    ev = _events_phase(spark, sf)
+    return ev.select(
+        "event_id", F.col("event_type").alias("drafting_model"),
+        F.when(F.col("phase") == "updated", "rewrite").alias("improving_model"),
+        F.concat(F.lit("judge_"), (F.col("user_id") % 3).cast("string")).alias("scoring_model"),
+        F.col("value").alias("score"),
+    )
+
+
+@query
+def trim_scores(spark, sf):
+    from shiftkit.operators.scores import trim_scores as trim
+
+    return trim(_grid(spark, sf), "improving_model", "score").select("event_id", "improving_model", "score")
+
+
+@query
+def correct_flag(spark, sf):
+    from shiftkit.operators.metrics import correct_flag as cf
+
+    j = read_table(spark, sf, "labels").join(_docs(spark, sf).select("doc_id", _is_us().alias("pred")), "doc_id")
+    return cf(j, "quality", "pred").select("doc_id", "quality", "pred", "correct")
+
+
+@query
+def median_threshold_label(spark, sf):
+    from shiftkit.operators.metrics import median_threshold_label as mtl
+
+    return mtl(_docs(spark, sf).select("doc_id", "n_chars"), "n_chars")
+
+
+# ---------------------------------------------------------------------------------------------
+# reshaping
+
+
+@query
+def survey_long(spark, sf):
+    from shiftkit.operators.answers import survey_long as sl
+
+    wide = read_table(spark, sf, "labels").select(
+        F.col("doc_id").alias("agent.agent_name"), F.col("quality").alias("answer.quality"), F.col("toxic").alias("answer.toxic"))
+    return sl(wide, ["agent.agent_name"]).withColumnRenamed("agent.agent_name", "agent")
+
+
+@query
+def score_comment_pairs(spark, sf):
+    from shiftkit.operators.answers import score_comment_pairs as scp
+
+    return scp(_answers_long(spark, sf))
+
+
+@query
+def parse_decisions(spark, sf):
+    from shiftkit.operators.answers import parse_decisions as pd_
+
+    return pd_(_decisions_long(spark, sf))
+
+
+@query
+def parse_answers(spark, sf):
+    from shiftkit.operators.answers import parse_answers as pa
+
+    return pa(_answers_long(spark, sf), r"q_(\d+)_")
+
+
+def _parsed_updates(spark, sf):
+    from shiftkit.operators.answers import parse_updates as pu
+
+    return pu(_updates_long(spark, sf))
+
+
+@query
+def parse_updates(spark, sf):
+    return _parsed_updates(spark, sf).select("variable", "update_type", "key", "value")
+
+
+@query
+def pivot_updates(spark, sf):
+    from shiftkit.operators.answers import pivot_updates as pv
+
+    return pv(_parsed_updates(spark, sf), "key", UPDATE_TYPES)
+
+
+@query
+def profiles_with_updates(spark, sf):
+    from shiftkit.operators.answers import pivot_updates as pv
+
+    upd = pv(_parsed_updates(spark, sf), "key", UPDATE_TYPES).dropna(how="any")
+    prof = _docs(spark, sf).select("doc_id", F.col("text").alias("original"))
+    return prof.join(upd.withColumnRenamed("key", "doc_id"), "doc_id")
+
+
+@query
+def split_model_prefix(spark, sf):
+    from shiftkit.operators.answers import split_model_prefix as smp
+
+    c = read_table(spark, sf, "conversations")
+    named = c.select("conv_id", "turn", F.concat_ws("_", "role", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("name"))
+    return smp(named, "name", ["assistant", "system"]).select("conv_id", "turn", "update_model", "resume")
+
+
+# Stand-in model names for the five event types (the reference's own map is MODEL_SHORT_NAMES).
+EVENT_MODEL_NAMES = {"click": "clk", "error": "err", "purchase": "buy", "signup": "sgn", "view": "viw"}
+
+
+@query
+def short_model_name(spark, sf):
+    from shiftkit.operators.answers import short_model_name as smn
+
+    return smn(read_table(spark, sf, "events"), "event_type", EVENT_MODEL_NAMES).select("event_id", "model_short")
+
+
+@query
+def parse_label_list(spark, sf):
+    from shiftkit.operators.answers import parse_label_list as pll
+
+    ev = read_table(spark, sf, "events").select("event_id", "props")
+    out = pll(pll(ev, "props", "d", "digit"), "props", "n", "number")
+    return out.select("event_id", F.array_join("d", ",").alias("labels_digit"), F.array_join("n", ",").alias("labels_number"))
+
+
+# ---------------------------------------------------------------------------------------------
+# joins
+
+
+def _three(spark, sf):
+    lab = read_table(spark, sf, "labels")
+    orig = lab.select("doc_id", F.col("quality").alias("decision"))
+    gen = lab.select("doc_id", F.col("toxic").alias("decision"))
+    tai = _docs(spark, sf).select("doc_id", _is_us().alias("decision"))
+    from shiftkit.operators.scores import decision_three_way as d3
+
+    return d3(orig, gen, tai, "doc_id")
+
+
+@query
+def decision_three_way(spark, sf):
+    return _three(spark, sf)
+
+
+@query
+def decision_flips(spark, sf):
+    from shiftkit.operators.scores import decision_flips as df_
+
+    return df_(_three(spark, sf))
+
+
+MODELS = ["click", "error", "purchase", "signup", "view"]
+
+
+@query
+def scores_wide(spark, sf):
+    from shiftkit.operators.scores import scores_wide as sw
+
+    cust = read_table(spark, sf, "customer").select("c_custkey")
+    out = sw(read_table(spark, sf, "events"), "user_id", "event_type", "value", MODELS, cust, "c_custkey")
+    return out.select("c_custkey", *[r9(m).alias(m) for m in MODELS])
+
+
+def _before_after(spark, sf):
+    from shiftkit.operators.scores import before_after
+
+    return before_after(_events_phase(spark, sf), ["user_id", "event_type"], "phase", "value")
+
+
+@query
+def scores_before_after(spark, sf):
+    return _before_after(spark, sf).select("user_id", "event_type", r9("score_original").alias("score_original"),
+                                           r9("score_updated").alias("score_updated"))
+
+
+def _patch(spark, sf):
+    """A retry run: every answer that was missing comes back as 'retry: <text>'."""
+    upd = _updates_long(spark, sf)
+    return upd.where(F.col("value").isNull() & F.col("variable").startswith("answer.")).select(
+        "variable", F.concat(F.lit("retry: "), F.col("_raw")).alias("value"))
+
+
+@query
+def patch_answers(spark, sf):
+    from shiftkit.operators.answers import patch_answers as pa
+
+    return pa(_updates_long(spark, sf).select("variable", "value"), _patch(spark, sf))
+
+
+@query
+def unanswered_questions(spark, sf):
+    from shiftkit.operators.answers import unanswered
+
+    todo = unanswered(_parsed_updates(spark, sf))
+    prof = _docs(spark, sf).select(F.col("doc_id").alias("key"), "text")
+    return todo.join(prof, "key").select(
+        "variable", F.element_at(F.split("variable", r"\."), -1).alias("question_name"), "key", "update_type",
+        F.concat(F.col("update_type"), F.lit(": "), F.col("text")).alias("prompt"))
+
+
+@query
+def train_test_anti(spark, sf):
+    from shiftkit.operators.sampling import hash_split
+
+    lab = read_table(spark, sf, "labels").select("doc_id", "quality")
+    train = hash_split(lab, "doc_id", 0.8, seed=11).where(F.col("split") == "train").select("doc_id")
+    return lab.join(train, "doc_id", "left_anti")
+
+
+@query
+def truth_vs_prediction(spark, sf):
+    truth = read_table(spark, sf, "labels").select("doc_id", F.col("quality").alias("decision_true"))
+    pred = _docs(spark, sf).select("doc_id", _is_us().alias("decision_pred"))
+    return truth.join(pred, "doc_id")
+
+
+@query
+def pool_union(spark, sf):
+    from shiftkit.operators.positional import dense_index
+
+    p = dense_index(_pools(spark, sf).select("vec_id", "pool"), ["vec_id"], by=["pool"], out="rank")
+    return p.select("vec_id", "pool", F.concat_ws("_", F.col("pool").cast("string"), F.col("rank").cast("string")).alias("name"))
+
+
+# ---------------------------------------------------------------------------------------------
+# scores
+
+
+def _wide_scores(spark, sf):
+    from shiftkit.operators.scores import scores_wide as sw
+
+    return sw(read_table(spark, sf, "events"), "user_id", "event_type", "value", MODELS)
+
+
+def _gaps(spark, sf):
+    from shiftkit.operators.scores import model_gap as mg
+
+    return mg(_wide_scores(spark, sf), ["user_id"], MODELS)
+
+
+@query
+def model_gap(spark, sf):
+    return _gaps(spark, sf).select("user_id", "model_a", "model_b", r9("gap").alias("gap"))
+
+
+@query
+def score_histogram(spark, sf):
+    from shiftkit.operators.scores import equal_width_histogram
+
+    h = equal_width_histogram(_gaps(spark, sf), "gap", ["model_a", "model_b"], 20)
+    return h.select("model_a", "model_b", "bin", r9("bin_lo").alias("bin_lo"), r9("bin_hi").alias("bin_hi"), "n")
+
+
+def _did(spark, sf):
+    from shiftkit.operators.scores import diff_in_diff
+
+    return diff_in_diff(_before_after(spark, sf), "user_id", "event_type", MODELS)
+
+
+@query
+def score_did(spark, sf):
+    return _did(spark, sf).select("user_id", "model_a", "model_b", r9("did").alias("did"))
+
+
+@query
+def did_histogram(spark, sf):
+    from shiftkit.operators.scores import integer_edge_histogram
+
+    return integer_edge_histogram(_did(spark, sf), "did", ["model_a", "model_b"], -10, 9)
+
+
+@query
+def score_matrix(spark, sf):
+    from shiftkit.operators.scores import score_matrix as sm
+
+    out = sm(_events_phase(spark, sf), ["event_type", "user_id"], "phase", "value", ["original", "updated"])
+    return out.select(F.col("event_type").alias("eval_model"), F.col("user_id").alias("resume"),
+                      r9("original").alias("original"), r9("updated").alias("updated"))
+
+
+@query
+def improvement_ranking(spark, sf):
+    from shiftkit.operators.scores import improvement_chain
+
+    out = improvement_chain(_grid(spark, sf), "drafting_model", "improving_model", "scoring_model", "score")
+    return out.select("chain", r9("mean_score").alias("mean_score"), "n").orderBy(F.desc("mean_score"), "chain")
+
+
+@query
+def describe_scores(spark, sf):
+    from shiftkit.operators.metrics import describe
+
+    d = describe(read_table(spark, sf, "events"), "value", ["event_type"])
+    return d.select("event_type", "count", *[r9(c).alias(c) for c in ["mean", "std", "min", "q25", "q50", "q75", "max"]])
+
+
+@query
+def evaluator_counts(spark, sf):
+    ev = read_table(spark, sf, "events")
+    return ev.groupBy("event_type").agg(F.countDistinct("user_id").alias("n_users"))
+
+
+# ---------------------------------------------------------------------------------------------
+# metrics
+
+
+@query
+def category_counts(spark, sf):
+    from shiftkit.operators.metrics import category_of, value_counts
+
+    named = _docs(spark, sf).select(F.concat_ws("_", "source", F.col("doc_id").cast("string")).alias("name"))
+    return value_counts(named, category_of("name").alias("category"))
+
+
+@query
+def null_profile(spark, sf):
+    from shiftkit.operators.metrics import null_profile as npf
+
+    lab = read_table(spark, sf, "labels")
+    return npf(_docs(spark, sf).join(lab, "doc_id", "left"))
+
+
+@query
+def confusion_matrix(spark, sf):
+    from shiftkit.operators.metrics import confusion_matrix as cm
+
+    return cm(read_table(spark, sf, "labels"), "quality", "toxic")
+
+
+@query
+def accuracy(spark, sf):
+    from shiftkit.operators.metrics import accuracy as acc
+
+    return acc(read_table(spark, sf, "labels"), "quality", "toxic").select(r9("accuracy").alias("accuracy"), "n")
+
+
+def _turn_pairs(spark, sf):
+    """Original / updated text pairs: a user turn and the assistant turn right after it."""
+    c = read_table(spark, sf, "conversations")
+    u = c.where(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("original"))
+    a = c.where(F.col("role") == "assistant").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("updated"))
+    return u.join(a, ["conv_id", "turn"])
+
+
+@query
+def token_f1(spark, sf):
+    from shiftkit.operators.metrics import token_f1 as tf
+    from shiftkit.operators.text import whitespace_tokens
+
+    def tags(col):
+        return F.transform(whitespace_tokens(col), lambda t: F.least(F.length(t), F.lit(12)))
+
+    p = _turn_pairs(spark, sf).select(tags("original").alias("t"), tags("updated").alias("p"))
+    return tf(p, "t", "p").select("n_sequences", "n_tokens", r9("micro_f1").alias("micro_f1"))
+
+
+@query
+def auroc_hard(spark, sf):
+    from shiftkit.operators.metrics import auroc_hard as au
+
+    return au(read_table(spark, sf, "labels"), "quality", "toxic").select("tp", "fn", "tn", "fp", r9("auroc").alias("auroc"))
+
+
+@query
+def distinct_elements(spark, sf):
+    from shiftkit.operators.metrics import distinct_elements as de
+
+    return de(_pools(spark, sf), ["pool"], "embedding")
+
+
+# ---------------------------------------------------------------------------------------------
+# sampling
+
+
+@query
+def sample_n(spark, sf):
+    from shiftkit.operators.sampling import sample_n as sn
+
+    return sn(_docs(spark, sf).select("doc_id"), "doc_id", 100, seed=7)
+
+
+def _us_docs(spark, sf):
+    return _docs(spark, sf).select("doc_id", _is_us().alias("is_us"))
+
+
+@query
+def stratified_sample(spark, sf):
+    from shiftkit.operators.sampling import stratified_ranks
+
+    return stratified_ranks(_us_docs(spark, sf), "doc_id", "is_us", 25, seed=7)
+
+
+@query
+def stratified_train_test(spark, sf):
+    from shiftkit.operators.sampling import stratified_train_test as stt
+
+    return stt(_us_docs(spark, sf), "doc_id", "is_us", 25, seed=7)
+
+
+@query
+def positional_split(spark, sf):
+    from shiftkit.operators.sampling import positional_split as ps
+
+    return ps(read_table(spark, sf, "labels").select("doc_id"), ["doc_id"], 0.8)
+
+
+@query
+def hash_split(spark, sf):
+    from shiftkit.operators.sampling import hash_split as hs
+
+    return hs(_docs(spark, sf).select("doc_id"), "doc_id", 0.8, seed=7)
+
+
+@query
+def bootstrap_draws(spark, sf):
+    from shiftkit.operators.sampling import bootstrap_draws as bd
+
+    return bd(_pools(spark, sf).select("vec_id", "pool"), "vec_id", ["pool"], iters=20, seed=3)
