@@ -37,6 +37,7 @@ def stratified_ranks(df: DataFrame, key: str, stratum: str, k: int, seed: int =
         df.withColumn("_h", hash_u32(seed, key))
         .withColumn(out, F.row_number().over(w))
         .where(F.col(out) <= k)
+        .withColumn(out, F.col(out).cast("long"))
         .drop("_h")
     )
 

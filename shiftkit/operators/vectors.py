@@ -93,3 +93,143 @@ def step_distances(df: DataFrame, name: Sequence[str], round_col: str, vec: str,
         .withColumn("dist_to_prev", F.when(F.col("_prev").isNotNull(), dist(as_double(vec), as_double("_prev"))))
         .drop("_first", "_prev")
     )
+
+
+def expand_weights(df: DataFrame, weight: str = "weight") -> DataFrame:
+    """Repeat each row ``weight`` times (bootstrap multiplicities are small integers)."""
+    return df.withColumn("_rep", F.explode(F.array_repeat(F.lit(1), F.col(weight).cast("int")))).drop("_rep")
+
+
+def separation_bootstrap(df: DataFrame, pool: Sequence[str], key: str, vec: str, metric="cosine",
+                         iters: int = 100, seed: int = 0, method: str = "auto") -> DataFrame:
+    """Separation per pool with its bootstrap standard deviation (population std over ``iters``
+    full-size resamples with replacement, as the reference).
+
+    Draws come from ``bootstrap_draws`` (hash-seeded, reproducible); each resample's centroid is a
+    weighted mean and its median runs over the resampled multiset.
+    """
+    from shiftkit.operators.sampling import bootstrap_draws
+
+    pool = list(pool)
+    draws = bootstrap_draws(df.select(*pool, key), key, pool, iters=iters, seed=seed)
+    rows = draws.join(df.select(*pool, key, vec), [*pool, key])
+    d = distance_to_centroid(rows, [*pool, "iter"], vec, metric, "_dist", weight="weight")
+    seps = group_quantiles(expand_weights(d), "_dist", [*pool, "iter"], [0.5], ["_sep"], method=method)
+    sd = seps.groupBy(*pool).agg(F.stddev_pop("_sep").alias("separation_sd"))
+    true = pool_separation(df, pool, vec, metric, method=method)
+    return true.join(sd, pool, "left")
+
+
+def sample_metrics(df: DataFrame, pool: Sequence[str], key: str, vec: str, iters: int = 1000, size: int = 100,
+                   seed: int = 0) -> DataFrame:
+    """Bootstrap samples of ``size`` rows per pool and iteration, and on each: the median pairwise
+    cosine similarity (diagonal excluded) and the number of distinct vector elements.
+
+    A sample is bounded by ``size``, so its similarity matrix is computed whole in one grouped pandas
+    call; distinct elements are counted on the JVM.
+    """
+    from shiftkit.operators.sampling import bootstrap_draws
+
+    pool = list(pool)
+    draws = bootstrap_draws(df.select(*pool, key), key, pool, iters=iters, size=size, seed=seed)
+    rows = expand_weights(draws.join(df.select(*pool, key, as_double(vec).alias("_v")), [*pool, key]))
+    schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in pool)
+
+    def med_sim(pdf):
+        import numpy as np
+        import pandas as pd
+
+        m = np.stack([np.asarray(x, dtype=np.float64) for x in pdf["_v"]])
+        nrm = np.linalg.norm(m, axis=1)
+        s = (m @ m.T) / np.outer(nrm, nrm)
+        off = s[~np.eye(len(m), dtype=bool)]
+        out = {c: [pdf[c].iloc[0]] for c in pool}
+        out["iter"] = [int(pdf["iter"].iloc[0])]
+        out["median_similarity"] = [float(np.median(off)) if len(off) else float("nan")]
+        return pd.DataFrame(out)
+
+    sims = rows.groupBy(*pool, "iter").applyInPandas(med_sim, f"{schema}, iter int, median_similarity double")
+    uniq = rows.select(*pool, "iter", F.explode("_v").alias("_e")).groupBy(*pool, "iter").agg(
+        F.countDistinct("_e").alias("distinct_elements"))
+    return sims.join(uniq, [*pool, "iter"])
+
+
+def bootstrap_interval(samples: DataFrame, by: Sequence[str], value: str, lo: float = 0.025, hi: float = 0.975) -> DataFrame:
+    """Percentile interval (linear interpolation) of bootstrap values per group."""
+    return group_quantiles(samples, value, by, [lo, hi], ["ci_lo", "ci_hi"])
+
+
+def regression_2d(df: DataFrame, by: Sequence[str], x0: str, x1: str, y: str) -> DataFrame:
+    """OLS of ``y`` on (x0, x1) with intercept per group, from population (co)variances (closed form)."""
+    by = list(by)
+    g = df.groupBy(*by).agg(
+        F.var_pop(x0).alias("_s00"), F.var_pop(x1).alias("_s11"), F.covar_pop(x0, x1).alias("_s01"),
+        F.covar_pop(y, x0).alias("_sy0"), F.covar_pop(y, x1).alias("_sy1"),
+        F.avg(x0).alias("_m0"), F.avg(x1).alias("_m1"), F.avg(y).alias("_my"),
+    )
+    det = F.col("_s00") * F.col("_s11") - F.col("_s01") * F.col("_s01")
+    b0 = (F.col("_sy0") * F.col("_s11") - F.col("_sy1") * F.col("_s01")) / det
+    b1 = (F.col("_sy1") * F.col("_s00") - F.col("_sy0") * F.col("_s01")) / det
+    return g.select(*by, b0.alias("coef_0"), b1.alias("coef_1"),
+                    (F.col("_my") - b0 * F.col("_m0") - b1 * F.col("_m1")).alias("intercept"))
+
+
+def pull_estimate(pairs: DataFrame, by: Sequence[str], x: str, y: str) -> DataFrame:
+    """Pull-to-centre model y = x + alpha (z - x) + w, per group: OLS of (y - x) on x gives
+    slope = -alpha and intercept = alpha z + w; alpha and the fixed point -intercept/slope are
+    reported (z and w are not separately identifiable)."""
+    d = F.col(y) - F.col(x)
+    g = pairs.groupBy(*by).agg(F.regr_slope(d, F.col(x)).alias("_s"), F.regr_intercept(d, F.col(x)).alias("_i"),
+                               F.count(F.lit(1)).alias("n"))
+    return g.select(*by, (-F.col("_s")).alias("alpha"), (-F.col("_i") / F.col("_s")).alias("fixed_point"), "n")
+
+
+def density_grid(df: DataFrame, x: str, y: str, cell: float, by: Sequence[str] = ()) -> DataFrame:
+    """Counts of 2-D points per square cell: the table under a density plot."""
+    return df.groupBy(*by, F.floor(F.col(x) / cell).alias("gx"), F.floor(F.col(y) / cell).alias("gy")).agg(
+        F.count(F.lit(1)).alias("n"))
+
+
+def pca_project(df: DataFrame, vec: str, k: int = 2, out: str = "pc") -> DataFrame:
+    """Fit PCA on all rows (centred, as scikit-learn does) and add the projection; component signs
+    are arbitrary."""
+    from pyspark.ml.feature import PCA
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    d = vector_dim(df, vec)
+    mean = vector_mean(df, [], vec, "_mean", dim=d).withColumn("_g", F.lit(1))
+    centred = df.withColumn("_g", F.lit(1)).join(F.broadcast(mean), "_g").withColumn(
+        "_cv", array_to_vector(F.zip_with(as_double(vec), F.col("_mean"), lambda a, b: a - b))).drop("_g", "_mean")
+    model = PCA(k=k, inputCol="_cv", outputCol="_pc").fit(centred)
+    return model.transform(centred).withColumn(out, vector_to_array("_pc")).drop("_cv", "_pc")
+
+
+def embed_texts(df: DataFrame, text: str, out: str = "embedding", dim: int = 256, encoder=None,
+                batch_size: int = 64) -> DataFrame:
+    """Embed a text column.
+
+    ``encoder`` is any ``list[str] -> 2-D array`` callable, loaded once per Python worker and called
+    on Arrow batches (``mapInPandas``). Without one, texts are hashed bags of words (``HashingTF``)
+    scaled to unit length, all on the JVM.
+    """
+    if encoder is None:
+        from pyspark.ml.feature import HashingTF, Normalizer
+        from pyspark.ml.functions import vector_to_array
+
+        toks = df.withColumn("_tok", F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"[\p{L}\p{N}_]{2,}"), 0))
+        tf = HashingTF(numFeatures=dim, inputCol="_tok", outputCol="_tf").transform(toks)
+        nz = Normalizer(p=2.0, inputCol="_tf", outputCol="_n").transform(tf)
+        return nz.withColumn(out, vector_to_array("_n", "float32")).drop("_tok", "_tf", "_n")
+    fields = df.schema.simpleString()[len("struct<"):-1]
+
+    def run(it):
+        import numpy as np
+
+        for pdf in it:
+            for start in range(0, len(pdf), batch_size):
+                part = pdf.iloc[start:start + batch_size].copy()
+                vecs = np.asarray(encoder(part[text].fillna("").tolist()), dtype=np.float32)
+                part[out] = list(vecs)
+                yield part
+
+    return df.mapInPandas(run, f"{fields}, {out} array<float>")

@@ -267,3 +267,129 @@ d AS (SELECT pool, it, ({_h(3, 'pool', 'it', 'j')}) % n AS pick FROM idx CROSS J
 SELECT d.pool, CAST(d.it AS INTEGER) AS iter, idx.vec_id, count(*) AS weight
 FROM d JOIN idx ON idx.pool = d.pool AND idx.j = d.pick GROUP BY ALL""",
 })
+
+_RANKED = f"SELECT *, row_number() OVER (PARTITION BY pool ORDER BY vec_id) - 1 AS rank FROM ({_POOLS})"
+_REF = f"SELECT pool, arg_min(e, vec_id) AS r FROM ({_POOLS}) GROUP BY pool"
+_SEP = f"""
+SELECT p.pool, quantile_cont(1 - list_cosine_similarity(p.e, c.c), 0.5) AS separation
+FROM ({_POOLS}) p JOIN ({_CENTROIDS}) c USING (pool) GROUP BY p.pool
+"""
+_PAIRED = f"""
+SELECT o.pool, o.rank, 1 - list_cosine_similarity(o.e, b.e) AS distance
+FROM ({_RANKED}) o JOIN ({_RANKED}) b ON b.pool = 0 AND o.pool <> 0 AND o.rank = b.rank
+"""
+_DRIFT = "SELECT rank, " + ", ".join(
+    f"first(distance) FILTER (WHERE pool = {r}) AS distance_{r}" for r in range(1, 10)) + f" FROM ({_PAIRED}) GROUP BY rank"
+_IDX = "SELECT label AS pool, vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS j, count(*) OVER (PARTITION BY label) AS n FROM embeddings"
+
+
+def _draws(seed, iters, size=None):
+    """Multinomial bootstrap draws per pool, as ``bootstrap_draws``: (pool, iter, vec_id, weight)."""
+    if size is None:
+        src = f"SELECT pool, it, j AS draw, n FROM idx CROSS JOIN range({iters}) t(it)"
+    else:
+        src = (f"SELECT i.pool, it, s.draw, i.n FROM (SELECT DISTINCT pool, n FROM idx) i "
+               f"CROSS JOIN range({size}) s(draw) CROSS JOIN range({iters}) t(it)")
+    return f"""
+idx AS ({_IDX}),
+src AS ({src}),
+d AS (SELECT pool, it, ({_h(seed, 'pool', 'it', 'draw')}) % n AS pick FROM src),
+draws AS (SELECT d.pool, CAST(d.it AS INTEGER) AS iter, idx.vec_id, count(*) AS weight
+          FROM d JOIN idx ON idx.pool = d.pool AND idx.j = d.pick GROUP BY ALL)"""
+
+
+_MEDSIM_TRUE = f"""
+SELECT a.pool, quantile_cont(list_cosine_similarity(a.e, b.e), 0.5) AS median_similarity
+FROM ({_POOLS}) a JOIN ({_POOLS}) b ON a.pool = b.pool AND a.vec_id < b.vec_id GROUP BY a.pool
+"""
+_SAMPLE_METRICS = f"""
+WITH {_draws(9, 1000, 100)[1:]},
+p AS ({_POOLS}),
+ex AS (SELECT d.pool, d.iter, p.e, row_number() OVER (PARTITION BY d.pool, d.iter ORDER BY d.vec_id, k) AS pos
+       FROM draws d JOIN p USING (pool, vec_id) CROSS JOIN LATERAL range(d.weight) r(k)),
+sims AS (SELECT a.pool, a.iter, quantile_cont(list_cosine_similarity(a.e, b.e), 0.5) AS median_similarity
+         FROM ex a JOIN ex b ON a.pool = b.pool AND a.iter = b.iter AND a.pos < b.pos GROUP BY ALL),
+uniq AS (SELECT pool, iter, count(DISTINCT x) AS distinct_elements FROM (SELECT pool, iter, unnest(e) AS x FROM ex) GROUP BY ALL)
+SELECT s.pool, s.iter, s.median_similarity, u.distinct_elements FROM sims s JOIN uniq u USING (pool, iter)
+"""
+
+ORACLE.update({
+    "cosine_to_reference": f"""
+SELECT vec_id, pool, round(1 - list_cosine_similarity(e, r), 9) AS distance FROM ({_POOLS}) JOIN ({_REF}) USING (pool)""",
+    "euclid_to_reference": f"""
+SELECT vec_id, pool, round(list_distance(e, r), 9) AS distance FROM ({_POOLS}) JOIN ({_REF}) USING (pool)""",
+    "pool_centroid": f"""
+SELECT pool, CAST(i - 1 AS INTEGER) AS dim, round(avg(x), 9) AS mean
+FROM (SELECT pool, unnest(e) AS x, unnest(range(1, len(e) + 1)) AS i FROM ({_POOLS})) GROUP BY pool, i""",
+    "separation_gap": f"""
+WITH s AS ({_SEP}) SELECT pool, round(separation - (SELECT separation FROM s WHERE pool = 0), 9) AS gap FROM s""",
+    "separation_bootstrap": f"""
+WITH {_draws(5, 100)[1:]},
+p AS ({_POOLS}),
+j AS (SELECT d.pool, d.iter, p.e, d.weight FROM draws d JOIN p USING (pool, vec_id)),
+c AS (SELECT pool, iter, list(m ORDER BY i) AS c FROM (
+        SELECT pool, iter, i, sum(x * weight) / sum(weight) AS m FROM (
+          SELECT pool, iter, weight, unnest(e) AS x, unnest(range(1, len(e) + 1)) AS i FROM j) GROUP BY ALL)
+      GROUP BY pool, iter),
+dist AS (SELECT j.pool, j.iter, 1 - list_cosine_similarity(j.e, c.c) AS dd, j.weight FROM j JOIN c USING (pool, iter)),
+ex AS (SELECT pool, iter, dd FROM dist CROSS JOIN LATERAL range(weight) r(k)),
+s AS (SELECT pool, iter, quantile_cont(dd, 0.5) AS sep FROM ex GROUP BY ALL),
+sd AS (SELECT pool, stddev_pop(sep) AS separation_sd FROM s GROUP BY pool)
+SELECT t.pool, round(t.separation, 9) AS separation, round(sd.separation_sd, 9) AS separation_sd
+FROM ({_SEP}) t LEFT JOIN sd USING (pool)""",
+    "median_pairwise_similarity": f"""
+SELECT pool, round(median_similarity, 9) AS median_similarity FROM ({_MEDSIM_TRUE})""",
+    "bootstrap_metrics": f"""
+SELECT pool, iter, round(median_similarity, 9) AS median_similarity, distinct_elements FROM ({_SAMPLE_METRICS})""",
+    "bootstrap_ci": f"""
+WITH s AS ({_SAMPLE_METRICS}),
+long AS (SELECT pool, 'median_similarity' AS metric, median_similarity AS v FROM s
+         UNION ALL SELECT pool, 'distinct_elements', CAST(distinct_elements AS DOUBLE) FROM s),
+ci AS (SELECT pool, metric, quantile_cont(v, 0.025) AS ci_lo, quantile_cont(v, 0.975) AS ci_hi FROM long GROUP BY ALL),
+tr AS (SELECT pool, 'median_similarity' AS metric, median_similarity AS value FROM ({_MEDSIM_TRUE})
+       UNION ALL SELECT label, 'distinct_elements', CAST(count(DISTINCT x) AS DOUBLE)
+       FROM (SELECT label, unnest(embedding) AS x FROM embeddings) GROUP BY label)
+SELECT pool, metric, round(value, 9) AS value, round(ci_lo, 9) AS ci_lo, round(ci_hi, 9) AS ci_hi
+FROM tr JOIN ci USING (pool, metric)""",
+    "paired_distance": f"SELECT pool, rank, round(distance, 9) AS distance FROM ({_PAIRED})",
+    "drift_by_round": "SELECT rank, " + ", ".join(f"round(distance_{r}, 9) AS distance_{r}" for r in range(1, 10))
+    + f" FROM ({_DRIFT})",
+    "drift_mean": "SELECT " + ", ".join(f"round(avg(distance_{r}), 9) AS mean_distance_{r}" for r in range(1, 10))
+    + f" FROM ({_DRIFT})",
+    "distance_band_match": f"""
+WITH a AS (SELECT vec_id, e FROM ({_POOLS}) WHERE pool = 0), b AS (SELECT vec_id, e FROM ({_POOLS}) WHERE pool = 1),
+m AS (SELECT a.vec_id AS vec_id_a, b.vec_id AS vec_id_b, list_distance(a.e, b.e) AS d FROM a CROSS JOIN b
+      WHERE abs(list_distance(a.e, b.e) - 1.2) < 0.05)
+SELECT vec_id_a, min(vec_id_b) AS vec_id_b, round(arg_min(d, vec_id_b), 9) AS distance FROM m GROUP BY vec_id_a""",
+    "shift_linear_map": f"""
+WITH r AS ({_RANKED}),
+pairs AS (SELECT x.rank, x.e[1] AS x0, x.e[2] AS x1, y.e[1] AS y0, y.e[2] AS y1
+          FROM r x JOIN r y ON x.pool = 0 AND y.pool = 1 AND x.rank = y.rank),
+idx AS (SELECT 0 AS pool, rank AS vec_id, row_number() OVER (ORDER BY rank) - 1 AS j, count(*) OVER () AS n FROM pairs),
+src AS (SELECT i.pool, it, s.draw, i.n FROM (SELECT DISTINCT pool, n FROM idx) i CROSS JOIN range(100) s(draw) CROSS JOIN range(10) t(it)),
+d AS (SELECT pool, it, ({_h(13, 'pool', 'it', 'draw')}) % n AS pick FROM src),
+sample AS (SELECT CAST(d.it AS INTEGER) AS iter, p.* FROM d JOIN idx ON idx.j = d.pick JOIN pairs p ON p.rank = idx.vec_id),
+g AS (SELECT iter, o.out_dim, var_pop(x0) AS s00, var_pop(x1) AS s11, covar_pop(x0, x1) AS s01,
+        covar_pop(CASE o.out_dim WHEN 0 THEN y0 ELSE y1 END, x0) AS sy0, covar_pop(CASE o.out_dim WHEN 0 THEN y0 ELSE y1 END, x1) AS sy1,
+        avg(x0) AS m0, avg(x1) AS m1, avg(CASE o.out_dim WHEN 0 THEN y0 ELSE y1 END) AS my
+      FROM sample CROSS JOIN (SELECT CAST(range AS INTEGER) AS out_dim FROM range(2)) o GROUP BY ALL),
+c AS (SELECT iter, out_dim, (sy0 * s11 - sy1 * s01) / (s00 * s11 - s01 * s01) AS b0,
+        (sy1 * s00 - sy0 * s01) / (s00 * s11 - s01 * s01) AS b1, m0, m1, my FROM g)
+SELECT iter, out_dim, round(b0, 9) AS coef_0, round(b1, 9) AS coef_1, round(my - b0 * m0 - b1 * m1, 9) AS intercept FROM c""",
+    "shift_pull_estimate": f"""
+WITH r AS ({_RANKED}),
+x AS (SELECT rank, unnest(e) AS x, unnest(range(0, len(e))) AS dim FROM r WHERE pool = 0),
+y AS (SELECT rank, unnest(e) AS y, unnest(range(0, len(e))) AS dim FROM r WHERE pool = 1),
+g AS (SELECT CAST(dim AS INTEGER) AS dim, regr_slope(y - x, x) AS s, regr_intercept(y - x, x) AS i, count(*) AS n
+      FROM x JOIN y USING (rank, dim) GROUP BY dim)
+SELECT dim, round(-s, 9) AS alpha, round(-i / s, 9) AS fixed_point, n FROM g""",
+    "density_grid": """
+SELECT CAST(floor(CAST(embedding[1] AS DOUBLE) / 0.05) AS BIGINT) AS gx, CAST(floor(CAST(embedding[2] AS DOUBLE) / 0.05) AS BIGINT) AS gy,
+  count(*) AS n FROM embeddings GROUP BY ALL""",
+    "rewrite_trajectory": f"""
+WITH r AS (SELECT rank, pool AS round, e FROM ({_RANKED})),
+f AS (SELECT rank, arg_min(e, round) AS fe FROM r GROUP BY rank)
+SELECT r.rank, r.round, round(1 - list_cosine_similarity(r.e, f.fe), 9) AS dist_to_first,
+  round(1 - list_cosine_similarity(r.e, lag(r.e) OVER (PARTITION BY r.rank ORDER BY r.round)), 9) AS dist_to_prev
+FROM r JOIN f USING (rank)""",
+})

@@ -588,3 +588,211 @@ def bootstrap_draws(spark, sf):
     from shiftkit.operators.sampling import bootstrap_draws as bd
 
     return bd(_pools(spark, sf).select("vec_id", "pool"), "vec_id", ["pool"], iters=20, seed=3)
+
+
+# ---------------------------------------------------------------------------------------------
+# vectors and embedding geometry
+
+
+def _ranked_pools(spark, sf):
+    """Pools with each vector's rank inside its pool (the text name shared across pools)."""
+    from shiftkit.operators.positional import dense_index
+
+    return dense_index(_pools(spark, sf), ["vec_id"], by=["pool"], out="rank")
+
+
+def _reference_vectors(pools):
+    return pools.groupBy("pool").agg(F.min_by("embedding", "vec_id").alias("ref_embedding"))
+
+
+@query
+def cosine_to_reference(spark, sf):
+    from shiftkit.operators.vectors import distance_to_reference
+
+    p = _pools(spark, sf)
+    d = distance_to_reference(p, _reference_vectors(p), ["pool"], "embedding", metric="cosine")
+    return d.select("vec_id", "pool", r9("distance").alias("distance"))
+
+
+@query
+def euclid_to_reference(spark, sf):
+    from shiftkit.operators.vectors import distance_to_reference
+
+    p = _pools(spark, sf)
+    d = distance_to_reference(p, _reference_vectors(p), ["pool"], "embedding", metric="euclidean")
+    return d.select("vec_id", "pool", r9("distance").alias("distance"))
+
+
+@query
+def pool_centroid(spark, sf):
+    from shiftkit.operators.vectors import vector_mean
+
+    c = vector_mean(_pools(spark, sf), ["pool"], "embedding")
+    return c.select("pool", F.posexplode("centroid").alias("dim", "mean")).select("pool", "dim", r9("mean").alias("mean"))
+
+
+@query
+def separation_gap(spark, sf):
+    from shiftkit.operators.vectors import pool_separation as sep
+
+    s = sep(_pools(spark, sf), ["pool"], "embedding", "cosine")
+    base = s.where(F.col("pool") == 0).select("separation").scalar()
+    return s.select("pool", r9(F.col("separation") - base).alias("gap"))
+
+
+@query
+def separation_bootstrap(spark, sf):
+    from shiftkit.operators.vectors import separation_bootstrap as sb
+
+    out = sb(_pools(spark, sf), ["pool"], "vec_id", "embedding", "cosine", iters=100, seed=5)
+    return out.select("pool", r9("separation").alias("separation"), r9("separation_sd").alias("separation_sd"))
+
+
+@query
+def median_pairwise_similarity(spark, sf):
+    from shiftkit.operators.allpairs import pairwise_median_similarity
+
+    out = pairwise_median_similarity(_pools(spark, sf), ["pool"], "vec_id", "embedding")
+    return out.select("pool", r9("median_similarity").alias("median_similarity"))
+
+
+def _sample_metrics(spark, sf):
+    from shiftkit.operators.vectors import sample_metrics
+
+    return sample_metrics(_pools(spark, sf), ["pool"], "vec_id", "embedding", iters=1000, size=100, seed=9)
+
+
+@query
+def bootstrap_metrics(spark, sf):
+    s = _sample_metrics(spark, sf)
+    return s.select("pool", "iter", r9("median_similarity").alias("median_similarity"), "distinct_elements")
+
+
+@query
+def bootstrap_ci(spark, sf):
+    from shiftkit.operators.allpairs import pairwise_median_similarity
+    from shiftkit.operators.metrics import distinct_elements
+    from shiftkit.operators.vectors import bootstrap_interval
+
+    p = _pools(spark, sf)
+    s = _sample_metrics(spark, sf)
+    long = s.select("pool", F.lit("median_similarity").alias("metric"), F.col("median_similarity").alias("v")).unionByName(
+        s.select("pool", F.lit("distinct_elements").alias("metric"), F.col("distinct_elements").cast("double").alias("v")))
+    ci = bootstrap_interval(long, ["pool", "metric"], "v")
+    true = pairwise_median_similarity(p, ["pool"], "vec_id", "embedding").select(
+        "pool", F.lit("median_similarity").alias("metric"), F.col("median_similarity").alias("value")).unionByName(
+        distinct_elements(p, ["pool"], "embedding").select(
+            "pool", F.lit("distinct_elements").alias("metric"), F.col("n_distinct").cast("double").alias("value")))
+    return true.join(ci, ["pool", "metric"]).select(
+        "pool", "metric", r9("value").alias("value"), r9("ci_lo").alias("ci_lo"), r9("ci_hi").alias("ci_hi"))
+
+
+def _paired(spark, sf):
+    from shiftkit.operators.vectors import paired_distance as pdist
+
+    rp = _ranked_pools(spark, sf)
+    base = rp.where(F.col("pool") == 0).select("rank", "embedding")
+    others = rp.where(F.col("pool") != 0).select("pool", "rank", "embedding")
+    return pdist(others, base, ["rank"], "embedding", "cosine")
+
+
+@query
+def paired_distance(spark, sf):
+    return _paired(spark, sf).select("pool", "rank", r9("distance").alias("distance"))
+
+
+ROUNDS = list(range(1, 10))
+
+
+def _drift(spark, sf):
+    wide = _paired(spark, sf).groupBy("rank").pivot("pool", ROUNDS).agg(F.first("distance"))
+    return wide.select("rank", *[F.col(str(r)).alias(f"distance_{r}") for r in ROUNDS])
+
+
+@query
+def drift_by_round(spark, sf):
+    return _drift(spark, sf).select("rank", *[r9(f"distance_{r}").alias(f"distance_{r}") for r in ROUNDS])
+
+
+@query
+def drift_mean(spark, sf):
+    return _drift(spark, sf).agg(*[r9(F.avg(f"distance_{r}")).alias(f"mean_distance_{r}") for r in ROUNDS])
+
+
+@query
+def distance_band_match(spark, sf):
+    from shiftkit.operators.allpairs import band_match
+
+    p = _pools(spark, sf)
+    a = p.where(F.col("pool") == 0).select("vec_id", "embedding")
+    b = p.where(F.col("pool") == 1).select("vec_id", "embedding")
+    out = band_match(a, b, "vec_id", "embedding", target=1.2, width=0.05, metric="euclidean")
+    return out.select(F.col("key_a").alias("vec_id_a"), F.col("key_b").alias("vec_id_b"), r9("distance").alias("distance"))
+
+
+def _shift_pairs(spark, sf):
+    """Original = pool 0, improved = pool 1, matched by rank; components = the first two dimensions
+    (PCA scores in the reference; raw components keep the query checkable in SQL)."""
+    rp = _ranked_pools(spark, sf)
+    x = rp.where(F.col("pool") == 0).select("rank", F.col("embedding")[0].cast("double").alias("x0"),
+                                             F.col("embedding")[1].cast("double").alias("x1"))
+    y = rp.where(F.col("pool") == 1).select("rank", F.col("embedding")[0].cast("double").alias("y0"),
+                                             F.col("embedding")[1].cast("double").alias("y1"))
+    return x.join(y, "rank")
+
+
+@query
+def shift_linear_map(spark, sf):
+    from shiftkit.operators.sampling import bootstrap_draws
+    from shiftkit.operators.vectors import expand_weights, regression_2d
+
+    pairs = _shift_pairs(spark, sf)
+    draws = bootstrap_draws(pairs.select("rank"), "rank", [], iters=10, size=100, seed=13)
+    sample = expand_weights(draws.join(pairs, "rank"))
+    outs = [regression_2d(sample, ["iter"], "x0", "x1", y).withColumn("out_dim", F.lit(i)) for i, y in enumerate(["y0", "y1"])]
+    res = outs[0].unionByName(outs[1])
+    return res.select("iter", "out_dim", r9("coef_0").alias("coef_0"), r9("coef_1").alias("coef_1"),
+                      r9("intercept").alias("intercept"))
+
+
+@query
+def shift_pull_estimate(spark, sf):
+    from shiftkit.operators.vectors import pull_estimate
+
+    rp = _ranked_pools(spark, sf)
+    x = rp.where(F.col("pool") == 0).select("rank", F.posexplode(F.col("embedding").cast("array<double>")).alias("dim", "x"))
+    y = rp.where(F.col("pool") == 1).select("rank", F.posexplode(F.col("embedding").cast("array<double>")).alias("dim", "y"))
+    out = pull_estimate(x.join(y, ["rank", "dim"]), ["dim"], "x", "y")
+    return out.select("dim", r9("alpha").alias("alpha"), r9("fixed_point").alias("fixed_point"), "n")
+
+
+@query
+def density_grid(spark, sf):
+    from shiftkit.operators.vectors import density_grid as dg
+
+    p = _pools(spark, sf).select(F.col("embedding")[0].cast("double").alias("x"), F.col("embedding")[1].cast("double").alias("y"))
+    return dg(p, "x", "y", 0.05)
+
+
+@query
+def rewrite_trajectory(spark, sf):
+    from shiftkit.operators.vectors import step_distances
+
+    rp = _ranked_pools(spark, sf).withColumnRenamed("pool", "round")
+    out = step_distances(rp, ["rank"], "round", "embedding", "cosine")
+    return out.select("rank", "round", r9("dist_to_first").alias("dist_to_first"), r9("dist_to_prev").alias("dist_to_prev"))
+
+
+@query
+def pca_project(spark, sf):
+    from shiftkit.operators.vectors import pca_project as pp
+
+    out = pp(_pools(spark, sf).where(F.col("pool").isin(0, 1)), "embedding", 2)
+    return out.select("vec_id", "pool", F.col("pc")[0].alias("pc0"), F.col("pc")[1].alias("pc1"))
+
+
+@query
+def embed_texts(spark, sf):
+    from shiftkit.operators.vectors import embed_texts as et
+
+    return et(_docs(spark, sf).select("doc_id", "text"), "text", dim=64).select("doc_id", "embedding")
