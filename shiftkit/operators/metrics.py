@@ -80,7 +80,8 @@ def auroc_hard(df: DataFrame, truth: str, pred: str) -> DataFrame:
     )
     return agg.select(
         "tp", "fn", "tn", "fp",
-        ((F.col("tp") / (F.col("tp") + F.col("fn")) + F.col("tn") / (F.col("tn") + F.col("fp"))) / 2).alias("auroc"),
+        ((F.try_divide(F.col("tp"), F.col("tp") + F.col("fn")) + F.try_divide(F.col("tn"), F.col("tn") + F.col("fp"))) / 2)
+        .alias("auroc"),
     )
 
 

@@ -91,7 +91,7 @@ def build_prompts(texts: DataFrame, name: str, text: str, kinds: Sequence[str],
         F.struct(F.lit(k).alias("kind"), F.lit(templates[k]).alias("_t"), F.lit(p).alias("agent"), F.lit(m).alias("model"))
         for k in kinds for p in personas for m in models
     ])
-    rows = texts.select(F.col(name).alias("text_name"), F.col(text).alias("_text"),
+    rows = texts.select(F.col(name).cast("string").alias("text_name"), F.col(text).alias("_text"),
                         (F.col(post) if post else F.lit("")).alias("_post"), F.explode(grid).alias("_g"))
     vals = F.create_map(F.lit("TEXT"), F.col("_text"), F.lit("PERSONA"), F.col("_g.agent"), F.lit("POST"), F.col("_post"))
     return rows.select(

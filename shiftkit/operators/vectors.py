@@ -132,26 +132,30 @@ def sample_metrics(df: DataFrame, pool: Sequence[str], key: str, vec: str, iters
 
     pool = list(pool)
     draws = bootstrap_draws(df.select(*pool, key), key, pool, iters=iters, size=size, seed=seed)
-    rows = expand_weights(draws.join(df.select(*pool, key, as_double(vec).alias("_v")), [*pool, key]))
+    # vectors travel in their stored precision; numpy widens them to double
+    rows = expand_weights(draws.join(df.select(*pool, key, F.col(vec).alias("_v")), [*pool, key]))
     schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in pool)
+    # one row per sample (its size is the ``size`` parameter), then numpy over a stack of samples
+    packed = rows.groupBy(*pool, "iter").agg(F.flatten(F.collect_list("_v")).alias("_m"), F.count(F.lit(1)).alias("_k"))
 
-    def med_sim(pdf):
+    def metrics(it):
         import numpy as np
-        import pandas as pd
-
-        m = np.stack([np.asarray(x, dtype=np.float64) for x in pdf["_v"]])
-        nrm = np.linalg.norm(m, axis=1)
-        s = (m @ m.T) / np.outer(nrm, nrm)
-        off = s[~np.eye(len(m), dtype=bool)]
-        out = {c: [pdf[c].iloc[0]] for c in pool}
-        out["iter"] = [int(pdf["iter"].iloc[0])]
-        out["median_similarity"] = [float(np.median(off)) if len(off) else float("nan")]
-        return pd.DataFrame(out)
-
-    sims = rows.groupBy(*pool, "iter").applyInPandas(med_sim, f"{schema}, iter int, median_similarity double")
-    uniq = rows.select(*pool, "iter", F.explode("_v").alias("_e")).groupBy(*pool, "iter").agg(
-        F.countDistinct("_e").alias("distinct_elements"))
-    return sims.join(uniq, [*pool, "iter"])
+
+        for pdf in it:
+            mats = [np.asarray(m, dtype=np.float64).reshape(int(k), -1) for m, k in zip(pdf["_m"], pdf["_k"])]
+            med, uniq = [], []
+            for m in mats:
+                nrm = np.linalg.norm(m, axis=1)
+                s = (m @ m.T) / np.outer(nrm, nrm)
+                off = s[~np.eye(len(m), dtype=bool)]
+                med.append(float(np.median(off)) if len(off) else float("nan"))
+                uniq.append(int(len(np.unique(m))))
+            out = pdf[[*pool, "iter"]].copy()
+            out["median_similarity"] = med
+            out["distinct_elements"] = np.asarray(uniq, dtype=np.int64)
+            yield out
+
+    return packed.mapInPandas(metrics, f"{schema}, iter int, median_similarity double, distinct_elements long")
 
 
 def bootstrap_interval(samples: DataFrame, by: Sequence[str], value: str, lo: float = 0.025, hi: float = 0.975) -> DataFrame:

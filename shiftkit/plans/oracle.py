@@ -393,3 +393,114 @@ SELECT r.rank, r.round, round(1 - list_cosine_similarity(r.e, f.fe), 9) AS dist_
   round(1 - list_cosine_similarity(r.e, lag(r.e) OVER (PARTITION BY r.rank ORDER BY r.round)), 9) AS dist_to_prev
 FROM r JOIN f USING (rank)""",
 })
+
+from shiftkit.operators.prompts import PROMPT_KINDS as _KINDS  # noqa: E402
+
+
+def _q(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+_SWLIST = "[" + ", ".join(_q(w) for w in _SW) + "]"
+_TRAIN_DOCS = f"SELECT * FROM documents WHERE {_h(7, 'doc_id')} / 4294967296.0 < 0.8"
+_VOCAB = f"""
+SELECT term, n, CAST(row_number() OVER (ORDER BY n DESC, term) - 1 AS INTEGER) AS term_id FROM (
+  SELECT term, count(*) AS n FROM (
+    SELECT unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}', 0)) AS term FROM ({_TRAIN_DOCS}))
+  WHERE NOT list_contains({_SWLIST}, term) GROUP BY term ORDER BY n DESC, term LIMIT 5000)
+"""
+_PAIRS_TXT = """
+SELECT u.conv_id, u.turn, u.text AS original, a.text AS updated FROM conversations u JOIN conversations a
+ON a.conv_id = u.conv_id AND a.turn - 1 = u.turn AND u.role = 'user' AND a.role = 'assistant'
+"""
+_TOKDIFF = f"""
+WITH p AS ({_PAIRS_TXT}),
+b AS (SELECT conv_id, turn, token, count(*) AS nb FROM (
+        SELECT conv_id, turn, unnest(list_filter(regexp_split_to_array(original, '\\s+'), lambda x: x <> '')) AS token FROM p)
+      GROUP BY ALL),
+a AS (SELECT conv_id, turn, token, count(*) AS na FROM (
+        SELECT conv_id, turn, unnest(list_filter(regexp_split_to_array(updated, '\\s+'), lambda x: x <> '')) AS token FROM p)
+      GROUP BY ALL),
+j AS (SELECT coalesce(b.conv_id, a.conv_id) AS conv_id, coalesce(b.turn, a.turn) AS turn, coalesce(b.token, a.token) AS token,
+        coalesce(nb, 0) AS nb, coalesce(na, 0) AS na
+      FROM b FULL OUTER JOIN a ON a.conv_id = b.conv_id AND a.turn = b.turn AND a.token = b.token)
+SELECT conv_id, turn, token, least(nb, na) AS kept, nb - least(nb, na) AS removed, na - least(nb, na) AS added FROM j
+"""
+_PROFILE_TEMPLATE = "Profile <ID> (<LANG>, <SOURCE>):\n<TEXT>\n<CONTACT> stays as it is."
+_PERSONAS = ["recruiter", "peer"]
+_PMODELS = ["gpt4", "gemini", "mixtral"]
+
+
+def _prompt_sql(kinds):
+    vals = ", ".join(f"({_q(k)}, {_q(_KINDS[k])})" for k in kinds)
+    pers = ", ".join(f"({_q(p)})" for p in _PERSONAS)
+    mods = ", ".join(f"({_q(m)})" for m in _PMODELS)
+    return f"""
+SELECT sha256(concat_ws('|', k.kind, CAST(d.doc_id AS VARCHAR), p.agent, m.model)) AS prompt_id, k.kind,
+  CAST(d.doc_id AS VARCHAR) AS text_name, p.agent, m.model,
+  replace(replace(replace(k.t, '<PERSONA>', p.agent), '<POST>', ''), '<TEXT>', d.text) AS prompt
+FROM documents d CROSS JOIN (VALUES {vals}) k(kind, t) CROSS JOIN (VALUES {pers}) p(agent) CROSS JOIN (VALUES {mods}) m(model)
+"""
+
+
+_DECISIONS_TEXT = f"""
+SELECT agent AS persona, CAST(regexp_extract(variable, '_(.*)', 1) AS BIGINT) AS doc_id,
+  CASE WHEN value = 'Yes' THEN 1 ELSE 0 END AS decision
+FROM ({_DECISIONS_LONG})
+"""
+_SEP = "\n\n-----\n\n"
+
+ORACLE.update({
+    "vocabulary_topk": f"SELECT term, n, term_id FROM ({_VOCAB})",
+    "token_ids": f"""
+WITH v AS ({_VOCAB}),
+t AS (SELECT doc_id, unnest(l) AS term, unnest(range(len(l))) AS pos FROM (
+        SELECT doc_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}', 0) AS l FROM documents)),
+ids AS (SELECT t.doc_id, list(coalesce(v.term_id, -2) ORDER BY t.pos) AS l FROM t LEFT JOIN v USING (term)
+        WHERE t.pos < 64 GROUP BY t.doc_id)
+SELECT d.doc_id, array_to_string(list_concat(coalesce(ids.l, []), list_transform(range(64 - len(coalesce(ids.l, []))), lambda x: -1)), ',') AS input_ids
+FROM documents d LEFT JOIN ids USING (doc_id)""",
+    "revision_token_diff": f"""
+SELECT conv_id, turn, CAST(sum(kept) AS BIGINT) AS kept, CAST(sum(removed) AS BIGINT) AS removed,
+  CAST(sum(added) AS BIGINT) AS added FROM ({_TOKDIFF}) GROUP BY conv_id, turn""",
+    "top_added_tokens": f"""
+SELECT token, CAST(sum(added) AS BIGINT) AS added FROM ({_TOKDIFF}) GROUP BY token HAVING sum(added) > 0
+ORDER BY added DESC, token LIMIT 20""",
+    "template_params": """
+SELECT page_id, CAST(unnest(range(len(l))) AS INTEGER) AS pos, unnest(l) AS param
+FROM (SELECT page_id, regexp_extract_all(html, '<([^>]*)>', 1) AS l FROM pages)""",
+    "template_fill": f"""
+SELECT doc_id, 'profile' AS template_id,
+  replace(replace(replace(replace({_q(_PROFILE_TEMPLATE)}, '<ID>', CAST(doc_id AS VARCHAR)), '<LANG>', lang),
+          '<SOURCE>', source), '<TEXT>', text) AS filled
+FROM documents""",
+    "prompt_grid": _prompt_sql(["score"]),
+    "prompt_kinds": f"SELECT kind, count(*) AS n, CAST(sum(length(prompt)) AS BIGINT) AS chars FROM ({_prompt_sql(list(_KINDS))}) GROUP BY kind",
+    "apply_answers": """
+SELECT d.doc_id, coalesce(c.text, d.text) AS cleaned_text FROM documents d
+LEFT JOIN conversations c ON c.conv_id = d.doc_id AND c.role = 'assistant' AND c.turn = 1""",
+    "rewrite_rounds": """
+SELECT conv_id, row_number() OVER w - 1 AS round, CAST(length(text) AS BIGINT) AS n_chars,
+  CAST(length(text) - first(length(text)) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS BIGINT) AS chars_change
+FROM conversations WHERE role <> 'system' WINDOW w AS (PARTITION BY conv_id ORDER BY turn)""",
+    "decision_history": f"""
+WITH train AS (SELECT doc_id FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS i FROM labels)
+               WHERE i < floor(0.8 * (SELECT count(*) FROM labels))),
+d AS (SELECT x.persona, x.doc_id, x.decision, doc.text FROM ({_DECISIONS_TEXT}) x JOIN documents doc USING (doc_id)
+      JOIN train USING (doc_id)),
+r AS (SELECT *, (row_number() OVER (PARTITION BY persona ORDER BY doc_id) - 1) // 1000 AS block FROM d)
+SELECT persona, CAST(block AS BIGINT) AS block, count(*) AS n_items,
+  string_agg(text || ', Decision: ' || decision, {_q(_SEP)} ORDER BY doc_id) || {_q(_SEP)} AS history
+FROM r GROUP BY persona, block""",
+    "few_shot_block": f"""
+WITH d AS (SELECT x.persona, x.doc_id, x.decision, doc.text FROM ({_DECISIONS_TEXT}) x JOIN documents doc USING (doc_id)
+           WHERE x.persona = 'quality' ORDER BY {_h(21, 'x.doc_id')}, x.doc_id LIMIT 8)
+SELECT persona, count(*) AS n_items,
+  string_agg(text || ', Decision: ' || decision, {_q(_SEP)} ORDER BY doc_id) || {_q(_SEP)} AS history
+FROM d GROUP BY persona""",
+    "incremental_prompts": f"""
+SELECT conv_id, turn,
+  sha256(concat_ws('|', 'clean', conv_id || '_' || turn, 'persona', 'model')) AS prompt_id,
+  replace({_q(_KINDS['clean'])}, '<TEXT>', text) AS prompt
+FROM conversations WHERE role = 'user'""",
+})

@@ -796,3 +796,183 @@ def embed_texts(spark, sf):
     from shiftkit.operators.vectors import embed_texts as et
 
     return et(_docs(spark, sf).select("doc_id", "text"), "text", dim=64).select("doc_id", "embedding")
+
+
+# ---------------------------------------------------------------------------------------------
+# text features
+
+
+def _train_docs(spark, sf):
+    from shiftkit.operators.sampling import hash_split
+
+    return hash_split(_docs(spark, sf), "doc_id", 0.8, seed=7).where(F.col("split") == "train")
+
+
+def _vocab(spark, sf):
+    from shiftkit.operators.text import vocabulary
+
+    return vocabulary(_train_docs(spark, sf), "text", 5000)
+
+
+@query
+def vocabulary_topk(spark, sf):
+    return _vocab(spark, sf).select("term", "n", "term_id")
+
+
+@query
+def token_ids(spark, sf):
+    from shiftkit.operators.text import token_ids as ti
+
+    out = ti(_docs(spark, sf), "doc_id", "text", _vocab(spark, sf), max_len=64)
+    return out.select("doc_id", F.array_join("input_ids", ",").alias("input_ids"))
+
+
+def _revisions(spark, sf):
+    from shiftkit.operators.text import token_diff
+
+    return token_diff(_turn_pairs(spark, sf), ["conv_id", "turn"], "original", "updated")
+
+
+@query
+def revision_token_diff(spark, sf):
+    from shiftkit.operators.text import revision_summary
+
+    return revision_summary(_revisions(spark, sf), ["conv_id", "turn"])
+
+
+@query
+def top_added_tokens(spark, sf):
+    from shiftkit.operators.text import top_changed_tokens
+
+    return top_changed_tokens(_revisions(spark, sf), 20, "added")
+
+
+# ---------------------------------------------------------------------------------------------
+# templates and prompt tables
+
+
+@query
+def template_params(spark, sf):
+    from shiftkit.operators.prompts import template_params as tp
+
+    return tp(read_table(spark, sf, "pages"), "html", ["page_id"])
+
+
+PROFILE_TEMPLATE = "Profile <ID> (<LANG>, <SOURCE>):\n<TEXT>\n<CONTACT> stays as it is."
+
+
+@query
+def template_fill(spark, sf):
+    from shiftkit.operators.answers import melt
+    from shiftkit.operators.prompts import template_fill as tf
+
+    docs = _docs(spark, sf).select("doc_id", F.col("doc_id").cast("string").alias("ID"), F.col("lang").alias("LANG"),
+                                   F.col("source").alias("SOURCE"), F.col("text").alias("TEXT"))
+    values = melt(docs, ["doc_id"], ["ID", "LANG", "SOURCE", "TEXT"], "param", "value")
+    templates = spark.createDataFrame([("profile", PROFILE_TEMPLATE)], "template_id string, template string")
+    return tf(templates, values, ["doc_id"])
+
+
+PERSONAS = ["recruiter", "peer"]
+PROMPT_MODELS = ["gpt4", "gemini", "mixtral"]
+
+
+@query
+def prompt_grid(spark, sf):
+    from shiftkit.operators.prompts import build_prompts
+
+    return build_prompts(_docs(spark, sf), "doc_id", "text", ["score"], PERSONAS, PROMPT_MODELS)
+
+
+@query
+def prompt_kinds(spark, sf):
+    from shiftkit.operators.prompts import PROMPT_KINDS, build_prompts
+
+    p = build_prompts(_docs(spark, sf), "doc_id", "text", list(PROMPT_KINDS), PERSONAS, PROMPT_MODELS)
+    return p.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("prompt")).cast("long").alias("chars"))
+
+
+@query
+def apply_answers(spark, sf):
+    from shiftkit.operators.prompts import apply_answers as aa
+
+    ans = read_table(spark, sf, "conversations").where((F.col("role") == "assistant") & (F.col("turn") == 1)).select(
+        F.col("conv_id").alias("doc_id"), F.col("text").alias("answer"))
+    return aa(_docs(spark, sf).select("doc_id", "text"), ans, "doc_id", "answer", "cleaned_text", fallback="text").select(
+        "doc_id", "cleaned_text")
+
+
+@query
+def rewrite_rounds(spark, sf):
+    """Rounds of rewriting: each non-system turn of a conversation is the next round of one text."""
+    from pyspark.sql import Window
+
+    c = read_table(spark, sf, "conversations").where(F.col("role") != "system")
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    r = c.withColumn("round", (F.row_number().over(w) - 1).cast("long")).withColumn("n_chars", F.length("text").cast("long"))
+    first = F.first("n_chars").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    return r.select("conv_id", "round", "n_chars", (F.col("n_chars") - first).alias("chars_change"))
+
+
+def _decisions_with_text(spark, sf):
+    from shiftkit.operators.answers import parse_decisions as pd_
+
+    d = pd_(_decisions_long(spark, sf)).withColumn("doc_id", F.col("key").cast("long"))
+    return d.join(_docs(spark, sf).select("doc_id", "text"), "doc_id")
+
+
+@query
+def decision_history(spark, sf):
+    from shiftkit.operators.prompts import history_blocks
+    from shiftkit.operators.sampling import positional_split as ps
+
+    train = ps(read_table(spark, sf, "labels").select("doc_id"), ["doc_id"], 0.8).where(F.col("split") == "train")
+    d = _decisions_with_text(spark, sf).join(train.select("doc_id"), "doc_id")
+    return history_blocks(d, ["persona"], "doc_id", "text", "decision", max_items=1000)
+
+
+@query
+def few_shot_block(spark, sf):
+    from shiftkit.operators.prompts import history_blocks
+    from shiftkit.operators.sampling import sample_n as sn
+
+    shots = sn(_decisions_with_text(spark, sf).where(F.col("persona") == "quality"), "doc_id", 8, seed=21)
+    return history_blocks(shots, ["persona"], "doc_id", "text", "decision", max_items=1000).select(
+        "persona", "n_items", "history")
+
+
+# ---------------------------------------------------------------------------------------------
+# learning (rows-only checks: model fits have no SQL form)
+
+
+@query
+def classifier_accuracy(spark, sf):
+    from shiftkit.operators.learn import classifier_accuracy as ca
+    from shiftkit.operators.sampling import hash_split
+
+    d = hash_split(_docs(spark, sf).select("doc_id", "text", _is_us().alias("label")), "doc_id", 0.8, seed=7)
+    return ca(d, "text", "label", "split", ["logistic", "forest", "mlp"], vocab_size=1000)
+
+
+@query
+def variant_auroc(spark, sf):
+    from shiftkit.operators.answers import pivot_updates as pv
+    from shiftkit.operators.learn import variant_auroc as va
+    from shiftkit.operators.sampling import hash_split
+
+    upd = pv(_parsed_updates(spark, sf), "key", UPDATE_TYPES).dropna(how="any").withColumnRenamed("key", "doc_id")
+    prof = _docs(spark, sf).select("doc_id", F.col("text").alias("original"), _is_us().alias("label")).join(upd, "doc_id")
+    d = hash_split(prof, "doc_id", 0.8, seed=7)
+    return va(d, ["original", *UPDATE_TYPES], "label", "split")
+
+
+# ---------------------------------------------------------------------------------------------
+# streaming
+
+
+@query
+def incremental_prompts(spark, sf):
+    from shiftkit.streaming.incremental import incremental_prompt_run
+
+    conv = read_table(spark, sf, "conversations")
+    return incremental_prompt_run(spark, conv, chunks=4)
