@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shiftkit.functions.vectors import as_double
+from shiftkit.session import ship_package
 
 DEFAULT_BLOCK = 512
 
@@ -103,6 +104,7 @@ def pairwise_median_similarity(df: DataFrame, pool: Sequence[str], key: str, vec
     inside it, from which the middle ranks are read exactly.
     """
     pool = list(pool)
+    ship_package(df.sparkSession)
     blocks = vector_blocks(df, pool, key, vec, block_size, normalize=True)
     pairs = self_block_pairs(blocks, pool)
     ps = _pool_schema(pairs, pool)
@@ -196,6 +198,7 @@ def band_match(left: DataFrame, right: DataFrame, key: str, vec: str, target: fl
     a grouping then keeps the smallest over all right blocks. Rows without a match are absent, as
     in the reference's loop.
     """
+    ship_package(left.sparkSession)
     lb = vector_blocks(left.withColumn("_p", F.lit(0)), ["_p"], key, vec, block_size, normalize=(metric == "cosine"))
     rb = vector_blocks(right.withColumn("_p", F.lit(0)), ["_p"], key, vec, block_size, normalize=(metric == "cosine"))
     kt = left.schema[key].dataType.simpleString()

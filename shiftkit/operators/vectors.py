@@ -130,7 +130,10 @@ def sample_metrics(df: DataFrame, pool: Sequence[str], key: str, vec: str, iters
     """
     from shiftkit.operators.sampling import bootstrap_draws
 
+    from shiftkit.session import ship_package
+
     pool = list(pool)
+    ship_package(df.sparkSession)
     draws = bootstrap_draws(df.select(*pool, key), key, pool, iters=iters, size=size, seed=seed)
     # vectors travel in their stored precision; numpy widens them to double
     rows = expand_weights(draws.join(df.select(*pool, key, F.col(vec).alias("_v")), [*pool, key]))
@@ -224,6 +227,9 @@ def embed_texts(df: DataFrame, text: str, out: str = "embedding", dim: int = 256
         tf = HashingTF(numFeatures=dim, inputCol="_tok", outputCol="_tf").transform(toks)
         nz = Normalizer(p=2.0, inputCol="_tf", outputCol="_n").transform(tf)
         return nz.withColumn(out, vector_to_array("_n", "float32")).drop("_tok", "_tf", "_n")
+    from shiftkit.session import ship_package
+
+    ship_package(df.sparkSession)
     fields = df.schema.simpleString()[len("struct<"):-1]
 
     def run(it):
