@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shiftkit.functions.vectors import as_double
-from shiftkit.session import ship_package
+from shiftkit.session import materialize, ship_package
 
 DEFAULT_BLOCK = 512
 
@@ -171,7 +171,9 @@ def pairwise_median_similarity(df: DataFrame, pool: Sequence[str], key: str, vec
             (F.col("_a") + (F.col("_bhi") + 1) * width).alias("_b"),
             (F.col("_base") + F.col("_under")).alias("_base"),
             F.col("_inside").alias("_inside"),
-        ).cache()
+        )
+        # one row per pool; checkpointing it keeps each round's plan from nesting the previous ones
+        nxt = materialize(nxt)
         biggest = nxt.agg(F.max("_inside")).first()[0] or 0
         targets = nxt.drop("_inside")
         if biggest <= max_candidates:

@@ -58,9 +58,13 @@ def equal_width_histogram(df: DataFrame, value: str, by: Sequence[str] = (), bin
     Each row's bin is ``least(floor((x - min) / width), bins - 1)`` (a raw ``width_bucket`` would put
     the maximum in an extra bin). All bins are emitted from a per-group bin list, then counts join in.
     """
-    by = list(by)
+    by_out = list(by)
     x = F.col(value)
     data = df.where(x.isNotNull())
+    by = by_out or ["_g"]
+    if not by_out:
+        data = data.withColumn("_g", F.lit(0))
+    # one row per group: small, so the join back is a broadcast when AQE measures it
     rng = data.groupBy(*by).agg(F.min(x).alias("_lo"), F.max(x).alias("_hi"))
     width = (F.col("_hi") - F.col("_lo")) / bins
     binned = data.join(rng, by).withColumn(
@@ -72,7 +76,7 @@ def equal_width_histogram(df: DataFrame, value: str, by: Sequence[str] = (), bin
     counts = binned.groupBy(*by, "bin").agg(F.count(F.lit(1)).alias("n"))
     grid = rng.select(*by, "_lo", "_hi", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
     return grid.join(counts, [*by, "bin"], "left").select(
-        *by, "bin",
+        *by_out, "bin",
         (F.col("_lo") + F.col("bin") * width).alias("bin_lo"),
         (F.col("_lo") + (F.col("bin") + 1) * width).alias("bin_hi"),
         F.coalesce("n", F.lit(0)).cast("long").alias("n"),

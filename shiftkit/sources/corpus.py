@@ -18,7 +18,7 @@ def read_text_dir(spark: SparkSession, paths: str | Sequence[str], null_tokens:
     in the key, so equal names in two folders do not collide. Texts equal to a null token are NULL.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
-    df = spark.read.option("wholetext", True).option("pathGlobFilter", "*.txt").text(paths)
+    df = spark.read.text(paths, wholetext=True, pathGlobFilter="*.txt")
     path = F.col("_metadata.file_path")
     out = df.select(
         F.regexp_extract(path, r"^(.*)/[^/]*$", 1).alias("dir"),
