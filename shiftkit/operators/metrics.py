@@ -91,7 +91,7 @@ def token_f1(df: DataFrame, truth: str, pred: str) -> DataFrame:
     pairs = same.select(F.explode(F.arrays_zip(F.col(truth).alias("t"), F.col(pred).alias("p"))).alias("z"))
     return pairs.agg(
         F.count(F.lit(1)).alias("n_tokens"),
-        (F.count_if(F.col("z.t") == F.col("z.p")) / F.count(F.lit(1))).alias("micro_f1"),
+        F.try_divide(F.count_if(F.col("z.t") == F.col("z.p")), F.count(F.lit(1))).alias("micro_f1"),
     ).select("*", same.agg(F.count(F.lit(1))).scalar().alias("n_sequences"))
 
 
