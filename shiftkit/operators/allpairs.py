@@ -30,12 +30,17 @@ def vector_blocks(df: DataFrame, pool: Sequence[str], key: str, vec: str, block_
     about ``block_size`` rows however large the pool.
     """
     pool = list(pool)
-    sizes = df.groupBy(*pool).agg(F.count(F.lit(1)).alias("_n"))
     v = as_double(vec)
     if normalize:
         nrm = F.sqrt(F.aggregate(F.transform(v, lambda x: x * x), F.lit(0.0), lambda a, x: a + x))
         v = F.transform(v, lambda x: x / nrm)
-    rows = df.select(*pool, F.col(key).alias("_k"), v.alias("_v")).join(sizes, pool)
+    rows = df.select(*pool, F.col(key).alias("_k"), v.alias("_v"))
+    if pool:
+        # block count per pool from its size (a per-pool table, sized at runtime by AQE)
+        sizes = df.groupBy(*pool).agg(F.count(F.lit(1)).alias("_n"))
+        rows = rows.join(sizes, pool)
+    else:
+        rows = rows.withColumn("_n", F.lit(df.count()))
     nb = F.greatest(F.ceil(F.col("_n") / F.lit(block_size)), F.lit(1)).cast("long")
     rows = rows.withColumn("nb", nb).withColumn("block", F.pmod(F.xxhash64("_k"), F.col("nb")))
     return rows.groupBy(*pool, "block", "nb").agg(
@@ -201,8 +206,8 @@ def band_match(left: DataFrame, right: DataFrame, key: str, vec: str, target: fl
     in the reference's loop.
     """
     ship_package(left.sparkSession)
-    lb = vector_blocks(left.withColumn("_p", F.lit(0)), ["_p"], key, vec, block_size, normalize=(metric == "cosine"))
-    rb = vector_blocks(right.withColumn("_p", F.lit(0)), ["_p"], key, vec, block_size, normalize=(metric == "cosine"))
+    lb = vector_blocks(left, [], key, vec, block_size, normalize=(metric == "cosine"))
+    rb = vector_blocks(right, [], key, vec, block_size, normalize=(metric == "cosine"))
     kt = left.schema[key].dataType.simpleString()
     pairs = cross_block_pairs(lb, rb)
     kind = "cosine" if metric == "cosine" else "euclidean"

@@ -38,13 +38,21 @@ def make_classifier(method: str, n_features: int, label: str = "label"):
     raise ValueError(f"unknown classifier {method!r}")
 
 
-def _fit_eval(df: DataFrame, text: str, label: str, split: str, method: str, vocab_size: int) -> DataFrame:
+def featurize(df: DataFrame, text: str, label: str, split: str, vocab_size: int):
+    """Bag-of-words vectors for train and test, fitted on train only and persisted once, so every
+    classifier iteration reads vectors instead of re-tokenising the texts."""
     data = df.select(text, F.col(label).cast("double").alias("label"), split).fillna({text: ""})
     train = data.where(F.col(split) == "train")
-    test = data.where(F.col(split) == "test")
     feats = Pipeline(stages=bag_of_words(text, vocab_size)).fit(train)
     n = len(feats.stages[-1].vocabulary)
-    model = Pipeline(stages=[*feats.stages, make_classifier(method, max(n, 1))]).fit(train)
+    vec = feats.transform(data).select("features", "label", split).persist()
+    return vec.where(F.col(split) == "train"), vec.where(F.col(split) == "test"), max(n, 1)
+
+
+def _fit_eval(df: DataFrame, text: str, label: str, split: str, method: str, vocab_size: int,
+              prepared=None) -> DataFrame:
+    train, test, n = prepared or featurize(df, text, label, split, vocab_size)
+    model = make_classifier(method, n).fit(train)
     return model.transform(test).select("label", "prediction")
 
 
@@ -52,8 +60,9 @@ def classifier_accuracy(df: DataFrame, text: str, label: str, split: str, method
                         vocab_size: int = 5000) -> DataFrame:
     """Train each named classifier on the train split and report its test accuracy."""
     out = None
+    prepared = featurize(df, text, label, split, vocab_size)
     for m in methods:
-        pred = _fit_eval(df, text, label, split, m, vocab_size)
+        pred = _fit_eval(df, text, label, split, m, vocab_size, prepared)
         r = pred.agg(F.avg((F.col("label") == F.col("prediction")).cast("double")).alias("accuracy"),
                      F.count(F.lit(1)).alias("n")).withColumn("method", F.lit(m))
         out = r if out is None else out.unionByName(r)

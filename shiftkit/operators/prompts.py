@@ -54,6 +54,34 @@ def fill_expr(template: Column, values: Column) -> Column:
     return F.when(F.size(params) == 0, template).otherwise(filled)
 
 
+def split_template(template: str) -> list[tuple[str, str]]:
+    """A template as ordered pieces: ("lit", text) and ("param", name)."""
+    import re
+
+    out = []
+    for i, part in enumerate(re.split(PARAM_PATTERN, template)):
+        if i % 2 == 0:
+            if part:
+                out.append(("lit", part))
+        else:
+            out.append(("param", part))
+    return out
+
+
+def compiled_fill(template: str, value_of) -> Column:
+    """``template`` filled by ``value_of(param) -> Column or None`` as one ``concat`` built on the
+    driver from the (small, fixed) template: no per-row regex. Unknown marks stay as written."""
+    parts = []
+    for kind, x in split_template(template):
+        if kind == "lit":
+            parts.append(F.lit(x))
+        else:
+            v = value_of(x)
+            mark = F.lit(f"<{x}>")
+            parts.append(mark if v is None else F.coalesce(v, mark))
+    return F.concat(*parts) if parts else F.lit("")
+
+
 def template_fill(templates: DataFrame, values: DataFrame, row_key: Sequence[str], template_key: str = "template_id",
                   template_col: str = "template") -> DataFrame:
     """Fill every template for every row: ``values`` is long (row_key, param, value).
@@ -64,13 +92,15 @@ def template_fill(templates: DataFrame, values: DataFrame, row_key: Sequence[str
     """
     row_key = list(row_key)
     maps = values.groupBy(*row_key).agg(F.map_from_entries(F.collect_list(F.struct("param", "value"))).alias("_vals"))
-    tlist = templates.select(template_key, template_col).collect() if templates.count() <= 1000 else None
-    if tlist is None:
+    if templates.count() > 1000:
         raise ValueError("more than 1000 templates: join them by key instead")
-    arr = F.array(*[F.struct(F.lit(r[0]).alias(template_key), F.lit(r[1]).alias("_t")) for r in tlist])
-    rows = maps.select(*row_key, "_vals", F.explode(arr).alias("_tp"))
-    return rows.select(*row_key, F.col(f"_tp.{template_key}").alias(template_key),
-                       fill_expr(F.col("_tp._t"), F.col("_vals")).alias("filled"))
+    tlist = templates.select(template_key, template_col).collect()
+    rows = maps.select(*row_key, "_vals", F.explode(F.array(*[F.lit(r[0]) for r in tlist])).alias(template_key))
+    filled = None
+    for tid, tpl in tlist:
+        e = compiled_fill(tpl, lambda p: F.element_at(F.col("_vals"), F.lit(p)))
+        filled = F.when(F.col(template_key) == tid, e) if filled is None else filled.when(F.col(template_key) == tid, e)
+    return rows.select(*row_key, template_key, filled.alias("filled"))
 
 
 def prompt_id(kind, name, agent, model) -> Column:
@@ -88,16 +118,20 @@ def build_prompts(texts: DataFrame, name: str, text: str, kinds: Sequence[str],
     """
     templates = templates or PROMPT_KINDS
     grid = F.array(*[
-        F.struct(F.lit(k).alias("kind"), F.lit(templates[k]).alias("_t"), F.lit(p).alias("agent"), F.lit(m).alias("model"))
+        F.struct(F.lit(k).alias("kind"), F.lit(p).alias("agent"), F.lit(m).alias("model"))
         for k in kinds for p in personas for m in models
     ])
     rows = texts.select(F.col(name).cast("string").alias("text_name"), F.col(text).alias("_text"),
                         (F.col(post) if post else F.lit("")).alias("_post"), F.explode(grid).alias("_g"))
-    vals = F.create_map(F.lit("TEXT"), F.col("_text"), F.lit("PERSONA"), F.col("_g.agent"), F.lit("POST"), F.col("_post"))
+    values = {"TEXT": F.col("_text"), "PERSONA": F.col("_g.agent"), "POST": F.col("_post")}
+    prompt = None
+    for k in kinds:
+        e = compiled_fill(templates[k], values.get)
+        prompt = F.when(F.col("_g.kind") == k, e) if prompt is None else prompt.when(F.col("_g.kind") == k, e)
     return rows.select(
         prompt_id(F.col("_g.kind"), "text_name", F.col("_g.agent"), F.col("_g.model")).alias("prompt_id"),
         F.col("_g.kind").alias("kind"), "text_name", F.col("_g.agent").alias("agent"), F.col("_g.model").alias("model"),
-        fill_expr(F.col("_g._t"), vals).alias("prompt"),
+        prompt.alias("prompt"),
     )
 
 

@@ -86,7 +86,10 @@ def _bracket(df, value, by, probs, names, accuracy):
         .withColumn("_lo", F.floor("_pos").cast("long"))
         .withColumn("_hi", F.ceil("_pos").cast("long"))
     )
-    joined = data.join(bounds, by_eff)
+    # without groups the bounds are one row per probability: broadcast them (a constant join key
+    # would otherwise send every row to one partition); with groups AQE sizes the join at runtime
+    small = (lambda t: F.broadcast(t)) if not by else (lambda t: t)
+    joined = data.join(small(bounds), by_eff)
     counts = joined.groupBy(*key).agg(
         F.sum(F.when(x < F.col("_a"), 1).otherwise(0)).cast("long").alias("_below"),
         F.sum(F.when((x >= F.col("_a")) & (x <= F.col("_b")), 1).otherwise(0)).cast("long").alias("_inside"),
@@ -96,7 +99,7 @@ def _bracket(df, value, by, probs, names, accuracy):
     checked = counts.join(bounds.select(*key, "_lo", "_hi", "_pos"), key).withColumn(
         "_ok", (F.col("_below") <= F.col("_lo")) & (F.col("_below") + F.col("_inside") > F.col("_hi"))
     )
-    inside = joined.join(checked.select(*key, "_below", "_ok"), key).where(
+    inside = joined.join(small(checked.select(*key, "_below", "_ok")), key).where(
         F.when(F.col("_ok"), (x >= F.col("_a")) & (x <= F.col("_b"))).otherwise(F.lit(True))
     )
     w = Window.partitionBy(*key).orderBy(x)

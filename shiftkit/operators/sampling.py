@@ -82,7 +82,7 @@ def bootstrap_draws(df: DataFrame, key: str, by: Sequence[str] = (), iters: int
         df, by = df.withColumn("_g", F.lit(0)), ["_g"]
     idx = dense_index(df.select(*by, key), [key], by=by, out="_j")
     sizes = idx.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
-    base = idx.join(sizes, by)
+    base = idx.join(sizes if grouped else F.broadcast(sizes), by)
     if size is None:
         base = base.withColumn("_draw", F.col("_j"))
     else:
@@ -105,9 +105,8 @@ def bootstrap_draws(df: DataFrame, key: str, by: Sequence[str] = (), iters: int
 
 def poisson_weights(df: DataFrame, key: str, iters: int = 100, seed: int = 0) -> DataFrame:
     """Poisson(1) bootstrap weights per (row, iteration): no join, no group-wide state."""
-    u = hash_u32(seed, key, "iter") / F.lit(U32)
     return (
         df.withColumn("iter", F.explode(F.sequence(F.lit(0), F.lit(iters - 1))))
-        .withColumn("weight", poisson1_weight(u))
+        .withColumn("weight", poisson1_weight(hash_u32(seed, key, "iter") / F.lit(U32)))
         .where(F.col("weight") > 0)
     )

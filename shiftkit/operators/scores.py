@@ -67,7 +67,7 @@ def equal_width_histogram(df: DataFrame, value: str, by: Sequence[str] = (), bin
     # one row per group: small, so the join back is a broadcast when AQE measures it
     rng = data.groupBy(*by).agg(F.min(x).alias("_lo"), F.max(x).alias("_hi"))
     width = (F.col("_hi") - F.col("_lo")) / bins
-    binned = data.join(rng, by).withColumn(
+    binned = data.join(rng if by_out else F.broadcast(rng), by).withColumn(
         "bin",
         F.when(F.col("_hi") == F.col("_lo"), F.lit(bins - 1)).otherwise(
             F.least(F.floor((x - F.col("_lo")) / width), F.lit(bins - 1))

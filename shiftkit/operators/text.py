@@ -60,7 +60,7 @@ def token_ids(df: DataFrame, key: str, col: str, vocab: DataFrame, max_len: int
               unknown_id: int = -2) -> DataFrame:
     """Token ids per text, truncated and padded to ``max_len``; out-of-vocabulary tokens get
     ``unknown_id``. The vocabulary (bounded by its size) is broadcast."""
-    toks = df.select(key, F.posexplode(word_tokens(col)).alias("pos", "term")).where(F.col("pos") < max_len)
+    toks = df.select(key, F.posexplode(F.slice(word_tokens(col), 1, max_len)).alias("pos", "term"))
     ids = toks.join(F.broadcast(vocab.select("term", "term_id")), "term", "left")
     g = ids.groupBy(key).agg(
         F.array_sort(F.collect_list(F.struct("pos", F.coalesce("term_id", F.lit(unknown_id)).alias("id")))).alias("_s")

@@ -101,18 +101,24 @@ def expand_weights(df: DataFrame, weight: str = "weight") -> DataFrame:
 
 
 def separation_bootstrap(df: DataFrame, pool: Sequence[str], key: str, vec: str, metric="cosine",
-                         iters: int = 100, seed: int = 0, method: str = "auto") -> DataFrame:
+                         iters: int = 100, seed: int = 0, method: str = "auto",
+                         draws: str = "multinomial") -> DataFrame:
     """Separation per pool with its bootstrap standard deviation (population std over ``iters``
     full-size resamples with replacement, as the reference).
 
-    Draws come from ``bootstrap_draws`` (hash-seeded, reproducible); each resample's centroid is a
+    ``draws="multinomial"`` resamples exactly n rows per pool (``bootstrap_draws``, the reference's
+    scheme); ``draws="poisson"`` gives every row a Poisson(1) weight per iteration instead, which needs
+    no index and no join (the usual choice for very large pools). Each resample's centroid is a
     weighted mean and its median runs over the resampled multiset.
     """
-    from shiftkit.operators.sampling import bootstrap_draws
+    from shiftkit.operators.sampling import bootstrap_draws, poisson_weights
 
     pool = list(pool)
-    draws = bootstrap_draws(df.select(*pool, key), key, pool, iters=iters, seed=seed)
-    rows = draws.join(df.select(*pool, key, vec), [*pool, key])
+    if draws == "poisson":
+        rows = poisson_weights(df.select(*pool, key, vec), key, iters=iters, seed=seed)
+    else:
+        picks = bootstrap_draws(df.select(*pool, key), key, pool, iters=iters, seed=seed)
+        rows = picks.join(df.select(*pool, key, vec), [*pool, key])
     d = distance_to_centroid(rows, [*pool, "iter"], vec, metric, "_dist", weight="weight")
     seps = group_quantiles(expand_weights(d), "_dist", [*pool, "iter"], [0.5], ["_sep"], method=method)
     sd = seps.groupBy(*pool).agg(F.stddev_pop("_sep").alias("separation_sd"))

@@ -24,15 +24,14 @@ def write_chunks(df: DataFrame, path: str, chunks: int, order: str) -> None:
 
 def prompts_for(batch: DataFrame) -> DataFrame:
     """Prompt rows for the user turns of a batch (the 'clean' prompt of each answer)."""
-    from shiftkit.operators.prompts import PROMPT_KINDS, fill_expr, prompt_id
+    from shiftkit.operators.prompts import PROMPT_KINDS, compiled_fill, prompt_id
 
     users = batch.where(F.col("role") == "user")
-    vals = F.create_map(F.lit("TEXT"), F.col("text"))
     name = F.concat_ws("_", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
     return users.select(
         "conv_id", "turn",
         prompt_id(F.lit("clean"), name, F.lit("persona"), F.lit("model")).alias("prompt_id"),
-        fill_expr(F.lit(PROMPT_KINDS["clean"]), vals).alias("prompt"),
+        compiled_fill(PROMPT_KINDS["clean"], {"TEXT": F.col("text")}.get).alias("prompt"),
     )
 
 

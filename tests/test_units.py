@@ -236,3 +236,19 @@ def test_stream_rerun_is_idempotent(spark, tmp_path):
     first = spark.read.parquet(out).count()
     run_incremental(spark, src, out, ck, conv.schema)  # nothing new: same result
     assert first == 40 and spark.read.parquet(out).count() == 40
+
+
+def test_poisson_bootstrap_runs(spark):
+    from shiftkit.operators.vectors import separation_bootstrap
+
+    data, df = _vectors(spark, n=200, d=5)
+    out = separation_bootstrap(df, ["pool"], "k", "v", iters=20, draws="poisson").collect()
+    assert len(out) == 2 and all(r["separation_sd"] > 0 for r in out)
+    w = sampling.poisson_weights(df, "k", iters=50).agg(F.avg("weight")).first()[0]
+    assert w == pytest.approx(1 / (1 - np.exp(-1)), abs=0.1)  # mean of a zero-truncated Poisson(1)
+
+
+def test_global_quantile_bracket_is_broadcast(spark):
+    df = spark.range(0, 1000).select(F.col("id").cast("double").alias("x"))
+    q = group_quantiles(df, "x", [], [0.5], ["m"], method="bracket", accuracy=100)
+    assert q.first()["m"] == pytest.approx(499.5)
