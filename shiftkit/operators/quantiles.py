@@ -32,6 +32,15 @@ def max_group_size(df: DataFrame, by: Sequence[str]) -> int:
     return int(row["m"] or 0)
 
 
+def choose_method(df: DataFrame, by: Sequence[str], exact_limit: int = DEFAULT_EXACT_LIMIT) -> str:
+    """'percentile' while the largest group fits one task comfortably, else 'bracket'.
+
+    Call it on the cheapest table with the same group sizes (e.g. the raw rows before distances are
+    computed) so the check does not recompute a derived plan.
+    """
+    return "percentile" if max_group_size(df, by) <= exact_limit else "bracket"
+
+
 def group_quantiles(
     df: DataFrame,
     value: str,

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from shiftkit.functions.hashing import U32, hash_u32, hash_uniform, poisson1_weight
 from shiftkit.operators.positional import dense_index
+from shiftkit.session import materialize
 
 
 def sample_n(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
@@ -80,7 +81,8 @@ def bootstrap_draws(df: DataFrame, key: str, by: Sequence[str] = (), iters: int
     grouped = bool(by)
     if not grouped:
         df, by = df.withColumn("_g", F.lit(0)), ["_g"]
-    idx = dense_index(df.select(*by, key), [key], by=by, out="_j")
+    # the narrow index feeds three branches below: checkpoint it once instead of re-deriving it
+    idx = materialize(dense_index(df.select(*by, key), [key], by=by, out="_j"))
     sizes = idx.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
     base = idx.join(sizes if grouped else F.broadcast(sizes), by)
     if size is None:

@@ -12,9 +12,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shiftkit.functions.vectors import as_double, distance_fn
-from shiftkit.operators.quantiles import group_quantiles
+from shiftkit.operators.quantiles import choose_method, group_quantiles
 
-WIDE_DIM_LIMIT = 256
 
 
 def vector_dim(df: DataFrame, vec: str) -> int:
@@ -29,20 +28,15 @@ def vector_mean(df: DataFrame, by: Sequence[str], vec: str, out: str = "centroid
                 weight: str | None = None, dim: int | None = None) -> DataFrame:
     """Element-wise (optionally weighted) mean of ``vec`` per ``by`` group.
 
-    One aggregation with one running sum per dimension: partial aggregation runs map-side, so the
-    shuffle carries one row per group and partition however large a group is.
+    Rows are exploded to (group, dimension, value) and summed with one aggregate, which combines
+    map-side: the shuffle carries one row per (group, dimension) and partition however large a group
+    is. (One aggregate column per dimension would generate code that grows with the dimension and
+    costs more to compile than to run.) ``dim`` is accepted for API symmetry and not needed.
     """
     by = list(by)
-    d = dim or vector_dim(df, vec)
     v = as_double(vec)
-    w = F.col(weight).cast("double") if weight else None
-    if d <= WIDE_DIM_LIMIT:
-        base = df.select(*by, v.alias("_v"), (w if w is not None else F.lit(1.0)).alias("_w"))
-        sums = [F.sum(F.col("_v")[i] * F.col("_w")).alias(f"_s{i}") for i in range(d)]
-        g = base.groupBy(*by).agg(F.sum("_w").alias("_W"), *sums)
-        return g.select(*by, F.array(*[F.col(f"_s{i}") / F.col("_W") for i in range(d)]).alias(out))
-    # Very wide vectors: one row per (group, dimension) instead of one column per dimension.
-    base = df.select(*by, (w if w is not None else F.lit(1.0)).alias("_w"), F.posexplode(v).alias("_d", "_x"))
+    w = F.col(weight).cast("double") if weight else F.lit(1.0)
+    base = df.select(*by, w.alias("_w"), F.posexplode(v).alias("_d", "_x"))
     g = base.groupBy(*by, "_d").agg((F.sum(F.col("_x") * F.col("_w")) / F.sum("_w")).alias("_m"))
     return g.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("_d", "_m"))).alias("_s")).select(
         *by, F.transform("_s", lambda s: s["_m"]).alias(out)
@@ -50,10 +44,10 @@ def vector_mean(df: DataFrame, by: Sequence[str], vec: str, out: str = "centroid
 
 
 def distance_to_centroid(df: DataFrame, pool: Sequence[str], vec: str, metric="cosine",
-                         out: str = "distance", weight: str | None = None) -> DataFrame:
+                         out: str = "distance", weight: str | None = None, dim: int | None = None) -> DataFrame:
     """Each row with its distance to its pool's (weighted) centroid."""
     pool = list(pool)
-    cent = vector_mean(df, pool, vec, "_centroid", weight=weight)
+    cent = vector_mean(df, pool, vec, "_centroid", weight=weight, dim=dim)
     dist = distance_fn(metric)
     return df.join(cent, pool).withColumn(out, dist(as_double(vec), F.col("_centroid"))).drop("_centroid")
 
@@ -61,6 +55,8 @@ def distance_to_centroid(df: DataFrame, pool: Sequence[str], vec: str, metric="c
 def pool_separation(df: DataFrame, pool: Sequence[str], vec: str, metric="cosine",
                     out: str = "separation", method: str = "auto") -> DataFrame:
     """Median distance of a pool's members to the pool centroid (exact median)."""
+    if method == "auto":
+        method = choose_method(df, list(pool))
     d = distance_to_centroid(df, pool, vec, metric, "_dist")
     return group_quantiles(d, "_dist", pool, [0.5], [out], method=method)
 
@@ -114,10 +110,16 @@ def separation_bootstrap(df: DataFrame, pool: Sequence[str], key: str, vec: str,
     from shiftkit.operators.sampling import bootstrap_draws, poisson_weights
 
     pool = list(pool)
+    if method == "auto":
+        # a resample of a pool has the pool's size (in expectation for Poisson weights)
+        method = choose_method(df, pool)
     if draws == "poisson":
         rows = poisson_weights(df.select(*pool, key, vec), key, iters=iters, seed=seed)
     else:
-        picks = bootstrap_draws(df.select(*pool, key), key, pool, iters=iters, seed=seed)
+        from shiftkit.session import materialize
+
+        # draws feed both the centroids and the distances: checkpoint the narrow table once
+        picks = materialize(bootstrap_draws(df.select(*pool, key), key, pool, iters=iters, seed=seed))
         rows = picks.join(df.select(*pool, key, vec), [*pool, key])
     d = distance_to_centroid(rows, [*pool, "iter"], vec, metric, "_dist", weight="weight")
     seps = group_quantiles(expand_weights(d), "_dist", [*pool, "iter"], [0.5], ["_sep"], method=method)
@@ -209,8 +211,7 @@ def pca_project(df: DataFrame, vec: str, k: int = 2, out: str = "pc") -> DataFra
     from pyspark.ml.feature import PCA
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
-    d = vector_dim(df, vec)
-    mean = vector_mean(df, [], vec, "_mean", dim=d).withColumn("_g", F.lit(1))
+    mean = vector_mean(df, [], vec, "_mean").withColumn("_g", F.lit(1))
     centred = df.withColumn("_g", F.lit(1)).join(F.broadcast(mean), "_g").withColumn(
         "_cv", array_to_vector(F.zip_with(as_double(vec), F.col("_mean"), lambda a, b: a - b))).drop("_g", "_mean")
     model = PCA(k=k, inputCol="_cv", outputCol="_pc").fit(centred)
