@@ -95,6 +95,10 @@ def bootstrap_draws(df: DataFrame, key: str, by: Sequence[str] = (), iters: int
             .withColumn("_rep", F.explode(F.sequence(F.lit(0), reps - 1)))
             .withColumn("_draw", F.col("_j") + F.col("_rep") * F.col("_n"))
         )
+    # every slot explodes into ``iters`` draws: spread the slots over all shuffle partitions first
+    # (an explicit count is kept by AQE), so a small index does not generate every draw in one task
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    base = base.repartition(parts, *by, "_draw")
     draws = base.withColumn("_iter", F.explode(F.sequence(F.lit(0), F.lit(iters - 1)))).withColumn(
         "_pick", F.pmod(hash_u32(seed, *by, "_iter", "_draw"), F.col("_n"))
     )

@@ -170,8 +170,12 @@ def sample_metrics(df: DataFrame, pool: Sequence[str], key: str, vec: str, iters
 
 
 def bootstrap_interval(samples: DataFrame, by: Sequence[str], value: str, lo: float = 0.025, hi: float = 0.975) -> DataFrame:
-    """Percentile interval (linear interpolation) of bootstrap values per group."""
-    return group_quantiles(samples, value, by, [lo, hi], ["ci_lo", "ci_hi"])
+    """Percentile interval (linear interpolation) of bootstrap values per group.
+
+    A group holds one value per bootstrap iteration, so its size is the ``iters`` parameter and
+    Spark's exact ``percentile`` is safe here.
+    """
+    return group_quantiles(samples, value, by, [lo, hi], ["ci_lo", "ci_hi"], method="percentile")
 
 
 def regression_2d(df: DataFrame, by: Sequence[str], x0: str, x1: str, y: str) -> DataFrame:

@@ -677,8 +677,11 @@ def bootstrap_ci(spark, sf):
     from shiftkit.operators.metrics import distinct_elements
     from shiftkit.operators.vectors import bootstrap_interval
 
+    from shiftkit.session import materialize
+
     p = _pools(spark, sf)
-    s = _sample_metrics(spark, sf)
+    # one row per (pool, iteration): small, and read by both metric branches below
+    s = materialize(_sample_metrics(spark, sf))
     long = s.select("pool", F.lit("median_similarity").alias("metric"), F.col("median_similarity").alias("v")).unionByName(
         s.select("pool", F.lit("distinct_elements").alias("metric"), F.col("distinct_elements").cast("double").alias("v")))
     ci = bootstrap_interval(long, ["pool", "metric"], "v")
