@@ -155,3 +155,34 @@ def patch_answers(answers: DataFrame, patch: DataFrame, on: Sequence[str] = ("va
 def unanswered(answers: DataFrame, val: str = "value") -> DataFrame:
     """Rows still to ask again: NULL or empty answers."""
     return answers.where(F.col(val).isNull() | (F.col(val) == ""))
+
+
+def retry_unanswered(answers: DataFrame, respond, key: str = "variable", val: str = "value",
+                     prompt: str = "prompt", max_rounds: int = 10) -> DataFrame:
+    """Ask the unanswered questions again until all are answered or a round makes no progress.
+
+    ``respond(df) -> DataFrame(key, value)`` answers the rows it is given (for example
+    ``prompts.run_responder`` over their prompts). Every round's table is checkpointed in the shared
+    folder; the number of open rows is the only value brought to the driver.
+    """
+    from shiftkit.session import materialize
+
+    cur = materialize(answers)
+    open_rows = unanswered(cur, val).count()
+    for _ in range(max_rounds):
+        if open_rows == 0:
+            break
+        todo = unanswered(cur, val)
+        patch = respond(todo).select(key, F.col(val))
+        cur = materialize(patch_answers(cur, patch, [key], val))
+        left = unanswered(cur, val).count()
+        if left >= open_rows:
+            break
+        open_rows = left
+    return cur
+
+
+def columns_containing(df: DataFrame, part: str, keep: bool = True) -> DataFrame:
+    """Keep (or drop) the columns whose name contains ``part``."""
+    cols = [c for c in df.columns if part in c]
+    return df.select(*[F.col(f"`{c}`") for c in cols]) if keep else df.drop(*cols)

@@ -104,3 +104,10 @@ def median_threshold_label(df: DataFrame, value: str, out: str = "pred", method:
 def distinct_elements(df: DataFrame, by: Sequence[str], arr: str, out: str = "n_distinct") -> DataFrame:
     """Number of distinct elements of the flattened arrays per group."""
     return df.select(*by, F.explode(arr).alias("_e")).groupBy(*by).agg(F.countDistinct("_e").alias(out))
+
+
+def distinct_counts(df: DataFrame, by: Sequence[str], col: str, approx: bool = False, rsd: float = 0.01) -> DataFrame:
+    """Distinct values of ``col`` per group: exact, or HyperLogLog++ (``approx=True``) when an
+    estimate within ``rsd`` relative error is enough and the exact shuffle is not wanted."""
+    agg = F.approx_count_distinct(col, rsd) if approx else F.countDistinct(col)
+    return df.groupBy(*by).agg(agg.alias(f"n_{col}"))

@@ -161,3 +161,45 @@ def history_blocks(df: DataFrame, group: Sequence[str], order: str, text: str, d
     )
     return g.select(*group, "block", "n_items",
                     F.concat(F.array_join(F.transform("_items", lambda s: s["_s"]), sep), F.lit(sep)).alias("history"))
+
+
+def run_responder(prompts: DataFrame, respond, key: str = "prompt_id", prompt: str = "prompt",
+                  batch_size: int = 100) -> DataFrame:
+    """Answers for a prompt table from ``respond(list[str]) -> list[str | None]``, called on batches
+    of ``batch_size`` prompts inside tasks (``mapInPandas``); the result is (key, answer)."""
+    from shiftkit.session import ship_package
+
+    ship_package(prompts.sparkSession)
+    kt = prompts.schema[key].dataType.simpleString()
+
+    def run(it):
+        import pandas as pd
+
+        for pdf in it:
+            for start in range(0, len(pdf), batch_size):
+                part = pdf.iloc[start:start + batch_size]
+                yield pd.DataFrame({key: part[key].values, "answer": list(respond(part[prompt].tolist()))})
+
+    return prompts.select(key, prompt).mapInPandas(run, f"{key} {kt}, answer string")
+
+
+def rewrite_rounds(texts: DataFrame, name: str, text: str, respond, rounds: int, kind: str = "improve",
+                   persona: str = "editor", model: str = "model") -> DataFrame:
+    """Rewriting in rounds: the answers of round i are the texts of round i+1.
+
+    Each round is materialised (checkpointed in the shared folder) before the next one reads it, so
+    the plan never nests the previous rounds. Output is long: (text_name, round, text), round 0 being
+    the input; a text whose answer is missing keeps its previous version.
+    """
+    from shiftkit.session import materialize
+
+    cur = texts.select(F.col(name).cast("string").alias("text_name"), F.col(text).alias("text"))
+    out = cur.withColumn("round", F.lit(0))
+    for r in range(1, rounds + 1):
+        p = build_prompts(cur, "text_name", "text", [kind], [persona], [model])
+        ans = run_responder(p, respond).join(p.select("prompt_id", "text_name"), "prompt_id")
+        nxt = cur.join(ans.select("text_name", "answer"), "text_name", "left").select(
+            "text_name", F.coalesce("answer", "text").alias("text"))
+        cur = materialize(nxt)
+        out = out.unionByName(cur.withColumn("round", F.lit(r)))
+    return out

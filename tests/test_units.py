@@ -252,3 +252,38 @@ def test_global_quantile_bracket_is_broadcast(spark):
     df = spark.range(0, 1000).select(F.col("id").cast("double").alias("x"))
     q = group_quantiles(df, "x", [], [0.5], ["m"], method="bracket", accuracy=100)
     assert q.first()["m"] == pytest.approx(499.5)
+
+
+def test_retry_unanswered_stops_when_done(spark):
+    ans = spark.createDataFrame([("a", None), ("b", ""), ("c", "ok")], "variable string, value string")
+    calls = []
+
+    def respond(todo):
+        calls.append(1)
+        # answers one open question per round
+        first = todo.orderBy("variable").limit(1)
+        return first.select("variable", F.lit("fixed").alias("value"))
+
+    out = {r["variable"]: r["value"] for r in answers.retry_unanswered(ans, respond).collect()}
+    assert out == {"a": "fixed", "b": "fixed", "c": "ok"} and len(calls) == 2
+
+
+def test_retry_unanswered_stops_without_progress(spark):
+    ans = spark.createDataFrame([("a", None)], "variable string, value string")
+    out = answers.retry_unanswered(ans, lambda t: t.select("variable", F.lit(None).cast("string").alias("value")))
+    assert out.first()["value"] is None
+
+
+def test_rewrite_rounds_loop(spark):
+    texts = spark.createDataFrame([(1, "ab"), (2, "cd")], "k int, t string")
+    # the 'clean' prompt ends with the text after a blank line; the responder appends '!'
+    out = prompts.rewrite_rounds(texts, "k", "t", lambda ps: [p.split("\n\n")[-1] + "!" for p in ps], rounds=2,
+                                 kind="clean")
+    got = sorted((r["text_name"], r["round"], r["text"]) for r in out.collect())
+    assert got == [("1", 0, "ab"), ("1", 1, "ab!"), ("1", 2, "ab!!"), ("2", 0, "cd"), ("2", 1, "cd!"), ("2", 2, "cd!!")]
+
+
+def test_columns_containing(spark):
+    df = spark.createDataFrame([(1, 2, 3)], "`answer.q_1` int, `answer.q_1_comment` int, `agent.name` int")
+    assert answers.columns_containing(df, "comment", keep=False).columns == ["answer.q_1", "agent.name"]
+    assert answers.columns_containing(df, "answer").columns == ["answer.q_1", "answer.q_1_comment"]
