@@ -77,17 +77,24 @@ def paired_distance(left: DataFrame, right: DataFrame, on: Sequence[str], vec: s
 
 
 def step_distances(df: DataFrame, name: Sequence[str], round_col: str, vec: str, metric="cosine") -> DataFrame:
-    """Per (text, round): distance to the text's first round and to its previous round."""
+    """Per (text, round): distance to the text's first round and to its previous round.
+
+    Rounds are numbered 0.. per text with the distributed dense index, the previous round is a join
+    on (text, index - 1) and the first round a combinable ``min_by``: no window holds a whole text.
+    """
+    from shiftkit.operators.positional import dense_index
+
     name = list(name)
     dist = distance_fn(metric)
-    w = Window.partitionBy(*name).orderBy(round_col)
+    idx = dense_index(df, [round_col], by=name, out="_step")
     first = df.groupBy(*name).agg(F.min_by(F.col(vec), F.col(round_col)).alias("_first"))
+    prev = idx.select(*name, (F.col("_step") + 1).alias("_step"), F.col(vec).alias("_prev"))
     return (
-        df.join(first, name)
-        .withColumn("_prev", F.lag(vec).over(w))
+        idx.join(first, name)
+        .join(prev, [*name, "_step"], "left")
         .withColumn("dist_to_first", dist(as_double(vec), as_double("_first")))
         .withColumn("dist_to_prev", F.when(F.col("_prev").isNotNull(), dist(as_double(vec), as_double("_prev"))))
-        .drop("_first", "_prev")
+        .drop("_first", "_prev", "_step")
     )
 
 

@@ -911,13 +911,13 @@ def apply_answers(spark, sf):
 @query
 def rewrite_rounds(spark, sf):
     """Rounds of rewriting: each non-system turn of a conversation is the next round of one text."""
-    from pyspark.sql import Window
+    from shiftkit.operators.positional import dense_index
 
-    c = read_table(spark, sf, "conversations").where(F.col("role") != "system")
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    r = c.withColumn("round", (F.row_number().over(w) - 1).cast("long")).withColumn("n_chars", F.length("text").cast("long"))
-    first = F.first("n_chars").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    return r.select("conv_id", "round", "n_chars", (F.col("n_chars") - first).alias("chars_change"))
+    c = read_table(spark, sf, "conversations").where(F.col("role") != "system").select(
+        "conv_id", "turn", F.length("text").cast("long").alias("n_chars"))
+    r = dense_index(c, ["turn"], by=["conv_id"], out="round")
+    first = c.groupBy("conv_id").agg(F.min_by("n_chars", "turn").alias("_n0"))
+    return r.join(first, "conv_id").select("conv_id", "round", "n_chars", (F.col("n_chars") - F.col("_n0")).alias("chars_change"))
 
 
 def _decisions_with_text(spark, sf):
