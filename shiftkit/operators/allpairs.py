@@ -142,11 +142,12 @@ def pairwise_median_similarity(df: DataFrame, pool: Sequence[str], key: str, vec
             for _, row in pdf.iterrows():
                 s = pair_values(row)
                 a, b = row["_a"], row["_b"]
-                inside = s[(s >= a) & (s <= b)]
-                o = pd.DataFrame({c: row[c] for c in pool}, index=range(len(inside) + 1))
-                o["kind"] = [0] + [1] * len(inside)
-                o["val"] = np.concatenate([[0.0], inside])
-                o["cnt"] = np.concatenate([[int((s < a).sum())], np.ones(len(inside), dtype=np.int64)])
+                # distinct values with their counts: ties collapse to one row
+                vals, cnts = np.unique(s[(s >= a) & (s <= b)], return_counts=True)
+                o = pd.DataFrame({c: row[c] for c in pool}, index=range(len(vals) + 1))
+                o["kind"] = np.concatenate([[0], np.ones(len(vals), dtype=np.int64)]).astype(np.int32)
+                o["val"] = np.concatenate([[0.0], vals])
+                o["cnt"] = np.concatenate([[int((s < a).sum())], cnts.astype(np.int64)])
                 outs.append(o)
             if outs:
                 yield pd.concat(outs, ignore_index=True)
@@ -187,12 +188,18 @@ def pairwise_median_similarity(df: DataFrame, pool: Sequence[str], key: str, vec
     targets = targets.withColumn("_a", F.col("_a") - F.lit(1e-12)).withColumn("_b", F.col("_b") + F.lit(1e-12))
     ext = pairs.join(targets, pool).mapInPandas(extract_fn, f"{ps}, kind int, val double, cnt long")
     under = ext.where("kind = 0").groupBy(*pool).agg(F.sum("cnt").alias("_under"))
-    cand = ext.where("kind = 1").select(*pool, "val")
-    wr = Window.partitionBy(*pool).orderBy("val")
-    ranked = cand.join(under, pool).withColumn("_r", F.row_number().over(wr) - 1 + F.col("_under")).join(targets, pool)
-    picked = ranked.where((F.col("_r") == F.col("_lo")) | (F.col("_r") == F.col("_hi"))).groupBy(*pool).agg(
-        F.max(F.when(F.col("_r") == F.col("_lo"), F.col("val"))).alias("_vlo"),
-        F.max(F.when(F.col("_r") == F.col("_hi"), F.col("val"))).alias("_vhi"),
+    cand = ext.where("kind = 1").groupBy(*pool, "val").agg(F.sum("cnt").alias("cnt"))
+    wr = Window.partitionBy(*pool).orderBy("val").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # value v covers ranks [end - cnt, end) where end = under + cumulative count
+    ranked = cand.join(under, pool).withColumn("_end", F.sum("cnt").over(wr) + F.col("_under")).withColumn(
+        "_start", F.col("_end") - F.col("cnt")).join(targets, pool)
+
+    def covers(r):
+        return (F.col("_start") <= F.col(r)) & (F.col(r) < F.col("_end"))
+
+    picked = ranked.where(covers("_lo") | covers("_hi")).groupBy(*pool).agg(
+        F.max(F.when(covers("_lo"), F.col("val"))).alias("_vlo"),
+        F.max(F.when(covers("_hi"), F.col("val"))).alias("_vhi"),
     )
     return picked.select(*pool, ((F.col("_vlo") + F.col("_vhi")) / 2).alias(out))
 

@@ -287,3 +287,14 @@ def test_columns_containing(spark):
     df = spark.createDataFrame([(1, 2, 3)], "`answer.q_1` int, `answer.q_1_comment` int, `agent.name` int")
     assert answers.columns_containing(df, "comment", keep=False).columns == ["answer.q_1", "agent.name"]
     assert answers.columns_containing(df, "answer").columns == ["answer.q_1", "answer.q_1_comment"]
+
+
+def test_pairwise_median_with_heavy_ties(spark):
+    rng = np.random.default_rng(3)
+    base = [[float(x) for x in rng.normal(size=4)] for _ in range(5)]
+    data = [(i, 0, base[i % 5] if i < 60 else [float(x) for x in rng.normal(size=4)]) for i in range(80)]
+    df = spark.createDataFrame(data, "k long, pool int, v array<double>")
+    got = pairwise_median_similarity(df, ["pool"], "k", "v", block_size=16, bins=4, max_candidates=5).first()
+    m = np.array([v for _, _, v in data])
+    s = (m @ m.T) / np.outer(np.linalg.norm(m, axis=1), np.linalg.norm(m, axis=1))
+    assert got["median_similarity"] == pytest.approx(float(np.median(s[~np.eye(len(m), dtype=bool)])), abs=1e-9)
