@@ -61,15 +61,28 @@ def _fit_eval(df: DataFrame, text: str, label: str, split: str, method: str, voc
     return model.transform(test).select("label", "prediction")
 
 
+def _in_parallel(fn, items):
+    """Run independent fits from driver threads: each fit is a chain of small Spark jobs, and
+    submitting them together keeps the executors busy (Spark schedules concurrent jobs)."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    items = list(items)
+    with ThreadPoolExecutor(max_workers=max(1, min(4, len(items)))) as pool:
+        return list(pool.map(fn, items))
+
+
 def classifier_accuracy(df: DataFrame, text: str, label: str, split: str, methods: Sequence[str],
                         vocab_size: int = 5000) -> DataFrame:
     """Train each named classifier on the train split and report its test accuracy."""
-    out = None
     prepared = featurize(df, text, label, split, vocab_size)
-    for m in methods:
+
+    def one(m):
         pred = _fit_eval(df, text, label, split, m, vocab_size, prepared)
-        r = pred.agg(F.avg((F.col("label") == F.col("prediction")).cast("double")).alias("accuracy"),
-                     F.count(F.lit(1)).alias("n")).withColumn("method", F.lit(m))
+        return pred.agg(F.avg((F.col("label") == F.col("prediction")).cast("double")).alias("accuracy"),
+                        F.count(F.lit(1)).alias("n")).withColumn("method", F.lit(m))
+
+    out = None
+    for r in _in_parallel(one, methods):
         out = r if out is None else out.unionByName(r)
     return out.select("method", "accuracy", "n")
 
@@ -79,10 +92,12 @@ def variant_auroc(df: DataFrame, variants: Sequence[str], label: str, split: str
     """For each text variant: fit bag-of-words + classifier, AUROC of the hard test predictions."""
     from shiftkit.operators.metrics import auroc_hard
 
-    out = None
-    for v in variants:
+    def one(v):
         pred = _fit_eval(df, v, label, split, method, vocab_size).select(
             F.col("label").cast("int").alias("t"), F.col("prediction").cast("int").alias("p"))
-        r = auroc_hard(pred, "t", "p").select(F.lit(v).alias("variant"), "auroc")
+        return auroc_hard(pred, "t", "p").select(F.lit(v).alias("variant"), "auroc")
+
+    out = None
+    for r in _in_parallel(one, variants):
         out = r if out is None else out.unionByName(r)
     return out
