@@ -144,23 +144,28 @@ def apply_answers(texts: DataFrame, answers: DataFrame, name: str, answer: str,
     return j.withColumn(out, val).drop("_ans")
 
 
+# How the reference writes one decided example into a prompt.
+HISTORY_ITEM = ("\nDecision: ", "\n------\n")       # learned-decision history per persona
+FEW_SHOT_ITEM = (", Hired: ", "\n\n ----- \n\n")    # few-shot block over a training set
+
+
 def history_blocks(df: DataFrame, group: Sequence[str], order: str, text: str, decision: str,
-                   max_items: int = 1000, sep: str = "\n\n-----\n\n") -> DataFrame:
-    """Concatenate ``<text>, Decision: <d>`` per group in ``order``, in blocks of ``max_items``.
+                   max_items: int = 1000, item: tuple[str, str] = HISTORY_ITEM) -> DataFrame:
+    """Concatenate ``<text><label><decision><end>`` per group in ``order``, in blocks of ``max_items``.
 
     Every item is kept: a group larger than ``max_items`` yields several consecutive blocks (``block``
     0, 1, ...), so no single string or task holds an unbounded group.
     """
     group = list(group)
+    label, end = item
     idx = dense_index(df, [order], by=group, out="_i")
-    item = F.concat(F.col(text), F.lit(", Decision: "), F.col(decision).cast("string"))
+    piece = F.concat(F.col(text), F.lit(label), F.col(decision).cast("string"), F.lit(end))
     blocks = idx.withColumn("block", (F.col("_i") / max_items).cast("long"))
     g = blocks.groupBy(*group, "block").agg(
-        F.array_sort(F.collect_list(F.struct(F.col("_i"), item.alias("_s")))).alias("_items"),
+        F.array_sort(F.collect_list(F.struct(F.col("_i"), piece.alias("_s")))).alias("_items"),
         F.count(F.lit(1)).alias("n_items"),
     )
-    return g.select(*group, "block", "n_items",
-                    F.concat(F.array_join(F.transform("_items", lambda s: s["_s"]), sep), F.lit(sep)).alias("history"))
+    return g.select(*group, "block", "n_items", F.array_join(F.transform("_items", lambda s: s["_s"]), "").alias("history"))
 
 
 def run_responder(prompts: DataFrame, respond, key: str = "prompt_id", prompt: str = "prompt",

@@ -448,7 +448,6 @@ SELECT agent AS persona, CAST(regexp_extract(variable, '_(.*)', 1) AS BIGINT) AS
   CASE WHEN value = 'Yes' THEN 1 ELSE 0 END AS decision
 FROM ({_DECISIONS_LONG})
 """
-_SEP = "\n\n-----\n\n"
 
 ORACLE.update({
     "vocabulary_topk": f"SELECT term, n, term_id FROM ({_VOCAB})",
@@ -490,13 +489,13 @@ d AS (SELECT x.persona, x.doc_id, x.decision, doc.text FROM ({_DECISIONS_TEXT})
       JOIN train USING (doc_id)),
 r AS (SELECT *, (row_number() OVER (PARTITION BY persona ORDER BY doc_id) - 1) // 1000 AS block FROM d)
 SELECT persona, CAST(block AS BIGINT) AS block, count(*) AS n_items,
-  string_agg(text || ', Decision: ' || decision, {_q(_SEP)} ORDER BY doc_id) || {_q(_SEP)} AS history
+  string_agg(text || {_q(chr(10) + "Decision: ")} || decision || {_q(chr(10) + "------" + chr(10))}, '' ORDER BY doc_id) AS history
 FROM r GROUP BY persona, block""",
     "few_shot_block": f"""
 WITH d AS (SELECT x.persona, x.doc_id, x.decision, doc.text FROM ({_DECISIONS_TEXT}) x JOIN documents doc USING (doc_id)
            WHERE x.persona = 'quality' ORDER BY {_h(21, 'x.doc_id')}, x.doc_id LIMIT 8)
 SELECT persona, count(*) AS n_items,
-  string_agg(text || ', Decision: ' || decision, {_q(_SEP)} ORDER BY doc_id) || {_q(_SEP)} AS history
+  string_agg(text || ', Hired: ' || decision || {_q(chr(10) * 2 + " ----- " + chr(10) * 2)}, '' ORDER BY doc_id) AS history
 FROM d GROUP BY persona""",
     "incremental_prompts": f"""
 SELECT conv_id, turn,

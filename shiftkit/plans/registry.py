@@ -939,11 +939,11 @@ def decision_history(spark, sf):
 
 @query
 def few_shot_block(spark, sf):
-    from shiftkit.operators.prompts import history_blocks
+    from shiftkit.operators.prompts import FEW_SHOT_ITEM, history_blocks
     from shiftkit.operators.sampling import sample_n as sn
 
     shots = sn(_decisions_with_text(spark, sf).where(F.col("persona") == "quality"), "doc_id", 8, seed=21)
-    return history_blocks(shots, ["persona"], "doc_id", "text", "decision", max_items=1000).select(
+    return history_blocks(shots, ["persona"], "doc_id", "text", "decision", max_items=1000, item=FEW_SHOT_ITEM).select(
         "persona", "n_items", "history")
 
 

@@ -207,7 +207,7 @@ def test_history_blocks_keep_every_item(spark):
                                    F.col("id").cast("string").alias("t"), F.lit(1).alias("d"))
     h = prompts.history_blocks(df, ["g"], "k", "t", "d", max_items=10).orderBy("block").collect()
     assert [r["n_items"] for r in h] == [10, 10, 5]
-    assert h[0]["history"].startswith("0, Decision: 1")
+    assert h[0]["history"].startswith("0\nDecision: 1\n------\n1\nDecision: 1")
 
 
 def test_read_text_dir(spark, tmp_path):
