@@ -185,19 +185,25 @@ def bootstrap_interval(samples: DataFrame, by: Sequence[str], value: str, lo: fl
     return group_quantiles(samples, value, by, [lo, hi], ["ci_lo", "ci_hi"], method="percentile")
 
 
-def regression_2d(df: DataFrame, by: Sequence[str], x0: str, x1: str, y: str) -> DataFrame:
-    """OLS of ``y`` on (x0, x1) with intercept per group, from population (co)variances (closed form)."""
+def regression_2d(df: DataFrame, by: Sequence[str], x0: str, x1: str, ys: Sequence[str] | str) -> DataFrame:
+    """OLS of each ``y`` on (x0, x1) with intercept per group, from population (co)variances
+    (closed form). All targets come from one aggregation; rows are (by..., out_dim, coef_0, coef_1,
+    intercept) with ``out_dim`` the target's position in ``ys``."""
     by = list(by)
-    g = df.groupBy(*by).agg(
-        F.var_pop(x0).alias("_s00"), F.var_pop(x1).alias("_s11"), F.covar_pop(x0, x1).alias("_s01"),
-        F.covar_pop(y, x0).alias("_sy0"), F.covar_pop(y, x1).alias("_sy1"),
-        F.avg(x0).alias("_m0"), F.avg(x1).alias("_m1"), F.avg(y).alias("_my"),
-    )
+    ys = [ys] if isinstance(ys, str) else list(ys)
+    aggs = [F.var_pop(x0).alias("_s00"), F.var_pop(x1).alias("_s11"), F.covar_pop(x0, x1).alias("_s01"),
+            F.avg(x0).alias("_m0"), F.avg(x1).alias("_m1")]
+    for j, y in enumerate(ys):
+        aggs += [F.covar_pop(y, x0).alias(f"_sy0_{j}"), F.covar_pop(y, x1).alias(f"_sy1_{j}"), F.avg(y).alias(f"_my_{j}")]
+    g = df.groupBy(*by).agg(*aggs)
     det = F.col("_s00") * F.col("_s11") - F.col("_s01") * F.col("_s01")
-    b0 = (F.col("_sy0") * F.col("_s11") - F.col("_sy1") * F.col("_s01")) / det
-    b1 = (F.col("_sy1") * F.col("_s00") - F.col("_sy0") * F.col("_s01")) / det
-    return g.select(*by, b0.alias("coef_0"), b1.alias("coef_1"),
-                    (F.col("_my") - b0 * F.col("_m0") - b1 * F.col("_m1")).alias("intercept"))
+    rows = []
+    for j in range(len(ys)):
+        b0 = (F.col(f"_sy0_{j}") * F.col("_s11") - F.col(f"_sy1_{j}") * F.col("_s01")) / det
+        b1 = (F.col(f"_sy1_{j}") * F.col("_s00") - F.col(f"_sy0_{j}") * F.col("_s01")) / det
+        rows.append(F.struct(F.lit(j).alias("out_dim"), b0.alias("coef_0"), b1.alias("coef_1"),
+                             (F.col(f"_my_{j}") - b0 * F.col("_m0") - b1 * F.col("_m1")).alias("intercept")))
+    return g.select(*by, F.inline(F.array(*rows)))
 
 
 def pull_estimate(pairs: DataFrame, by: Sequence[str], x: str, y: str) -> DataFrame:

@@ -755,8 +755,7 @@ def shift_linear_map(spark, sf):
     pairs = _shift_pairs(spark, sf)
     draws = bootstrap_draws(pairs.select("rank"), "rank", [], iters=10, size=100, seed=13)
     sample = expand_weights(draws.join(pairs, "rank"))
-    outs = [regression_2d(sample, ["iter"], "x0", "x1", y).withColumn("out_dim", F.lit(i)) for i, y in enumerate(["y0", "y1"])]
-    res = outs[0].unionByName(outs[1])
+    res = regression_2d(sample, ["iter"], "x0", "x1", ["y0", "y1"])
     return res.select("iter", "out_dim", r9("coef_0").alias("coef_0"), r9("coef_1").alias("coef_1"),
                       r9("intercept").alias("intercept"))
 
