@@ -28,6 +28,15 @@ def r9(c):
     return F.round(c, DIGITS)
 
 
+def epoch_micros(df, col):
+    """Microseconds since 1970-01-01 of a timestamp column, independent of the session time zone
+    for zone-less (``timestamp_ntz``) columns."""
+    if df.schema[col].dataType.typeName() == "timestamp_ntz":
+        epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+        return F.timestamp_diff("MICROSECOND", epoch, F.col(col))
+    return F.unix_micros(F.col(col))
+
+
 def _pools(spark, sf):
     """``embeddings`` as pools: pool = label, text name = rank of vec_id inside the label."""
     return read_table(spark, sf, "embeddings").select("vec_id", F.col("label").alias("pool"), "embedding")
@@ -61,7 +70,7 @@ def _events_phase(spark, sf):
     """``events`` as evaluations: resume = user_id, model = event_type, score = value; rows in the
     first half of the time range are 'original', the rest 'updated'."""
     ev = read_table(spark, sf, "events")
-    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    us = epoch_micros(ev, "ts")
     mid = ev.agg(F.floor((F.min(us) + F.max(us)) / 2).cast("long")).scalar()
     return ev.withColumn("phase", F.when(us <= mid, "original").otherwise("updated"))
 
