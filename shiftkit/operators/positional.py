@@ -1,10 +1,14 @@
 """Row positions without a single-partition window.
 
 ``dense_index`` numbers rows 0..n-1 in a given order, globally or inside groups. It range-partitions
-on (group, order) so a large group spreads over many tasks, counts rows per (partition, group), turns
-the counts into offsets on that small table, and adds each row's position inside its partition.
-The order columns must make the order total (end them with a unique key): then every run, and every
-recomputation after a lost executor, gives the same numbers.
+the key columns on (group, order) so a large group spreads over many tasks, counts rows per
+(partition, group), turns the counts into offsets on that small table, and adds each row's position
+inside its sorted partition. The order columns must make the order total inside a group (end them
+with a unique key).
+
+The keyed, position-tagged table is checkpointed once in the shared checkpoint folder: both branches
+that read it (counts and positions) and any recomputation after a lost executor see the same rows,
+even when the input itself comes out of a shuffle whose row order varies.
 """
 
 from __future__ import annotations
@@ -14,24 +18,32 @@ from typing import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from shiftkit.session import materialize
 
-def dense_index(df: DataFrame, order: Sequence, by: Sequence[str] = (), out: str = "idx",
+
+def dense_index(df: DataFrame, order: Sequence[str], by: Sequence[str] = (), out: str = "idx",
                 num_partitions: int | None = None) -> DataFrame:
     by = list(by)
     order = list(order)
+    keys = by + [c for c in order if c not in by]
     n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(n, *by, *order).sortWithinPartitions(*by, *order)
-    tagged = ranged.withColumn("_pid", F.spark_partition_id()).withColumn("_mid", F.monotonically_increasing_id())
+    ranged = df.select(*keys).repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+    tagged = materialize(ranged.withColumn("_pid", F.spark_partition_id()).withColumn("_mid", F.monotonically_increasing_id()))
     stats = tagged.groupBy("_pid", *by).agg(F.count(F.lit(1)).alias("_c"), F.min("_mid").alias("_m0"))
     w = (Window.partitionBy(*by) if by else Window.partitionBy()).orderBy("_pid").rowsBetween(
         Window.unboundedPreceding, -1
     )
     stats = stats.withColumn("_off", F.coalesce(F.sum("_c").over(w), F.lit(0)))
-    return (
-        tagged.join(stats.select("_pid", *by, "_off", "_m0"), ["_pid", *by])
-        .withColumn(out, (F.col("_off") + F.col("_mid") - F.col("_m0")).cast("long"))
-        .drop("_pid", "_mid", "_off", "_m0")
-    )
+    st = stats.select(F.col("_pid").alias("_spid"), *[F.col(b).alias(f"_sby{i}") for i, b in enumerate(by)], "_off", "_m0")
+    cond = [tagged["_pid"] == st["_spid"]] + [tagged[b].eqNullSafe(st[f"_sby{i}"]) for i, b in enumerate(by)]
+    idx = tagged.join(st, cond).select(*keys, (F.col("_off") + F.col("_mid") - F.col("_m0")).cast("long").alias(out))
+    extra = [c for c in df.columns if c not in keys]
+    if not extra:
+        return idx
+    # attach the positions to the full rows by key (null-safe, so NULL keys keep their rows)
+    renamed = idx.select(*[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)], out)
+    cond = [df[k].eqNullSafe(renamed[f"_key{i}"]) for i, k in enumerate(keys)]
+    return df.join(renamed, cond).drop(*[f"_key{i}" for i in range(len(keys))])
 
 
 def group_sizes(df: DataFrame, by: Sequence[str], out: str = "n") -> DataFrame:

@@ -606,10 +606,9 @@ def bootstrap_draws(spark, sf):
 def _ranked_pools(spark, sf):
     """Pools with each vector's rank inside its pool (the text name shared across pools)."""
     from shiftkit.operators.positional import dense_index
-    from shiftkit.session import materialize
 
     pools = _pools(spark, sf)
-    ranks = materialize(dense_index(pools.select("vec_id", "pool"), ["vec_id"], by=["pool"], out="rank"))
+    ranks = dense_index(pools.select("vec_id", "pool"), ["vec_id"], by=["pool"], out="rank")
     return ranks.join(pools, ["vec_id", "pool"])
 
 

@@ -298,3 +298,18 @@ def test_pairwise_median_with_heavy_ties(spark):
     m = np.array([v for _, _, v in data])
     s = (m @ m.T) / np.outer(np.linalg.norm(m, axis=1), np.linalg.norm(m, axis=1))
     assert got["median_similarity"] == pytest.approx(float(np.median(s[~np.eye(len(m), dtype=bool)])), abs=1e-9)
+
+
+def test_dense_index_after_shuffle_with_extra_columns(spark):
+    base = spark.range(0, 600).select((F.col("id") % 4).alias("g"), F.col("id").alias("k"),
+                                      F.concat(F.lit("t"), F.col("id").cast("string")).alias("payload"))
+    shuffled = base.repartition(5, "payload")  # input straight out of a shuffle
+    idx = dense_index(shuffled, ["k"], by=["g"], out="i", num_partitions=6)
+    got = {(r["g"], r["k"]): (r["i"], r["payload"]) for r in idx.collect()}
+    assert len(got) == 600
+    for g in range(4):
+        ks = sorted(k for (gg, k) in got if gg == g)
+        assert [got[(g, k)][0] for k in ks] == list(range(len(ks)))
+        assert all(got[(g, k)][1] == f"t{k}" for k in ks)
+    nulls = spark.createDataFrame([(None, 1), (None, 2), ("a", 3)], "g string, k int")
+    assert sorted(r["i"] for r in dense_index(nulls, ["k"], by=["g"], out="i").collect()) == [0, 0, 1]
