@@ -43,9 +43,10 @@ def vector_blocks(df: DataFrame, pool: Sequence[str], key: str, vec: str, block_
         rows = rows.withColumn("_n", F.lit(df.count()))
     nb = F.greatest(F.ceil(F.col("_n") / F.lit(block_size)), F.lit(1)).cast("long")
     rows = rows.withColumn("nb", nb).withColumn("block", F.pmod(F.xxhash64("_k"), F.col("nb")))
-    return rows.groupBy(*pool, "block", "nb").agg(
-        F.collect_list("_k").alias("keys"), F.collect_list("_v").alias("vecs")
-    )
+    # one list of (key, vector) pairs, split afterwards, so keys and vectors stay aligned
+    g = rows.groupBy(*pool, "block", "nb").agg(F.collect_list(F.struct("_k", "_v")).alias("_kv"))
+    return g.select(*pool, "block", "nb", F.transform("_kv", lambda e: e["_k"]).alias("keys"),
+                    F.transform("_kv", lambda e: e["_v"]).alias("vecs"))
 
 
 def self_block_pairs(blocks: DataFrame, pool: Sequence[str]) -> DataFrame:
