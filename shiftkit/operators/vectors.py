@@ -228,9 +228,9 @@ def pca_project(df: DataFrame, vec: str, k: int = 2, out: str = "pc") -> DataFra
     from pyspark.ml.feature import PCA
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
-    mean = vector_mean(df, [], vec, "_mean").withColumn("_g", F.lit(1))
-    centred = df.withColumn("_g", F.lit(1)).join(F.broadcast(mean), "_g").withColumn(
-        "_cv", array_to_vector(F.zip_with(as_double(vec), F.col("_mean"), lambda a, b: a - b))).drop("_g", "_mean")
+    mean = vector_mean(df, [], vec, "_mean").select("_mean").scalar()  # one row: a scalar subquery
+    centred = df.withColumn("_mean", mean).withColumn(
+        "_cv", array_to_vector(F.zip_with(as_double(vec), F.col("_mean"), lambda a, b: a - b))).drop("_mean")
     model = PCA(k=k, inputCol="_cv", outputCol="_pc").fit(centred)
     return model.transform(centred).withColumn(out, vector_to_array("_pc")).drop("_cv", "_pc")
 
