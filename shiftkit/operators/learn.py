@@ -25,17 +25,28 @@ def bag_of_words(text: str, vocab_size: int = 5000, out: str = "features") -> li
     ]
 
 
+# Classifier names as the reference spells them, with short aliases.
+CLASSIFIER_NAMES = {
+    "logistic_regression": "logistic", "logistic": "logistic",
+    "random_forest": "forest", "forest": "forest",
+    "neural_network": "mlp", "mlp": "mlp",
+    "gbt": "gbt",
+}
+
+
 def make_classifier(method: str, n_features: int, label: str = "label"):
-    if method == "logistic":
-        return LogisticRegression(labelCol=label, featuresCol="features", maxIter=50)
-    if method == "forest":
-        return RandomForestClassifier(labelCol=label, featuresCol="features", numTrees=50, seed=1)
-    if method == "mlp":
+    """A Spark ML classifier by name (scikit-learn-like defaults: 100 trees, one hidden layer of 100)."""
+    kind = CLASSIFIER_NAMES.get(method)
+    if kind == "logistic":
+        return LogisticRegression(labelCol=label, featuresCol="features", maxIter=100)
+    if kind == "forest":
+        return RandomForestClassifier(labelCol=label, featuresCol="features", numTrees=100, seed=1)
+    if kind == "mlp":
         return MultilayerPerceptronClassifier(labelCol=label, featuresCol="features", layers=[n_features, 100, 2],
-                                              maxIter=50, seed=1)
-    if method == "gbt":
+                                              maxIter=100, seed=1)
+    if kind == "gbt":
         return GBTClassifier(labelCol=label, featuresCol="features", maxIter=20, seed=1)
-    raise ValueError(f"unknown classifier {method!r}")
+    raise ValueError(f"unknown classifier {method!r}; known: {sorted(CLASSIFIER_NAMES)}")
 
 
 def featurize(df: DataFrame, text: str, label: str, split: str, vocab_size: int):

@@ -964,7 +964,7 @@ def classifier_accuracy(spark, sf):
     from shiftkit.operators.sampling import hash_split
 
     d = hash_split(_docs(spark, sf).select("doc_id", "text", _is_us().alias("label")), "doc_id", 0.8, seed=7)
-    return ca(d, "text", "label", "split", ["logistic", "forest", "mlp"], vocab_size=1000)
+    return ca(d, "text", "label", "split", ["logistic_regression", "random_forest", "neural_network"], vocab_size=1000)
 
 
 @query
