@@ -313,3 +313,22 @@ def test_dense_index_after_shuffle_with_extra_columns(spark):
         assert all(got[(g, k)][1] == f"t{k}" for k in ks)
     nulls = spark.createDataFrame([(None, 1), (None, 2), ("a", 3)], "g string, k int")
     assert sorted(r["i"] for r in dense_index(nulls, ["k"], by=["g"], out="i").collect()) == [0, 0, 1]
+
+
+def test_csv_chunks_and_partitioned_write(spark, tmp_path):
+    from shiftkit.sources.corpus import read_csv_table, write_table
+
+    d = tmp_path / "chunks"
+    d.mkdir()
+    (d / "part_0.csv").write_text('key,text\n1,"line one\nline two"\n2,plain\n')
+    (d / "part_1.csv").write_text('key,text\n3,"say ""hi"""\n')
+    df = read_csv_table(spark, str(d), "key long, text string", required=["key", "text"])
+    got = sorted((r["key"], r["text"]) for r in df.collect())
+    assert got == [(1, "line one\nline two"), (2, "plain"), (3, 'say "hi"')]
+    with pytest.raises(ValueError):
+        read_csv_table(spark, str(d), required=["profile_overview"])
+    out = str(tmp_path / "out")
+    write_table(df.withColumn("model", F.when(F.col("key") > 1, "gpt4").otherwise("gemini")), out, partition_by=["model"])
+    back = spark.read.parquet(out)
+    assert sorted(r["model"] for r in back.select("model").distinct().collect()) == ["gemini", "gpt4"]
+    assert back.count() == 3
