@@ -988,4 +988,4 @@ def incremental_prompts(spark, sf):
     from shiftkit.streaming.incremental import incremental_prompt_run
 
     conv = read_table(spark, sf, "conversations")
-    return incremental_prompt_run(spark, conv, chunks=4)
+    return incremental_prompt_run(spark, conv, chunk_rows=1000)

@@ -46,11 +46,13 @@ def run_incremental(spark: SparkSession, source_dir: str, out_dir: str, ckpt: st
     q.awaitTermination()
 
 
-def incremental_prompt_run(spark: SparkSession, answers: DataFrame, chunks: int = 4) -> DataFrame:
-    """Write ``answers`` as ``chunks`` files in the shared checkpoint folder, run the stream over
-    them, and return the accumulated prompt table."""
+def incremental_prompt_run(spark: SparkSession, answers: DataFrame, chunk_rows: int = 100_000,
+                           order: str = "conv_id") -> DataFrame:
+    """Write ``answers`` as chunk files of about ``chunk_rows`` rows in the shared checkpoint folder,
+    run the stream over them (one chunk per micro-batch), and return the accumulated prompt table."""
     base = os.path.join(checkpoint_dir(spark), f"incremental-{uuid.uuid4().hex}")
     src, out, ck = (os.path.join(base, x) for x in ("source", "prompts", "checkpoint"))
-    write_chunks(answers, src, chunks, "conv_id")
+    chunks = max(1, -(-answers.count() // chunk_rows))
+    write_chunks(answers, src, chunks, order)
     run_incremental(spark, src, out, ck, answers.schema)
     return spark.read.parquet(out).select("conv_id", "turn", "prompt_id", "prompt")
