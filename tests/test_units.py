@@ -332,3 +332,15 @@ def test_csv_chunks_and_partitioned_write(spark, tmp_path):
     back = spark.read.parquet(out)
     assert sorted(r["model"] for r in back.select("model").distinct().collect()) == ["gemini", "gpt4"]
     assert back.count() == 3
+
+
+def test_separation_bracket_path_equals_exact(spark):
+    from shiftkit.operators.vectors import separation_bootstrap
+
+    data, df = _vectors(spark, n=300, d=6, pools=3)
+    a = sorted(pool_separation(df, ["pool"], "v", method="percentile").collect())
+    b = sorted(pool_separation(df, ["pool"], "v", method="bracket").collect())
+    assert [r["separation"] for r in a] == pytest.approx([r["separation"] for r in b], abs=1e-12)
+    x = sorted(separation_bootstrap(df, ["pool"], "k", "v", iters=5, method="percentile").collect())
+    y = sorted(separation_bootstrap(df, ["pool"], "k", "v", iters=5, method="bracket").collect())
+    assert [r["separation_sd"] for r in x] == pytest.approx([r["separation_sd"] for r in y], abs=1e-12)
