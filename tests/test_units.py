@@ -344,3 +344,17 @@ def test_separation_bracket_path_equals_exact(spark):
     x = sorted(separation_bootstrap(df, ["pool"], "k", "v", iters=5, method="percentile").collect())
     y = sorted(separation_bootstrap(df, ["pool"], "k", "v", iters=5, method="bracket").collect())
     assert [r["separation_sd"] for r in x] == pytest.approx([r["separation_sd"] for r in y], abs=1e-12)
+
+
+def test_embed_texts_custom_encoder_and_default(spark):
+    from shiftkit.operators.vectors import embed_texts
+
+    df = spark.createDataFrame([(1, "hello world"), (2, None), (3, "hello hello")], "k int, text string")
+
+    def encoder(texts):
+        return np.array([[len(t), t.count("hello")] for t in texts], dtype=np.float32)
+
+    got = {r["k"]: list(r["embedding"]) for r in embed_texts(df, "text", encoder=encoder, batch_size=2).collect()}
+    assert got == {1: [11.0, 1.0], 2: [0.0, 0.0], 3: [11.0, 2.0]}
+    hashed = {r["k"]: r["embedding"] for r in embed_texts(df.where("text is not null"), "text", dim=16).collect()}
+    assert all(len(v) == 16 and abs(sum(x * x for x in v) - 1) < 1e-5 for v in hashed.values())
