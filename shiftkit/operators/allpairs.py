@@ -111,7 +111,8 @@ def pairwise_median_similarity(df: DataFrame, pool: Sequence[str], key: str, vec
     """
     pool = list(pool)
     ship_package(df.sparkSession)
-    blocks = vector_blocks(df, pool, key, vec, block_size, normalize=True)
+    # every pass reads the blocks: checkpoint them once (1x the data, not the replicated pairs)
+    blocks = materialize(vector_blocks(df, pool, key, vec, block_size, normalize=True))
     pairs = self_block_pairs(blocks, pool)
     ps = _pool_schema(pairs, pool)
     sizes = df.groupBy(*pool).agg(F.count(F.lit(1)).alias("_n"))

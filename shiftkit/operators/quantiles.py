@@ -70,9 +70,12 @@ def group_quantiles(
 
 
 def _bracket(df, value, by, probs, names, accuracy):
+    from shiftkit.session import materialize
+
     key = by + ["_i"]
     x = F.col("_x")
-    data = df.select(*by, F.col(value).cast("double").alias("_x")).where(x.isNotNull())
+    # three passes read the values: checkpoint the narrow (group, value) table once
+    data = materialize(df.select(*by, F.col(value).cast("double").alias("_x")).where(x.isNotNull()))
     if not by:
         data = data.withColumn("_g", F.lit(0))
         key, by_eff = ["_g", "_i"], ["_g"]

@@ -152,7 +152,12 @@ def _vectors(spark, n=120, d=8, pools=2, seed=0):
     return data, spark.createDataFrame(data, "k long, pool int, v array<double>")
 
 
-def test_centroid_residual_zero(spark):
+@pytest.mark.parametrize("wide", [False, True])
+def test_centroid_residual_zero(spark, wide, monkeypatch):
+    import shiftkit.operators.vectors as V
+
+    if wide:
+        monkeypatch.setattr(V, "WIDE_MEAN_BYTES", -1)
     data, df = _vectors(spark)
     c = vector_mean(df, ["pool"], "v").orderBy("pool").collect()
     for r in c:
