@@ -57,10 +57,10 @@ def featurize(df: DataFrame, text: str, label: str, split: str, vocab_size: int)
     feats = Pipeline(stages=bag_of_words(text, vocab_size)).fit(train)
     n = len(feats.stages[-1].vocabulary)
     vec = feats.transform(data).select("features", "label", split)
-    # iterative fits run many small jobs: size the partitions to the data (~50k rows each) so small
+    # iterative fits run many small jobs: size the partitions to the data (~2k rows each) so small
     # inputs do not pay per-task overhead on every iteration, and large inputs keep their parallelism
     rows = data.count()
-    parts = max(1, min(vec.rdd.getNumPartitions(), -(-rows // 50_000)))
+    parts = max(1, min(vec.rdd.getNumPartitions(), -(-rows // 2_000)))
     vec = vec.repartition(parts).persist()
     return vec.where(F.col(split) == "train"), vec.where(F.col(split) == "test"), max(n, 1)
 
