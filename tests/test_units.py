@@ -363,3 +363,14 @@ def test_embed_texts_custom_encoder_and_default(spark):
     assert got == {1: [11.0, 1.0], 2: [0.0, 0.0], 3: [11.0, 2.0]}
     hashed = {r["k"]: r["embedding"] for r in embed_texts(df.where("text is not null"), "text", dim=16).collect()}
     assert all(len(v) == 16 and abs(sum(x * x for x in v) - 1) < 1e-5 for v in hashed.values())
+
+
+@pytest.mark.parametrize("metric,target,width", [("euclidean", 2.5, 0.3), ("cosine", 0.9, 0.1)])
+def test_band_match_prefilter_same_result(spark, metric, target, width):
+    data, df = _vectors(spark, n=240, d=3)
+    a = df.where("pool = 0").select("k", "v")
+    b = df.where("pool = 1").select("k", "v")
+    plain = sorted(band_match(a, b, "k", "v", target, width, metric, block_size=8).collect())
+    pre = sorted(band_match(a, b, "k", "v", target, width, metric, block_size=8, prefilter=True).collect())
+    assert [(r["key_a"], r["key_b"]) for r in plain] == [(r["key_a"], r["key_b"]) for r in pre]
+    assert len(plain) > 0
