@@ -374,3 +374,10 @@ def test_band_match_prefilter_same_result(spark, metric, target, width):
     pre = sorted(band_match(a, b, "k", "v", target, width, metric, block_size=8, prefilter=True).collect())
     assert [(r["key_a"], r["key_b"]) for r in plain] == [(r["key_a"], r["key_b"]) for r in pre]
     assert len(plain) > 0
+
+
+def test_fill_expr_per_row_templates(spark):
+    df = spark.createDataFrame([("Hi <NAME> from <CITY>", {"NAME": "Ann"}), ("no marks", {}), ("<A><A>", {"A": "x"})],
+                               "t string, m map<string,string>")
+    got = [r["f"] for r in df.select(prompts.fill_expr(F.col("t"), F.col("m")).alias("f")).collect()]
+    assert got == ["Hi Ann from <CITY>", "no marks", "xx"]
