@@ -21,10 +21,29 @@ from pyspark.sql import functions as F
 from shiftkit.session import materialize
 
 
+WINDOW_LIMIT = 1_000_000
+
+
 def dense_index(df: DataFrame, order: Sequence[str], by: Sequence[str] = (), out: str = "idx",
-                num_partitions: int | None = None) -> DataFrame:
+                num_partitions: int | None = None, method: str = "auto",
+                window_limit: int = WINDOW_LIMIT) -> DataFrame:
+    """Number rows 0..n-1 per ``by`` group in ``order``.
+
+    ``method``: ``"window"`` (``row_number``; a group goes to one task), ``"range"`` (the distributed
+    index above), or ``"auto"``: measure the largest group and use the window only while it holds at
+    most ``window_limit`` rows.
+    """
     by = list(by)
     order = list(order)
+    if method == "auto":
+        from shiftkit.operators.quantiles import max_group_size
+
+        method = "window" if max_group_size(df, by) <= window_limit else "range"
+    if method == "window":
+        w = (Window.partitionBy(*by) if by else Window.partitionBy()).orderBy(*order)
+        return df.withColumn(out, (F.row_number().over(w) - 1).cast("long"))
+    if method != "range":
+        raise ValueError(f"unknown method {method!r}")
     keys = by + [c for c in order if c not in by]
     n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = df.select(*keys).repartitionByRange(n, *keys).sortWithinPartitions(*keys)

@@ -112,7 +112,7 @@ def test_bracket_quantiles_equal_exact(spark):
 
 def test_dense_index_matches_row_number(spark):
     df = spark.range(0, 2000).select((F.col("id") % 3).alias("g"), (F.col("id") * 7919 % 2003).alias("k"))
-    idx = dense_index(df, ["k"], by=["g"], out="i", num_partitions=7)
+    idx = dense_index(df, ["k"], by=["g"], out="i", num_partitions=7, method="range")
     from pyspark.sql import Window
 
     ref = df.withColumn("r", F.row_number().over(Window.partitionBy("g").orderBy("k")) - 1)
@@ -309,7 +309,7 @@ def test_dense_index_after_shuffle_with_extra_columns(spark):
     base = spark.range(0, 600).select((F.col("id") % 4).alias("g"), F.col("id").alias("k"),
                                       F.concat(F.lit("t"), F.col("id").cast("string")).alias("payload"))
     shuffled = base.repartition(5, "payload")  # input straight out of a shuffle
-    idx = dense_index(shuffled, ["k"], by=["g"], out="i", num_partitions=6)
+    idx = dense_index(shuffled, ["k"], by=["g"], out="i", num_partitions=6, method="range")
     got = {(r["g"], r["k"]): (r["i"], r["payload"]) for r in idx.collect()}
     assert len(got) == 600
     for g in range(4):
@@ -317,7 +317,18 @@ def test_dense_index_after_shuffle_with_extra_columns(spark):
         assert [got[(g, k)][0] for k in ks] == list(range(len(ks)))
         assert all(got[(g, k)][1] == f"t{k}" for k in ks)
     nulls = spark.createDataFrame([(None, 1), (None, 2), ("a", 3)], "g string, k int")
-    assert sorted(r["i"] for r in dense_index(nulls, ["k"], by=["g"], out="i").collect()) == [0, 0, 1]
+    for m in ("range", "window", "auto"):
+        assert sorted(r["i"] for r in dense_index(nulls, ["k"], by=["g"], out="i", method=m).collect()) == [0, 0, 1]
+
+
+def test_dense_index_window_equals_range(spark):
+    df = spark.range(0, 900).select((F.col("id") % 5).alias("g"), (F.col("id") * 37 % 901).alias("k"))
+    a = dense_index(df, ["k"], by=["g"], out="i", method="window")
+    b = dense_index(df, ["k"], by=["g"], out="i", method="range", num_partitions=5)
+    assert a.join(b.withColumnRenamed("i", "j"), ["g", "k"]).where("i <> j").count() == 0
+    c = dense_index(df, ["g", "k"], out="i", method="window")
+    d = dense_index(df, ["g", "k"], out="i", method="range")
+    assert c.join(d.withColumnRenamed("i", "j"), ["g", "k"]).where("i <> j").count() == 0
 
 
 def test_csv_chunks_and_partitioned_write(spark, tmp_path):
