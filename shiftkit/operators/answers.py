@@ -113,8 +113,9 @@ def split_model_prefix(df: DataFrame, name: str, models: Sequence[str], model_ou
                        name_out: str = "resume", default: str = "no_update") -> DataFrame:
     """``<model>_<rest>`` with a known model -> (model, rest); otherwise (default, name)."""
     first = F.substring_index(F.col(name), "_", 1)
-    known = first.isin(list(models)) & F.col(name).contains("_")
-    rest = F.expr(f"substring({name}, instr({name}, '_') + 1)")
+    known = first.isin(list(models))
+    # text after the first '_' (the whole name when there is none, as a failed find gives)
+    rest = F.expr(f"substring(`{name}`, instr(`{name}`, '_') + 1)")
     return df.withColumn(model_out, F.when(known, first).otherwise(F.lit(default))).withColumn(
         name_out, F.when(known, rest).otherwise(F.col(name))
     )

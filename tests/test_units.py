@@ -30,9 +30,9 @@ def test_update_key(spark):
 
 
 def test_model_prefix(spark):
-    df = spark.createDataFrame([("gpt4_hr_1",), ("hr_1",)], "name string")
+    df = spark.createDataFrame([("gpt4_hr_1",), ("hr_1",), ("gemini",)], "name string")
     out = sorted(rows(answers.split_model_prefix(df, "name", ["gpt4", "gemini"]), "update_model", "resume"))
-    assert out == [("gpt4", "hr_1"), ("no_update", "hr_1")]
+    assert out == [("gemini", "gemini"), ("gpt4", "hr_1"), ("no_update", "hr_1")]
 
 
 def test_label_digits(spark):
