@@ -91,9 +91,14 @@ def parse_updates(long: DataFrame, var: str = "variable", val: str = "value", ke
     """``answer.<type>_<...>_<key>``: type between the first '.' and the first '_', key = last part."""
     v = F.col(var)
     rows = long.where(v.contains("answer") & ~v.contains("_comment"))
-    return rows.withColumn("update_type", F.regexp_extract(v, r"^[^.]*\.([^_]*)", 1)).withColumn(
-        key, F.element_at(F.split(v, "_"), -1).cast("long")
-    )
+    # the text from after the first '.' up to the first '_', with Python slice rules: a missing '.'
+    # starts at 0, a missing '_' ends one before the last character, and an end before the start
+    # gives ''
+    start = F.instr(v, ".")
+    under = F.instr(v, "_")
+    end = F.when(under == 0, F.length(v) - 1).otherwise(under - 1)
+    kind = F.substring(v, start + 1, F.greatest(end - start, F.lit(0)))
+    return rows.withColumn("update_type", kind).withColumn(key, F.element_at(F.split(v, "_"), -1).try_cast("long"))
 
 
 def pivot_updates(parsed: DataFrame, key: str, types: Sequence[str], kind: str = "update_type",

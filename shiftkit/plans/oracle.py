@@ -50,8 +50,10 @@ SELECT 'persona' AS agent,
 FROM conversations WHERE turn <= 5
 """
 _PARSED_UPDATES = f"""
-SELECT *, regexp_extract(variable, '^[^.]*\\.([^_]*)', 1) AS update_type,
-  CAST(string_split(variable, '_')[-1] AS BIGINT) AS key
+SELECT *, substr(variable, instr(variable, '.') + 1,
+    greatest(CASE WHEN instr(variable, '_') = 0 THEN length(variable) - 1 ELSE instr(variable, '_') - 1 END
+             - instr(variable, '.'), 0)) AS update_type,
+  TRY_CAST(string_split(variable, '_')[-1] AS BIGINT) AS key
 FROM ({_UPDATES_LONG}) WHERE variable LIKE '%answer%' AND variable NOT LIKE '%\\_comment%' ESCAPE '\\'
 """
 _PIVOT_UPDATES = f"""

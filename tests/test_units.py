@@ -27,6 +27,10 @@ def test_update_key(spark):
     long = spark.createDataFrame([("answer.improve_60924953", "x"), ("answer.improve_60924953_comment", "c")],
                                  "variable string, value string")
     assert rows(answers.parse_updates(long), "update_type", "key") == [("improve", 60924953)]
+    odd = spark.createDataFrame([("answerx_5",), ("answer.nounder",), ("a_b.answer_7",)], "variable string")
+    got = sorted(rows(answers.parse_updates(odd.withColumn("value", F.lit("v"))), "variable", "update_type"))
+    # Python: x[x.find('.') + 1 : x.find('_')]
+    assert got == sorted((x, x[x.find(".") + 1: x.find("_")]) for x in ["answerx_5", "answer.nounder", "a_b.answer_7"])
 
 
 def test_model_prefix(spark):
