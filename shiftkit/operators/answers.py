@@ -56,7 +56,10 @@ def score_comment_pairs(long: DataFrame, keys: Sequence[str] = ("agent", "model"
     keys = list(keys)
     v = F.col(var)
     is_c = v.contains("comment")
-    name = F.when(is_c, F.regexp_extract(v, r"^.{7}(.*)_[^_]*$", 1)).otherwise(F.substring(v, 8, 1 << 30))
+    # Python slices of the name: x[7:] for scores, x[7 : x.rfind('_')] for comments
+    last = F.instr(F.reverse(v), "_")
+    end = F.when(last == 0, F.length(v) - 1).otherwise(F.length(v) - last)
+    name = F.when(is_c, F.substring(v, 8, F.greatest(end - 7, F.lit(0)))).otherwise(F.substring(v, 8, 1 << 30))
     base = long.where(v.contains("answer")).select(*keys, name.alias("resume"), is_c.alias("_c"), F.col(val).alias("_v"))
     g = base.groupBy(*keys, "resume").agg(
         F.max(F.when(~F.col("_c"), F.col("_v"))).alias("score"),

@@ -127,7 +127,10 @@ UNION ALL SELECT doc_id, 'answer.toxic', CAST(toxic AS VARCHAR), 'toxic' FROM la
     "score_comment_pairs": f"""
 WITH b AS (
   SELECT agent, model,
-    CASE WHEN variable LIKE '%comment%' THEN regexp_extract(variable, '^.{{7}}(.*)_[^_]*$', 1) ELSE substr(variable, 8) END AS resume,
+    CASE WHEN variable LIKE '%comment%'
+      THEN substr(variable, 8, greatest(CASE WHEN instr(reverse(variable), '_') = 0 THEN length(variable) - 1
+                                        ELSE length(variable) - instr(reverse(variable), '_') END - 7, 0))
+      ELSE substr(variable, 8) END AS resume,
     variable LIKE '%comment%' AS c, value
   FROM ({_ANSWERS_LONG}) WHERE variable LIKE '%answer%')
 SELECT agent, model, resume, max(value) FILTER (WHERE NOT c) AS score, max(value) FILTER (WHERE c) AS comment

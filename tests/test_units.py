@@ -396,3 +396,17 @@ def test_fill_expr_per_row_templates(spark):
                                "t string, m map<string,string>")
     got = [r["f"] for r in df.select(prompts.fill_expr(F.col("t"), F.col("m")).alias("f")).collect()]
     assert got == ["Hi Ann from <CITY>", "no marks", "xx"]
+
+
+def test_score_comment_names_follow_python_slices(spark):
+    names = ["answer.r_1", "answer.r_1_comment", "answer.xcomment", "answer.r2", "answer.r2x_comment"]
+    long = spark.createDataFrame([("a", "m", n, str(i)) for i, n in enumerate(names)],
+                                 "agent string, model string, variable string, value string")
+    got = sorted(rows(answers.score_comment_pairs(long), "resume", "score", "comment"))
+    # score names x[7:], comment names x[7:x.rfind('_')]; pairs need both kinds
+    want = {}
+    for i, n in enumerate(names):
+        c = "comment" in n
+        k = n[7:n.rfind("_")] if c else n[7:]
+        want.setdefault(k, [None, None])[1 if c else 0] = str(i)
+    assert got == sorted((k, s, c) for k, (s, c) in want.items() if s is not None and c is not None)
