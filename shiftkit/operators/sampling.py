@@ -81,8 +81,10 @@ def bootstrap_draws(df: DataFrame, key: str, by: Sequence[str] = (), iters: int
     if not grouped:
         df, by = df.withColumn("_g", F.lit(0)), ["_g"]
     idx = dense_index(df.select(*by, key), [key], by=by, out="_j")
-    sizes = idx.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
-    base = idx.join(sizes if grouped else F.broadcast(sizes), by)
+    if grouped:
+        base = idx.join(idx.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")), by)
+    else:  # one size for everything: a scalar subquery, not a join
+        base = idx.withColumn("_n", idx.agg(F.count(F.lit(1))).scalar())
     if size is None:
         base = base.withColumn("_draw", F.col("_j"))
     else:
