@@ -17,6 +17,8 @@ BASE_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
+    # checkpoint files of tables no longer referenced are removed by the context cleaner
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     # Arrow batches to Python workers are cut by bytes too, so block-pair rows stay bounded.
     "spark.sql.execution.arrow.maxBytesPerBatch": str(32 << 20),
 }
