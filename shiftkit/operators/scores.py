@@ -53,10 +53,13 @@ def diff_in_diff(ba: DataFrame, key: str, model: str, models: Sequence[str],
 
 
 def equal_width_histogram(df: DataFrame, value: str, by: Sequence[str] = (), bins: int = 20) -> DataFrame:
-    """``numpy.histogram(x, bins)``: equal bins over [min, max], the last bin closed, empty bins kept.
+    """``numpy.histogram(x, bins)`` per group: equal bins over [min, max], the last bin closed, empty
+    bins kept.
 
-    Each row's bin is ``least(floor((x - min) / width), bins - 1)`` (a raw ``width_bucket`` would put
-    the maximum in an extra bin). All bins are emitted from a per-group bin list, then counts join in.
+    numpy's rules are followed exactly: a zero-width range is widened to [v - 0.5, v + 0.5]; the bin is
+    ``floor((x - lo) * bins / (hi - lo))`` (the maximum goes to the last bin, where a raw
+    ``width_bucket`` would open an extra one), then corrected against the ``linspace`` edges. All bins
+    are emitted from a per-group bin list, then counts join in.
     """
     by_out = list(by)
     x = F.col(value)
@@ -65,20 +68,27 @@ def equal_width_histogram(df: DataFrame, value: str, by: Sequence[str] = (), bin
     if not by_out:
         data = data.withColumn("_g", F.lit(0))
     # one row per group: small, so the join back is a broadcast when AQE measures it
-    rng = data.groupBy(*by).agg(F.min(x).alias("_lo"), F.max(x).alias("_hi"))
-    width = (F.col("_hi") - F.col("_lo")) / bins
-    binned = data.join(rng if by_out else F.broadcast(rng), by).withColumn(
-        "bin",
-        F.when(F.col("_hi") == F.col("_lo"), F.lit(bins - 1)).otherwise(
-            F.least(F.floor((x - F.col("_lo")) / width), F.lit(bins - 1))
-        ).cast("int"),
+    rng = data.groupBy(*by).agg(F.min(x).alias("_mn"), F.max(x).alias("_mx")).select(
+        *by,
+        F.when(F.col("_mn") == F.col("_mx"), F.col("_mn") - 0.5).otherwise(F.col("_mn")).alias("_lo"),
+        F.when(F.col("_mn") == F.col("_mx"), F.col("_mx") + 0.5).otherwise(F.col("_mx")).alias("_hi"),
     )
+    lo, hi = F.col("_lo"), F.col("_hi")
+    step = (hi - lo) / bins
+
+    def edge(k):
+        return F.when(k == bins, hi).otherwise(k * step + lo)
+
+    i0 = F.least(F.floor((x - lo) * (F.lit(float(bins)) / (hi - lo))), F.lit(bins - 1)).cast("int")
+    i1 = F.when(x < edge(i0), i0 - 1).otherwise(i0)
+    i2 = F.when((x >= edge(i1 + 1)) & (i1 != bins - 1), i1 + 1).otherwise(i1)
+    binned = data.join(rng if by_out else F.broadcast(rng), by).withColumn("bin", i2)
     counts = binned.groupBy(*by, "bin").agg(F.count(F.lit(1)).alias("n"))
     grid = rng.select(*by, "_lo", "_hi", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
     return grid.join(counts, [*by, "bin"], "left").select(
         *by_out, "bin",
-        (F.col("_lo") + F.col("bin") * width).alias("bin_lo"),
-        (F.col("_lo") + (F.col("bin") + 1) * width).alias("bin_hi"),
+        edge(F.col("bin")).alias("bin_lo"),
+        edge(F.col("bin") + 1).alias("bin_hi"),
         F.coalesce("n", F.lit(0)).cast("long").alias("n"),
     )
 

@@ -189,13 +189,20 @@ FROM embeddings""",
     "model_gap": f"SELECT user_id, model_a, model_b, round(gap, 9) AS gap FROM ({_GAPS})",
     "score_histogram": f"""
 WITH g AS (SELECT * FROM ({_GAPS}) WHERE gap IS NOT NULL),
-r AS (SELECT model_a, model_b, min(gap) AS lo, max(gap) AS hi FROM g GROUP BY ALL),
-b AS (SELECT g.model_a, g.model_b,
-        CASE WHEN r.hi = r.lo THEN 19 ELSE least(floor((g.gap - r.lo) / ((r.hi - r.lo) / 20)), 19) END AS bin
-      FROM g JOIN r USING (model_a, model_b)),
-c AS (SELECT model_a, model_b, bin, count(*) AS n FROM b GROUP BY ALL)
+r0 AS (SELECT model_a, model_b, min(gap) AS mn, max(gap) AS mx FROM g GROUP BY ALL),
+r AS (SELECT model_a, model_b, CASE WHEN mn = mx THEN mn - 0.5 ELSE mn END AS lo,
+        CASE WHEN mn = mx THEN mx + 0.5 ELSE mx END AS hi FROM r0),
+b0 AS (SELECT g.model_a, g.model_b, g.gap AS x, r.lo, r.hi, (r.hi - r.lo) / 20 AS step,
+         CAST(least(floor((g.gap - r.lo) * (20.0 / (r.hi - r.lo))), 19) AS INTEGER) AS i0
+       FROM g JOIN r USING (model_a, model_b)),
+b1 AS (SELECT *, CASE WHEN x < (CASE WHEN i0 = 20 THEN hi ELSE i0 * step + lo END) THEN i0 - 1 ELSE i0 END AS i1 FROM b0),
+b2 AS (SELECT model_a, model_b,
+         CASE WHEN x >= (CASE WHEN i1 + 1 = 20 THEN hi ELSE (i1 + 1) * step + lo END) AND i1 <> 19 THEN i1 + 1 ELSE i1 END AS bin
+       FROM b1),
+c AS (SELECT model_a, model_b, bin, count(*) AS n FROM b2 GROUP BY ALL)
 SELECT r.model_a, r.model_b, CAST(s.bin AS INTEGER) AS bin,
-  round(r.lo + s.bin * ((r.hi - r.lo) / 20), 9) AS bin_lo, round(r.lo + (s.bin + 1) * ((r.hi - r.lo) / 20), 9) AS bin_hi,
+  round(s.bin * ((r.hi - r.lo) / 20) + r.lo, 9) AS bin_lo,
+  round(CASE WHEN s.bin + 1 = 20 THEN r.hi ELSE (s.bin + 1) * ((r.hi - r.lo) / 20) + r.lo END, 9) AS bin_hi,
   CAST(coalesce(c.n, 0) AS BIGINT) AS n
 FROM r CROSS JOIN range(20) s(bin) LEFT JOIN c ON c.model_a = r.model_a AND c.model_b = r.model_b AND c.bin = s.bin""",
     "score_did": f"SELECT user_id, model_a, model_b, round(did, 9) AS did FROM ({_DID})",

@@ -57,6 +57,13 @@ def test_template_fill_keeps_unknown_marks(spark):
     assert prompts.template_fill(t, v, ["k"]).first()["filled"] == "Hi Ann, from <CITY>. Ann!"
 
 
+@pytest.mark.parametrize("vals", [[0, 1, 2, 3, 10], [5.0] * 4, [0.1 * k for k in range(31)], [1 / 3 * k for k in range(7)]])
+def test_histogram_equals_numpy(spark, vals):
+    df = spark.createDataFrame([(float(x),) for x in vals], "x double")
+    got = [r["n"] for r in scores.equal_width_histogram(df, "x", [], 20).orderBy("bin").collect()]
+    assert got == list(np.histogram(np.array(vals, dtype=float), 20)[0])
+
+
 def test_histogram_max_in_last_bin(spark):
     df = spark.createDataFrame([(float(x),) for x in [0, 1, 2, 3, 10]], "x double")
     h = scores.equal_width_histogram(df, "x", [], 20)
