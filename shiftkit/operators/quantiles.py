@@ -51,10 +51,11 @@ def group_quantiles(
     exact_limit: int = DEFAULT_EXACT_LIMIT,
     accuracy: int = 200_000,
 ) -> DataFrame:
-    """Exact quantiles of ``value`` per ``by`` group, one column per probability.
+    """Quantiles of ``value`` per ``by`` group, one column per probability.
 
-    ``method``: ``"percentile"`` (Spark's exact aggregate), ``"bracket"`` (bounded memory per
-    group), or ``"auto"`` (measure the largest group, then choose).
+    ``method``: ``"percentile"`` (Spark's exact aggregate), ``"bracket"`` (exact, bounded memory per
+    group), ``"auto"`` (measure the largest group, then choose one of those two), or ``"approx"``
+    (the mergeable sketch alone: rank error at most n / ``accuracy``, one pass).
     """
     by = list(by)
     names = _names(probs, names)
@@ -64,6 +65,10 @@ def group_quantiles(
         agg = F.percentile(F.col(value).cast("double"), list(map(float, probs)))
         out = (df.groupBy(*by) if by else df.groupBy()).agg(agg.alias("_q"))
         return out.select(*by, *[F.col("_q")[i].alias(n) for i, n in enumerate(names)])
+    if method == "approx":
+        agg = F.percentile_approx(F.col(value).cast("double"), list(map(float, probs)), accuracy)
+        out = (df.groupBy(*by) if by else df.groupBy()).agg(agg.alias("_q"))
+        return out.select(*by, *[F.col("_q")[i].alias(n) for i, n in enumerate(names)])
     if method != "bracket":
         raise ValueError(f"unknown method {method!r}")
     return _bracket(df, value, by, [float(p) for p in probs], names, accuracy)

@@ -417,3 +417,9 @@ def test_score_comment_names_follow_python_slices(spark):
         k = n[7:n.rfind("_")] if c else n[7:]
         want.setdefault(k, [None, None])[1 if c else 0] = str(i)
     assert got == sorted((k, s, c) for k, (s, c) in want.items() if s is not None and c is not None)
+
+
+def test_approx_quantiles_within_rank_error(spark):
+    df = spark.range(0, 10000).select((F.col("id") % 2).alias("g"), F.col("id").cast("double").alias("x"))
+    q = {r["g"]: r["m"] for r in group_quantiles(df, "x", ["g"], [0.5], ["m"], method="approx", accuracy=1000).collect()}
+    assert abs(q[0] - 5000) <= 20 and abs(q[1] - 5000) <= 20
