@@ -12,7 +12,6 @@ from typing import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-ColumnOrName = "Column | str"
 
 
 def _c(x) -> Column:

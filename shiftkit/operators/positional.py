@@ -64,6 +64,3 @@ def dense_index(df: DataFrame, order: Sequence[str], by: Sequence[str] = (), out
     cond = [df[k].eqNullSafe(renamed[f"_key{i}"]) for i, k in enumerate(keys)]
     return df.join(renamed, cond).drop(*[f"_key{i}" for i in range(len(keys))])
 
-
-def group_sizes(df: DataFrame, by: Sequence[str], out: str = "n") -> DataFrame:
-    return df.groupBy(*by).agg(F.count(F.lit(1)).alias(out))
