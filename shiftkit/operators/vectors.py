@@ -156,12 +156,14 @@ def separation_bootstrap(df: DataFrame, pool: Sequence[str], key: str, vec: str,
 
 
 def sample_metrics(df: DataFrame, pool: Sequence[str], key: str, vec: str, iters: int = 1000, size: int = 100,
-                   seed: int = 0) -> DataFrame:
+                   seed: int = 0, metrics: dict | None = None) -> DataFrame:
     """Bootstrap samples of ``size`` rows per pool and iteration, and on each: the median pairwise
     cosine similarity (diagonal excluded) and the number of distinct vector elements.
 
-    A sample is bounded by ``size``, so its similarity matrix is computed whole in one grouped pandas
-    call; distinct elements are counted on the JVM.
+    A sample is bounded by ``size``, so it is one collected row, and samples are evaluated in Arrow
+    batches with numpy. ``metrics`` replaces the two defaults with any ``{name: f(matrix) -> float}``
+    (each row of the matrix is one drawn vector, repeats included); every metric becomes a double
+    column.
     """
     from shiftkit.operators.sampling import bootstrap_draws
 
@@ -176,7 +178,7 @@ def sample_metrics(df: DataFrame, pool: Sequence[str], key: str, vec: str, iters
     # one row per sample (its size is the ``size`` parameter), then numpy over a stack of samples
     packed = rows.groupBy(*pool, "iter").agg(F.flatten(F.collect_list("_v")).alias("_m"), F.count(F.lit(1)).alias("_k"))
 
-    def metrics(it):
+    def default_metrics(it):
         import numpy as np
 
         for pdf in it:
@@ -193,7 +195,22 @@ def sample_metrics(df: DataFrame, pool: Sequence[str], key: str, vec: str, iters
             out["distinct_elements"] = np.asarray(uniq, dtype=np.int64)
             yield out
 
-    return packed.mapInPandas(metrics, f"{schema}, iter int, median_similarity double, distinct_elements long")
+    if metrics is None:
+        return packed.mapInPandas(default_metrics, f"{schema}, iter int, median_similarity double, distinct_elements long")
+    custom = dict(metrics)
+
+    def custom_metrics(it):
+        import numpy as np
+
+        for pdf in it:
+            mats = [np.asarray(m, dtype=np.float64).reshape(int(k), -1) for m, k in zip(pdf["_m"], pdf["_k"])]
+            out = pdf[[*pool, "iter"]].copy()
+            for name, fn in custom.items():
+                out[name] = [float(fn(m)) for m in mats]
+            yield out
+
+    cols = ", ".join(f"`{n}` double" for n in custom)
+    return packed.mapInPandas(custom_metrics, f"{schema}, iter int, {cols}")
 
 
 def bootstrap_interval(samples: DataFrame, by: Sequence[str], value: str, lo: float = 0.025, hi: float = 0.975) -> DataFrame:

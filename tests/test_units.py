@@ -423,3 +423,12 @@ def test_approx_quantiles_within_rank_error(spark):
     df = spark.range(0, 10000).select((F.col("id") % 2).alias("g"), F.col("id").cast("double").alias("x"))
     q = {r["g"]: r["m"] for r in group_quantiles(df, "x", ["g"], [0.5], ["m"], method="approx", accuracy=1000).collect()}
     assert abs(q[0] - 5000) <= 20 and abs(q[1] - 5000) <= 20
+
+
+def test_sample_metrics_custom_functions(spark):
+    from shiftkit.operators.vectors import sample_metrics
+
+    data, df = _vectors(spark, n=60, d=4, pools=2)
+    out = sample_metrics(df, ["pool"], "k", "v", iters=5, size=10, seed=1,
+                         metrics={"rows": lambda m: m.shape[0], "dims": lambda m: m.shape[1]}).collect()
+    assert len(out) == 10 and all(r["rows"] == 10.0 and r["dims"] == 4.0 for r in out)
