@@ -66,10 +66,11 @@ def featurize(df: DataFrame, text: str, label: str, split: str, vocab_size: int)
 
 
 def _fit_eval(df: DataFrame, text: str, label: str, split: str, method: str, vocab_size: int,
-              prepared=None) -> DataFrame:
+              prepared=None, keep_raw: bool = False) -> DataFrame:
     train, test, n = prepared or featurize(df, text, label, split, vocab_size)
     model = make_classifier(method, n).fit(train)
-    return model.transform(test).select("label", "prediction")
+    cols = ["label", "prediction"] + (["rawPrediction"] if keep_raw else [])
+    return model.transform(test).select(*cols)
 
 
 def _in_parallel(fn, items):
@@ -100,13 +101,20 @@ def classifier_accuracy(df: DataFrame, text: str, label: str, split: str, method
 
 def variant_auroc(df: DataFrame, variants: Sequence[str], label: str, split: str, method: str = "gbt",
                   vocab_size: int = 5000) -> DataFrame:
-    """For each text variant: fit bag-of-words + classifier, AUROC of the hard test predictions."""
+    """For each text variant: fit bag-of-words + classifier; AUROC of the hard test predictions (the
+    reference's measure) and of the classifier scores."""
     from shiftkit.operators.metrics import auroc_hard
 
+    from pyspark.ml.evaluation import BinaryClassificationEvaluator
+
     def one(v):
-        pred = _fit_eval(df, v, label, split, method, vocab_size).select(
-            F.col("label").cast("int").alias("t"), F.col("prediction").cast("int").alias("p"))
-        return auroc_hard(pred, "t", "p").select(F.lit(v).alias("variant"), "auroc")
+        scored = _fit_eval(df, v, label, split, method, vocab_size, keep_raw=True).persist()
+        pred = scored.select(F.col("label").cast("int").alias("t"), F.col("prediction").cast("int").alias("p"))
+        # score-based ROC AUC as well (one number per variant reaches the driver)
+        labels = scored.agg(F.countDistinct("label")).first()[0]
+        score_auc = BinaryClassificationEvaluator(labelCol="label").evaluate(scored) if labels == 2 else None
+        return auroc_hard(pred, "t", "p").select(F.lit(v).alias("variant"), "auroc",
+                                                 F.lit(score_auc).cast("double").alias("auroc_score"))
 
     out = None
     for r in _in_parallel(one, variants):
