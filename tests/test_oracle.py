@@ -45,11 +45,19 @@ def _names():
     return sorted(oracle_sql())
 
 
+SPARK_TO_DUCK = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "float": "FLOAT",
+                 "boolean": "BOOLEAN"}
+
+
 @pytest.mark.parametrize("name", _names())
 def test_query_matches_oracle(spark, duck, name):
     from __spark_entry__ import oracle_sql, queries
 
-    sp = queries()[name](spark, SF).toPandas()
+    df = queries()[name](spark, SF)
+    rel = duck.sql(oracle_sql()[name])
+    spark_types = {f.name: SPARK_TO_DUCK.get(f.dataType.simpleString(), f.dataType.simpleString()) for f in df.schema}
+    assert spark_types == {c: str(t) for c, t in zip(rel.columns, rel.types)}
+    sp = df.toPandas()
     dk = duck.execute(oracle_sql()[name]).fetchdf()
     sc, sr = _rows(sp)
     dc, dr = _rows(dk)
