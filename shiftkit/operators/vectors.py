@@ -30,9 +30,11 @@ WIDE_MEAN_MAX_DIM = 1024
 
 
 def estimated_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of a plan (statistics only, no job)."""
+    """Input volume of a plan: the summed size estimates of its leaf relations (statistics only, no
+    job). Join estimates without cost-based statistics multiply sizes, so leaves are steadier."""
     try:
-        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+        return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
     except Exception:  # noqa: BLE001 - estimates are advisory
         return 0
 
