@@ -432,3 +432,18 @@ def test_sample_metrics_custom_functions(spark):
     out = sample_metrics(df, ["pool"], "k", "v", iters=5, size=10, seed=1,
                          metrics={"rows": lambda m: m.shape[0], "dims": lambda m: m.shape[1]}).collect()
     assert len(out) == 10 and all(r["rows"] == 10.0 and r["dims"] == 4.0 for r in out)
+
+
+def test_shuffle_is_reproducible_and_complete(spark):
+    df = spark.range(0, 300).withColumnRenamed("id", "k")
+    a = [r["k"] for r in sampling.shuffle(df.repartition(3), "k", seed=4).collect()]
+    b = [r["k"] for r in sampling.shuffle(df.repartition(7), "k", seed=4).collect()]
+    assert a == b and sorted(a) == list(range(300)) and a != list(range(300))
+
+
+def test_distinct_counts_exact_and_approx(spark):
+    df = spark.range(0, 5000).select((F.col("id") % 2).alias("g"), (F.col("id") % 1000).alias("v"))
+    exact = {r["g"]: r["n_v"] for r in metrics.distinct_counts(df, ["g"], "v").collect()}
+    approx = {r["g"]: r["n_v"] for r in metrics.distinct_counts(df, ["g"], "v", approx=True, rsd=0.02).collect()}
+    assert exact == {0: 500, 1: 500}
+    assert all(abs(approx[g] - 500) <= 50 for g in approx)
