@@ -447,3 +447,22 @@ def test_distinct_counts_exact_and_approx(spark):
     approx = {r["g"]: r["n_v"] for r in metrics.distinct_counts(df, ["g"], "v", approx=True, rsd=0.02).collect()}
     assert exact == {0: 500, 1: 500}
     assert all(abs(approx[g] - 500) <= 50 for g in approx)
+
+
+def test_hot_pool_scale_paths_agree(spark):
+    """One pool holds a third of the rows; the bounded paths must give the simple paths' answers."""
+    rng = np.random.default_rng(11)
+    n = 450
+    data = [(i, 0 if i < n // 3 else 1 + i % 20, [float(x) for x in rng.normal(size=5)]) for i in range(n)]
+    df = spark.createDataFrame(data, "k long, pool int, v array<double>")
+    a = sorted(pool_separation(df, ["pool"], "v", method="percentile").collect())
+    b = sorted(pool_separation(df, ["pool"], "v", method="bracket").collect())
+    assert [r["separation"] for r in a] == pytest.approx([r["separation"] for r in b], abs=1e-12)
+    w = dense_index(df.select("pool", "k"), ["k"], by=["pool"], out="i", method="window")
+    r = dense_index(df.select("pool", "k"), ["k"], by=["pool"], out="i", method="range", num_partitions=6)
+    assert w.join(r.withColumnRenamed("i", "j"), ["pool", "k"]).where("i <> j").count() == 0
+    hot = df.where("pool = 0")
+    got = pairwise_median_similarity(hot, ["pool"], "k", "v", block_size=32, bins=16, max_candidates=200).first()
+    m = np.array([v for _, p, v in data if p == 0])
+    s = (m @ m.T) / np.outer(np.linalg.norm(m, axis=1), np.linalg.norm(m, axis=1))
+    assert got["median_similarity"] == pytest.approx(float(np.median(s[~np.eye(len(m), dtype=bool)])), abs=1e-12)
