@@ -16,6 +16,26 @@ def _escaped(e: str) -> str:
 
 
 ORACLE: dict[str, str] = {
+    "op6_near_duplicates": f"""
+WITH RECURSIVE d AS (
+    SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), {UPPER}, {LOWER}), '[ \\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents
+), g AS (
+    SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 4 THEN list_transform(generate_series(1, len(w) - 3), lambda i: array_to_string(w[i:i+3], ' '))
+        WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM d
+), n AS (
+    SELECT doc_id, count(g.g) AS n FROM documents LEFT JOIN g USING (doc_id) GROUP BY doc_id
+), c AS (
+    SELECT x.doc_id AS u, y.doc_id AS v, count(*) AS k FROM g x JOIN g y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL
+), l AS (
+    SELECT u, v FROM c JOIN n a ON a.doc_id = u JOIN n b ON b.doc_id = v WHERE 100 * k >= 80 * (a.n + b.n - k)
+), e AS (
+    SELECT u, v FROM l UNION ALL SELECT v, u FROM l
+), r AS (
+    SELECT doc_id, doc_id AS m FROM documents
+    UNION SELECT r.doc_id, e.v FROM r JOIN e ON e.u = r.m
+)
+SELECT doc_id, n AS n_shingles, min(m) AS component_id, doc_id = min(m) AS kept FROM r JOIN n USING (doc_id) GROUP BY doc_id, n
+""",
     "op7_chat_formatting": f"""
 WITH t AS (
     SELECT conv_id, CAST(turn AS BIGINT) AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations

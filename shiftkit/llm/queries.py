@@ -11,6 +11,7 @@ from shiftkit.llm.chat import format_events, log_of, read_back
 from shiftkit.llm.common import table
 from shiftkit.llm.contain import find_contained
 from shiftkit.llm.lines import dedup_lines
+from shiftkit.llm.neardup import near_duplicates
 from shiftkit.llm.ring import assign_shards
 
 
@@ -23,6 +24,11 @@ def op2_ring_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of documents linked by 4-word shingle sets of similarity 0.8 or more."""
+    return near_duplicates(table(spark, sf_dir, "documents"), words=4, percent=80)
+
+
 def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations, and conversation -1 whose texts are control strings, logged, folded, rendered and read back."""
     own = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
@@ -52,5 +58,5 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_ring_sharding, op7_chat_formatting, op8_containment, op9_line_dedup)
+    f.__name__: f for f in (op2_ring_sharding, op6_near_duplicates, op7_chat_formatting, op8_containment, op9_line_dedup)
 }
