@@ -8,13 +8,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shiftkit.llm.chat import format_events, log_of, read_back
+from shiftkit.llm.chunks import dedup_substrings
 from shiftkit.llm.common import table
 from shiftkit.llm.contain import find_contained
 from shiftkit.llm.lines import dedup_lines
+from shiftkit.llm.mixing import mix_sources, taken_words
 from shiftkit.llm.neardup import near_duplicates
 from shiftkit.llm.ring import assign_shards
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words each document gives to the mix of all sources at 150 % of their sizes."""
+    return taken_words(*mix_sources(table(spark, sf_dir, "documents")))
+
+
 def op2_ring_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shards 0 to 7 with equal row counts, on a bounded-load ring keyed by doc_id."""
     placed = assign_shards(table(spark, sf_dir, "documents"), n_shards=8)
@@ -57,6 +64,16 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages that other documents have too are cut out of all but the first."""
+    found = dedup_substrings(table(spark, sf_dir, "documents"))
+    spans = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return found.select(
+        "doc_id", "n_chunks", "n_shared", "n_dropped", "dropped_words", F.length("text").cast("long").alias("kept_chars"),
+        F.sha2("text", 256).alias("kept_sha256"), spans.alias("spans"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_ring_sharding, op6_near_duplicates, op7_chat_formatting, op8_containment, op9_line_dedup)
+    f.__name__: f for f in (op1_mixing, op2_ring_sharding, op6_near_duplicates, op7_chat_formatting, op8_containment, op9_line_dedup, op10_substring_dedup)
 }
