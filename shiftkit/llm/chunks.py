@@ -119,7 +119,7 @@ def chunk_digests(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8(F.col("text")).alias("body")).mapInPandas(run, "doc_id long, a long, b long")
 
 
-def dedup_substrings(docs: DataFrame, min_words: int = 12) -> DataFrame:
+def dedup_substrings(docs: DataFrame, min_words: int = 20) -> DataFrame:
     """Drop passages that a document with a smaller doc_id, or the same document further up, has too.
 
     Texts are cut into variable chunks (about 6 words) at places a rolling hash of the last 16 bytes

@@ -46,7 +46,7 @@ class Shingler:
         words, known = text.split(), self.known
         if len(known) > self.KEEP:
             known.clear()
-        for w in set(words) - known.keys():
+        for w in set(words).difference(known):
             known[w] = xxhash.xxh64_intdigest(w)
         h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
         m = len(h) - self.n + 1
