@@ -199,7 +199,7 @@ def log_odds(of_text: list[np.ndarray], labels: np.ndarray, n: int) -> np.ndarra
     return np.clip((ratio[1] - ratio[0]) / 2, -1.5, 1.5).astype(np.float32)
 
 
-def train(texts: list[bytes], labels: np.ndarray, epochs: int = 5, batch: int = 128, rate: float = 0.01, least: int = 3, seed: int = 1) -> Network:
+def train(texts: list[bytes], labels: np.ndarray, epochs: int = 6, batch: int = 128, rate: float = 0.01, least: int = 3, seed: int = 1) -> Network:
     """Fit the network to whole texts with a label each.
 
     Which window makes a text toxic is unknown, so a positive text teaches by its highest window, a

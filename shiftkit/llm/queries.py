@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shiftkit.llm.chat import format_events, log_of, read_back
@@ -14,7 +14,10 @@ from shiftkit.llm.contain import find_contained
 from shiftkit.llm.lines import dedup_lines
 from shiftkit.llm.mixing import mix_sources, taken_words
 from shiftkit.llm.neardup import near_duplicates
+from shiftkit.llm.pii import KINDS, find_personal
 from shiftkit.llm.ring import assign_shards
+from shiftkit.llm.toxicity import score_toxicity
+from shiftkit.llm.vptree import nearest
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,6 +34,33 @@ def op2_ring_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_vp_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 rows with the largest inner product for every 20th row, by exact search (factor one)."""
+    return nearest(table(spark, sf_dir, "embeddings"), every=20, k=20, relax=1.0)
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every whole document, learnt from the labels that aren't held out."""
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every whole document: pattern spans, and all spans with those the field adds."""
+
+    def digest(spans: Column) -> Column:
+        order = F.array(*[F.lit(k) for k in KINDS])
+        keyed = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.array_position(order, s["kind"]).alias("no"), s["end"].alias("end"), s["kind"].alias("kind")))
+        return F.array_join(F.transform(F.array_sort(keyed), lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+    found = find_personal(table(spark, sf_dir, "documents"))
+    kinds = F.transform("base", lambda s: s["kind"])
+    counts = [(F.size("base") - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{k}") for k in KINDS]
+    return found.select(
+        "doc_id", *counts, F.sha2(digest(F.col("base")), 256).alias("base_sha256"),
+        digest(F.concat("base", "added")).alias("spans"), F.size("added").cast("long").alias("n_added"),
+    )
+
+
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes of documents linked by 4-word shingle sets of similarity 0.8 or more."""
     return near_duplicates(table(spark, sf_dir, "documents"), words=4, percent=80)
@@ -75,5 +105,9 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mixing, op2_ring_sharding, op6_near_duplicates, op7_chat_formatting, op8_containment, op9_line_dedup, op10_substring_dedup)
+    f.__name__: f
+    for f in (
+        op1_mixing, op2_ring_sharding, op3_vp_tree, op4_toxicity, op5_personal_data, op6_near_duplicates,
+        op7_chat_formatting, op8_containment, op9_line_dedup, op10_substring_dedup,
+    )
 }

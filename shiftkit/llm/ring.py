@@ -72,7 +72,7 @@ def ring_cell(key: Column, n_shards: int, vnodes: int, waves: int) -> Column:
 def assign_shards(
     docs: DataFrame, n_shards: int = 8, key: str = "doc_id", slack: float = 0.0, vnodes: int = 64, waves: int = 128
 ) -> DataFrame:
-    """Give each row a shard and a slot: ``key, text, shard, slot``.
+    """Give each row a shard and a slot: ``key, size`` (UTF-8 bytes), ``crc32, digest`` (of the text), ``shard, slot``.
 
     Each key hashes to a place on a ring of ``n_shards * vnodes`` virtual nodes and belongs to the next node
     clockwise; a shard takes ``(1 + slack)`` times its even share at most, and keys that overflow a full
@@ -100,5 +100,18 @@ def assign_shards(
         F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("crc32"), F.xxhash64("text").alias("digest"),
     ).withColumn("rank", F.row_number().over(order).cast("long") - 1)
     return ranked.join(plan, (F.col("cell") == F.col("at")) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi"))).select(
-        F.col("key").alias(key), "size", "crc32", F.col("shard").cast("int").alias("shard"), (F.col("first") + F.col("rank") - F.col("lo")).alias("slot")
+        F.col("key").alias(key), "size", "crc32", "digest", F.col("shard").cast("int").alias("shard"), (F.col("first") + F.col("rank") - F.col("lo")).alias("slot")
     )
+
+
+def add_shards(docs: DataFrame, n_shards: int = 8) -> DataFrame:
+    """``docs`` with all its columns, and ``shard`` and ``slot`` of each row; a column of these names is replaced.
+
+    Rows equal in doc_id and text are put on their places in any order.
+    """
+    same = Window.partitionBy("doc_id", "sharded_digest")
+    numbered = docs.drop("shard", "slot").withColumn("sharded_digest", F.xxhash64("text")).withColumn("sharded_copy", F.row_number().over(same.orderBy("text")))
+    placed = assign_shards(docs, n_shards).select(F.col("doc_id").alias("sharded_id"), F.col("digest").alias("of_digest"), "shard", "slot")
+    placed = placed.withColumn("of_copy", F.row_number().over(Window.partitionBy("sharded_id", "of_digest").orderBy("shard", "slot")))
+    match = F.col("doc_id").eqNullSafe(F.col("sharded_id")) & (F.col("sharded_digest") == F.col("of_digest")) & (F.col("sharded_copy") == F.col("of_copy"))
+    return numbered.join(placed, match).select(*[c for c in docs.columns if c not in ("shard", "slot")], "shard", "slot")
