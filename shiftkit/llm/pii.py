@@ -82,7 +82,7 @@ def graph(text: str) -> tuple[list[tuple[int, int]], list[list[str]], list[tuple
     """Tokens (spans without closing punctuation), their features, chain edges and skip edges.
 
     Chain edges join neighbouring tokens with only separators between; skip edges join a token to the next
-    one, however far, that is the same or similar: equal digits (four or more), or equal letters of an address.
+    one, however far, that is the same or similar: equal digits (three or more), or equal letters of an address.
     """
     spans, seen, chain, skip, feats = [], {}, [], [], []
     for m in _TOKEN.finditer(text):
@@ -94,7 +94,7 @@ def graph(text: str) -> tuple[list[tuple[int, int]], list[list[str]], list[tuple
         if i and not text[spans[-1][1] : start].strip(" "):
             chain.append((i - 1, i))
         digits = re.sub(r"[^0-9]", "", token)
-        key = token.lower() if "@" in token else digits if len(digits) >= 4 else None
+        key = token.lower() if "@" in token else digits if len(digits) >= 3 else None
         if key:
             if key in seen and (seen[key], i) not in chain[-1:]:
                 skip.append((seen[key], i))
