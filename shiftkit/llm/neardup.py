@@ -35,7 +35,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 class Shingler:
     """Distinct 64-bit hashes of the n-word shingles of UTF-8 texts; hashes of words are kept for the next text."""
 
-    KEEP = 500_000
+    KEEP = 150_000
 
     def __init__(self, n: int) -> None:
         self.n, self.known = n, {}
@@ -156,6 +156,80 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     return bodies.mapInPandas(run, "node long, grams array<long>")
 
 
+def grouped(held: DataFrame, groups: DataFrame) -> DataFrame:
+    """``key, node, group, top, members`` of the buckets that hold several groups; top is a bucket's largest group."""
+    member = held.select("key", "node").join(groups, "node", "left").select("key", "node", F.coalesce("root", "node").alias("group"))
+    sizes = member.groupBy("key", "group").agg(F.count(F.lit(1)).alias("n"))
+    mixed = sizes.groupBy(F.col("key").alias("bucket")).agg(F.max(F.struct("n", "group")).alias("best"), F.sum("n").alias("members"), F.count(F.lit(1)).alias("groups")).where("groups > 1")
+    return member.join(mixed, F.col("key") == F.col("bucket")).select("key", "node", "group", F.col("best.group").alias("top"), "members")
+
+
+def star_pairs(members: DataFrame, turn: int) -> DataFrame:
+    """Each member of a bucket with the one member that this turn's hash picks, if they are of different groups."""
+    pick = F.xxhash64(F.lit(turn), "node")
+    heads = members.groupBy(F.col("key").alias("bucket")).agg(F.min(F.struct(pick.alias("h"), F.col("node"), F.col("group"))).alias("head"))
+    both = members.join(heads, F.col("key") == F.col("bucket")).where(F.col("group") != F.col("head.group"))
+    return both.select(F.col("head.node").alias("u"), F.col("node").alias("v")).distinct()
+
+
+def across(members: DataFrame, nodes: DataFrame, threshold: float, best: int | None, block: int = 4096) -> DataFrame:
+    """Pairs (u, v) of different groups in a bucket that signatures and set sizes allow, from :func:`grouped` members.
+
+    Each member outside a bucket's largest group meets all members of other groups; with ``best`` only its closest
+    so many are returned, else all. Buckets are cut into blocks of about ``block`` members, and a task compares
+    the signatures of two blocks at a time, so no task holds a whole large bucket. A pair comes from the first bucket it shares only
+    (without ``best``).
+    """
+    ship_by_value()
+    blocks = F.ceil(F.col("members") / block).cast("int")
+    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
+    sides = F.transform(F.sequence(F.lit(0), blocks - 1), lambda other: F.struct(F.least(own, other).alias("i"), F.greatest(own, other).alias("j")))
+    dealt = members.join(nodes.select("node", "sig", "n_shingles"), "node").select("key", "node", "group", "top", "sig", "n_shingles", own.alias("own"), F.explode(sides).alias("p"))
+    dealt = dealt.select("key", F.col("p.i").alias("i"), F.col("p.j").alias("j"), "own", "node", "group", "top", "sig", "n_shingles")
+
+    def compare(part: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        key, node, group, n = (part[c].to_numpy(np.int64) for c in ("key", "node", "group", "n_shingles"))
+        sig = np.frombuffer(b"".join(part["sig"]), "<u2").reshape(-1, SYMBOLS)
+        apart = part["i"].iloc[0] != part["j"].iloc[0]
+        side, u, v = part["own"].to_numpy(), [], []
+        for x in np.flatnonzero(group != part["top"].to_numpy(np.int64)):
+            y = np.flatnonzero((group != group[x]) & (np.minimum(n, n[x]) >= threshold * np.maximum(n, n[x]) - 1e-9) & ((side != side[x]) if apart else True))
+            same = sig[y] == sig[x]
+            errors = SYMBOLS - same.sum(axis=1)
+            ok = errors <= ERRORS
+            if best is None:
+                alike = same.reshape(len(y), SYMBOLS // CHUNK, CHUNK)
+                shared = alike.sum(axis=2)
+                chunk = (shared >= CHUNK - 1).argmax(axis=1)
+                at = np.arange(len(y))
+                out = np.where(shared[at, chunk] == CHUNK, 0, (~alike[at, chunk]).argmax(axis=1))
+                ok &= chunk * CHUNK + out == key[x] >> 16 * (CHUNK - 1)
+            y = y[ok]
+            if best is not None and len(y) > best:
+                y = y[np.lexsort((node[y], errors[ok]))[:best]]
+            u.append(np.minimum(node[x], node[y]))
+            v.append(np.maximum(node[x], node[y]))
+        none = [np.zeros(0, np.int64)]
+        return np.concatenate(u or none), np.concatenate(v or none)
+
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest = None
+        for batch in (*batches, None):
+            both = rest if batch is None else batch if rest is None else pd.concat([rest, batch], ignore_index=True)
+            if both is None or not len(both):
+                continue
+            at = both[["key", "i", "j"]].to_numpy(np.int64)
+            starts = np.flatnonzero(np.append(True, (at[1:] != at[:-1]).any(axis=1)))
+            ends = np.append(starts[1:], len(both))
+            if batch is not None:  # the last pair of blocks may go on in the next batch
+                rest, starts, ends = both.iloc[starts[-1] :], starts[:-1], ends[:-1]
+            found = [compare(both.iloc[a:b]) for a, b in zip(starts, ends, strict=True)]
+            if found:
+                yield pd.DataFrame({"u": np.concatenate([f[0] for f in found]), "v": np.concatenate([f[1] for f in found])})
+
+    return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInPandas(run, "u long, v long").distinct()
+
+
 def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 80) -> DataFrame:
     """Classes of near-duplicates: ``doc_id, n_shingles, component_id, kept``, a row for each row of ``docs``.
 
@@ -164,14 +238,14 @@ def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 80) -> DataF
 
     1. Equal sets become one node (grouped by a 128-bit fingerprint with map-side combine), so exact copies
        cost nothing from there on.
-    2. Nodes meet under the keys of :func:`chunk_keys`. In each key's bucket every node is paired with the
-       bucket's smallest node only; the closest such partner by signature is confirmed on whole sets.
-       Links make first components.
-    3. Buckets that still hold several components give the pairs across them, never those inside one; pairs
-       within the signature threshold are confirmed, and all links together make the result.
+    2. Nodes meet in the buckets of :func:`chunk_keys`. Twice, every node is paired with one node of each bucket,
+       and its closest such partner by signature is confirmed on whole sets. Confirmed links connect most of any family of
+       near copies at the cost of a pair a member.
+    3. Only buckets that still hold several groups go on: their members outside the largest group are confirmed
+       with their closest members of other groups, and, where they are still apart, with all that the
+       signature threshold allows. Pairs inside a group are never formed.
 
-    So a bucket with a huge group of near copies costs one pair a member, and yet any linked pair within the
-    signature threshold is either confirmed or already connected.
+    So any pair within the signature threshold is either confirmed or connected already, and no link is lost.
 
     A text of fewer words is one shingle; a text without words, or null, is linked with nothing and is its own
     class. Repeated rows are copies; a null doc_id takes part, and names a class (null) only if no other does.
@@ -181,27 +255,20 @@ def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 80) -> DataF
     sets = signed.where("n_shingles > 0").groupBy("a", "b", "n_shingles").agg(F.min("doc_id").alias("first_id"), F.min("row").alias("row"), F.min("sig").alias("sig"))
     nodes = materialize(sets.withColumn("node", F.monotonically_increasing_id()))
     keys = chunk_keys(nodes)
-    heads = keys.groupBy(F.col("key").alias("bucket")).agg(F.min("node").alias("u"), F.max("node").alias("last")).where("u < last").select("bucket", "u")
-    held = materialize(keys.join(heads, F.col("key") == F.col("bucket")).select("key", "node", "u"))
-
-    stars = near_enough(held.where("node <> u").select("u", F.col("node").alias("v")).distinct(), nodes, percent / 100)
-    closest = stars.groupBy("v").agg(F.min(F.struct("errors", "u")).alias("best")).select("v", "best.u")
-    active = held.select("node").distinct()
-    grams = materialize(whole_sets(docs, nodes.join(active, "node").select("row", "node"), words))
-    links = materialize(confirm(closest, grams, percent))
-    groups = components(links)
-
-    member = held.select("key", "node").join(groups, "node", "left").withColumn("group", F.coalesce("root", "node"))
-    parts = member.groupBy("key", "group").agg(F.count(F.lit(1)).alias("n"))
-    mixed = parts.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low < high").select("key")
-    members = materialize(member.join(mixed, "key", "left_semi").select("key", "group", "node"))
-    parts = members.select("key", "group").distinct()
-    across = parts.select("key", F.col("group").alias("g")).join(parts.select("key", F.col("group").alias("h")), "key").where("g < h")
-    left = members.select("key", F.col("group").alias("g"), F.col("node").alias("x"))
-    right = members.select("key", F.col("group").alias("h"), F.col("node").alias("y"))
-    met = across.join(left, ["key", "g"]).join(right, ["key", "h"]).select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct()
-    more = confirm(near_enough(met, nodes, percent / 100).select("u", "v"), grams, percent)
-    groups = components(links.union(more))
+    several = keys.groupBy(F.col("key").alias("bucket")).agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("bucket")
+    held = materialize(keys.join(several, F.col("key") == F.col("bucket")).select("key", "node"))
+    grams = materialize(whole_sets(docs, nodes.join(held.select("node").distinct(), "node").select("row", "node"), words))
+
+    links = groups = docs.sparkSession.createDataFrame([], "node long, root long")
+    for turn, best in enumerate((1, 1, 8, None)):
+        members = grouped(held, groups)
+        if turn < 2:
+            near = near_enough(star_pairs(members, turn), nodes, percent / 100)
+            pairs = near.groupBy("v").agg(F.min(F.struct("errors", "u")).alias("closest")).select("closest.u", "v")
+        else:
+            pairs = across(members, nodes, percent / 100, best)
+        links = materialize(links.union(confirm(pairs, grams, percent)))
+        groups = components(links.toDF("u", "v"))
 
     named = nodes.join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
     names = named.groupBy(F.col("root").alias("class")).agg(F.min("first_id").alias("component_id"))
