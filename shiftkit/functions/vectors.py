@@ -31,7 +31,8 @@ def norm(a) -> Column:
 
 
 def cosine_similarity(a, b) -> Column:
-    return dot(a, b) / (norm(a) * norm(b))
+    """NULL where a vector has length zero: its direction is undefined."""
+    return F.try_divide(dot(a, b), norm(a) * norm(b))
 
 
 def cosine_distance(a, b) -> Column:

@@ -16,12 +16,19 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shiftkit.functions.vectors import as_double
-from shiftkit.session import materialize, ship_package
+from shiftkit.functions.vectors import as_double, distance_fn, norm
+from shiftkit.operators.positional import dense_index
+from shiftkit.operators.vectors import null_safe
+from shiftkit.session import materialize, ship_package, stored
 
 DEFAULT_BLOCK = 512
 
 
+def has_direction(vec: str):
+    """Rows whose vector is there and longer than zero; the others have no cosine with anything."""
+    return F.col(vec).isNotNull() & (norm(as_double(vec)) > 0)
+
+
 def vector_blocks(df: DataFrame, pool: Sequence[str], key: str, vec: str, block_size: int = DEFAULT_BLOCK,
                   normalize: bool = False) -> DataFrame:
     """Pack rows into blocks: (pool..., block, nb, keys, vecs); ``nb`` = blocks in the pool.
@@ -32,13 +39,14 @@ def vector_blocks(df: DataFrame, pool: Sequence[str], key: str, vec: str, block_
     pool = list(pool)
     v = as_double(vec)
     if normalize:
-        nrm = F.sqrt(F.aggregate(F.transform(v, lambda x: x * x), F.lit(0.0), lambda a, x: a + x))
+        df = df.where(has_direction(vec))
+        nrm = norm(v)
         v = F.transform(v, lambda x: x / nrm)
     rows = df.select(*pool, F.col(key).alias("_k"), v.alias("_v"))
     if pool:
         # block count per pool from its size (a per-pool table, sized at runtime by AQE)
         sizes = df.groupBy(*pool).agg(F.count(F.lit(1)).alias("_n"))
-        rows = rows.join(sizes, pool)
+        rows = null_safe(rows, sizes, pool)
     else:
         rows = rows.withColumn("_n", F.lit(df.count()))
     nb = F.greatest(F.ceil(F.col("_n") / F.lit(block_size)), F.lit(1)).cast("long")
@@ -65,18 +73,6 @@ def self_block_pairs(blocks: DataFrame, pool: Sequence[str]) -> DataFrame:
     return pairs.join(left, [*pool, "b1"]).join(right, [*pool, "b2"])
 
 
-def cross_block_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Every (left block, right block) pair of two block tables without pool keys."""
-    nl = left.select("nb").first()[0]
-    nr = right.select("nb").first()[0]
-    spark = left.sparkSession
-    pairs = spark.range(int(nl) * int(nr)).select(
-        (F.col("id") / nr).cast("long").alias("b1"), F.pmod(F.col("id"), F.lit(nr)).alias("b2"))
-    lb = left.select(F.col("block").alias("b1"), F.col("keys").alias("keys1"), F.col("vecs").alias("vecs1"))
-    rb = right.select(F.col("block").alias("b2"), F.col("keys").alias("keys2"), F.col("vecs").alias("vecs2"))
-    return pairs.join(lb, "b1").join(rb, "b2")
-
-
 def _mat(v) -> np.ndarray:
     return np.stack([np.asarray(x, dtype=np.float64) for x in v]) if len(v) else np.zeros((0, 0))
 
@@ -105,11 +101,14 @@ def pairwise_median_similarity(df: DataFrame, pool: Sequence[str], key: str, vec
     """Exact median of the cosine similarity over all unordered pairs of distinct rows, per pool.
 
     Pass 1 counts similarities in ``bins`` equal bins per pool; the bins holding the two middle
-    ranks give a bracket. Further passes narrow the bracket while it holds more than
-    ``max_candidates`` values. The last pass returns the count below the bracket and the values
-    inside it, from which the middle ranks are read exactly.
+    ranks give a bracket. Further passes narrow the bracket until it holds at most
+    ``max_candidates`` values, or only values that doubles can't tell apart. The last pass returns the count below
+    the bracket and the distinct values inside it, from which the middle ranks are read exactly. Zero and NULL vectors
+    have no similarity and take no part. The work is quadratic in a pool's size, as the median of all pairs is.
     """
-    pool = list(pool)
+    names, pool = list(pool), ["_p"]
+    # one text names a pool, so that NULL is a pool like any other
+    df = df.where(has_direction(vec)).withColumn("_p", F.to_json(F.struct(*names), {"ignoreNullFields": "false"}) if names else F.lit(""))
     ship_package(df.sparkSession)
     # every pass reads the blocks: checkpoint them once (1x the data, not the replicated pairs)
     blocks = materialize(vector_blocks(df, pool, key, vec, block_size, normalize=True))
@@ -155,7 +154,7 @@ def pairwise_median_similarity(df: DataFrame, pool: Sequence[str], key: str, vec
                 yield pd.concat(outs, ignore_index=True)
 
     # Narrow the bracket [a, b) while the values inside it are too many to rank in one task.
-    for _ in range(6):
+    while True:
         hist = pairs.join(targets, pool).mapInPandas(hist_fn, f"{ps}, bin long, cnt long")
         counts = hist.groupBy(*pool, "bin").agg(F.sum("cnt").alias("cnt"))
         w = Window.partitionBy(*pool).orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -180,11 +179,11 @@ def pairwise_median_similarity(df: DataFrame, pool: Sequence[str], key: str, vec
             (F.col("_base") + F.col("_under")).alias("_base"),
             F.col("_inside").alias("_inside"),
         )
-        # one row per pool; checkpointing it keeps each round's plan from nesting the previous ones
-        nxt = materialize(nxt)
-        biggest = nxt.agg(F.max("_inside")).first()[0] or 0
+        # one row per pool; storing it keeps each round's plan from nesting the previous ones
+        nxt = stored(nxt)
+        open_ = nxt.where((F.col("_inside") > max_candidates) & (F.col("_b") - F.col("_a") > 1e-14)).count()
         targets = nxt.drop("_inside")
-        if biggest <= max_candidates:
+        if not open_:
             break
     # widen by a rounding margin so the last pass's own count decides membership
     targets = targets.withColumn("_a", F.col("_a") - F.lit(1e-12)).withColumn("_b", F.col("_b") + F.lit(1e-12))
@@ -203,101 +202,63 @@ def pairwise_median_similarity(df: DataFrame, pool: Sequence[str], key: str, vec
         F.max(F.when(covers("_lo"), F.col("val"))).alias("_vlo"),
         F.max(F.when(covers("_hi"), F.col("val"))).alias("_vhi"),
     )
-    return picked.select(*pool, ((F.col("_vlo") + F.col("_vhi")) / 2).alias(out))
-
-
-def _pivot_blocks(df: DataFrame, key: str, vec: str, pivot, block_size: int, normalize: bool) -> DataFrame:
-    """Blocks of consecutive rows in order of their Euclidean distance to ``pivot`` (a column), with
-    the distance range of each block: (block, nb, keys, vecs, rmin, rmax)."""
-    from shiftkit.functions.vectors import euclidean_distance
-    from shiftkit.operators.positional import dense_index
-
-    v = as_double(vec)
-    if normalize:
-        nrm = F.sqrt(F.aggregate(F.transform(v, lambda x: x * x), F.lit(0.0), lambda a, x: a + x))
-        v = F.transform(v, lambda x: x / nrm)
-    rows = df.select(F.col(key).alias("_k"), v.alias("_v")).withColumn("_p", pivot).withColumn(
-        "_r", euclidean_distance(F.col("_v"), F.col("_p"))).drop("_p")
-    idx = dense_index(rows, ["_r", "_k"], out="_i")
-    n = df.count()
-    nb = max(1, -(-n // block_size))
-    g = idx.withColumn("block", (F.col("_i") / block_size).cast("long")).groupBy("block").agg(
-        F.collect_list(F.struct("_k", "_v")).alias("_kv"), F.min("_r").alias("rmin"), F.max("_r").alias("rmax"))
-    return g.select("block", F.lit(nb).cast("long").alias("nb"), F.transform("_kv", lambda e: e["_k"]).alias("keys"),
-                    F.transform("_kv", lambda e: e["_v"]).alias("vecs"), "rmin", "rmax")
+    named = picked.select("_p", ((F.col("_vlo") + F.col("_vhi")) / 2).alias(out)).join(df.select("_p", *names).distinct(), "_p")
+    return named.select(*names, out)
 
 
 def band_match(left: DataFrame, right: DataFrame, key: str, vec: str, target: float, width: float,
-               metric: str = "euclidean", block_size: int = DEFAULT_BLOCK, prefilter: bool = False) -> DataFrame:
+               metric: str = "euclidean", block_size: int = DEFAULT_BLOCK) -> DataFrame:
     """For each left row, the first right row (smallest key) with ``|d - target| < width``.
 
-    Each block pair reports at most one candidate per left row (its smallest matching right key);
-    a grouping then keeps the smallest over all right blocks. Rows without a match are absent, as
-    in the reference's loop.
-
-    ``prefilter=True`` sorts both sides into blocks by distance to a pivot (the right side's mean) and
-    skips block pairs whose triangle-inequality bounds on the distance cannot reach the band; the
-    result is the same, the saving depends on how spread the pivot distances are.
+    The right side is numbered in key order and cut into blocks of consecutive keys. Left rows are matched
+    against the first blocks, the matched ones are taken out, and the rest goes on to the next, twice as many, blocks,
+    until no left row or no right block is left: most rows meet few blocks, and only rows without any
+    match meet all. A block pair reports one candidate per left row. Rows without a match are absent.
+    Keys may be of any ordered type; an empty side gives no rows.
     """
     ship_package(left.sparkSession)
     kt = left.schema[key].dataType.simpleString()
-    kind = "cosine" if metric == "cosine" else "euclidean"
-    norm = kind == "cosine"
-    if prefilter:
-        from shiftkit.operators.vectors import vector_mean
-
-        pivot = vector_mean(right.select(as_double(vec).alias("_pv")), [], "_pv", "_m").select("_m").scalar()
-        lb = _pivot_blocks(left, key, vec, pivot, block_size, norm)
-        rb = _pivot_blocks(right, key, vec, pivot, block_size, norm)
-        # Euclidean band between (normalised) vectors; cosine distance is e^2 / 2 on unit vectors
-        if norm:
-            lo_e, hi_e = (2 * max(0.0, target - width)) ** 0.5, (2 * (target + width)) ** 0.5
-        else:
-            lo_e, hi_e = target - width, target + width
-        nl, nr = lb.select("nb").first()[0], rb.select("nb").first()[0]
-        grid = left.sparkSession.range(int(nl) * int(nr)).select(
-            (F.col("id") / nr).cast("long").alias("b1"), F.pmod(F.col("id"), F.lit(nr)).alias("b2"))
-        ls = lb.select(F.col("block").alias("b1"), F.col("rmin").alias("_alo"), F.col("rmax").alias("_ahi"))
-        rs = rb.select(F.col("block").alias("b2"), F.col("rmin").alias("_blo"), F.col("rmax").alias("_bhi"))
-        lower = F.greatest(F.lit(0.0), F.col("_alo") - F.col("_bhi"), F.col("_blo") - F.col("_ahi"))
-        upper = F.col("_ahi") + F.col("_bhi")
-        eps = 1e-9
-        kept = grid.join(ls, "b1").join(rs, "b2").where((lower < hi_e + eps) & (upper > lo_e - eps)).select("b1", "b2")
-        pairs = kept.join(lb.select(F.col("block").alias("b1"), F.col("keys").alias("keys1"), F.col("vecs").alias("vecs1")), "b1").join(
-            rb.select(F.col("block").alias("b2"), F.col("keys").alias("keys2"), F.col("vecs").alias("vecs2")), "b2")
-    else:
-        lb = vector_blocks(left, [], key, vec, block_size, normalize=norm)
-        rb = vector_blocks(right, [], key, vec, block_size, normalize=norm)
-        pairs = cross_block_pairs(lb, rb)
+    cosine = metric == "cosine"
+    if cosine:
+        left, right = left.where(has_direction(vec)), right.where(has_direction(vec))
+    rows = dense_index(right.select(F.col(key).alias("_k"), as_double(vec).alias("_v")), ["_k"], out="_i")
+    packed = rows.groupBy(F.floor(F.col("_i") / block_size).alias("b2")).agg(F.array_sort(F.collect_list(F.struct("_i", "_k", "_v"))).alias("_s"))
+    blocks = materialize(packed.select("b2", F.transform("_s", lambda e: e["_k"]).alias("keys2"), F.transform("_s", lambda e: e["_v"]).alias("vecs2")))
+    last = blocks.agg(F.max("b2")).first()[0]
+    n_right = 0 if last is None else int(last) + 1
 
     def fn(it):
         for pdf in it:
             outs = []
             for _, row in pdf.iterrows():
                 a, b = _mat(row["vecs1"]), _mat(row["vecs2"])
-                if not len(a) or not len(b):
-                    continue
-                if kind == "cosine":
-                    d = 1.0 - a @ b.T
+                if cosine:
+                    d = 1.0 - (a @ b.T) / np.outer(np.linalg.norm(a, axis=1), np.linalg.norm(b, axis=1))
                 else:
                     d = np.sqrt(np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * (a @ b.T), 0.0))
                 ok = np.abs(d - target) < width
-                kr = np.asarray(row["keys2"])
-                big = np.where(ok, kr[None, :], np.iinfo(np.int64).max)
-                j = big.argmin(axis=1)
-                hit = ok[np.arange(len(a)), j]
-                if hit.any():
-                    outs.append(pd.DataFrame({
-                        "key_a": np.asarray(row["keys1"])[hit], "key_b": kr[j[hit]],
-                        "approx": d[np.arange(len(a))[hit], j[hit]]}))
+                hit = ok.any(axis=1)
+                if hit.any():  # keys ascend inside a block
+                    outs.append(pd.DataFrame({"key_a": np.asarray(row["keys1"])[hit], "key_b": np.asarray(row["keys2"])[ok[hit].argmax(axis=1)]}))
             if outs:
                 yield pd.concat(outs, ignore_index=True)
 
-    cands = pairs.mapInPandas(fn, f"key_a {kt}, key_b {kt}, approx double")
-    best = cands.groupBy("key_a").agg(F.min("key_b").alias("key_b"))
-    # recompute the winning distance on the JVM from the original vectors
-    from shiftkit.functions.vectors import distance_fn
-
+    spark, todo, best, at, step = left.sparkSession, left, None, 0, 1
+    while at < n_right:
+        lb = vector_blocks(todo, [], key, vec, block_size)
+        span = min(step, n_right - at)
+        meet = lb.select(F.col("keys").alias("keys1"), F.col("vecs").alias("vecs1"), F.explode(F.sequence(F.lit(at).cast("long"), F.lit(at + span - 1).cast("long"))).alias("b2"))
+        found = meet.join(blocks, "b2").mapInPandas(fn, f"key_a {kt}, key_b {kt}").groupBy("key_a").agg(F.min("key_b").alias("key_b"))
+        found = stored(found)
+        best = found if best is None else best.unionByName(found)
+        at, step = at + span, step * 2
+        if at < n_right:
+            todo = stored(todo.join(found.select(F.col("key_a").alias(key)), key, "left_anti"))
+            if todo.isEmpty():
+                break
+    if best is None:
+        best = spark.createDataFrame([], f"key_a {kt}, key_b {kt}")
+    # the winning distance on the JVM from the original vectors
     lv = left.select(F.col(key).alias("key_a"), as_double(vec).alias("_va"))
     rv = right.select(F.col(key).alias("key_b"), as_double(vec).alias("_vb"))
     return best.join(lv, "key_a").join(rv, "key_b").select(

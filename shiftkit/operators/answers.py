@@ -105,16 +105,19 @@ def parse_updates(long: DataFrame, var: str = "variable", val: str = "value", ke
 
 
 def pivot_updates(parsed: DataFrame, key: str, types: Sequence[str], kind: str = "update_type",
-                  val: str = "value", check_unique: bool = False) -> DataFrame:
+                  val: str = "value", check_unique: bool = True) -> DataFrame:
     """One row per key, one column per update type (the known list avoids a discovery pass).
 
-    ``check_unique`` raises if a (key, type) repeats, as ``pandas.pivot`` would.
+    A type outside the list fails the query, and with ``check_unique`` so does a (key, type) that
+    repeats, as ``pandas.pivot`` would.
     """
+    from shiftkit.operators.scores import pivot_listed
+
+    one = F.max(val)
     if check_unique:
-        dup = parsed.groupBy(key, kind).count().where("count > 1").limit(1).collect()
-        if dup:
-            raise ValueError(f"duplicate ({key}, {kind}) entries, e.g. {dup[0]}")
-    return parsed.groupBy(key).pivot(kind, list(types)).agg(F.max(val))
+        name = F.concat_ws(" ", F.lit(f"duplicate {key}, {kind}:"), F.first(F.col(key).cast("string")), F.first(kind))
+        one = F.when(F.count(F.lit(1)) > 1, F.raise_error(name).cast("string")).otherwise(one)
+    return pivot_listed(parsed, [key], kind, types, one)
 
 
 def split_model_prefix(df: DataFrame, name: str, models: Sequence[str], model_out: str = "update_model",
@@ -142,9 +145,10 @@ def short_model_name(df: DataFrame, col: str, mapping: dict | None = None, out:
 
 def parse_label_list(df: DataFrame, col: str, out: str = "labels", mode: str = "digit") -> DataFrame:
     """Labels from free text: every digit character is one label (``mode='digit'``, the reference's
-    reading, so ``10`` gives 1, 0) or every digit run (``mode='number'``)."""
+    reading, so ``10`` gives 1, 0) or every digit run (``mode='number'``). A number beyond 64 bits is NULL."""
     pattern = r"\d" if mode == "digit" else r"\d+"
-    return df.withColumn(out, F.regexp_extract_all(F.col(col), F.lit(pattern), 0).cast("array<int>"))
+    found = F.regexp_extract_all(F.col(col), F.lit(pattern), 0)
+    return df.withColumn(out, F.transform(found, lambda x: x.try_cast("long")))
 
 
 def null_tokens(df: DataFrame, cols: Sequence[str], tokens: Sequence[str] = ("nan",)) -> DataFrame:
@@ -167,26 +171,26 @@ def unanswered(answers: DataFrame, val: str = "value") -> DataFrame:
 
 
 def retry_unanswered(answers: DataFrame, respond, key: str = "variable", val: str = "value",
-                     prompt: str = "prompt", max_rounds: int = 10) -> DataFrame:
-    """Ask the unanswered questions again until all are answered or a round makes no progress.
+                     allow_open: bool = False) -> DataFrame:
+    """Ask the unanswered questions again, round after round, until all are answered.
 
     ``respond(df) -> DataFrame(key, value)`` answers the rows it is given (for example
-    ``prompts.run_responder`` over their prompts). Every round's table is checkpointed in the shared
-    folder; the number of open rows is the only value brought to the driver.
+    ``prompts.run_responder`` over their prompts). A round that answers nothing new ends the loop; rows
+    still open then are an error, or stay NULL with ``allow_open``. Every round's table is checkpointed in the
+    shared folder; the number of open rows is the only value brought to the driver.
     """
     from shiftkit.session import materialize
 
     cur = materialize(answers)
     open_rows = unanswered(cur, val).count()
-    for _ in range(max_rounds):
-        if open_rows == 0:
-            break
-        todo = unanswered(cur, val)
-        patch = respond(todo).select(key, F.col(val))
+    while open_rows:
+        patch = respond(unanswered(cur, val)).select(key, F.col(val))
         cur = materialize(patch_answers(cur, patch, [key], val))
         left = unanswered(cur, val).count()
         if left >= open_rows:
-            break
+            if allow_open:
+                break
+            raise ValueError(f"{left} questions stay unanswered: a round brought no new answer")
         open_rows = left
     return cur
 

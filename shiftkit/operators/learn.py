@@ -25,7 +25,7 @@ def bag_of_words(text: str, vocab_size: int = 5000, out: str = "features") -> li
     ]
 
 
-# Classifier names as the reference spells them, with short aliases.
+# Classifier names as the reference spells them, with short aliases.
 CLASSIFIER_NAMES = {
     "logistic_regression": "logistic", "logistic": "logistic",
     "random_forest": "forest", "forest": "forest",
@@ -50,27 +50,21 @@ def make_classifier(method: str, n_features: int, label: str = "label"):
 
 
 def featurize(df: DataFrame, text: str, label: str, split: str, vocab_size: int):
-    """Bag-of-words vectors for train and test, fitted on train only and persisted once, so every
-    classifier iteration reads vectors instead of re-tokenising the texts."""
+    """Bag-of-words vectors of all rows, fitted on the train rows only, and the vocabulary's size. The vectors are
+    persisted, so every classifier iteration reads them instead of the texts; the caller unpersists them."""
     data = df.select(text, F.col(label).cast("double").alias("label"), split).fillna({text: ""})
     train = data.where(F.col(split) == "train")
     feats = Pipeline(stages=bag_of_words(text, vocab_size)).fit(train)
     n = len(feats.stages[-1].vocabulary)
     vec = feats.transform(data).select("features", "label", split)
-    # iterative fits run many small jobs: size the partitions to the data (~2k rows each) so small
-    # inputs do not pay per-task overhead on every iteration, and large inputs keep their parallelism
-    rows = data.count()
-    parts = max(1, min(vec.rdd.getNumPartitions(), -(-rows // 2_000)))
-    vec = vec.repartition(parts).persist()
-    return vec.where(F.col(split) == "train"), vec.where(F.col(split) == "test"), max(n, 1)
+    vec = vec.persist()
+    return vec, max(n, 1)
 
 
-def _fit_eval(df: DataFrame, text: str, label: str, split: str, method: str, vocab_size: int,
-              prepared=None, keep_raw: bool = False) -> DataFrame:
-    train, test, n = prepared or featurize(df, text, label, split, vocab_size)
-    model = make_classifier(method, n).fit(train)
-    cols = ["label", "prediction"] + (["rawPrediction"] if keep_raw else [])
-    return model.transform(test).select(*cols)
+def _scored(vec: DataFrame, n: int, split: str, method: str) -> DataFrame:
+    """The test rows with the prediction of a classifier fitted to the train rows."""
+    model = make_classifier(method, n).fit(vec.where(F.col(split) == "train"))
+    return model.transform(vec.where(F.col(split) == "test"))
 
 
 def _in_parallel(fn, items):
@@ -85,42 +79,47 @@ def _in_parallel(fn, items):
 
 def classifier_accuracy(df: DataFrame, text: str, label: str, split: str, methods: Sequence[str],
                         vocab_size: int = 5000) -> DataFrame:
-    """Train each named classifier on the train split and report its test accuracy."""
-    prepared = featurize(df, text, label, split, vocab_size)
+    """Train each named classifier on the train split and report, on the test split: accuracy, rows, rows of label 1, and
+    whether it beats always naming the larger class."""
+    vec, n = featurize(df, text, label, split, vocab_size)
 
     def one(m):
-        pred = _fit_eval(df, text, label, split, m, vocab_size, prepared)
-        return pred.agg(F.avg((F.col("label") == F.col("prediction")).cast("double")).alias("accuracy"),
-                        F.count(F.lit(1)).alias("n")).withColumn("method", F.lit(m))
+        hit = F.avg((F.col("label") == F.col("prediction")).cast("double"))
+        share = F.avg("label")
+        row = _scored(vec, n, split, m).agg(
+            hit.alias("accuracy"), F.count(F.lit(1)).alias("n"), F.sum("label").cast("long").alias("n_positive"),
+            (hit > F.greatest(share, 1 - share)).alias("beats_majority")).first()
+        return (m, *row)
 
-    out = None
-    for r in _in_parallel(one, methods):
-        out = r if out is None else out.unionByName(r)
-    return out.select("method", "accuracy", "n")
+    try:
+        rows = _in_parallel(one, methods)
+    finally:
+        vec.unpersist()
+    return df.sparkSession.createDataFrame(
+        rows, "method string, accuracy double, n long, n_positive long, beats_majority boolean")
 
 
 def variant_auroc(df: DataFrame, variants: Sequence[str], label: str, split: str, method: str = "gbt",
                   vocab_size: int = 5000) -> DataFrame:
     """For each text variant: fit bag-of-words + classifier; AUROC of the hard test predictions (the
-    reference's measure) and of the classifier scores."""
+    reference's measure) and of the classifier scores, with the test rows of each class. A test split with
+    one class has no AUROC (NULL)."""
     from shiftkit.operators.metrics import auroc_hard
 
     from pyspark.ml.evaluation import BinaryClassificationEvaluator
 
     def one(v):
-        scored = _fit_eval(df, v, label, split, method, vocab_size, keep_raw=True).persist()
-        pred = scored.select(F.col("label").cast("int").alias("t"), F.col("prediction").cast("int").alias("p"))
-        # score-based ROC AUC as well (one number per variant reaches the driver)
+        vec, n = featurize(df, v, label, split, vocab_size)
+        scored = _scored(vec, n, split, method).select("label", "prediction", "rawPrediction").persist()
         try:
-            score_auc = BinaryClassificationEvaluator(labelCol="label").evaluate(scored)
-        except Exception:  # noqa: BLE001 - a test split with one class has no ROC curve
-            score_auc = None
-        if score_auc is not None and score_auc != score_auc:  # NaN
-            score_auc = None
-        return auroc_hard(pred, "t", "p").select(F.lit(v).alias("variant"), "auroc",
-                                                 F.lit(score_auc).cast("double").alias("auroc_score"))
-
-    out = None
-    for r in _in_parallel(one, variants):
-        out = r if out is None else out.unionByName(r)
-    return out
+            pred = scored.select(F.col("label").cast("int").alias("t"), F.col("prediction").cast("int").alias("p"))
+            r = auroc_hard(pred, "t", "p").first()
+            pos, neg = r["tp"] + r["fn"], r["tn"] + r["fp"]
+            score = float(BinaryClassificationEvaluator(labelCol="label").evaluate(scored)) if pos and neg else None
+            return (v, r["auroc"], score, pos, neg)
+        finally:
+            scored.unpersist()
+            vec.unpersist()
+
+    rows = _in_parallel(one, variants)
+    return df.sparkSession.createDataFrame(rows, "variant string, auroc double, auroc_score double, n_positive long, n_negative long")

@@ -12,7 +12,7 @@ from shiftkit.operators.quantiles import group_quantiles
 
 def value_counts(df: DataFrame, col, out: str = "n") -> DataFrame:
     c = F.col(col) if isinstance(col, str) else col
-    return df.groupBy(c).agg(F.count(F.lit(1)).alias(out)).orderBy(F.desc(out))
+    return df.groupBy(c).agg(F.count(F.lit(1)).alias(out)).orderBy(F.desc(out), c)
 
 
 def category_of(name) -> "F.Column":
@@ -27,7 +27,7 @@ def null_profile(df: DataFrame) -> DataFrame:
     return df.agg(*aggs)
 
 
-def describe(df: DataFrame, value: str, by: Sequence[str] = (), method: str = "auto") -> DataFrame:
+def describe(df: DataFrame, value: str, by: Sequence[str] = (), method: str = "exact") -> DataFrame:
     """count, mean, sample std, min, exact quartiles, max per group."""
     by = list(by)
     x = F.col(value)
@@ -95,7 +95,7 @@ def token_f1(df: DataFrame, truth: str, pred: str) -> DataFrame:
     ).select("*", same.agg(F.count(F.lit(1))).scalar().alias("n_sequences"))
 
 
-def median_threshold_label(df: DataFrame, value: str, out: str = "pred", method: str = "auto") -> DataFrame:
+def median_threshold_label(df: DataFrame, value: str, out: str = "pred", method: str = "exact") -> DataFrame:
     """1 where the value is above the column's exact median, else 0."""
     med = group_quantiles(df, value, [], [0.5], ["_med"], method=method).scalar()
     return df.withColumn(out, F.when(F.col(value) > med, 1).otherwise(0))

@@ -1,66 +1,55 @@
-"""Row positions without a single-partition window.
+"""Row positions and running totals without a window over a whole group.
 
-``dense_index`` numbers rows 0..n-1 in a given order, globally or inside groups. It range-partitions
-the key columns on (group, order) so a large group spreads over many tasks, counts rows per
-(partition, group), turns the counts into offsets on that small table, and adds each row's position
-inside its sorted partition. The order columns must make the order total inside a group (end them
-with a unique key).
+Rows are range-partitioned on (group, order), so a large group spreads over many tasks; each
+partition numbers or sums its own part, and the parts of a group that start in an earlier partition
+get that much added. Only groups that cross a partition boundary need it, at most one for each
+partition, so the table of offsets is no larger than the number of partitions.
 
-The keyed, position-tagged table is checkpointed once in the shared checkpoint folder: both branches
-that read it (counts and positions) and any recomputation after a lost executor see the same rows,
-even when the input itself comes out of a shuffle whose row order varies.
+The range-partitioned table is checkpointed once in the shared checkpoint folder: every branch and
+any recomputation after a lost executor sees the same rows in the same partitions.
 """
 
 from __future__ import annotations
 
 from typing import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shiftkit.session import materialize
 
 
-WINDOW_LIMIT = 1_000_000
+def running_total(df: DataFrame, order: Sequence[str], by: Sequence[str], amount: Column, out: str,
+                  num_partitions: int | None = None) -> DataFrame:
+    """``df`` with the sum of ``amount`` (whole numbers) over the rows before each one in its group.
 
-
-def dense_index(df: DataFrame, order: Sequence[str], by: Sequence[str] = (), out: str = "idx",
-                num_partitions: int | None = None, method: str = "auto",
-                window_limit: int = WINDOW_LIMIT) -> DataFrame:
-    """Number rows 0..n-1 per ``by`` group in ``order``.
-
-    ``method``: ``"window"`` (``row_number``; a group goes to one task), ``"range"`` (the distributed
-    index above), or ``"auto"``: measure the largest group and use the window only while it holds at
-    most ``window_limit`` rows.
+    Rows equal in all order columns follow each other in an order given by a hash of the whole row,
+    which also spreads a value that many rows share over the partitions. NULLs in group or order
+    columns are values like any other, first in order.
     """
-    by = list(by)
-    order = list(order)
-    if method == "auto":
-        from shiftkit.operators.quantiles import max_group_size
-
-        method = "window" if max_group_size(df, by) <= window_limit else "range"
-    if method == "window":
-        w = (Window.partitionBy(*by) if by else Window.partitionBy()).orderBy(*order)
-        return df.withColumn(out, (F.row_number().over(w) - 1).cast("long"))
-    if method != "range":
-        raise ValueError(f"unknown method {method!r}")
-    keys = by + [c for c in order if c not in by]
+    by, order = list(by), list(order)
     n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.select(*keys).repartitionByRange(n, *keys).sortWithinPartitions(*keys)
-    tagged = materialize(ranged.withColumn("_pid", F.spark_partition_id()).withColumn("_mid", F.monotonically_increasing_id()))
-    stats = tagged.groupBy("_pid", *by).agg(F.count(F.lit(1)).alias("_c"), F.min("_mid").alias("_m0"))
-    w = (Window.partitionBy(*by) if by else Window.partitionBy()).orderBy("_pid").rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    stats = stats.withColumn("_off", F.coalesce(F.sum("_c").over(w), F.lit(0)))
-    st = stats.select(F.col("_pid").alias("_spid"), *[F.col(b).alias(f"_sby{i}") for i, b in enumerate(by)], "_off", "_m0")
-    cond = [tagged["_pid"] == st["_spid"]] + [tagged[b].eqNullSafe(st[f"_sby{i}"]) for i, b in enumerate(by)]
-    idx = tagged.join(st, cond).select(*keys, (F.col("_off") + F.col("_mid") - F.col("_m0")).cast("long").alias(out))
-    extra = [c for c in df.columns if c not in keys]
-    if not extra:
-        return idx
-    # attach the positions to the full rows by key (null-safe, so NULL keys keep their rows)
-    renamed = idx.select(*[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)], out)
-    cond = [df[k].eqNullSafe(renamed[f"_key{i}"]) for i, k in enumerate(keys)]
-    return df.join(renamed, cond).drop(*[f"_key{i}" for i in range(len(keys))])
+    tie = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
+    rows = df.withColumn("_tie", tie).withColumn("_amount", amount)
+    keys = [F.col(f"`{c}`") for c in [*by, *(c for c in order if c not in by)]] + [F.col("_tie")]
+    tagged = materialize(rows.repartitionByRange(n, *keys).withColumn("_pid", F.spark_partition_id()))
+    groups = [F.col(f"`{c}`") for c in by]
+    inside = Window.partitionBy("_pid", *groups).orderBy(*keys).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = tagged.withColumn("_local", F.sum("_amount").over(inside) - F.col("_amount"))
+    parts = tagged.groupBy("_pid", *groups).agg(F.sum("_amount").alias("_part"))
+    earlier = Window.partitionBy(*groups).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    crossing = parts.withColumn("_before", F.sum("_part").over(earlier)).where(F.col("_before").isNotNull()).select(
+        F.col("_pid").alias("_opid"), *[F.col(f"`{c}`").alias(f"_o{i}") for i, c in enumerate(by)], "_before")
+    cond = F.col("_pid") == F.col("_opid")
+    for i, c in enumerate(by):
+        cond = cond & F.col(f"`{c}`").eqNullSafe(F.col(f"_o{i}"))
+    # at most one crossing group a partition: bounded by the number of partitions
+    total = local.join(F.broadcast(crossing), cond, "left").withColumn(
+        out, (F.col("_local") + F.coalesce("_before", F.lit(0))).cast("long"))
+    return total.select(*[F.col(f"`{c}`") for c in df.columns], out)
+
 
+def dense_index(df: DataFrame, order: Sequence[str], by: Sequence[str] = (), out: str = "idx",
+                num_partitions: int | None = None) -> DataFrame:
+    """Number rows 0..n-1 per ``by`` group in ``order``; every row keeps all its columns and gets one number."""
+    return running_total(df, order, by, F.lit(1).cast("long"), out, num_partitions)

@@ -16,7 +16,7 @@ from shiftkit.operators.positional import dense_index
 
 PARAM_PATTERN = r"<([^>]*)>"
 
-# Prompt wording per kind; ``<TEXT>``, ``<PERSONA>`` and ``<POST>`` are filled per row.
+# Prompt wording per kind; ``<TEXT>``, ``<PERSONA>``, ``<POST>`` and ``<HISTORY>`` are filled per row.
 PROMPT_KINDS = {
     "clean": "Rewrite the text below as clean plain text. Keep every fact.\n\n<TEXT>",
     "summarize": "You are <PERSONA>. Summarize the text below in a few sentences.\n\n<TEXT>",
@@ -28,6 +28,9 @@ PROMPT_KINDS = {
     "adjust": "You are <PERSONA>. Adjust the text below so it would be accepted.\n\n<TEXT>",
     "generate": "You are <PERSONA>. Write a new text like the one below.\n\n<TEXT>",
     "label": "You are <PERSONA>. Give one label number per token of: <TEXT>",
+    "score_post": "You are <PERSONA>. Rate the text below from 0 to 10 for the post that follows.\n\n<TEXT>\n\nPost: <POST>",
+    "learn": "You are <PERSONA>. Your earlier decisions:\n\n<HISTORY>\nWould you accept the text below? Answer Yes or No.\n\n<TEXT>",
+    "adjust_tailored": "You are <PERSONA>. Your earlier decisions:\n\n<HISTORY>\nAdjust the text below so you would accept it.\n\n<TEXT>",
 }
 
 
@@ -82,25 +85,30 @@ def compiled_fill(template: str, value_of) -> Column:
     return F.concat(*parts) if parts else F.lit("")
 
 
-def template_fill(templates: DataFrame, values: DataFrame, row_key: Sequence[str], template_key: str = "template_id",
+def template_fill(templates: DataFrame, rows: DataFrame, row_key: Sequence[str], template_key: str = "template_id",
                   template_col: str = "template") -> DataFrame:
-    """Fill every template for every row: ``values`` is long (row_key, param, value).
+    """Fill templates for every row from its other columns, whose names are the parameters.
 
-    Values become one map per row (a row's parameters are few); templates are joined by key when
-    ``values`` carries ``template_key``, else every row gets every template through an explode of the
-    (size-checked) template list.
+    A row that names its template in ``template_key`` is joined with it; else every row gets every
+    template. Templates are configuration: they reach the rows as one array value, so texts are not
+    shuffled. A NULL or unknown parameter keeps its mark.
     """
     row_key = list(row_key)
-    maps = values.groupBy(*row_key).agg(F.map_from_entries(F.collect_list(F.struct("param", "value"))).alias("_vals"))
-    if templates.count() > 1000:
-        raise ValueError("more than 1000 templates: join them by key instead")
-    tlist = templates.select(template_key, template_col).collect()
-    rows = maps.select(*row_key, "_vals", F.explode(F.array(*[F.lit(r[0]) for r in tlist])).alias(template_key))
-    filled = None
-    for tid, tpl in tlist:
-        e = compiled_fill(tpl, lambda p: F.element_at(F.col("_vals"), F.lit(p)))
-        filled = F.when(F.col(template_key) == tid, e) if filled is None else filled.when(F.col(template_key) == tid, e)
-    return rows.select(*row_key, template_key, filled.alias("filled"))
+    params = [c for c in rows.columns if c not in (*row_key, template_key)]
+    values = F.map_from_arrays(F.array(*[F.lit(c) for c in params]), F.array(*[F.col(f"`{c}`").cast("string") for c in params]))
+    slim = rows.withColumn("_vals", values)
+    if template_key in rows.columns:
+        both = slim.select(*row_key, template_key, "_vals").join(templates.select(template_key, template_col), template_key)
+    else:
+        every = templates.agg(F.collect_list(F.struct(F.col(template_key), F.col(template_col))).alias("l")).scalar()
+        both = slim.select(*row_key, "_vals", F.inline(every))
+    return both.select(*row_key, template_key, fill_expr(F.col(template_col), F.col("_vals")).alias("filled"))
+
+
+def values_wide(values: DataFrame, row_key: Sequence[str], params: Sequence[str]) -> DataFrame:
+    """Long values (row_key, param, value) as one row a key; of a repeated (row, param) the largest value counts."""
+    picks = [F.max(F.when(F.col("param") == p, F.col("value"))).alias(p) for p in params]
+    return values.groupBy(*row_key).agg(*picks)
 
 
 def prompt_id(kind, name, agent, model) -> Column:
@@ -110,20 +118,30 @@ def prompt_id(kind, name, agent, model) -> Column:
 
 
 def build_prompts(texts: DataFrame, name: str, text: str, kinds: Sequence[str], personas: Sequence[str],
-                  models: Sequence[str], post: str | None = None, templates: dict | None = None) -> DataFrame:
+                  models: Sequence[str], post: str | None = None, templates: dict | None = None,
+                  history: DataFrame | None = None) -> DataFrame:
     """Texts x kinds x personas x models prompt rows.
 
     The configuration lists are small parameters, so the product is an explode of a literal array on
-    each text row: no join, no shuffle, and work grows linearly with the texts.
+    each text row: no join, no shuffle, and work grows linearly with the texts. ``history`` (persona,
+    block, history; see ``history_blocks``) puts each persona's earlier decisions into its prompts, one
+    prompt for each block; it comes from a training sample of a chosen size, so it is broadcast.
+    A NULL text has no prompt (``unprompted`` lists such rows).
     """
     templates = templates or PROMPT_KINDS
     grid = F.array(*[
         F.struct(F.lit(k).alias("kind"), F.lit(p).alias("agent"), F.lit(m).alias("model"))
         for k in kinds for p in personas for m in models
     ])
-    rows = texts.select(F.col(name).cast("string").alias("text_name"), F.col(text).alias("_text"),
-                        (F.col(post) if post else F.lit("")).alias("_post"), F.explode(grid).alias("_g"))
+    rows = texts.where(F.col(text).isNotNull()).select(
+        F.col(name).cast("string").alias("text_name"), F.col(text).alias("_text"),
+        (F.coalesce(F.col(post), F.lit("")) if post else F.lit("")).alias("_post"), F.explode(grid).alias("_g"))
     values = {"TEXT": F.col("_text"), "PERSONA": F.col("_g.agent"), "POST": F.col("_post")}
+    more = []
+    if history is not None:
+        known = history.select(F.col("persona").alias("_of"), "block", F.col("history").alias("_history"))
+        rows = rows.join(F.broadcast(known), F.col("_g.agent") == F.col("_of"))
+        values["HISTORY"], more = F.col("_history"), ["block"]
     prompt = None
     for k in kinds:
         e = compiled_fill(templates[k], values.get)
@@ -131,10 +149,15 @@ def build_prompts(texts: DataFrame, name: str, text: str, kinds: Sequence[str],
     return rows.select(
         prompt_id(F.col("_g.kind"), "text_name", F.col("_g.agent"), F.col("_g.model")).alias("prompt_id"),
         F.col("_g.kind").alias("kind"), "text_name", F.col("_g.agent").alias("agent"), F.col("_g.model").alias("model"),
-        prompt.alias("prompt"),
+        *more, prompt.alias("prompt"),
     )
 
 
+def unprompted(texts: DataFrame, name: str, text: str) -> DataFrame:
+    """The names of the rows that ``build_prompts`` leaves out for want of a text."""
+    return texts.where(F.col(text).isNull()).select(F.col(name).cast("string").alias("text_name"))
+
+
 def apply_answers(texts: DataFrame, answers: DataFrame, name: str, answer: str, out: str,
                   fallback: str | None = None) -> DataFrame:
     """Write answers back by name (left join); rows without an answer keep ``fallback`` (or NULL)."""
@@ -150,17 +173,19 @@ FEW_SHOT_ITEM = (", Hired: ", "\n\n ----- \n\n")    # few-shot block over a trai
 
 
 def history_blocks(df: DataFrame, group: Sequence[str], order: str, text: str, decision: str,
-                   max_items: int = 1000, item: tuple[str, str] = HISTORY_ITEM) -> DataFrame:
+                   max_items: int, item: tuple[str, str] = HISTORY_ITEM) -> DataFrame:
     """Concatenate ``<text><label><decision><end>`` per group in ``order``, in blocks of ``max_items``.
 
-    Every item is kept: a group larger than ``max_items`` yields several consecutive blocks (``block``
-    0, 1, ...), so no single string or task holds an unbounded group.
+    The block size is part of the prompt's design: a group always yields blocks 0, 1, ... of so many
+    items, so no string or task holds an unbounded group. Rows without a text or decision
+    are no examples; they are left out and counted in no block (``n_items`` is what a block holds).
     """
     group = list(group)
     label, end = item
-    idx = dense_index(df, [order], by=group, out="_i")
+    examples = df.where(F.col(text).isNotNull() & F.col(decision).isNotNull())
+    idx = dense_index(examples, [order], by=group, out="_i")
     piece = F.concat(F.col(text), F.lit(label), F.col(decision).cast("string"), F.lit(end))
-    blocks = idx.withColumn("block", (F.col("_i") / max_items).cast("long"))
+    blocks = idx.withColumn("block", F.floor(F.col("_i") / max_items).cast("long"))
     g = blocks.groupBy(*group, "block").agg(
         F.array_sort(F.collect_list(F.struct(F.col("_i"), piece.alias("_s")))).alias("_items"),
         F.count(F.lit(1)).alias("n_items"),

@@ -1,20 +1,18 @@
-"""Exact grouped quantiles that stay bounded when one group holds a large share of the rows.
+"""Exact grouped quantiles by one path whatever the size of a group.
 
-Spark's exact ``percentile`` keeps every distinct value of a group in one aggregation buffer, so a
-group holding a third of the data lands in one task. ``group_quantiles`` uses it only while the
-largest group is below ``exact_limit`` rows; above that it brackets each quantile with the
-mergeable ``percentile_approx`` sketch, counts the rows under the bracket, and ranks only the rows
-inside it. The answer is the exact linear-interpolated quantile (numpy's default) either way.
+Equal values are counted first (with map-side combine), so a value that half of the rows share is
+one row; the counts become ranks by a distributed running total, and only the rows that hold a
+wanted rank are read. No task holds a whole group.
 """
 
 from __future__ import annotations
 
 from typing import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-DEFAULT_EXACT_LIMIT = 2_000_000
+from shiftkit.operators.positional import running_total
 
 
 def _names(probs, names):
@@ -25,112 +23,47 @@ def _names(probs, names):
     return list(names)
 
 
-def max_group_size(df: DataFrame, by: Sequence[str]) -> int:
-    """Largest group's row count (one small aggregation; only a number reaches the driver)."""
-    g = df.groupBy(*by).count() if by else df.select(F.count(F.lit(1)).alias("count"))
-    row = g.agg(F.max("count").alias("m")).first()
-    return int(row["m"] or 0)
+def group_quantiles(df: DataFrame, value: str, by: Sequence[str], probs: Sequence[float],
+                    names: Sequence[str] | None = None, method: str = "exact", accuracy: int = 200_000,
+                    weight: str | None = None) -> DataFrame:
+    """Quantiles of ``value`` per ``by`` group, one column per probability, a row for every group.
 
-
-def choose_method(df: DataFrame, by: Sequence[str], exact_limit: int = DEFAULT_EXACT_LIMIT) -> str:
-    """'percentile' while the largest group fits one task comfortably, else 'bracket'.
-
-    Call it on the cheapest table with the same group sizes (e.g. the raw rows before distances are
-    computed) so the check does not recompute a derived plan.
-    """
-    return "percentile" if max_group_size(df, by) <= exact_limit else "bracket"
-
-
-def group_quantiles(
-    df: DataFrame,
-    value: str,
-    by: Sequence[str],
-    probs: Sequence[float],
-    names: Sequence[str] | None = None,
-    method: str = "auto",
-    exact_limit: int = DEFAULT_EXACT_LIMIT,
-    accuracy: int = 200_000,
-) -> DataFrame:
-    """Quantiles of ``value`` per ``by`` group, one column per probability.
-
-    ``method``: ``"percentile"`` (Spark's exact aggregate), ``"bracket"`` (exact, bounded memory per
-    group), ``"auto"`` (measure the largest group, then choose one of those two), or ``"approx"``
-    (the mergeable sketch alone: rank error at most n / ``accuracy``, one pass).
+    The quantile is linearly interpolated (numpy's default); NULL values are left out, a group with
+    only NULLs has NULL quantiles, and NULL is a group like any other. With ``weight`` a row counts
+    that many times (whole numbers). ``method="approx"`` is the mergeable sketch instead: rank error
+    at most n / ``accuracy``, one pass.
     """
-    by = list(by)
+    by, probs = list(by), [float(p) for p in probs]
     names = _names(probs, names)
-    if method == "auto":
-        method = "percentile" if max_group_size(df, by) <= exact_limit else "bracket"
-    if method == "percentile":
-        agg = F.percentile(F.col(value).cast("double"), list(map(float, probs)))
-        out = (df.groupBy(*by) if by else df.groupBy()).agg(agg.alias("_q"))
-        return out.select(*by, *[F.col("_q")[i].alias(n) for i, n in enumerate(names)])
     if method == "approx":
-        agg = F.percentile_approx(F.col(value).cast("double"), list(map(float, probs)), accuracy)
+        agg = F.percentile_approx(F.col(value).cast("double"), probs, accuracy)
         out = (df.groupBy(*by) if by else df.groupBy()).agg(agg.alias("_q"))
         return out.select(*by, *[F.col("_q")[i].alias(n) for i, n in enumerate(names)])
-    if method != "bracket":
+    if method != "exact":
         raise ValueError(f"unknown method {method!r}")
-    return _bracket(df, value, by, [float(p) for p in probs], names, accuracy)
-
-
-def _bracket(df, value, by, probs, names, accuracy):
-    from shiftkit.session import materialize
-
-    key = by + ["_i"]
-    x = F.col("_x")
-    # three passes read the values: checkpoint the narrow (group, value) table once
-    data = materialize(df.select(*by, F.col(value).cast("double").alias("_x")).where(x.isNotNull()))
-    if not by:
-        data = data.withColumn("_g", F.lit(0))
-        key, by_eff = ["_g", "_i"], ["_g"]
+    w = F.col(weight).cast("long") if weight else F.lit(1).cast("long")
+    counts = df.select(*by, F.col(value).cast("double").alias("_x"), w.alias("_w")).groupBy(*by, "_x").agg(F.sum("_w").alias("_c"))
+    # a NULL value keeps its group alive with a count of 0
+    counts = counts.withColumn("_c", F.when(F.col("_x").isNull(), 0).otherwise(F.col("_c")))
+    ranked = running_total(counts, ["_x"], by, F.col("_c"), "_start")
+    totals = ranked.groupBy(*by).agg(F.sum("_c").alias("_n"))
+    if by:
+        right = totals.select(*[F.col(f"`{c}`").alias(f"_t{i}") for i, c in enumerate(by)], "_n")
+        cond = F.lit(True)
+        for i, c in enumerate(by):
+            cond = cond & F.col(f"`{c}`").eqNullSafe(F.col(f"_t{i}"))
+        ranked = ranked.join(right, cond)
     else:
-        by_eff = by
-    delta = 4.0 / accuracy
-    lows = [max(0.0, p - delta) for p in probs]
-    highs = [min(1.0, p + delta) for p in probs]
-    sketch = data.groupBy(*by_eff).agg(
-        F.count(x).alias("_n"), F.percentile_approx(x, lows + highs, accuracy).alias("_ab")
-    )
-    k = len(probs)
-    spec = F.array(*[
-        F.struct(F.lit(i).alias("_i"), F.lit(p).alias("_p"), F.col("_ab")[i].alias("_a"), F.col("_ab")[k + i].alias("_b"))
-        for i, p in enumerate(probs)
-    ])
-    bounds = (
-        sketch.select(*by_eff, "_n", F.inline(spec))
-        .withColumn("_pos", F.col("_p") * (F.col("_n") - 1))
-        .withColumn("_lo", F.floor("_pos").cast("long"))
-        .withColumn("_hi", F.ceil("_pos").cast("long"))
-    )
-    # without groups the bounds are one row per probability: broadcast them (a constant join key
-    # would otherwise send every row to one partition); with groups AQE sizes the join at runtime
-    small = (lambda t: F.broadcast(t)) if not by else (lambda t: t)
-    joined = data.join(small(bounds), by_eff)
-    counts = joined.groupBy(*key).agg(
-        F.sum(F.when(x < F.col("_a"), 1).otherwise(0)).cast("long").alias("_below"),
-        F.sum(F.when((x >= F.col("_a")) & (x <= F.col("_b")), 1).otherwise(0)).cast("long").alias("_inside"),
-    )
-    # The sketch's rank guarantee makes the bracket hold both ranks; if it ever does not, the
-    # whole group is ranked instead, so the answer stays exact.
-    checked = counts.join(bounds.select(*key, "_lo", "_hi", "_pos"), key).withColumn(
-        "_ok", (F.col("_below") <= F.col("_lo")) & (F.col("_below") + F.col("_inside") > F.col("_hi"))
-    )
-    inside = joined.join(small(checked.select(*key, "_below", "_ok")), key).where(
-        F.when(F.col("_ok"), (x >= F.col("_a")) & (x <= F.col("_b"))).otherwise(F.lit(True))
-    )
-    w = Window.partitionBy(*key).orderBy(x)
-    ranked = inside.withColumn(
-        "_r", F.row_number().over(w) - 1 + F.when(F.col("_ok"), F.col("_below")).otherwise(F.lit(0))
-    ).where((F.col("_r") == F.col("_lo")) | (F.col("_r") == F.col("_hi")))
-    picked = ranked.groupBy(*key).agg(
-        F.max(F.when(F.col("_r") == F.col("_lo"), x)).alias("_vlo"),
-        F.max(F.when(F.col("_r") == F.col("_hi"), x)).alias("_vhi"),
-        F.first("_pos").alias("_pos"),
-        F.first("_lo").alias("_lo"),
-    )
-    val = F.col("_vlo") + (F.col("_pos") - F.col("_lo")) * (F.col("_vhi") - F.col("_vlo"))
-    wide = picked.groupBy(*by_eff).agg(*[F.max(F.when(F.col("_i") == i, val)).alias(n) for i, n in enumerate(names)])
-    out = sketch.select(*by_eff).join(wide, by_eff, "left")
-    return out.select(*by, *names)
-
+        ranked = ranked.withColumn("_n", totals.select("_n").scalar())
+
+    def at(rank):
+        """The value that covers a rank."""
+        return F.max(F.when((F.col("_c") > 0) & (F.col("_start") <= rank) & (rank < F.col("_start") + F.col("_c")), F.col("_x")))
+
+    aggs = []
+    for i, p in enumerate(probs):
+        pos = F.lit(p) * (F.col("_n") - 1)
+        aggs += [at(F.floor(pos)).alias(f"_lo{i}"), at(F.ceil(pos)).alias(f"_hi{i}"), F.max(pos - F.floor(pos)).alias(f"_f{i}")]
+    g = (ranked.groupBy(*by) if by else ranked.groupBy()).agg(*aggs)
+    return g.select(*by, *[
+        (F.col(f"_lo{i}") + F.col(f"_f{i}") * (F.col(f"_hi{i}") - F.col(f"_lo{i}"))).alias(n) for i, n in enumerate(names)])

@@ -11,19 +11,19 @@ from typing import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shiftkit.functions.hashing import U32, hash_u32, hash_uniform, poisson1_weight
+from shiftkit.functions.hashing import hash_u60, hash_uniform, poisson1_weight
 from shiftkit.operators.positional import dense_index
 
 
 def sample_n(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
     """Uniform ``n`` rows without replacement: the ``n`` smallest hashes (top-k, no full sort)."""
-    h = hash_u32(seed, key)
+    h = hash_u60(seed, key)
     return df.withColumn("_h", h).orderBy("_h", key).limit(n).drop("_h")
 
 
 def shuffle(df: DataFrame, key: str, seed: int = 0) -> DataFrame:
     """A reproducible random order."""
-    return df.withColumn("_h", hash_u32(seed, key)).orderBy("_h", key).drop("_h")
+    return df.withColumn("_h", hash_u60(seed, key)).orderBy("_h", key).drop("_h")
 
 
 def stratified_ranks(df: DataFrame, key: str, stratum: str, k: int, seed: int = 0, out: str = "srank") -> DataFrame:
@@ -34,7 +34,7 @@ def stratified_ranks(df: DataFrame, key: str, stratum: str, k: int, seed: int =
     """
     w = Window.partitionBy(stratum).orderBy("_h", key)
     return (
-        df.withColumn("_h", hash_u32(seed, key))
+        df.withColumn("_h", hash_u60(seed, key))
         .withColumn(out, F.row_number().over(w))
         .where(F.col(out) <= k)
         .withColumn(out, F.col(out).cast("long"))
@@ -43,8 +43,9 @@ def stratified_ranks(df: DataFrame, key: str, stratum: str, k: int, seed: int =
 
 
 def stratified_sample(df: DataFrame, key: str, stratum: str, n: int, seed: int = 0) -> DataFrame:
-    """``n // (number of classes)`` rows per class; the reference uses ``n/2`` on a binary class."""
-    return stratified_ranks(df, key, stratum, n, seed)
+    """``n // (number of classes)`` rows per class (half of ``n`` each on a binary class); NULL is a class."""
+    classes = max(1, df.select(stratum).distinct().count())
+    return stratified_ranks(df, key, stratum, n // classes, seed)
 
 
 def stratified_train_test(df: DataFrame, key: str, stratum: str, k: int, seed: int = 0) -> DataFrame:
@@ -78,9 +79,10 @@ def bootstrap_draws(df: DataFrame, key: str, by: Sequence[str] = (), iters: int
     """
     by = list(by)
     grouped = bool(by)
-    if not grouped:
-        df, by = df.withColumn("_g", F.lit(0)), ["_g"]
     idx = dense_index(df.select(*by, key), [key], by=by, out="_j")
+    if not grouped:
+        # a constant in the hash only; draws are grouped by iteration and pick
+        idx, by = idx.withColumn("_g", F.lit(0)), ["_g"]
     if grouped:
         base = idx.join(idx.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")), by)
     else:  # one size for everything: a scalar subquery, not a join
@@ -100,7 +102,7 @@ def bootstrap_draws(df: DataFrame, key: str, by: Sequence[str] = (), iters: int
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     base = base.repartition(parts, *by, "_draw")
     draws = base.withColumn("_iter", F.explode(F.sequence(F.lit(0), F.lit(iters - 1)))).withColumn(
-        "_pick", F.pmod(hash_u32(seed, *by, "_iter", "_draw"), F.col("_n"))
+        "_pick", F.pmod(hash_u60(seed, *by, "_iter", "_draw"), F.col("_n"))
     )
     counted = draws.groupBy(*by, "_iter", "_pick").agg(F.count(F.lit(1)).alias("weight"))
     out = counted.join(idx.withColumnRenamed("_j", "_pick"), [*by, "_pick"]).select(
@@ -113,6 +115,6 @@ def poisson_weights(df: DataFrame, key: str, iters: int = 100, seed: int = 0) ->
     """Poisson(1) bootstrap weights per (row, iteration): no join, no group-wide state."""
     return (
         df.withColumn("iter", F.explode(F.sequence(F.lit(0), F.lit(iters - 1))))
-        .withColumn("weight", poisson1_weight(hash_u32(seed, key, "iter") / F.lit(U32)))
+        .withColumn("weight", poisson1_weight(hash_uniform(seed, key, "iter")))
         .where(F.col("weight") > 0)
     )

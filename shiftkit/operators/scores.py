@@ -10,10 +10,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def pivot_listed(df: DataFrame, rows: Sequence[str], col: str, values: Sequence[str], agg) -> DataFrame:
+    """Pivot on a known list of values; a value outside the list is an error and not a lost column."""
+    known = F.col(col).isin(list(values)) | F.col(col).isNull()
+    checked = F.when(known, F.col(col)).otherwise(F.raise_error(F.concat(F.lit(f"unlisted {col}: "), F.col(col).cast("string"))))
+    return df.withColumn(col, checked.cast(df.schema[col].dataType)).groupBy(*rows).pivot(col, list(values)).agg(agg)
+
+
 def scores_wide(scores: DataFrame, key: str, model: str, score: str, models: Sequence[str],
                 corpus: DataFrame | None = None, corpus_key: str | None = None) -> DataFrame:
     """One mean-score column per model (one pivot, not one join per model), left-joined to the corpus."""
-    wide = scores.groupBy(key).pivot(model, list(models)).agg(F.avg(score))
+    wide = pivot_listed(scores, [key], model, models, F.avg(score))
     if corpus is None:
         return wide
     ck = corpus_key or key
@@ -24,9 +31,14 @@ def model_pairs(models: Sequence[str]) -> list[tuple[str, str]]:
     return list(combinations(list(models), 2))
 
 
-def model_gap(wide: DataFrame, ids: Sequence[str], models: Sequence[str]) -> DataFrame:
-    """``score_a - score_b`` for every model pair, as long rows (model_a, model_b, gap)."""
+def model_gap(wide: DataFrame, ids: Sequence[str], models: Sequence[str], complete: bool = True) -> DataFrame:
+    """``score_a - score_b`` for every model pair, as long rows (model_a, model_b, gap).
+
+    With ``complete`` a row that lacks any model's score is left out; else its gaps are NULL.
+    """
     pairs = model_pairs(models)
+    if complete:
+        wide = wide.dropna(subset=list(models))
     rows = F.explode(F.array(*[
         F.struct(F.lit(a).alias("model_a"), F.lit(b).alias("model_b"), (F.col(f"`{a}`") - F.col(f"`{b}`")).alias("gap"))
         for a, b in pairs
@@ -36,20 +48,23 @@ def model_gap(wide: DataFrame, ids: Sequence[str], models: Sequence[str]) -> Dat
 
 def before_after(scores: DataFrame, keys: Sequence[str], phase: str, score: str,
                  before: str = "original", after: str = "updated") -> DataFrame:
-    """Left join original to updated mean scores on the full key (model included)."""
-    keys = list(keys)
-    m = scores.groupBy(*keys, phase).agg(F.avg(score).alias("_s"))
-    o = m.where(F.col(phase) == before).select(*keys, F.col("_s").alias(f"score_{before}"))
-    u = m.where(F.col(phase) == after).select(*keys, F.col("_s").alias(f"score_{after}"))
-    return o.join(u, keys, "left")
+    """Mean original and updated scores side by side on the full key (model included), for keys with an original row:
+    one grouping with two conditional means."""
+    is_before, is_after = F.col(phase) == before, F.col(phase) == after
+    g = scores.groupBy(*keys).agg(
+        F.avg(F.when(is_before, F.col(score))).alias(f"score_{before}"),
+        F.avg(F.when(is_after, F.col(score))).alias(f"score_{after}"),
+        F.count_if(is_before).alias("_n"),
+    )
+    return g.where("_n > 0").drop("_n")
 
 
 def diff_in_diff(ba: DataFrame, key: str, model: str, models: Sequence[str],
                  before: str = "score_original", after: str = "score_updated") -> DataFrame:
     """(after - before) of model a minus that of model b, per key and model pair."""
     delta = ba.select(key, model, (F.col(after) - F.col(before)).alias("_d"))
-    wide = delta.groupBy(key).pivot(model, list(models)).agg(F.first("_d"))
-    return model_gap(wide, [key], models).withColumnRenamed("gap", "did")
+    wide = pivot_listed(delta, [key], model, models, F.first("_d"))
+    return model_gap(wide, [key], models, complete=False).withColumnRenamed("gap", "did")
 
 
 def equal_width_histogram(df: DataFrame, value: str, by: Sequence[str] = (), bins: int = 20) -> DataFrame:
@@ -108,7 +123,14 @@ def integer_edge_histogram(df: DataFrame, value: str, by: Sequence[str] = (), lo
 
 def score_matrix(scores: DataFrame, rows: Sequence[str], col: str, score: str, values: Sequence[str]) -> DataFrame:
     """Mean score per (rows) x one column per ``col`` value: the table behind grouped bar charts."""
-    return scores.groupBy(*rows).pivot(col, list(values)).agg(F.avg(score))
+    return pivot_listed(scores, rows, col, values, F.avg(score))
+
+
+def improvement_rows(grid: DataFrame, draft: str, improve: str, scorer: str, score: str, fill: str = "-") -> DataFrame:
+    """The graded rows, best first: ``chain`` (``draft -> improver -> scorer``), score; a missing improver leaves its
+    step out, a missing scorer is written ``fill``."""
+    label = F.concat_ws(" -> ", F.col(draft), F.col(improve), F.coalesce(F.col(scorer), F.lit(fill)))
+    return grid.withColumn("chain", label).orderBy(F.desc_nulls_last(score), "chain")
 
 
 def improvement_chain(grid: DataFrame, draft: str, improve: str, scorer: str, score: str) -> DataFrame:
@@ -119,12 +141,12 @@ def improvement_chain(grid: DataFrame, draft: str, improve: str, scorer: str, sc
 
 
 def trim_scores(grid: DataFrame, category: str, score: str, fill: str = "none") -> DataFrame:
-    """Fill a NULL category, keep scored rows, and make the score an integer (truncating)."""
-    return (
-        grid.fillna({category: fill})
-        .where(F.col(score).isNotNull())
-        .withColumn(score, F.col(score).cast("int"))
-    )
+    """Fill a NULL category, keep scored rows, and make the score an integer (truncating).
+
+    A score that is no number counts as missing.
+    """
+    number = F.col(score).try_cast("double").try_cast("int")
+    return grid.fillna({category: fill}).withColumn(score, number).where(F.col(score).isNotNull())
 
 
 def decision_three_way(orig: DataFrame, generic: DataFrame, tailored: DataFrame, key: str,

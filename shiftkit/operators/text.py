@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 from typing import Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,36 +57,41 @@ def vocabulary(df: DataFrame, col: str, size: int = 5000, stop_words=ENGLISH_STO
     return top.withColumn("term_id", (F.row_number().over(w) - 1).cast("int"))
 
 
-def token_ids(df: DataFrame, key: str, col: str, vocab: DataFrame, max_len: int = 64, pad_id: int = -1,
+def token_ids(df: DataFrame, key: str, col: str, vocab: DataFrame, max_len: int | None = None, pad_id: int = -1,
               unknown_id: int = -2) -> DataFrame:
-    """Token ids per text, truncated and padded to ``max_len``; out-of-vocabulary tokens get
-    ``unknown_id``. The vocabulary (bounded by its size) is broadcast."""
-    toks = df.select(key, F.posexplode(F.slice(word_tokens(col), 1, max_len)).alias("pos", "term"))
+    """Token ids of each whole text; out-of-vocabulary tokens get ``unknown_id``. The vocabulary
+    (bounded by its size) is broadcast.
+
+    ``max_len`` is a model's input limit: with it ids are truncated and padded to that length.
+    """
+    toks = df.select(key, F.posexplode_outer(word_tokens(col)).alias("pos", "term"))
     ids = toks.join(F.broadcast(vocab.select("term", "term_id")), "term", "left")
-    g = ids.groupBy(key).agg(
-        F.array_sort(F.collect_list(F.struct("pos", F.coalesce("term_id", F.lit(unknown_id)).alias("id")))).alias("_s")
-    )
+    known = F.when(F.col("pos").isNotNull(), F.struct("pos", F.coalesce("term_id", F.lit(unknown_id)).alias("id")))
+    g = ids.groupBy(key).agg(F.array_sort(F.collect_list(known)).alias("_s"))
     seq = F.transform("_s", lambda s: s["id"])
-    padded = F.concat(seq, F.array_repeat(F.lit(pad_id), F.greatest(F.lit(max_len) - F.size(seq), F.lit(0))))
-    out = df.select(key).join(g, key, "left").select(
-        key, F.coalesce(padded, F.array_repeat(F.lit(pad_id), max_len)).alias("input_ids")
-    )
-    return out
+    if max_len is not None:
+        cut = F.slice(seq, 1, max_len)
+        seq = F.concat(cut, F.array_repeat(F.lit(pad_id), F.greatest(F.lit(max_len) - F.size(cut), F.lit(0))))
+    return g.select(key, seq.alias("input_ids"))
 
 
 def token_diff(pairs: DataFrame, keys: Sequence[str], before: str, after: str) -> DataFrame:
     """Per pair: whitespace tokens kept, removed and added (multiset difference of the two texts).
 
-    Counts per (pair, token) from each side meet in one full outer join; kept = min of the two counts,
-    removed / added = the surplus on the old / new side.
+    Both sides' tokens go through one grouping by (pair, token); kept = min of the two counts,
+    removed / added = the surplus on the old / new side. A pair without any token keeps one row, with a NULL token and
+    zero counts.
     """
     keys = list(keys)
-    b = pairs.select(*keys, F.explode(whitespace_tokens(before)).alias("token")).groupBy(*keys, "token").agg(
-        F.count(F.lit(1)).alias("_nb"))
-    a = pairs.select(*keys, F.explode(whitespace_tokens(after)).alias("token")).groupBy(*keys, "token").agg(
-        F.count(F.lit(1)).alias("_na"))
-    j = b.join(a, [*keys, "token"], "full").fillna(0, ["_nb", "_na"])
-    return j.select(
+
+    def side(col, old):
+        toks = F.transform(whitespace_tokens(F.coalesce(F.col(col), F.lit(""))), lambda t: F.struct(F.lit(old).alias("old"), t.alias("token")))
+        return toks
+
+    toks = pairs.select(*keys, F.explode_outer(F.concat(side(before, True), side(after, False))).alias("t"))
+    g = toks.groupBy(*keys, F.col("t.token").alias("token")).agg(
+        F.count_if(F.col("t.old")).alias("_nb"), F.count_if(~F.col("t.old")).alias("_na"))
+    return g.select(
         *keys, "token",
         F.least("_nb", "_na").alias("kept"),
         (F.col("_nb") - F.least("_nb", "_na")).alias("removed"),
@@ -93,6 +99,35 @@ def token_diff(pairs: DataFrame, keys: Sequence[str], before: str, after: str) -
     )
 
 
+def ordered_diff(df: DataFrame, before: str, after: str, out: str = "edits") -> DataFrame:
+    """The word-by-word edit script of each pair, in order: ``array<struct<op, token>>`` with op ``=``, ``-`` or ``+``.
+
+    A moved sentence is a removal and an addition here, unlike in ``token_diff``. Each row is a text pair of its own,
+    compared inside its task.
+    """
+    from shiftkit.session import ship_package
+
+    ship_package(df.sparkSession)
+
+    @F.pandas_udf("array<struct<op: string, token: string>>")
+    def script(old: pd.Series, new: pd.Series) -> pd.Series:
+        from difflib import SequenceMatcher
+
+        def one(a, b):
+            a, b = (a or "").split(), (b or "").split()
+            edits = []
+            for op, i, j, k, m in SequenceMatcher(None, a, b, autojunk=False).get_opcodes():
+                if op == "equal":
+                    edits += [{"op": "=", "token": t} for t in a[i:j]]
+                else:
+                    edits += [{"op": "-", "token": t} for t in a[i:j]] + [{"op": "+", "token": t} for t in b[k:m]]
+            return edits
+
+        return pd.Series([one(a, b) for a, b in zip(old, new)])
+
+    return df.withColumn(out, script(F.col(before), F.col(after)))
+
+
 def revision_summary(diff: DataFrame, keys: Sequence[str]) -> DataFrame:
     return diff.groupBy(*keys).agg(
         F.sum("kept").cast("long").alias("kept"), F.sum("removed").cast("long").alias("removed"),

@@ -11,76 +11,58 @@ from typing import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shiftkit.functions.hashing import hash_u60
 from shiftkit.functions.vectors import as_double, distance_fn
-from shiftkit.operators.quantiles import choose_method, group_quantiles
-
-
-
-def vector_dim(df: DataFrame, vec: str) -> int:
-    """Length of the first vector (reads one row)."""
-    row = df.select(F.size(vec).alias("d")).where(F.col("d") > 0).first()
-    if row is None:
-        raise ValueError(f"no non-empty vector in column {vec!r}")
-    return int(row["d"])
-
-
-# Above this estimated input size the per-dimension aggregate pays for its larger generated code.
-WIDE_MEAN_BYTES = 1 << 30
-WIDE_MEAN_MAX_DIM = 1024
-
-
-def estimated_bytes(df: DataFrame) -> int:
-    """Input volume of a plan: the summed size estimates of its leaf relations (statistics only, no
-    job). Join estimates without cost-based statistics multiply sizes, so leaves are steadier."""
-    try:
-        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-        return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
-    except Exception:  # noqa: BLE001 - estimates are advisory
-        return 0
+from shiftkit.operators.quantiles import group_quantiles
 
 
 def vector_mean(df: DataFrame, by: Sequence[str], vec: str, out: str = "centroid",
-                weight: str | None = None, dim: int | None = None) -> DataFrame:
-    """Element-wise (optionally weighted) mean of ``vec`` per ``by`` group; combines map-side, so the
-    shuffle carries partial sums only, however large a group is.
+                weight: str | None = None) -> DataFrame:
+    """Element-wise (optionally weighted) mean of ``vec`` per ``by`` group.
 
-    Small inputs explode to (group, dimension, value) and use one aggregate (little code to
-    compile). Inputs estimated above ``WIDE_MEAN_BYTES`` keep one running sum per dimension, which
-    costs less per element.
+    Spark ML's summarizer keeps one buffer of running sums per group and combines map-side, so the
+    shuffle carries one partial vector per task and group, however large a group is. NULL vectors
+    are left out.
     """
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
     by = list(by)
-    v = as_double(vec)
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
-    if estimated_bytes(df) > WIDE_MEAN_BYTES:
-        d = dim or vector_dim(df, vec)
-        if d <= WIDE_MEAN_MAX_DIM:
-            base = df.select(*by, v.alias("_v"), w.alias("_w"))
-            sums = [F.sum(F.col("_v")[i] * F.col("_w")).alias(f"_s{i}") for i in range(d)]
-            g = base.groupBy(*by).agg(F.sum("_w").alias("_W"), *sums)
-            return g.select(*by, F.array(*[F.col(f"_s{i}") / F.col("_W") for i in range(d)]).alias(out))
-    base = df.select(*by, w.alias("_w"), F.posexplode(v).alias("_d", "_x"))
-    g = base.groupBy(*by, "_d").agg((F.sum(F.col("_x") * F.col("_w")) / F.sum("_w")).alias("_m"))
-    return g.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("_d", "_m"))).alias("_s")).select(
-        *by, F.transform("_s", lambda s: s["_m"]).alias(out)
-    )
+    rows = df.where(F.col(vec).isNotNull()).select(*by, array_to_vector(as_double(vec)).alias("_v"), w.alias("_w"))
+    mean = Summarizer.mean(F.col("_v"), F.col("_w")).alias("_m")
+    g = (rows.groupBy(*by) if by else rows.groupBy()).agg(mean)
+    return g.select(*by, vector_to_array("_m").alias(out))
+
+
+def null_safe(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on equal keys where NULL equals NULL; the right side's key columns are dropped."""
+    renamed = right.select(*[F.col(f"`{c}`").alias(f"_k{i}") for i, c in enumerate(on)], *[c for c in right.columns if c not in on])
+    cond = F.lit(True)
+    for i, c in enumerate(on):
+        cond = cond & left[c].eqNullSafe(renamed[f"_k{i}"])
+    return left.join(renamed, cond, how).drop(*[f"_k{i}" for i in range(len(on))])
 
 
 def distance_to_centroid(df: DataFrame, pool: Sequence[str], vec: str, metric="cosine",
-                         out: str = "distance", weight: str | None = None, dim: int | None = None) -> DataFrame:
-    """Each row with its distance to its pool's (weighted) centroid."""
-    pool = list(pool)
-    cent = vector_mean(df, pool, vec, "_centroid", weight=weight, dim=dim)
+                         out: str = "distance", weight: str | None = None) -> DataFrame:
+    """Each row with its distance to its pool's (weighted) centroid; NULL for a zero vector under cosine."""
+    cent = vector_mean(df, pool, vec, "_centroid", weight=weight)
     dist = distance_fn(metric)
-    return df.join(cent, pool).withColumn(out, dist(as_double(vec), F.col("_centroid"))).drop("_centroid")
+    return null_safe(df, cent, list(pool)).withColumn(out, dist(as_double(vec), F.col("_centroid"))).drop("_centroid")
 
 
 def pool_separation(df: DataFrame, pool: Sequence[str], vec: str, metric="cosine",
-                    out: str = "separation", method: str = "auto") -> DataFrame:
-    """Median distance of a pool's members to the pool centroid (exact median)."""
-    if method == "auto":
-        method = choose_method(df, list(pool))
-    d = distance_to_centroid(df, pool, vec, metric, "_dist")
-    return group_quantiles(d, "_dist", pool, [0.5], [out], method=method)
+                    out: str = "separation", method: str = "exact") -> DataFrame:
+    """Median distance of a pool's members to the pool centroid (exact median); NULL is a pool like any other.
+
+    Rows whose distance is undefined (zero or NULL vectors) are left out of the median and counted in ``n_undefined``.
+    """
+    pool = list(pool)
+    d = distance_to_centroid(df, pool, vec, metric, "_dist").select(*pool, "_dist")
+    med = group_quantiles(d, "_dist", pool, [0.5], [out], method=method)
+    undefined = d.groupBy(*pool).agg(F.count_if(F.col("_dist").isNull()).alias("n_undefined"))
+    return null_safe(med, undefined, pool)
 
 
 def distance_to_reference(df: DataFrame, ref: DataFrame, on: Sequence[str], vec: str,
@@ -126,22 +108,18 @@ def expand_weights(df: DataFrame, weight: str = "weight") -> DataFrame:
 
 
 def separation_bootstrap(df: DataFrame, pool: Sequence[str], key: str, vec: str, metric="cosine",
-                         iters: int = 100, seed: int = 0, method: str = "auto",
-                         draws: str = "multinomial") -> DataFrame:
+                         iters: int = 100, seed: int = 0, method: str = "exact",
+                         draws: str = "poisson") -> DataFrame:
     """Separation per pool with its bootstrap standard deviation (population std over ``iters``
-    full-size resamples with replacement, as the reference).
+    full-size resamples with replacement).
 
-    ``draws="multinomial"`` resamples exactly n rows per pool (``bootstrap_draws``, the reference's
-    scheme); ``draws="poisson"`` gives every row a Poisson(1) weight per iteration instead, which needs
-    no index and no join (the usual choice for very large pools). Each resample's centroid is a
-    weighted mean and its median runs over the resampled multiset.
+    ``draws="poisson"`` gives every row a Poisson(1) weight per iteration, which needs no index and
+    no join; ``draws="multinomial"`` resamples exactly n rows per pool (``bootstrap_draws``). Each
+    resample's centroid is a weighted mean and its median a weighted one: no row is repeated.
     """
     from shiftkit.operators.sampling import bootstrap_draws, poisson_weights
 
     pool = list(pool)
-    if method == "auto":
-        # a resample of a pool has the pool's size (in expectation for Poisson weights)
-        method = choose_method(df, pool)
     if draws == "poisson":
         rows = poisson_weights(df.select(*pool, key, vec), key, iters=iters, seed=seed)
     else:
@@ -150,11 +128,10 @@ def separation_bootstrap(df: DataFrame, pool: Sequence[str], key: str, vec: str,
         # draws feed both the centroids and the distances: checkpoint the narrow table once
         picks = materialize(bootstrap_draws(df.select(*pool, key), key, pool, iters=iters, seed=seed))
         rows = picks.join(df.select(*pool, key, vec), [*pool, key])
-    d = distance_to_centroid(rows, [*pool, "iter"], vec, metric, "_dist", weight="weight")
-    seps = group_quantiles(expand_weights(d), "_dist", [*pool, "iter"], [0.5], ["_sep"], method=method)
+    d = distance_to_centroid(rows, [*pool, "iter"], vec, metric, "_dist", weight="weight").select(*pool, "iter", "_dist", "weight")
+    seps = group_quantiles(d, "_dist", [*pool, "iter"], [0.5], ["_sep"], method=method, weight="weight")
     sd = seps.groupBy(*pool).agg(F.stddev_pop("_sep").alias("separation_sd"))
-    true = pool_separation(df, pool, vec, metric, method=method)
-    return true.join(sd, pool, "left")
+    return null_safe(pool_separation(df, pool, vec, metric, method=method), sd, pool, "left")
 
 
 def sample_metrics(df: DataFrame, pool: Sequence[str], key: str, vec: str, iters: int = 1000, size: int = 100,
@@ -216,12 +193,15 @@ def sample_metrics(df: DataFrame, pool: Sequence[str], key: str, vec: str, iters
 
 
 def bootstrap_interval(samples: DataFrame, by: Sequence[str], value: str, lo: float = 0.025, hi: float = 0.975) -> DataFrame:
-    """Percentile interval (linear interpolation) of bootstrap values per group.
+    """Percentile interval (linear interpolation) of bootstrap values per group."""
+    return group_quantiles(samples, value, by, [lo, hi], ["ci_lo", "ci_hi"])
 
-    A group holds one value per bootstrap iteration, so its size is the ``iters`` parameter and
-    Spark's exact ``percentile`` is safe here.
-    """
-    return group_quantiles(samples, value, by, [lo, hi], ["ci_lo", "ci_hi"], method="percentile")
+
+def coefficient_summary(maps: DataFrame, by: Sequence[str] = ("out_dim",)) -> DataFrame:
+    """Mean and population deviation of each coefficient over the samples of ``regression_2d``, and their number."""
+    cols = ["coef_0", "coef_1", "intercept"]
+    aggs = [f(c).alias(f"{n}_{c}") for c in cols for n, f in (("mean", F.avg), ("sd", F.stddev_pop))]
+    return maps.groupBy(*by).agg(*aggs, F.count(F.lit(1)).alias("n_samples"))
 
 
 def regression_2d(df: DataFrame, by: Sequence[str], x0: str, x1: str, ys: Sequence[str] | str) -> DataFrame:
@@ -274,22 +254,36 @@ def pca_project(df: DataFrame, vec: str, k: int = 2, out: str = "pc") -> DataFra
     return model.transform(centred).withColumn(out, vector_to_array("_pc")).drop("_cv", "_pc")
 
 
+def hashed_words(df: DataFrame, text: str, out: str, dim: int) -> DataFrame:
+    """A text as its bag of words hashed (md5) to ``dim`` buckets and scaled to unit length (``array<double>``), all
+    on the JVM; a text without words is a zero vector."""
+    from pyspark.ml.feature import CountVectorizerModel, Normalizer
+    from pyspark.ml.functions import vector_to_array
+
+    words = F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(r"[\p{L}\p{N}_]{2,}"), 0)
+    toks = df.withColumn("_tok", F.transform(words, lambda w: F.pmod(hash_u60("embed", w), F.lit(dim)).cast("string")))
+    counts = CountVectorizerModel.from_vocabulary([str(i) for i in range(dim)], inputCol="_tok", outputCol="_tf")
+    nz = Normalizer(p=2.0, inputCol="_tf", outputCol="_n").transform(counts.transform(toks))
+    return nz.withColumn(out, vector_to_array("_n")).drop("_tok", "_tf", "_n")
+
+
+def distance_to_first_round(rounds: DataFrame, name: str, round_col: str, text: str, metric="cosine", dim: int = 64,
+                            out: str = "distance") -> DataFrame:
+    """Each round's text with its embedding distance to round 0 of the same text; NULL where one has no words."""
+    vecs = hashed_words(rounds, text, "_v", dim)
+    first = vecs.where(F.col(round_col) == 0).select(name, F.col("_v").alias("_first"))
+    return vecs.join(first, name).withColumn(out, distance_fn(metric)(F.col("_v"), F.col("_first"))).drop("_v", "_first")
+
+
 def embed_texts(df: DataFrame, text: str, out: str = "embedding", dim: int = 256, encoder=None,
                 batch_size: int = 64) -> DataFrame:
     """Embed a text column.
 
     ``encoder`` is any ``list[str] -> 2-D array`` callable, loaded once per Python worker and called
-    on Arrow batches (``mapInPandas``). Without one, texts are hashed bags of words (``HashingTF``)
-    scaled to unit length, all on the JVM.
+    on Arrow batches (``mapInPandas``). Without one, texts become ``hashed_words``.
     """
     if encoder is None:
-        from pyspark.ml.feature import HashingTF, Normalizer
-        from pyspark.ml.functions import vector_to_array
-
-        toks = df.withColumn("_tok", F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"[\p{L}\p{N}_]{2,}"), 0))
-        tf = HashingTF(numFeatures=dim, inputCol="_tok", outputCol="_tf").transform(toks)
-        nz = Normalizer(p=2.0, inputCol="_tf", outputCol="_n").transform(tf)
-        return nz.withColumn(out, vector_to_array("_n", "float32")).drop("_tok", "_tf", "_n")
+        return hashed_words(df, text, out, dim).withColumn(out, F.col(out).cast("array<float>"))
     from shiftkit.session import ship_package
 
     ship_package(df.sparkSession)

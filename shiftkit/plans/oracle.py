@@ -21,13 +21,14 @@ _CENTROIDS = f"""
 
 ORACLE["pool_separation"] = f"""
 WITH p AS ({_POOLS}), c AS ({_CENTROIDS})
-SELECT p.pool, round(quantile_cont(1 - list_cosine_similarity(p.e, c.c), 0.5), 9) AS separation
+SELECT p.pool, round(quantile_cont(1 - list_cosine_similarity(p.e, c.c), 0.5), 9) AS separation,
+  count(*) FILTER (WHERE list_sum(list_transform(p.e, lambda x: x * x)) = 0) AS n_undefined
 FROM p JOIN c USING (pool) GROUP BY p.pool
 """
 
 from itertools import combinations as _comb  # noqa: E402
 
-from shiftkit.functions.hashing import sql_hash_u32 as _h  # noqa: E402
+from shiftkit.functions.hashing import sql_hash_u60 as _h, sql_poisson1_weight as _poisson  # noqa: E402
 from shiftkit.functions.stopwords import ENGLISH_STOP_WORDS as _SW  # noqa: E402
 
 _IS_US = "CASE WHEN lang = 'en' THEN 1 ELSE 0 END"
@@ -42,12 +43,17 @@ SELECT 'persona' AS agent, 'model' AS model,
 FROM conversations
 """
 _UPDATES_LONG = """
-SELECT 'persona' AS agent,
-  CASE WHEN role = 'user' AND turn % 2 = 0 THEN 'answer.' || (['clean','redact','improve'])[turn // 2 + 1] || '_' || conv_id
-       WHEN role = 'assistant' AND turn % 2 = 1 THEN 'answer.' || (['clean','redact','improve'])[turn // 2 + 1] || '_' || conv_id || '_comment'
-       ELSE 'agent.' || role || '_' || conv_id || '_' || turn END AS variable,
-  CASE WHEN length(text) < 40 THEN NULL ELSE text END AS value, text AS _raw
-FROM conversations WHERE turn <= 5
+SELECT 'persona' AS agent, variable, value FROM (
+  WITH k AS (SELECT *, CASE WHEN role = 'assistant' THEN (turn - 1) // 2 ELSE turn // 2 END AS k FROM conversations),
+  r AS (SELECT role, conv_id + (k // 3) * 1000000000 AS key, (['clean','redact','improve'])[k % 3 + 1] AS kind, text, conv_id, turn FROM k),
+  q AS (SELECT DISTINCT key FROM r WHERE role = 'user'),
+  a AS (SELECT q.key, t.kind FROM q CROSS JOIN (VALUES ('clean'), ('redact'), ('improve')) t(kind))
+  SELECT 'answer.' || a.kind || '_' || a.key AS variable, r.text AS value
+  FROM a LEFT JOIN r ON r.role = 'user' AND r.key = a.key AND r.kind = a.kind
+  UNION ALL
+  SELECT CASE WHEN role = 'assistant' THEN 'answer.' || kind || '_' || key || '_comment'
+              ELSE 'agent.' || role || '_' || conv_id || '_' || turn END, text
+  FROM r WHERE role <> 'user' OR role IS NULL)
 """
 _PARSED_UPDATES = f"""
 SELECT *, substr(variable, instr(variable, '.') + 1,
@@ -81,8 +87,9 @@ FROM labels l JOIN documents d USING (doc_id)
 """
 _WIDE = "SELECT user_id, " + ", ".join(
     f"avg(value) FILTER (WHERE event_type = '{m}') AS \"{m}\"" for m in _MODELS) + " FROM events GROUP BY user_id"
+_COMPLETE = " AND ".join(f'"{m}" IS NOT NULL' for m in _MODELS)
 _GAPS = " UNION ALL ".join(
-    f"SELECT user_id, '{a}' AS model_a, '{b}' AS model_b, \"{a}\" - \"{b}\" AS gap FROM ({_WIDE})" for a, b in _PAIRS)
+    f"SELECT user_id, '{a}' AS model_a, '{b}' AS model_b, \"{a}\" - \"{b}\" AS gap FROM ({_WIDE}) WHERE {_COMPLETE}" for a, b in _PAIRS)
 _BEFORE_AFTER = f"""
 WITH m AS (SELECT user_id, event_type, phase, avg(value) AS s FROM ({_EVENTS_PHASE}) GROUP BY ALL)
 SELECT o.user_id, o.event_type, o.s AS score_original, u.s AS score_updated
@@ -104,7 +111,7 @@ SELECT doc_id, source, lower(replace(source, ' ', '')) || '_' ||
   CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS VARCHAR) AS file_id FROM documents""",
     "drop_null_text": """
 SELECT d.doc_id, c.text AS answer FROM documents d
-LEFT JOIN conversations c ON c.conv_id = d.doc_id AND c.role = 'user' AND c.turn = 0
+LEFT JOIN conversations c ON c.conv_id = d.doc_id AND c.role = 'user'
 WHERE c.text IS NOT NULL""",
     "filter_active": "SELECT doc_id, source, n_chars FROM documents WHERE n_chars > 1000",
     "keyword_filter": "SELECT doc_id, lang FROM documents WHERE regexp_matches(lower(text), '(nicht|vous|tion)')",
@@ -159,8 +166,8 @@ SELECT event_id, CASE event_type WHEN 'click' THEN 'clk' WHEN 'error' THEN 'err'
   WHEN 'signup' THEN 'sgn' WHEN 'view' THEN 'viw' END AS model_short FROM events""",
     "parse_label_list": """
 SELECT event_id,
-  array_to_string(CAST(regexp_extract_all(props, '\\d', 0) AS INTEGER[]), ',') AS labels_digit,
-  array_to_string(CAST(regexp_extract_all(props, '\\d+', 0) AS INTEGER[]), ',') AS labels_number
+  array_to_string(list_transform(regexp_extract_all(props, '\\d', 0), lambda x: TRY_CAST(x AS BIGINT)), ',') AS labels_digit,
+  array_to_string(list_transform(regexp_extract_all(props, '\\d+', 0), lambda x: TRY_CAST(x AS BIGINT)), ',') AS labels_number
 FROM events""",
     "decision_three_way": _THREE,
     "decision_flips": f"""
@@ -172,7 +179,7 @@ SELECT user_id, event_type, round(score_original, 9) AS score_original, round(sc
 FROM ({_BEFORE_AFTER})""",
     "patch_answers": f"""
 WITH u AS ({_UPDATES_LONG}),
-p AS (SELECT variable, 'retry: ' || _raw AS value FROM u WHERE value IS NULL AND starts_with(variable, 'answer.'))
+p AS (SELECT variable, 'retry: ' || variable AS value FROM u WHERE value IS NULL AND starts_with(variable, 'answer.'))
 SELECT u.variable, coalesce(p.value, u.value) AS value FROM u LEFT JOIN p USING (variable)""",
     "unanswered_questions": f"""
 SELECT u.variable, string_split(u.variable, '.')[-1] AS question_name, u.key, u.update_type,
@@ -180,7 +187,7 @@ SELECT u.variable, string_split(u.variable, '.')[-1] AS question_name, u.key, u.
 FROM ({_PARSED_UPDATES}) u JOIN documents d ON d.doc_id = u.key
 WHERE u.value IS NULL OR u.value = ''""",
     "train_test_anti": f"""
-SELECT doc_id, quality FROM labels WHERE NOT ({_h(11, 'doc_id')} / 4294967296.0 < 0.8)""",
+SELECT doc_id, quality FROM labels WHERE NOT ({_h(11, 'doc_id')} / 1152921504606846976.0 < 0.8)""",
     "truth_vs_prediction": f"""
 SELECT l.doc_id, l.quality AS decision_true, {_IS_US} AS decision_pred FROM labels l JOIN documents d USING (doc_id)""",
     "pool_union": """
@@ -271,7 +278,7 @@ SELECT doc_id, is_us, CASE WHEN srank <= 25 THEN 'train' ELSE 'test' END AS spli
     "positional_split": """
 SELECT doc_id, CASE WHEN row_number() OVER (ORDER BY doc_id) - 1 < floor(0.8 * (SELECT count(*) FROM labels)) THEN 'train' ELSE 'test' END AS split
 FROM labels""",
-    "hash_split": f"SELECT doc_id, CASE WHEN {_h(7, 'doc_id')} / 4294967296.0 < 0.8 THEN 'train' ELSE 'test' END AS split FROM documents",
+    "hash_split": f"SELECT doc_id, CASE WHEN {_h(7, 'doc_id')} / 1152921504606846976.0 < 0.8 THEN 'train' ELSE 'test' END AS split FROM documents",
     "bootstrap_draws": f"""
 WITH idx AS (SELECT label AS pool, vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS j,
                     count(*) OVER (PARTITION BY label) AS n FROM embeddings),
@@ -310,6 +317,25 @@ draws AS (SELECT d.pool, CAST(d.it AS INTEGER) AS iter, idx.vec_id, count(*) AS
           FROM d JOIN idx ON idx.pool = d.pool AND idx.j = d.pick GROUP BY ALL)"""
 
 
+_SHIFT_PAIRS = f"""
+SELECT x.pool // 2 AS pair, x.rank, x.e AS x, y.e AS y FROM ({_RANKED}) x JOIN ({_RANKED}) y
+ON x.pool % 2 = 0 AND y.pool = x.pool + 1 AND x.rank = y.rank
+"""
+_SHIFT_MAPS = f"""
+WITH p AS ({_SHIFT_PAIRS}),
+idx AS (SELECT pair, rank, row_number() OVER (PARTITION BY pair ORDER BY rank) - 1 AS j, count(*) OVER (PARTITION BY pair) AS n FROM p),
+src AS (SELECT i.pair, it, s.draw, i.n FROM (SELECT DISTINCT pair, n FROM idx) i CROSS JOIN range(100) s(draw) CROSS JOIN range(10) t(it)),
+d AS (SELECT pair, it, ({_h(13, 'pair', 'it', 'draw')}) % n AS pick FROM src),
+sample AS (SELECT CAST(d.it AS INTEGER) AS iter, CAST(k.dim AS INTEGER) AS dim, x[k.dim + 1] AS x0, x[k.dim + 2] AS x1, y[k.dim + 1] AS y0, y[k.dim + 2] AS y1
+           FROM d JOIN idx ON idx.pair = d.pair AND idx.j = d.pick JOIN p ON p.pair = idx.pair AND p.rank = idx.rank CROSS JOIN range(0, 64, 2) k(dim)),
+g AS (SELECT iter, dim, o.out_dim, var_pop(x0) AS s00, var_pop(x1) AS s11, covar_pop(x0, x1) AS s01,
+        covar_pop(CASE o.out_dim WHEN 0 THEN y0 ELSE y1 END, x0) AS sy0, covar_pop(CASE o.out_dim WHEN 0 THEN y0 ELSE y1 END, x1) AS sy1,
+        avg(x0) AS m0, avg(x1) AS m1, avg(CASE o.out_dim WHEN 0 THEN y0 ELSE y1 END) AS my
+      FROM sample CROSS JOIN (SELECT CAST(range AS INTEGER) AS out_dim FROM range(2)) o GROUP BY ALL),
+c AS (SELECT iter, dim, out_dim, (sy0 * s11 - sy1 * s01) / (s00 * s11 - s01 * s01) AS b0,
+        (sy1 * s00 - sy0 * s01) / (s00 * s11 - s01 * s01) AS b1, m0, m1, my FROM g)
+SELECT iter, dim, out_dim, b0, b1, my - b0 * m0 - b1 * m1 AS b FROM c
+"""
 _MEDSIM_TRUE = f"""
 SELECT a.pool, quantile_cont(list_cosine_similarity(a.e, b.e), 0.5) AS median_similarity
 FROM ({_POOLS}) a JOIN ({_POOLS}) b ON a.pool = b.pool AND a.vec_id < b.vec_id GROUP BY a.pool
@@ -336,9 +362,9 @@ FROM (SELECT pool, unnest(e) AS x, unnest(range(1, len(e) + 1)) AS i FROM ({_POO
     "separation_gap": f"""
 WITH s AS ({_SEP}) SELECT pool, round(separation - (SELECT separation FROM s WHERE pool = 0), 9) AS gap FROM s""",
     "separation_bootstrap": f"""
-WITH {_draws(5, 100)[1:]},
-p AS ({_POOLS}),
-j AS (SELECT d.pool, d.iter, p.e, d.weight FROM draws d JOIN p USING (pool, vec_id)),
+WITH p AS ({_POOLS}),
+j AS (SELECT * FROM (SELECT pool, CAST(it AS INTEGER) AS iter, e, {_poisson(f"({_h(5, 'vec_id', 'it')} / 1152921504606846976.0)")} AS weight
+      FROM p CROSS JOIN range(100) t(it)) WHERE weight > 0),
 c AS (SELECT pool, iter, list(m ORDER BY i) AS c FROM (
         SELECT pool, iter, i, sum(x * weight) / sum(weight) AS m FROM (
           SELECT pool, iter, weight, unnest(e) AS x, unnest(range(1, len(e) + 1)) AS i FROM j) GROUP BY ALL)
@@ -369,35 +395,24 @@ FROM tr JOIN ci USING (pool, metric)""",
     "drift_mean": "SELECT " + ", ".join(f"round(avg(distance_{r}), 9) AS mean_distance_{r}" for r in range(1, 10))
     + f" FROM ({_DRIFT})",
     "distance_band_match": f"""
-WITH a AS (SELECT vec_id, e FROM ({_POOLS}) WHERE pool = 0), b AS (SELECT vec_id, e FROM ({_POOLS}) WHERE pool = 1),
+WITH a AS (SELECT vec_id, e FROM ({_POOLS}) WHERE pool % 2 = 0), b AS (SELECT vec_id, e FROM ({_POOLS}) WHERE pool % 2 = 1),
 m AS (SELECT a.vec_id AS vec_id_a, b.vec_id AS vec_id_b, list_distance(a.e, b.e) AS d FROM a CROSS JOIN b
       WHERE abs(list_distance(a.e, b.e) - 1.2) < 0.05)
 SELECT vec_id_a, min(vec_id_b) AS vec_id_b, round(arg_min(d, vec_id_b), 9) AS distance FROM m GROUP BY vec_id_a""",
     "shift_linear_map": f"""
-WITH r AS ({_RANKED}),
-pairs AS (SELECT x.rank, x.e[1] AS x0, x.e[2] AS x1, y.e[1] AS y0, y.e[2] AS y1
-          FROM r x JOIN r y ON x.pool = 0 AND y.pool = 1 AND x.rank = y.rank),
-idx AS (SELECT 0 AS pool, rank AS vec_id, row_number() OVER (ORDER BY rank) - 1 AS j, count(*) OVER () AS n FROM pairs),
-src AS (SELECT i.pool, it, s.draw, i.n FROM (SELECT DISTINCT pool, n FROM idx) i CROSS JOIN range(100) s(draw) CROSS JOIN range(10) t(it)),
-d AS (SELECT pool, it, ({_h(13, 'pool', 'it', 'draw')}) % n AS pick FROM src),
-sample AS (SELECT CAST(d.it AS INTEGER) AS iter, p.* FROM d JOIN idx ON idx.j = d.pick JOIN pairs p ON p.rank = idx.vec_id),
-g AS (SELECT iter, o.out_dim, var_pop(x0) AS s00, var_pop(x1) AS s11, covar_pop(x0, x1) AS s01,
-        covar_pop(CASE o.out_dim WHEN 0 THEN y0 ELSE y1 END, x0) AS sy0, covar_pop(CASE o.out_dim WHEN 0 THEN y0 ELSE y1 END, x1) AS sy1,
-        avg(x0) AS m0, avg(x1) AS m1, avg(CASE o.out_dim WHEN 0 THEN y0 ELSE y1 END) AS my
-      FROM sample CROSS JOIN (SELECT CAST(range AS INTEGER) AS out_dim FROM range(2)) o GROUP BY ALL),
-c AS (SELECT iter, out_dim, (sy0 * s11 - sy1 * s01) / (s00 * s11 - s01 * s01) AS b0,
-        (sy1 * s00 - sy0 * s01) / (s00 * s11 - s01 * s01) AS b1, m0, m1, my FROM g)
-SELECT iter, out_dim, round(b0, 9) AS coef_0, round(b1, 9) AS coef_1, round(my - b0 * m0 - b1 * m1, 9) AS intercept FROM c""",
+SELECT iter, dim, out_dim, round(b0, 9) AS coef_0, round(b1, 9) AS coef_1, round(b, 9) AS intercept FROM ({_SHIFT_MAPS})""",
+    "shift_map_summary": f"""
+SELECT dim, out_dim, count(*) AS n_samples, round(avg(b0), 9) AS mean_coef_0, round(stddev_pop(b0), 9) AS sd_coef_0,
+  round(avg(b1), 9) AS mean_coef_1, round(stddev_pop(b1), 9) AS sd_coef_1, round(avg(b), 9) AS mean_intercept, round(stddev_pop(b), 9) AS sd_intercept
+FROM ({_SHIFT_MAPS}) GROUP BY dim, out_dim""",
     "shift_pull_estimate": f"""
-WITH r AS ({_RANKED}),
-x AS (SELECT rank, unnest(e) AS x, unnest(range(0, len(e))) AS dim FROM r WHERE pool = 0),
-y AS (SELECT rank, unnest(e) AS y, unnest(range(0, len(e))) AS dim FROM r WHERE pool = 1),
-g AS (SELECT CAST(dim AS INTEGER) AS dim, regr_slope(y - x, x) AS s, regr_intercept(y - x, x) AS i, count(*) AS n
-      FROM x JOIN y USING (rank, dim) GROUP BY dim)
+WITH p AS ({_SHIFT_PAIRS}),
+z AS (SELECT unnest(x) AS x, unnest(y) AS y, unnest(range(0, len(x))) AS dim FROM p),
+g AS (SELECT CAST(dim AS INTEGER) AS dim, regr_slope(y - x, x) AS s, regr_intercept(y - x, x) AS i, count(*) AS n FROM z GROUP BY dim)
 SELECT dim, round(-s, 9) AS alpha, round(-i / s, 9) AS fixed_point, n FROM g""",
-    "density_grid": """
-SELECT CAST(floor(CAST(embedding[1] AS DOUBLE) / 0.05) AS BIGINT) AS gx, CAST(floor(CAST(embedding[2] AS DOUBLE) / 0.05) AS BIGINT) AS gy,
-  count(*) AS n FROM embeddings GROUP BY ALL""",
+    "density_grid": f"""
+SELECT CAST(d.dim AS INTEGER) AS dim, CAST(floor(e[d.dim + 1] / 0.05) AS BIGINT) AS gx, CAST(floor(e[d.dim + 2] / 0.05) AS BIGINT) AS gy, count(*) AS n
+FROM ({_POOLS}) CROSS JOIN range(0, 64, 2) d(dim) GROUP BY ALL""",
     "rewrite_trajectory": f"""
 WITH r AS (SELECT rank, pool AS round, e FROM ({_RANKED})),
 f AS (SELECT rank, arg_min(e, round) AS fe FROM r GROUP BY rank)
@@ -414,7 +429,7 @@ def _q(s: str) -> str:
 
 
 _SWLIST = "[" + ", ".join(_q(w) for w in _SW) + "]"
-_TRAIN_DOCS = f"SELECT * FROM documents WHERE {_h(7, 'doc_id')} / 4294967296.0 < 0.8"
+_TRAIN_DOCS = f"SELECT * FROM documents WHERE {_h(7, 'doc_id')} / 1152921504606846976.0 < 0.8"
 _VOCAB = f"""
 SELECT term, n, CAST(row_number() OVER (ORDER BY n DESC, term) - 1 AS INTEGER) AS term_id FROM (
   SELECT term, count(*) AS n FROM (
@@ -427,15 +442,11 @@ ON a.conv_id = u.conv_id AND a.turn - 1 = u.turn AND u.role = 'user' AND a.role
 """
 _TOKDIFF = f"""
 WITH p AS ({_PAIRS_TXT}),
-b AS (SELECT conv_id, turn, token, count(*) AS nb FROM (
-        SELECT conv_id, turn, unnest(list_filter(regexp_split_to_array(original, '\\s+'), lambda x: x <> '')) AS token FROM p)
-      GROUP BY ALL),
-a AS (SELECT conv_id, turn, token, count(*) AS na FROM (
-        SELECT conv_id, turn, unnest(list_filter(regexp_split_to_array(updated, '\\s+'), lambda x: x <> '')) AS token FROM p)
-      GROUP BY ALL),
-j AS (SELECT coalesce(b.conv_id, a.conv_id) AS conv_id, coalesce(b.turn, a.turn) AS turn, coalesce(b.token, a.token) AS token,
-        coalesce(nb, 0) AS nb, coalesce(na, 0) AS na
-      FROM b FULL OUTER JOIN a ON a.conv_id = b.conv_id AND a.turn = b.turn AND a.token = b.token)
+t AS (SELECT conv_id, turn, unnest(list_filter(regexp_split_to_array(coalesce(original, ''), '\\s+'), lambda x: x <> '')) AS token, 1 AS nb, 0 AS na FROM p
+      UNION ALL
+      SELECT conv_id, turn, unnest(list_filter(regexp_split_to_array(coalesce(updated, ''), '\\s+'), lambda x: x <> '')), 0, 1 FROM p),
+g AS (SELECT conv_id, turn, token, sum(nb) AS nb, sum(na) AS na FROM t GROUP BY ALL),
+j AS (SELECT p.conv_id, p.turn, g.token, coalesce(nb, 0) AS nb, coalesce(na, 0) AS na FROM p LEFT JOIN g USING (conv_id, turn))
 SELECT conv_id, turn, token, least(nb, na) AS kept, nb - least(nb, na) AS removed, na - least(nb, na) AS added FROM j
 """
 _PROFILE_TEMPLATE = "Profile <ID> (<LANG>, <SOURCE>):\n<TEXT>\n<CONTACT> stays as it is."
@@ -467,10 +478,8 @@ ORACLE.update({
 WITH v AS ({_VOCAB}),
 t AS (SELECT doc_id, unnest(l) AS term, unnest(range(len(l))) AS pos FROM (
         SELECT doc_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}', 0) AS l FROM documents)),
-ids AS (SELECT t.doc_id, list(coalesce(v.term_id, -2) ORDER BY t.pos) AS l FROM t LEFT JOIN v USING (term)
-        WHERE t.pos < 64 GROUP BY t.doc_id)
-SELECT d.doc_id, array_to_string(list_concat(coalesce(ids.l, []), list_transform(range(64 - len(coalesce(ids.l, []))), lambda x: -1)), ',') AS input_ids
-FROM documents d LEFT JOIN ids USING (doc_id)""",
+ids AS (SELECT t.doc_id, list(coalesce(v.term_id, -2) ORDER BY t.pos) AS l FROM t LEFT JOIN v USING (term) GROUP BY t.doc_id)
+SELECT d.doc_id, array_to_string(coalesce(ids.l, []), ',') AS input_ids FROM documents d LEFT JOIN ids USING (doc_id)""",
     "revision_token_diff": f"""
 SELECT conv_id, turn, CAST(sum(kept) AS BIGINT) AS kept, CAST(sum(removed) AS BIGINT) AS removed,
   CAST(sum(added) AS BIGINT) AS added FROM ({_TOKDIFF}) GROUP BY conv_id, turn""",
@@ -489,11 +498,23 @@ FROM documents""",
     "prompt_kinds": f"SELECT kind, count(*) AS n, CAST(sum(length(prompt)) AS BIGINT) AS chars FROM ({_prompt_sql(list(_KINDS))}) GROUP BY kind",
     "apply_answers": """
 SELECT d.doc_id, coalesce(c.text, d.text) AS cleaned_text FROM documents d
-LEFT JOIN conversations c ON c.conv_id = d.doc_id AND c.role = 'assistant' AND c.turn = 1""",
-    "rewrite_rounds": """
-SELECT conv_id, row_number() OVER w - 1 AS round, CAST(length(text) AS BIGINT) AS n_chars,
-  CAST(length(text) - first(length(text)) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS BIGINT) AS chars_change
-FROM conversations WHERE role <> 'system' WINDOW w AS (PARTITION BY conv_id ORDER BY turn)""",
+LEFT JOIN (SELECT conv_id, arg_max(text, turn) AS text FROM conversations WHERE role = 'assistant' GROUP BY conv_id) c ON c.conv_id = d.doc_id""",
+    "rewrite_rounds": f"""
+WITH r AS (SELECT CAST(doc_id AS VARCHAR) AS text_name, CAST(range AS INTEGER) AS round, substr(text, 1 + range) AS text FROM documents CROSS JOIN range(4)),
+t AS (SELECT text_name, round, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}', 0)) AS w FROM r),
+b AS (SELECT text_name, round, {_h('embed', 'w')} % 64 AS b, count(*) AS n FROM t GROUP BY ALL),
+l AS (SELECT text_name, round, sqrt(sum(n * n)) AS l FROM b GROUP BY ALL),
+x AS (SELECT u.text_name, u.round, sum(u.n * v.n) AS dot FROM b u JOIN b v ON v.text_name = u.text_name AND v.round = 0 AND v.b = u.b GROUP BY ALL)
+SELECT r.text_name, r.round, length(r.text) AS n_chars,
+  CASE WHEN l.l > 0 AND f.l > 0 THEN CASE WHEN abs(1 - coalesce(x.dot, 0) / (l.l * f.l)) < 5e-10 THEN 0.0::DOUBLE
+    ELSE round(1 - coalesce(x.dot, 0) / (l.l * f.l), 9) END END AS distance
+FROM r LEFT JOIN l USING (text_name, round) LEFT JOIN l f ON f.text_name = r.text_name AND f.round = 0 LEFT JOIN x ON x.text_name = r.text_name AND x.round = r.round""",
+    "embed_texts": f"""
+WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}_]{{2,}}', 0)) AS w FROM documents),
+b AS (SELECT doc_id, {_h('embed', 'w')} % 64 AS b, count(*) AS n FROM t GROUP BY ALL),
+l AS (SELECT doc_id, sqrt(sum(n * n)) AS l FROM b GROUP BY ALL)
+SELECT d.doc_id, string_agg(CAST(CAST(round(CAST(CAST(coalesce(b.n / l.l, 0) AS FLOAT) AS DOUBLE) * 100000) AS BIGINT) AS VARCHAR), ',' ORDER BY i.range) AS embedding
+FROM documents d CROSS JOIN range(64) i LEFT JOIN b ON b.doc_id = d.doc_id AND b.b = i.range LEFT JOIN l ON l.doc_id = d.doc_id GROUP BY d.doc_id""",
     "decision_history": f"""
 WITH train AS (SELECT doc_id FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS i FROM labels)
                WHERE i < floor(0.8 * (SELECT count(*) FROM labels))),
@@ -505,13 +526,46 @@ SELECT persona, CAST(block AS BIGINT) AS block, count(*) AS n_items,
 FROM r GROUP BY persona, block""",
     "few_shot_block": f"""
 WITH d AS (SELECT x.persona, x.doc_id, x.decision, doc.text FROM ({_DECISIONS_TEXT}) x JOIN documents doc USING (doc_id)
-           WHERE x.persona = 'quality' ORDER BY {_h(21, 'x.doc_id')}, x.doc_id LIMIT 8)
-SELECT persona, count(*) AS n_items,
+           QUALIFY row_number() OVER (PARTITION BY x.persona ORDER BY {_h(21, 'x.doc_id')}, x.doc_id) <= 8)
+SELECT persona, CAST(0 AS BIGINT) AS block, count(*) AS n_items,
   string_agg(text || ', Hired: ' || decision || {_q(chr(10) * 2 + " ----- " + chr(10) * 2)}, '' ORDER BY doc_id) AS history
 FROM d GROUP BY persona""",
     "incremental_prompts": f"""
-SELECT conv_id, turn,
-  sha256(concat_ws('|', 'clean', conv_id || '_' || turn, 'persona', 'model')) AS prompt_id,
-  replace({_q(_KINDS['clean'])}, '<TEXT>', text) AS prompt
-FROM conversations WHERE role = 'user'""",
+SELECT sha256(concat_ws('|', k.kind, conv_id || '_' || turn, 'persona', 'model')) AS prompt_id, k.kind, conv_id || '_' || turn AS text_name,
+  replace(replace(replace(k.t, '<PERSONA>', 'persona'), '<POST>', ''), '<TEXT>', text) AS prompt
+FROM conversations CROSS JOIN (VALUES {", ".join(f"({_q(k)}, {_q(_KINDS[k])})" for k in ("clean", "redact", "improve"))}) k(kind, t)
+WHERE role = 'user' AND text IS NOT NULL""",
+    "improvement_rows": f"""
+SELECT event_id, concat_ws(' -> ', drafting_model, improving_model, coalesce(scoring_model, '-')) AS chain, round(score, 9) AS score FROM ({_GRID})""",
+    "score_against_post": f"""
+SELECT sha256(concat_ws('|', 'score_post', CAST(d.doc_id AS VARCHAR), 'recruiter', 'model')) AS prompt_id, CAST(d.doc_id AS VARCHAR) AS text_name,
+  replace(replace(replace({_q(_KINDS['score_post'])}, '<PERSONA>', 'recruiter'), '<POST>', coalesce(b.text, '')), '<TEXT>', d.text) AS prompt
+FROM documents d LEFT JOIN benchmark b ON b.item_id = d.doc_id % (SELECT count(*) FROM benchmark) WHERE d.text IS NOT NULL""",
+    "label_prompts": f"""
+SELECT sha256(concat_ws('|', 'label', conv_id || '_' || turn, 'annotator', 'model')) AS prompt_id, conv_id || '_' || turn AS text_name,
+  replace(replace({_q(_KINDS['label'])}, '<PERSONA>', 'annotator'), '<TEXT>',
+    array_to_string(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> ''), ' | ')) AS prompt
+FROM conversations WHERE role = 'user' AND text IS NOT NULL""",
+    "classifier_accuracy": f"""
+SELECT m AS method, count(*) AS n, CAST(sum({_IS_US}) AS BIGINT) AS n_positive, TRUE AS beats_majority
+FROM documents CROSS JOIN (VALUES ('logistic_regression'), ('random_forest'), ('neural_network')) v(m)
+WHERE NOT ({_h(7, 'doc_id')} / 1152921504606846976.0 < 0.8) GROUP BY m""",
+    "variant_auroc": f"""
+WITH p AS (SELECT key FROM ({_PIVOT_UPDATES}) WHERE clean IS NOT NULL AND redact IS NOT NULL AND improve IS NOT NULL),
+d AS (SELECT {_IS_US} AS y FROM documents JOIN p ON p.key = doc_id WHERE NOT ({_h(7, 'doc_id')} / 1152921504606846976.0 < 0.8))
+SELECT v AS variant, CAST(count(*) FILTER (WHERE y = 1) AS BIGINT) AS n_positive, CAST(count(*) FILTER (WHERE y = 0) AS BIGINT) AS n_negative,
+  count(*) FILTER (WHERE y = 1) > 0 AND count(*) FILTER (WHERE y = 0) > 0 AS scored
+FROM (VALUES ('original'), ('clean'), ('redact'), ('improve')) t(v) LEFT JOIN d ON TRUE GROUP BY v""",
 })
+for _name, _kind in (("learn_prompts", "learn"), ("adjust_prompts", "adjust_tailored")):
+    ORACLE[_name] = f"""
+WITH s AS (SELECT x.persona, x.doc_id, x.decision, doc.text, row_number() OVER (PARTITION BY x.persona ORDER BY {_h(23, 'x.doc_id')}, x.doc_id) AS r
+           FROM ({_DECISIONS_TEXT}) x JOIN documents doc USING (doc_id)),
+i AS (SELECT *, row_number() OVER (PARTITION BY persona ORDER BY doc_id) - 1 AS i FROM s WHERE r <= 6),
+h AS (SELECT persona, i // 3 AS block, string_agg(text || {_q(chr(10) + "Decision: ")} || decision || {_q(chr(10) + "------" + chr(10))}, '' ORDER BY doc_id) AS history FROM i GROUP BY ALL),
+p AS (SELECT d.doc_id, h.persona, h.block,
+        split_part({_q(_KINDS[_kind])}, '<PERSONA>', 1) || h.persona || split_part(split_part({_q(_KINDS[_kind])}, '<PERSONA>', 2), '<HISTORY>', 1) || h.history
+        || split_part(split_part({_q(_KINDS[_kind])}, '<HISTORY>', 2), '<TEXT>', 1) || d.text || split_part({_q(_KINDS[_kind])}, '<TEXT>', 2) AS prompt
+      FROM documents d CROSS JOIN h WHERE d.text IS NOT NULL)
+SELECT sha256(concat_ws('|', '{_kind}', CAST(doc_id AS VARCHAR), persona, 'model')) AS prompt_id, CAST(doc_id AS VARCHAR) AS text_name, persona AS agent,
+  CAST(block AS BIGINT) AS block, md5(prompt) AS prompt_md5, length(prompt) AS n_chars FROM p"""

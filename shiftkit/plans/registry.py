@@ -51,7 +51,7 @@ def pool_separation(spark, sf):
     from shiftkit.operators.vectors import pool_separation as sep
 
     out = sep(_pools(spark, sf), ["pool"], "embedding", "cosine")
-    return out.select("pool", r9("separation").alias("separation"))
+    return out.select("pool", r9("separation").alias("separation"), "n_undefined")
 
 
 # ---------------------------------------------------------------------------------------------
@@ -90,26 +90,30 @@ def _answers_long(spark, sf):
                     F.col("text").alias("value"))
 
 
+# The kinds of updates.
 UPDATE_TYPES = ["clean", "redact", "improve"]
 
 
 def _updates_long(spark, sf):
-    """``conversations`` as update answers: user turns 0, 2, 4 answer ``<type>_<conv_id>`` for the
-    three update types, the assistant turn after each is its comment; answers under 40 characters
-    count as missing."""
-    c = read_table(spark, sf, "conversations").where(F.col("turn") <= 5)
+    """``conversations`` as update answers: the k-th exchange (turn // 2) answers ``<type>_<key>``, the types taking turns
+    and three exchanges sharing the key conv_id + 10^9 * (k // 3); the assistant turn is the comment. Every
+    key was asked for all three types: a left join from the questions leaves the missing answers NULL."""
+    c = read_table(spark, sf, "conversations")
     kinds = F.array(*[F.lit(k) for k in UPDATE_TYPES])
-    user = (F.col("role") == "user") & (F.col("turn") % 2 == 0)
-    asst = (F.col("role") == "assistant") & (F.col("turn") % 2 == 1)
-    kind = F.element_at(kinds, (F.floor(F.col("turn") / 2) + 1).cast("int"))
-    cid = F.col("conv_id").cast("string")
+    k = F.floor((F.col("turn") - F.when(F.col("role") == "assistant", 1).otherwise(0)) / 2)
+    key = (F.col("conv_id") + F.floor(k / 3) * 1_000_000_000).cast("string")
+    kind = F.element_at(kinds, (F.pmod(k, F.lit(3)) + 1).cast("int"))
     var = (
-        F.when(user, F.concat(F.lit("answer."), kind, F.lit("_"), cid))
-        .when(asst, F.concat(F.lit("answer."), kind, F.lit("_"), cid, F.lit("_comment")))
-        .otherwise(F.concat(F.lit("agent."), F.col("role"), F.lit("_"), cid, F.lit("_"), F.col("turn").cast("string")))
+        F.when(F.col("role") == "user", F.concat(F.lit("answer."), kind, F.lit("_"), key))
+        .when(F.col("role") == "assistant", F.concat(F.lit("answer."), kind, F.lit("_"), key, F.lit("_comment")))
+        .otherwise(F.concat(F.lit("agent."), F.col("role"), F.lit("_"), F.col("conv_id").cast("string"), F.lit("_"), F.col("turn").cast("string")))
     )
-    val = F.when(F.length("text") < 40, F.lit(None).cast("string")).otherwise(F.col("text"))
-    return c.select(F.lit("persona").alias("agent"), var.alias("variable"), val.alias("value"), F.col("text").alias("_raw"))
+    rows = c.select("role", key.alias("_key"), var.alias("variable"), F.col("text").alias("value"))
+    asked = rows.where(F.col("role") == "user").select("_key").distinct().select("_key", F.explode(kinds).alias("_kind")).select(
+        F.concat(F.lit("answer."), F.col("_kind"), F.lit("_"), F.col("_key")).alias("variable"))
+    answers = asked.join(rows.where(F.col("role") == "user").select("variable", "value"), "variable", "left")
+    rest = rows.where((F.col("role") != "user") | F.col("role").isNull()).select("variable", "value")
+    return answers.unionByName(rest).select(F.lit("persona").alias("agent"), "variable", "value")
 
 
 def _decisions_long(spark, sf):
@@ -148,7 +152,7 @@ def category_file_ids(spark, sf):
 
 @query
 def drop_null_text(spark, sf):
-    conv = read_table(spark, sf, "conversations").where((F.col("role") == "user") & (F.col("turn") == 0))
+    conv = read_table(spark, sf, "conversations").where(F.col("role") == "user")
     j = _docs(spark, sf).select("doc_id").join(
         conv.select(F.col("conv_id").alias("doc_id"), F.col("text").alias("answer")), "doc_id", "left")
     return j.dropna(subset=["answer"])
@@ -355,10 +359,10 @@ def scores_before_after(spark, sf):
 
 
 def _patch(spark, sf):
-    """A retry run: every answer that was missing comes back as 'retry: <text>'."""
+    """A retry run: every answer that was missing comes back as 'retry: <question>'."""
     upd = _updates_long(spark, sf)
     return upd.where(F.col("value").isNull() & F.col("variable").startswith("answer.")).select(
-        "variable", F.concat(F.lit("retry: "), F.col("_raw")).alias("value"))
+        "variable", F.concat(F.lit("retry: "), F.col("variable")).alias("value"))
 
 
 @query
@@ -467,6 +471,14 @@ def improvement_ranking(spark, sf):
     return out.select("chain", r9("mean_score").alias("mean_score"), "n").orderBy(F.desc("mean_score"), "chain")
 
 
+@query
+def improvement_rows(spark, sf):
+    from shiftkit.operators.scores import improvement_rows as rows
+
+    out = rows(_grid(spark, sf), "drafting_model", "improving_model", "scoring_model", "score")
+    return out.select("event_id", "chain", r9("score").alias("score"))
+
+
 @query
 def describe_scores(spark, sf):
     from shiftkit.operators.metrics import describe
@@ -566,9 +578,9 @@ def _us_docs(spark, sf):
 
 @query
 def stratified_sample(spark, sf):
-    from shiftkit.operators.sampling import stratified_ranks
+    from shiftkit.operators.sampling import stratified_sample as ss
 
-    return stratified_ranks(_us_docs(spark, sf), "doc_id", "is_us", 25, seed=7)
+    return ss(_us_docs(spark, sf), "doc_id", "is_us", 50, seed=7)
 
 
 @query
@@ -646,7 +658,10 @@ def pool_centroid(spark, sf):
 def separation_gap(spark, sf):
     from shiftkit.operators.vectors import pool_separation as sep
 
-    s = sep(_pools(spark, sf), ["pool"], "embedding", "cosine")
+    from shiftkit.session import materialize
+
+    # one row a pool, read twice
+    s = materialize(sep(_pools(spark, sf), ["pool"], "embedding", "cosine"))
     base = s.where(F.col("pool") == 0).select("separation").scalar()
     return s.select("pool", r9(F.col("separation") - base).alias("gap"))
 
@@ -738,44 +753,60 @@ def distance_band_match(spark, sf):
     from shiftkit.operators.allpairs import band_match
 
     p = _pools(spark, sf)
-    a = p.where(F.col("pool") == 0).select("vec_id", "embedding")
-    b = p.where(F.col("pool") == 1).select("vec_id", "embedding")
+    a = p.where(F.col("pool") % 2 == 0).select("vec_id", "embedding")
+    b = p.where(F.col("pool") % 2 == 1).select("vec_id", "embedding")
     out = band_match(a, b, "vec_id", "embedding", target=1.2, width=0.05, metric="euclidean")
     return out.select(F.col("key_a").alias("vec_id_a"), F.col("key_b").alias("vec_id_b"), r9("distance").alias("distance"))
 
 
 def _shift_pairs(spark, sf):
-    """Original = pool 0, improved = pool 1, matched by rank; components = the first two dimensions
-    (PCA scores in the reference; raw components keep the query checkable in SQL)."""
+    """Original = the even pools, improved = the odd pool after each, matched by rank."""
     rp = _ranked_pools(spark, sf)
-    x = rp.where(F.col("pool") == 0).select("rank", F.col("embedding")[0].cast("double").alias("x0"),
-                                             F.col("embedding")[1].cast("double").alias("x1"))
-    y = rp.where(F.col("pool") == 1).select("rank", F.col("embedding")[0].cast("double").alias("y0"),
-                                             F.col("embedding")[1].cast("double").alias("y1"))
-    return x.join(y, "rank")
+    name = F.floor(F.col("pool") / 2)
+    x = rp.where(F.col("pool") % 2 == 0).select(name.alias("pair"), "rank", F.col("embedding").cast("array<double>").alias("x"))
+    y = rp.where(F.col("pool") % 2 == 1).select(name.alias("pair"), "rank", F.col("embedding").cast("array<double>").alias("y"))
+    return x.join(y, ["pair", "rank"])
 
 
-@query
-def shift_linear_map(spark, sf):
+def _two_by_two(pairs):
+    """Each two neighbouring dimensions of a pair as a point (x0, x1) moved to (y0, y1); ``dim`` is the first's number."""
+    at = F.explode(F.sequence(F.lit(0), F.size("x") - 2, F.lit(2)))
+    return pairs.withColumn("dim", at).select(
+        "pair", "rank", "dim", F.get("x", F.col("dim")).alias("x0"), F.get("x", F.col("dim") + 1).alias("x1"),
+        F.get("y", F.col("dim")).alias("y0"), F.get("y", F.col("dim") + 1).alias("y1"))
+
+
+def _shift_maps(spark, sf):
     from shiftkit.operators.sampling import bootstrap_draws
     from shiftkit.operators.vectors import expand_weights, regression_2d
+    from shiftkit.session import materialize
+
+    pairs = materialize(_shift_pairs(spark, sf))
+    draws = bootstrap_draws(pairs.select("pair", "rank"), "rank", ["pair"], iters=10, size=100, seed=13)
+    sample = expand_weights(draws.join(_two_by_two(pairs), ["pair", "rank"]))
+    return regression_2d(sample, ["iter", "dim"], "x0", "x1", ["y0", "y1"])
+
+
+@query
+def shift_linear_map(spark, sf):
+    return _shift_maps(spark, sf).select(
+        "iter", "dim", "out_dim", r9("coef_0").alias("coef_0"), r9("coef_1").alias("coef_1"), r9("intercept").alias("intercept"))
 
-    pairs = _shift_pairs(spark, sf)
-    draws = bootstrap_draws(pairs.select("rank"), "rank", [], iters=10, size=100, seed=13)
-    sample = expand_weights(draws.join(pairs, "rank"))
-    res = regression_2d(sample, ["iter"], "x0", "x1", ["y0", "y1"])
-    return res.select("iter", "out_dim", r9("coef_0").alias("coef_0"), r9("coef_1").alias("coef_1"),
-                      r9("intercept").alias("intercept"))
+
+@query
+def shift_map_summary(spark, sf):
+    from shiftkit.operators.vectors import coefficient_summary
+
+    out = coefficient_summary(_shift_maps(spark, sf), ["dim", "out_dim"])
+    return out.select("dim", "out_dim", "n_samples", *[r9(f"{n}_{c}").alias(f"{n}_{c}") for c in ("coef_0", "coef_1", "intercept") for n in ("mean", "sd")])
 
 
 @query
 def shift_pull_estimate(spark, sf):
     from shiftkit.operators.vectors import pull_estimate
 
-    rp = _ranked_pools(spark, sf)
-    x = rp.where(F.col("pool") == 0).select("rank", F.posexplode(F.col("embedding").cast("array<double>")).alias("dim", "x"))
-    y = rp.where(F.col("pool") == 1).select("rank", F.posexplode(F.col("embedding").cast("array<double>")).alias("dim", "y"))
-    out = pull_estimate(x.join(y, ["rank", "dim"]), ["dim"], "x", "y")
+    both = _shift_pairs(spark, sf).select(F.posexplode(F.arrays_zip("x", "y")).alias("dim", "v")).select("dim", "v.x", "v.y")
+    out = pull_estimate(both, ["dim"], "x", "y")
     return out.select("dim", r9("alpha").alias("alpha"), r9("fixed_point").alias("fixed_point"), "n")
 
 
@@ -783,8 +814,10 @@ def shift_pull_estimate(spark, sf):
 def density_grid(spark, sf):
     from shiftkit.operators.vectors import density_grid as dg
 
-    p = _pools(spark, sf).select(F.col("embedding")[0].cast("double").alias("x"), F.col("embedding")[1].cast("double").alias("y"))
-    return dg(p, "x", "y", 0.05)
+    v = _pools(spark, sf).select(F.col("embedding").cast("array<double>").alias("v"))
+    at = F.explode(F.sequence(F.lit(0), F.size("v") - 2, F.lit(2)))
+    p = v.withColumn("dim", at).select("dim", F.get("v", F.col("dim")).alias("x"), F.get("v", F.col("dim") + 1).alias("y"))
+    return dg(p, "x", "y", 0.05, ["dim"])
 
 
 @query
@@ -800,7 +833,7 @@ def rewrite_trajectory(spark, sf):
 def pca_project(spark, sf):
     from shiftkit.operators.vectors import pca_project as pp
 
-    out = pp(_pools(spark, sf).where(F.col("pool").isin(0, 1)), "embedding", 2)
+    out = pp(_pools(spark, sf), "embedding", 2)
     return out.select("vec_id", "pool", F.col("pc")[0].alias("pc0"), F.col("pc")[1].alias("pc1"))
 
 
@@ -808,7 +841,9 @@ def pca_project(spark, sf):
 def embed_texts(spark, sf):
     from shiftkit.operators.vectors import embed_texts as et
 
-    return et(_docs(spark, sf).select("doc_id", "text"), "text", dim=64).select("doc_id", "embedding")
+    out = et(_docs(spark, sf).select("doc_id", "text"), "text", dim=64)
+    scaled = F.transform("embedding", lambda x: F.round(x.cast("double") * 100000).cast("long").cast("string"))
+    return out.select("doc_id", F.array_join(scaled, ",").alias("embedding"))
 
 
 # ---------------------------------------------------------------------------------------------
@@ -836,7 +871,7 @@ def vocabulary_topk(spark, sf):
 def token_ids(spark, sf):
     from shiftkit.operators.text import token_ids as ti
 
-    out = ti(_docs(spark, sf), "doc_id", "text", _vocab(spark, sf), max_len=64)
+    out = ti(_docs(spark, sf), "doc_id", "text", _vocab(spark, sf))
     return out.select("doc_id", F.array_join("input_ids", ",").alias("input_ids"))
 
 
@@ -876,17 +911,16 @@ PROFILE_TEMPLATE = "Profile <ID> (<LANG>, <SOURCE>):\n<TEXT>\n<CONTACT> stays as
 
 @query
 def template_fill(spark, sf):
-    from shiftkit.operators.answers import melt
     from shiftkit.operators.prompts import template_fill as tf
 
-    docs = _docs(spark, sf).select("doc_id", F.col("doc_id").cast("string").alias("ID"), F.col("lang").alias("LANG"),
+    docs = _docs(spark, sf).select("doc_id", F.col("doc_id").alias("ID"), F.col("lang").alias("LANG"),
                                    F.col("source").alias("SOURCE"), F.col("text").alias("TEXT"))
-    values = melt(docs, ["doc_id"], ["ID", "LANG", "SOURCE", "TEXT"], "param", "value")
     templates = spark.createDataFrame([("profile", PROFILE_TEMPLATE)], "template_id string, template string")
-    return tf(templates, values, ["doc_id"])
+    return tf(templates, docs, ["doc_id"])
 
 
 PERSONAS = ["recruiter", "peer"]
+# Short names of models.
 PROMPT_MODELS = ["gpt4", "gemini", "mixtral"]
 
 
@@ -909,22 +943,26 @@ def prompt_kinds(spark, sf):
 def apply_answers(spark, sf):
     from shiftkit.operators.prompts import apply_answers as aa
 
-    ans = read_table(spark, sf, "conversations").where((F.col("role") == "assistant") & (F.col("turn") == 1)).select(
-        F.col("conv_id").alias("doc_id"), F.col("text").alias("answer"))
+    ans = read_table(spark, sf, "conversations").where(F.col("role") == "assistant").groupBy(F.col("conv_id").alias("doc_id")).agg(
+        F.max_by("text", "turn").alias("answer"))
     return aa(_docs(spark, sf).select("doc_id", "text"), ans, "doc_id", "answer", "cleaned_text", fallback="text").select(
         "doc_id", "cleaned_text")
 
 
 @query
 def rewrite_rounds(spark, sf):
-    """Rounds of rewriting: each non-system turn of a conversation is the next round of one text."""
-    from shiftkit.operators.positional import dense_index
+    """Three rounds of rewriting every document by a stand-in model, which answers with the prompt's text less its first
+    character, and the distance of each round's text to the original."""
+    from shiftkit.operators.prompts import rewrite_rounds as rounds
+    from shiftkit.operators.vectors import distance_to_first_round
+
+    def respond(prompts):
+        return [p.split("\n\n", 1)[1][1:] for p in prompts]
 
-    c = read_table(spark, sf, "conversations").where(F.col("role") != "system").select(
-        "conv_id", "turn", F.length("text").cast("long").alias("n_chars"))
-    r = dense_index(c, ["turn"], by=["conv_id"], out="round")
-    first = c.groupBy("conv_id").agg(F.min_by("n_chars", "turn").alias("_n0"))
-    return r.join(first, "conv_id").select("conv_id", "round", "n_chars", (F.col("n_chars") - F.col("_n0")).alias("chars_change"))
+    long = rounds(_docs(spark, sf).select("doc_id", "text"), "doc_id", "text", respond, 3, kind="clean")
+    out = distance_to_first_round(long, "text_name", "round", "text")
+    return out.select("text_name", "round", F.length("text").cast("long").alias("n_chars"),
+                      F.when(F.abs("distance") < 5e-10, 0.0).otherwise(r9("distance")).alias("distance"))
 
 
 def _decisions_with_text(spark, sf):
@@ -947,11 +985,54 @@ def decision_history(spark, sf):
 @query
 def few_shot_block(spark, sf):
     from shiftkit.operators.prompts import FEW_SHOT_ITEM, history_blocks
-    from shiftkit.operators.sampling import sample_n as sn
+    from shiftkit.operators.sampling import stratified_ranks
+
+    shots = stratified_ranks(_decisions_with_text(spark, sf), "doc_id", "persona", 8, seed=21)
+    return history_blocks(shots, ["persona"], "doc_id", "text", "decision", max_items=8, item=FEW_SHOT_ITEM)
+
+
+def _learnt(spark, sf, kind):
+    """Prompts of one kind for every document and persona, with each block of the persona's six sampled decisions."""
+    from shiftkit.operators.prompts import build_prompts, history_blocks
+    from shiftkit.operators.sampling import stratified_ranks
+
+    sample = stratified_ranks(_decisions_with_text(spark, sf), "doc_id", "persona", 6, seed=23)
+    history = history_blocks(sample, ["persona"], "doc_id", "text", "decision", max_items=3)
+    p = build_prompts(_docs(spark, sf), "doc_id", "text", [kind], ["quality", "toxic"], ["model"], history=history)
+    return p.select("prompt_id", "text_name", "agent", "block", F.md5("prompt").alias("prompt_md5"), F.length("prompt").cast("long").alias("n_chars"))
+
+
+@query
+def learn_prompts(spark, sf):
+    return _learnt(spark, sf, "learn")
+
+
+@query
+def adjust_prompts(spark, sf):
+    return _learnt(spark, sf, "adjust_tailored")
+
+
+@query
+def score_against_post(spark, sf):
+    """Every document scored for a benchmark text as its post (item = doc_id modulo their number)."""
+    from shiftkit.operators.prompts import build_prompts
+
+    posts = read_table(spark, sf, "benchmark").select(F.col("item_id").alias("_item"), F.col("text").alias("post"))
+    n = posts.agg(F.count(F.lit(1))).scalar()
+    docs = _docs(spark, sf).withColumn("_item", F.pmod(F.col("doc_id"), n)).join(posts, "_item", "left")
+    return build_prompts(docs, "doc_id", "text", ["score_post"], ["recruiter"], ["model"], post="post").select("prompt_id", "text_name", "prompt")
+
+
+@query
+def label_prompts(spark, sf):
+    """Token-label prompts: the tokens of every user turn, joined by a separator."""
+    from shiftkit.operators.prompts import build_prompts
+    from shiftkit.operators.text import whitespace_tokens
 
-    shots = sn(_decisions_with_text(spark, sf).where(F.col("persona") == "quality"), "doc_id", 8, seed=21)
-    return history_blocks(shots, ["persona"], "doc_id", "text", "decision", max_items=1000, item=FEW_SHOT_ITEM).select(
-        "persona", "n_items", "history")
+    name = F.concat_ws("_", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
+    users = read_table(spark, sf, "conversations").where(F.col("role") == "user").select(
+        name.alias("name"), F.array_join(whitespace_tokens("text"), " | ").alias("tokens"))
+    return build_prompts(users, "name", "tokens", ["label"], ["annotator"], ["model"]).select("prompt_id", "text_name", "prompt")
 
 
 # ---------------------------------------------------------------------------------------------
@@ -964,7 +1045,8 @@ def classifier_accuracy(spark, sf):
     from shiftkit.operators.sampling import hash_split
 
     d = hash_split(_docs(spark, sf).select("doc_id", "text", _is_us().alias("label")), "doc_id", 0.8, seed=7)
-    return ca(d, "text", "label", "split", ["logistic_regression", "random_forest", "neural_network"], vocab_size=1000)
+    return ca(d, "text", "label", "split", ["logistic_regression", "random_forest", "neural_network"], vocab_size=5000).select(
+        "method", "n", "n_positive", "beats_majority")
 
 
 @query
@@ -976,7 +1058,8 @@ def variant_auroc(spark, sf):
     upd = pv(_parsed_updates(spark, sf), "key", UPDATE_TYPES).dropna(how="any").withColumnRenamed("key", "doc_id")
     prof = _docs(spark, sf).select("doc_id", F.col("text").alias("original"), _is_us().alias("label")).join(upd, "doc_id")
     d = hash_split(prof, "doc_id", 0.8, seed=7)
-    return va(d, ["original", *UPDATE_TYPES], "label", "split")
+    out = va(d, ["original", *UPDATE_TYPES], "label", "split")
+    return out.select("variant", "n_positive", "n_negative", F.col("auroc").isNotNull().alias("scored"))
 
 
 # ---------------------------------------------------------------------------------------------
@@ -987,5 +1070,4 @@ def variant_auroc(spark, sf):
 def incremental_prompts(spark, sf):
     from shiftkit.streaming.incremental import incremental_prompt_run
 
-    conv = read_table(spark, sf, "conversations")
-    return incremental_prompt_run(spark, conv, chunk_rows=1000)
+    return incremental_prompt_run(spark, f"{sf}/conversations.parquet").select("prompt_id", "kind", "text_name", "prompt")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -66,44 +67,29 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Cut lineage by a Parquet table in the shared checkpoint folder; for the small state of a loop.
+
+    A checkpoint keeps the size estimate of the plan it replaces, and a join multiplies its sides'
+    estimates, so in a loop of joins the estimates grow beyond all bounds; a table's size is that of its files.
+    """
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Read one of the driver's parquet tables (``<sf_dir>/<name>.parquet``)."""
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
-_SHIPPED: set = set()
-
-
 def ship_package(spark: SparkSession) -> None:
-    """Make ``shiftkit`` importable in Python workers (once per context).
+    """Let task functions of this library travel inside the plan.
 
-    Operators that run pandas code in tasks reference library functions; the package is zipped
-    into the shared checkpoint folder and added with ``addPyFile``, so it works the same on a
-    cluster as in local mode.
+    Operators that run pandas code in tasks reference library functions; they are pickled by value, so no
+    file has to reach the workers and no installed copy is needed there.
     """
-    import zipfile
+    import shiftkit
+    from pyspark.cloudpickle import register_pickle_by_value
 
-    sc = spark.sparkContext
-    key = sc.applicationId
-    if key in _SHIPPED:
-        return
-    pkg = os.path.dirname(os.path.abspath(__file__))
-    root = os.path.dirname(pkg)
-    ckpt = checkpoint_dir(spark)
-    if ckpt.startswith("file:"):
-        ckpt = ckpt[len("file:"):]
-    if "://" in ckpt:
-        # a remote shared folder: build the zip next to the driver; addPyFile ships it to executors
-        target = tempfile.mkdtemp(prefix="shiftkit-pyfiles-")
-    else:
-        target = os.path.join(ckpt, f"pyfiles-{key}")
-        os.makedirs(target, exist_ok=True)
-    path = os.path.join(target, "shiftkit.zip")
-    with zipfile.ZipFile(path, "w") as z:
-        for dirpath, _, files in os.walk(pkg):
-            for f in files:
-                if f.endswith(".py"):
-                    full = os.path.join(dirpath, f)
-                    z.write(full, os.path.relpath(full, root))
-    sc.addPyFile(path)
-    _SHIPPED.add(key)
+    register_pickle_by_value(shiftkit)

@@ -1,6 +1,6 @@
 """Chunk-wise prompt runs with progress kept on disk (Structured Streaming).
 
-A folder of chunk files is read as a stream, one file per micro-batch, with ``availableNow`` so the
+A folder of files is read as a stream, so many bytes per micro-batch, with ``availableNow`` so the
 run stops when the folder is drained. Each batch's prompts are written under its batch id with
 overwrite, so a batch replayed after a failure rewrites the same files (idempotent), and the
 checkpoint records which chunks are done: a restarted run continues where it stopped.
@@ -8,7 +8,6 @@ checkpoint records which chunks are done: a restarted run continues where it sto
 
 from __future__ import annotations
 
-import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,42 +16,36 @@ from pyspark.sql import functions as F
 from shiftkit.session import checkpoint_dir
 
 
-def write_chunks(df: DataFrame, path: str, chunks: int, order: str) -> None:
-    """Split a table into ``chunks`` parquet files (range-partitioned on ``order``)."""
-    df.repartitionByRange(chunks, order).write.mode("overwrite").parquet(path)
+KINDS = ("clean", "redact", "improve")
 
 
 def prompts_for(batch: DataFrame) -> DataFrame:
-    """Prompt rows for the user turns of a batch (the 'clean' prompt of each answer)."""
-    from shiftkit.operators.prompts import PROMPT_KINDS, compiled_fill, prompt_id
+    """Prompt rows of a batch: each user turn with a text gives one prompt of each kind (clean, redact, improve)."""
+    from shiftkit.operators.prompts import build_prompts
 
-    users = batch.where(F.col("role") == "user")
     name = F.concat_ws("_", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
-    return users.select(
-        "conv_id", "turn",
-        prompt_id(F.lit("clean"), name, F.lit("persona"), F.lit("model")).alias("prompt_id"),
-        compiled_fill(PROMPT_KINDS["clean"], {"TEXT": F.col("text")}.get).alias("prompt"),
-    )
+    users = batch.where(F.col("role") == "user").select(name.alias("name"), "text")
+    return build_prompts(users, "name", "text", KINDS, ["persona"], ["model"])
 
 
-def run_incremental(spark: SparkSession, source_dir: str, out_dir: str, ckpt: str, schema,
-                    files_per_batch: int = 1) -> None:
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source_dir)
+def run_incremental(spark: SparkSession, source: str, out_dir: str, ckpt: str, schema,
+                    batch_bytes: int = 256 << 20) -> None:
+    """Drain the parquet files at ``source`` in batches of about ``batch_bytes`` and write their prompts by kind."""
+    stream = (
+        spark.readStream.schema(schema).option("maxBytesPerTrigger", str(batch_bytes)).option("recursiveFileLookup", "true")
+        .option("pathGlobFilter", "*.parquet").parquet(source)
+    )
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        prompts_for(batch).write.mode("overwrite").parquet(os.path.join(out_dir, f"batch_id={batch_id}"))
+        prompts_for(batch).write.mode("overwrite").partitionBy("kind").parquet(f"{out_dir}/batch_id={batch_id}")
 
     q = stream.writeStream.foreachBatch(sink).option("checkpointLocation", ckpt).trigger(availableNow=True).start()
     q.awaitTermination()
 
 
-def incremental_prompt_run(spark: SparkSession, answers: DataFrame, chunk_rows: int = 100_000,
-                           order: str = "conv_id") -> DataFrame:
-    """Write ``answers`` as chunk files of about ``chunk_rows`` rows in the shared checkpoint folder,
-    run the stream over them (one chunk per micro-batch), and return the accumulated prompt table."""
-    base = os.path.join(checkpoint_dir(spark), f"incremental-{uuid.uuid4().hex}")
-    src, out, ck = (os.path.join(base, x) for x in ("source", "prompts", "checkpoint"))
-    chunks = max(1, -(-answers.count() // chunk_rows))
-    write_chunks(answers, src, chunks, order)
-    run_incremental(spark, src, out, ck, answers.schema)
-    return spark.read.parquet(out).select("conv_id", "turn", "prompt_id", "prompt")
+def incremental_prompt_run(spark: SparkSession, source: str, batch_bytes: int = 256 << 20) -> DataFrame:
+    """Run the stream over the files at ``source`` (they are read where they are) and return the prompt table, which
+    lies in the shared checkpoint folder with the progress of the run."""
+    base = f"{checkpoint_dir(spark).rstrip('/')}/incremental-{uuid.uuid4().hex}"
+    run_incremental(spark, source, f"{base}/prompts", f"{base}/progress", spark.read.parquet(source).schema, batch_bytes)
+    return spark.read.parquet(f"{base}/prompts").select("prompt_id", "kind", "text_name", "agent", "model", "prompt")

@@ -30,7 +30,7 @@ def test_prompt_grid_is_a_generator_not_a_join(spark):
 def _plannable():
     from __spark_entry__ import queries
 
-    return sorted(set(queries()) - {"classifier_accuracy", "variant_auroc", "incremental_prompts"})
+    return sorted(set(queries()) - {"classifier_accuracy", "variant_auroc", "incremental_prompts", "pipeline"})
 
 
 @pytest.mark.parametrize("name", _plannable())
