@@ -102,7 +102,7 @@ def pairwise_median_similarity(df: DataFrame, pool: Sequence[str], key: str, vec
 
     Pass 1 counts similarities in ``bins`` equal bins per pool; the bins holding the two middle
     ranks give a bracket. Further passes narrow the bracket until it holds at most
-    ``max_candidates`` values, or only values that doubles can't tell apart. The last pass returns the count below
+    ``max_candidates`` values, or gets no narrower: then it holds little but ties of the two middle values. The last pass returns the count below
     the bracket and the distinct values inside it, from which the middle ranks are read exactly. Zero and NULL vectors
     have no similarity and take no part. The work is quadratic in a pool's size, as the median of all pairs is.
     """
@@ -177,12 +177,13 @@ def pairwise_median_similarity(df: DataFrame, pool: Sequence[str], key: str, vec
             (F.col("_a") + F.col("_blo") * width).alias("_a"),
             (F.col("_a") + (F.col("_bhi") + 1) * width).alias("_b"),
             (F.col("_base") + F.col("_under")).alias("_base"),
-            F.col("_inside").alias("_inside"),
+            F.col("_inside").alias("_inside"), (F.col("_b") - F.col("_a")).alias("_was"),
         )
         # one row per pool; storing it keeps each round's plan from nesting the previous ones
         nxt = stored(nxt)
-        open_ = nxt.where((F.col("_inside") > max_candidates) & (F.col("_b") - F.col("_a") > 1e-14)).count()
-        targets = nxt.drop("_inside")
+        width_now = F.col("_b") - F.col("_a")
+        open_ = nxt.where((F.col("_inside") > max_candidates) & (width_now > 1e-14) & (width_now < 0.9 * F.col("_was"))).count()
+        targets = nxt.drop("_inside", "_was")
         if not open_:
             break
     # widen by a rounding margin so the last pass's own count decides membership

@@ -40,9 +40,9 @@ def duck():
 
 
 def _names():
-    from __spark_entry__ import oracle_sql
+    from shiftkit.plans.oracle import ORACLE
 
-    return sorted(oracle_sql())
+    return sorted(ORACLE)
 
 
 SPARK_TO_DUCK = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "float": "FLOAT",

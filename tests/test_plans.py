@@ -28,9 +28,9 @@ def test_prompt_grid_is_a_generator_not_a_join(spark):
 
 
 def _plannable():
-    from __spark_entry__ import queries
+    from shiftkit.plans.registry import QUERIES
 
-    return sorted(set(queries()) - {"classifier_accuracy", "variant_auroc", "incremental_prompts", "pipeline"})
+    return sorted(set(QUERIES) - {"classifier_accuracy", "variant_auroc", "incremental_prompts"})
 
 
 @pytest.mark.parametrize("name", _plannable())
