@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from shiftkit.llm.common import lower_ascii, ship_by_value, utf8
 from shiftkit.llm.components import components
-from shiftkit.session import materialize
+from shiftkit.session import materialize, stored
 
 #: A signature: SYMBOLS MinHash values of 16 bits each, split into chunks of CHUNK symbols.
 SYMBOLS, CHUNK = 48, 4
@@ -259,7 +259,8 @@ def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 80) -> DataF
     held = materialize(keys.join(several, F.col("key") == F.col("bucket")).select("key", "node"))
     grams = materialize(whole_sets(docs, nodes.join(held.select("node").distinct(), "node").select("row", "node"), words))
 
-    links = groups = docs.sparkSession.createDataFrame([], "node long, root long")
+    links = docs.sparkSession.createDataFrame([], "u long, v long")
+    groups = components(links)
     for turn, best in enumerate((1, 1, 8, None)):
         members = grouped(held, groups)
         if turn < 2:
@@ -267,8 +268,8 @@ def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 80) -> DataF
             pairs = near.groupBy("v").agg(F.min(F.struct("errors", "u")).alias("closest")).select("closest.u", "v")
         else:
             pairs = across(members, nodes, percent / 100, best)
-        links = materialize(links.union(confirm(pairs, grams, percent)))
-        groups = components(links.toDF("u", "v"))
+        links = stored(links.union(confirm(pairs, grams, percent)))
+        groups = components(links)
 
     named = nodes.join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
     names = named.groupBy(F.col("root").alias("class")).agg(F.min("first_id").alias("component_id"))
