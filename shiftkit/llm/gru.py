@@ -22,8 +22,8 @@ def char_grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         code ^= code >> np.uint32(15)
         at.append((code * np.uint32(2654435761)) >> np.uint32(20))
         ok.append(np.arange(WIDTH - size + 1) + size <= n[:, None])
-    weight = np.concatenate(ok, axis=1).astype(np.float32)
-    return np.concatenate(at, axis=1).astype(np.int64), weight / np.maximum(weight.sum(axis=1, keepdims=True), 1)
+    valid = np.concatenate(ok, axis=1)
+    return np.concatenate(at, axis=1).astype(np.uint16), (valid / np.maximum(valid.sum(axis=1, keepdims=True), 1)).astype(np.float16)
 
 
 def start(vocabulary: int, seed: int) -> dict[str, np.ndarray]:
@@ -118,7 +118,7 @@ def gradients(p: dict, rows: np.ndarray, live: np.ndarray, word_ids: np.ndarray,
         dx = dx + by_word @ p[f"x{d}"].T
     g["word"], g["char"] = np.zeros_like(p["word"]), np.zeros_like(p["char"])
     np.add.at(g["word"], word_ids, dx[:, :DIM])
-    at = grams.ravel()
+    at = grams.ravel().astype(np.int64)
     for i in range(DIM):
         g["char"][:, i] = np.bincount(at, (dx[:, DIM + i, None] * weight).ravel(), BUCKETS)
     return g
@@ -208,21 +208,18 @@ def train(texts: list[bytes], labels: np.ndarray, epochs: int = 6, batch: int =
     as the log odds of its word or n-gram between the labels. Deterministic.
     """
     rng = np.random.default_rng(seed)
-    split = [t.split() for t in texts]
-    in_texts: dict[bytes, int] = {}
-    for words in split:
-        for w in set(words):
-            in_texts[w] = in_texts.get(w, 0) + 1
-    vocabulary = {w: i + 1 for i, w in enumerate(sorted(w for w, n in in_texts.items() if n >= least))}
-    every = sorted(in_texts)
-    row = {w: i + 1 for i, w in enumerate(every)}
+    row: dict[bytes, int] = {}
+    rows = [np.fromiter((row.setdefault(w, len(row) + 1) for w in t.split()), np.int32) for t in texts]  # numbers, not words, are kept
+    every, used = list(row), [np.unique(r) for r in rows]
+    in_texts = np.bincount(np.concatenate(used), minlength=len(every) + 1)[1:]
+    vocabulary = {w: i + 1 for i, w in enumerate(sorted(w for w, n in zip(every, in_texts, strict=True) if n >= least))}
     word_ids, (grams, weight) = np.array([0, *(vocabulary.get(w, 0) for w in every)]), char_grams([b"", *every])
+    del row, every
     pad = np.zeros(WINDOW, np.int32)
-    stream = np.concatenate([x for words in split for x in (np.array([row[w] for w in words], np.int32), pad)])
-    starts, owner = cut_windows([len(words) for words in split])
+    stream = np.concatenate([x for r in rows for x in (r, pad)])
+    starts, owner = cut_windows([len(r) for r in rows])
     windows, y = stream[starts[:, None] + np.arange(WINDOW)], labels.astype(np.float32)
     p = start(len(vocabulary), seed)
-    used = [np.unique([row[w] for w in words]).astype(np.int64) for words in split]
     p["word"][:, 0] = log_odds([np.unique(word_ids[r]) for r in used], labels, len(vocabulary) + 1)
     p["word"][0] = 0
     p["char"][:, 0] = log_odds([np.unique(grams[r][weight[r] > 0]) for r in used], labels, BUCKETS)

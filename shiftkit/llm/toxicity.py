@@ -26,7 +26,7 @@ def body(text: Column) -> Column:
     return utf8(F.lower(text))
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, positives: int = 1500, negatives: int = 3000, most_bytes: int = 20_000) -> Network | None:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, positives: int = 1000, negatives: int = 3000, most_bytes: int = 20_000) -> Network | None:
     """Fit the network on a bounded sample: by hash of doc_id, so many labelled documents of each class that aren't held out.
 
     Documents above ``most_bytes`` bytes are left out of the sample (they are scored like all others).
