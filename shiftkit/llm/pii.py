@@ -215,8 +215,10 @@ def added_spans(text: str, base: list[Span], field: Field, sure: float) -> list[
 
 def fit_field(docs: DataFrame, sample: int = 2000, most_chars: int = 20_000) -> Field:
     """Fit on a bounded sample: ``sample`` documents of at most ``most_chars`` with a digit or at sign, by hash of doc_id."""
-    hinted = docs.select("doc_id", "text").where(F.col("text").rlike(_HINT) & (F.length("text") <= most_chars))
-    return fit([r["text"] for r in hinted.orderBy(F.xxhash64(F.lit("sample"), "doc_id", "text"), "text").limit(sample).collect()])
+    hinted = docs.select("text", F.xxhash64(F.lit("sample"), "doc_id", "text").alias("draw")).where(F.col("text").rlike(_HINT) & (F.length("text") <= most_chars))
+    drawn = hinted.select("draw").distinct().orderBy("draw").limit(sample)  # numbers only: each task sends its best to one place
+    rows = hinted.join(F.broadcast(drawn), "draw").groupBy("draw").agg(F.min("text").alias("text")).collect()
+    return fit([r["text"] for r in sorted(rows, key=lambda r: r["draw"])])
 
 
 def find_personal(docs: DataFrame, sure: float = 0.9, sample: int = 2000) -> DataFrame:
