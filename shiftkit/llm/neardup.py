@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -157,11 +158,11 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
 
 
 def grouped(held: DataFrame, groups: DataFrame) -> DataFrame:
-    """``key, node, group, top, members`` of the buckets that hold several groups; top is a bucket's largest group."""
+    """``key, node, group, top`` of the buckets that hold several groups; top is a bucket's largest group."""
     member = held.select("key", "node").join(groups, "node", "left").select("key", "node", F.coalesce("root", "node").alias("group"))
     sizes = member.groupBy("key", "group").agg(F.count(F.lit(1)).alias("n"))
-    mixed = sizes.groupBy(F.col("key").alias("bucket")).agg(F.max(F.struct("n", "group")).alias("best"), F.sum("n").alias("members"), F.count(F.lit(1)).alias("groups")).where("groups > 1")
-    return member.join(mixed, F.col("key") == F.col("bucket")).select("key", "node", "group", F.col("best.group").alias("top"), "members")
+    mixed = sizes.groupBy(F.col("key").alias("bucket")).agg(F.max(F.struct("n", "group")).alias("best"), F.count(F.lit(1)).alias("groups")).where("groups > 1")
+    return member.join(mixed, F.col("key") == F.col("bucket")).select("key", "node", "group", F.col("best.group").alias("top"))
 
 
 def star_pairs(members: DataFrame, turn: int) -> DataFrame:
@@ -172,62 +173,55 @@ def star_pairs(members: DataFrame, turn: int) -> DataFrame:
     return both.select(F.col("head.node").alias("u"), F.col("node").alias("v")).distinct()
 
 
-def across(members: DataFrame, nodes: DataFrame, threshold: float, best: int | None, block: int = 4096) -> DataFrame:
-    """Pairs (u, v) of different groups in a bucket that signatures and set sizes allow, from :func:`grouped` members.
+def settle(members: DataFrame, grams: DataFrame, percent: int, block: int = 1024) -> DataFrame:
+    """Links (u, v) between different groups of a bucket, by whole sets, from :func:`grouped` members.
 
-    Each member outside a bucket's largest group meets all members of other groups; with ``best`` only its closest
-    so many are returned, else all. Buckets are cut into blocks of about ``block`` members, and a task compares
-    the signatures of two blocks at a time, so no task holds a whole large bucket. A pair comes from the first bucket it shares only
-    (without ``best``).
+    The buckets with the same largest group form a family, which holds each of their nodes once. Each node outside
+    the largest group is compared with all nodes of other groups, on whole sets; of its links into one group the
+    first is returned, which connects the groups as well as all would. Families are cut into blocks
+    of about ``block`` nodes, and a task holds the sets of two blocks at a time; no pair becomes a row before
+    it is a link.
     """
     ship_by_value()
-    blocks = F.ceil(F.col("members") / block).cast("int")
-    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
-    sides = F.transform(F.sequence(F.lit(0), blocks - 1), lambda other: F.struct(F.least(own, other).alias("i"), F.greatest(own, other).alias("j")))
-    dealt = members.join(nodes.select("node", "sig", "n_shingles"), "node").select("key", "node", "group", "top", "sig", "n_shingles", own.alias("own"), F.explode(sides).alias("p"))
-    dealt = dealt.select("key", F.col("p.i").alias("i"), F.col("p.j").alias("j"), "own", "node", "group", "top", "sig", "n_shingles")
-
-    def compare(part: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        key, node, group, n = (part[c].to_numpy(np.int64) for c in ("key", "node", "group", "n_shingles"))
-        sig = np.frombuffer(b"".join(part["sig"]), "<u2").reshape(-1, SYMBOLS)
-        apart = part["i"].iloc[0] != part["j"].iloc[0]
-        side, u, v = part["own"].to_numpy(), [], []
-        for x in np.flatnonzero(group != part["top"].to_numpy(np.int64)):
-            y = np.flatnonzero((group != group[x]) & (np.minimum(n, n[x]) >= threshold * np.maximum(n, n[x]) - 1e-9) & ((side != side[x]) if apart else True))
-            same = sig[y] == sig[x]
-            errors = SYMBOLS - same.sum(axis=1)
-            ok = errors <= ERRORS
-            if best is None:
-                alike = same.reshape(len(y), SYMBOLS // CHUNK, CHUNK)
-                shared = alike.sum(axis=2)
-                chunk = (shared >= CHUNK - 1).argmax(axis=1)
-                at = np.arange(len(y))
-                out = np.where(shared[at, chunk] == CHUNK, 0, (~alike[at, chunk]).argmax(axis=1))
-                ok &= chunk * CHUNK + out == key[x] >> 16 * (CHUNK - 1)
-            y = y[ok]
-            if best is not None and len(y) > best:
-                y = y[np.lexsort((node[y], errors[ok]))[:best]]
-            u.append(np.minimum(node[x], node[y]))
-            v.append(np.maximum(node[x], node[y]))
-        none = [np.zeros(0, np.int64)]
-        return np.concatenate(u or none), np.concatenate(v or none)
+    family = members.select(F.col("top").alias("family"), "node", "group").distinct()
+    sizes = family.groupBy(F.col("family").alias("of")).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    sides = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda other: F.struct(F.least(own, other).alias("i"), F.greatest(own, other).alias("j")))
+    dealt = family.join(sizes, F.col("family") == F.col("of")).select("family", "node", "group", own.alias("own"), F.explode(sides).alias("p"))
+    dealt = dealt.join(grams.select(F.col("node").alias("of"), "grams"), F.col("node") == F.col("of")).select("family", "p.i", "p.j", "own", "node", "group", "grams")
+
+    def compare(part: pd.DataFrame) -> list[tuple[int, int]]:
+        family, node, group, side = (part[c].to_numpy(np.int64) for c in ("family", "node", "group", "own"))
+        sizes = part["grams"].map(len).to_numpy()
+        names, flat = np.unique(np.concatenate(part["grams"].to_list()), return_inverse=True)
+        starts = np.concatenate([[0], np.cumsum(sizes)])
+        mark, apart, links = np.zeros(len(names), np.int64), part["i"].iloc[0] != part["j"].iloc[0], []
+        for x in np.flatnonzero(group != family):
+            here = flat[starts[x] : starts[x + 1]]
+            mark[here] = 1
+            common = np.add.reduceat(mark[flat], starts[:-1])
+            mark[here] = 0
+            ok = (100 * common >= percent * (sizes + sizes[x] - common)) & (group != group[x]) & ((side != side[x]) if apart else True)
+            y = np.flatnonzero(ok)
+            links += [(int(node[x]), int(node[i])) for i in y[np.unique(group[y], return_index=True)[1]]]
+        return links
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest = None
-        for batch in (*batches, None):
+        for batch in chain(batches, [None]):
             both = rest if batch is None else batch if rest is None else pd.concat([rest, batch], ignore_index=True)
             if both is None or not len(both):
                 continue
-            at = both[["key", "i", "j"]].to_numpy(np.int64)
+            at = both[["family", "i", "j"]].to_numpy(np.int64)
             starts = np.flatnonzero(np.append(True, (at[1:] != at[:-1]).any(axis=1)))
             ends = np.append(starts[1:], len(both))
             if batch is not None:  # the last pair of blocks may go on in the next batch
                 rest, starts, ends = both.iloc[starts[-1] :], starts[:-1], ends[:-1]
-            found = [compare(both.iloc[a:b]) for a, b in zip(starts, ends, strict=True)]
+            found = [link for a, b in zip(starts, ends, strict=True) for link in compare(both.iloc[a:b])]
             if found:
-                yield pd.DataFrame({"u": np.concatenate([f[0] for f in found]), "v": np.concatenate([f[1] for f in found])})
+                yield pd.DataFrame(found, columns=["u", "v"])
 
-    return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInPandas(run, "u long, v long").distinct()
+    return dealt.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j").mapInPandas(run, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 80) -> DataFrame:
@@ -241,11 +235,11 @@ def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 80) -> DataF
     2. Nodes meet in the buckets of :func:`chunk_keys`. Twice, every node is paired with one node of each bucket,
        and its closest such partner by signature is confirmed on whole sets. Confirmed links connect most of any family of
        near copies at the cost of a pair a member.
-    3. Only buckets that still hold several groups go on: their members outside the largest group are confirmed
-       with their closest members of other groups, and, where they are still apart, with all that the
-       signature threshold allows. Pairs inside a group are never formed.
+    3. Only buckets that still hold several groups go on: their members outside the largest group are compared
+       with those of all other groups, on whole sets, block by block (:func:`settle`). Pairs inside
+       a group are never looked at.
 
-    So any pair within the signature threshold is either confirmed or connected already, and no link is lost.
+    So any pair within the signature threshold is either compared or connected already, and no link is lost.
 
     A text of fewer words is one shingle; a text without words, or null, is linked with nothing and is its own
     class. Repeated rows are copies; a null doc_id takes part, and names a class (null) only if no other does.
@@ -261,15 +255,12 @@ def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 80) -> DataF
 
     links = docs.sparkSession.createDataFrame([], "u long, v long")
     groups = components(links)
-    for turn, best in enumerate((1, 1, 8, None)):
-        members = grouped(held, groups)
-        if turn < 2:
-            near = near_enough(star_pairs(members, turn), nodes, percent / 100)
-            pairs = near.groupBy("v").agg(F.min(F.struct("errors", "u")).alias("closest")).select("closest.u", "v")
-        else:
-            pairs = across(members, nodes, percent / 100, best)
-        links = stored(links.union(confirm(pairs, grams, percent)))
+    for turn in range(2):
+        near = near_enough(star_pairs(grouped(held, groups), turn), nodes, percent / 100)
+        closest = near.groupBy("v").agg(F.min(F.struct("errors", "u")).alias("closest")).select("closest.u", "v")
+        links = stored(links.union(confirm(closest, grams, percent)))
         groups = components(links)
+    groups = components(links.union(settle(grouped(held, groups), grams, percent)))
 
     named = nodes.join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
     names = named.groupBy(F.col("root").alias("class")).agg(F.min("first_id").alias("component_id"))
