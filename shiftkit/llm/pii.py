@@ -113,9 +113,15 @@ class Field:
     def scores(self, feats: list[list[str]]) -> np.ndarray:
         return np.array([sum((self.node[self.names[f]] for f in fs if f in self.names), np.zeros(N)) for fs in feats]).reshape(-1, N)
 
-    def marginals(self, feats: list[list[str]], chain: list[tuple[int, int]], skip: list[tuple[int, int]], rounds: int = 12, damp: float = 0.3) -> np.ndarray:
-        """Label probabilities by loopy sum-product messages along both sorts of edges, for all edges at once."""
+    def marginals(self, feats: list[list[str]], chain: list[tuple[int, int]], skip: list[tuple[int, int]], rounds: int = 12, damp: float = 0.3, known: np.ndarray | None = None) -> np.ndarray:
+        """Label probabilities by loopy sum-product messages along both sorts of edges, for all edges at once.
+
+        ``known`` has the labels of tokens inside pattern spans (0: none); they are evidence, and flow along the edges.
+        """
         own = self.scores(feats)
+        if known is not None:
+            at = np.flatnonzero(known)
+            own[at, known[at]] += 10
         edges = np.array([*chain, *skip], dtype=np.int64).reshape(-1, 2)
         belief = own
         if len(edges):
@@ -199,9 +205,10 @@ def added_spans(text: str, base: list[Span], field: Field, sure: float) -> list[
     spans, feats, chain, skip = graph(text)
     if not spans:
         return []
-    p = field.marginals(feats, chain, skip)
+    known = silver(spans, base)
+    p = field.marginals(feats, chain, skip, known=known)
     kind, linked, out = np.where(p[:, 1:].max(axis=1) >= sure, p[:, 1:].argmax(axis=1), -1), set(chain), []
-    free = silver(spans, base) == 0
+    free = known == 0
     for i, (a, b) in enumerate(spans):
         if kind[i] < 0 or not free[i]:
             continue
