@@ -245,6 +245,15 @@ def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 80) -> DataF
     class. Repeated rows are copies; a null doc_id takes part, and names a class (null) only if no other does.
     An empty table gives no rows; further columns are ignored.
     """
+    return classed(docs, words, percent).select("doc_id", "n_shingles", "component_id").withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def classed(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """The classes of :func:`near_duplicates` by row: ``doc_id, n_shingles, row, class, component_id``.
+
+    row is the row's digest as in :func:`sign`, class tells the classes apart, also those without a name; it is
+    null for a text without words.
+    """
     signed = materialize(sign(docs, words))
     sets = signed.where("n_shingles > 0").groupBy("a", "b", "n_shingles").agg(F.min("doc_id").alias("first_id"), F.min("row").alias("row"), F.min("sig").alias("sig"))
     nodes = materialize(sets.withColumn("node", F.monotonically_increasing_id()))
@@ -264,15 +273,23 @@ def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 80) -> DataF
 
     named = nodes.join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
     names = named.groupBy(F.col("root").alias("class")).agg(F.min("first_id").alias("component_id"))
-    classes = named.join(names, F.col("root") == F.col("class")).select(F.col("a").alias("x"), F.col("b").alias("y"), F.col("n_shingles").alias("n"), "component_id")
+    classes = named.join(names, F.col("root") == F.col("class")).select(F.col("a").alias("x"), F.col("b").alias("y"), F.col("n_shingles").alias("n"), "class", "component_id")
     match = (F.col("a") == F.col("x")) & (F.col("b") == F.col("y")) & (F.col("n_shingles") == F.col("n"))
-    found = signed.select("doc_id", "n_shingles", "a", "b").join(classes, match, "left")
+    found = signed.select("doc_id", "n_shingles", "a", "b", "row").join(classes, match, "left")
     return found.select(
-        "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
-    ).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+        "doc_id", "n_shingles", "row", "class", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
+    )
 
 
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs``, with all their columns, that name their class in :func:`near_duplicates`; a doc_id once."""
-    kept = near_duplicates(docs, words, percent).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi").dropDuplicates(["doc_id"])
+    """One row of ``docs``, with all its columns, of each class of :func:`near_duplicates`: that of the smallest doc_id.
+
+    Rows are told apart by doc_id and text: rows of one doc_id, or without any, that are no near-duplicates all
+    stay. A null doc_id is the largest. Of rows of a class with equal doc_ids the text's digest decides; rows equal in
+    doc_id and text are one.
+    """
+    alone = F.when(F.col("class").isNull(), F.struct("doc_id", "row"))
+    first = classed(docs, words, percent).groupBy("class", alone.alias("alone")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")).alias("first"))
+    kept = first.select(F.col("first.doc_id").alias("kept_id"), F.col("first.row").alias("kept_row"))
+    match = docs["doc_id"].eqNullSafe(kept["kept_id"]) & (F.xxhash64(docs["doc_id"], docs["text"]) == kept["kept_row"])
+    return docs.join(kept, match, "left_semi").dropDuplicates(["doc_id", "text"])

@@ -66,6 +66,18 @@ def test_keep_one_keeps_columns_and_one_of_each(docs_of):
     assert neardup.near_duplicates(docs_of([])).collect() == []
 
 
+def test_keep_one_loses_no_class_on_null_or_repeated_ids(docs_of):
+    rnd = random.Random(9)
+    texts = [prose(rnd, 40, 10**6) for _ in range(30)]
+    rows = [(None, t) for t in texts[:20]] + [(None, texts[0]), (None, texts[1] + " more"), (None, None), (None, ""), (None, "")]
+    rows += [(7, texts[20]), (7, texts[21]), (7, texts[21]), (3, texts[21]), (8, texts[22]), (8, texts[23]), (2, texts[23] + " more"), (9, texts[2])]
+    got = {(r["doc_id"], r["text"]) for r in neardup.keep_one(docs_of(rows)).collect()}
+    assert len(got) == neardup.keep_one(docs_of(rows)).count()
+    rest = {(d, t) for d, t in got if t not in (texts[1], texts[1] + " more")}
+    assert len(got) - len(rest) == 1  # one of the two near copies without an id
+    assert rest == {(None, t) for t in [texts[0], *texts[3:20], None, ""]} | {(9, texts[2]), (7, texts[20]), (3, texts[21]), (8, texts[22]), (2, texts[23] + " more")}
+
+
 def test_pigeonhole_keys_meet_up_to_the_threshold(spark):
     rng = np.random.default_rng(1)
     a = rng.integers(0, 65536, neardup.SYMBOLS).astype("<u2")
