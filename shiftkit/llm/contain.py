@@ -59,6 +59,13 @@ def find_contained(docs: DataFrame, items: DataFrame, threshold: float = 0.8, n:
     an id like any other. An item of fewer than n words matches only a document that consists of these
     words. Empty tables give no rows; further columns are ignored.
     """
+    enough = contained_rows(docs, items, threshold, n)
+    best = enough.groupBy("doc_id", "item_id").agg(F.max(F.struct((F.col("n_found") / F.col("n_shingles")).alias("c"), "n_shingles", "n_found")).alias("b"))
+    return best.select("doc_id", "item_id", "b.n_shingles", "b.n_found", F.col("b.c").alias("containment"))
+
+
+def contained_rows(docs: DataFrame, items: DataFrame, threshold: float, n: int) -> DataFrame:
+    """The pairs of :func:`find_contained` by row, ``doc_id, row, item_id, n_shingles, n_found``; row is the digest of doc_id and text."""
     known = (
         items.select("item_id", shingles(F.col("text"), n).alias("grams"))
         .withColumn("size", F.size("grams")).where("size > 0")
@@ -72,14 +79,16 @@ def find_contained(docs: DataFrame, items: DataFrame, threshold: float = 0.8, n:
     )
     whole = known.select("item", "item_id", "size", "grams").dropDuplicates(["item"])
     checks = pairs.join(whole, "item").groupBy(F.col("row").alias("found_row")).agg(F.collect_list(F.struct("item_id", "size", "grams")).alias("wanted"))
-    held = texts.dropDuplicates(["row"]).join(checks, F.col("row") == F.col("found_row")).select("doc_id", shingles(F.col("text"), n).alias("have"), F.explode("wanted").alias("w"))
-    counted = held.select("doc_id", "w.item_id", F.col("w.size").cast("long").alias("n_shingles"), F.size(F.array_intersect("have", "w.grams")).cast("long").alias("n_found"))
-    enough = counted.where(F.col("n_found") >= F.col("n_shingles") * F.lit(threshold) - F.lit(1e-9))
-    best = enough.groupBy("doc_id", "item_id").agg(F.max(F.struct((F.col("n_found") / F.col("n_shingles")).alias("c"), "n_shingles", "n_found")).alias("b"))
-    return best.select("doc_id", "item_id", "b.n_shingles", "b.n_found", F.col("b.c").alias("containment"))
+    held = texts.dropDuplicates(["row"]).join(checks, F.col("row") == F.col("found_row")).select("doc_id", "row", shingles(F.col("text"), n).alias("have"), F.explode("wanted").alias("w"))
+    counted = held.select("doc_id", "row", "w.item_id", F.col("w.size").cast("long").alias("n_shingles"), F.size(F.array_intersect("have", "w.grams")).cast("long").alias("n_found"))
+    return counted.where(F.col("n_found") >= F.col("n_shingles") * F.lit(threshold) - F.lit(1e-9))
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.8, n: int = 5) -> DataFrame:
-    """The rows of ``docs``, with all their columns, whose doc_id is in no pair of :func:`find_contained`."""
-    found = find_contained(docs, items, threshold, n).select(F.col("doc_id").alias("contaminated_id")).distinct()
-    return docs.join(found, docs["doc_id"].eqNullSafe(found["contaminated_id"]), "left_anti")
+    """The rows of ``docs``, with all their columns, that hold no item as :func:`find_contained` asks.
+
+    Each row is judged by its own text: clean rows of a doc_id that contaminated rows have too, or of none, stay.
+    """
+    found = contained_rows(docs, items, threshold, n).select(F.col("doc_id").alias("contaminated_id"), F.col("row").alias("contaminated_row")).distinct()
+    match = docs["doc_id"].eqNullSafe(found["contaminated_id"]) & (F.xxhash64(docs["doc_id"], docs["text"]) == found["contaminated_row"])
+    return docs.join(found, match, "left_anti")

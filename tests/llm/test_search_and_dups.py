@@ -134,6 +134,15 @@ def test_containment_matches_brute_force(spark, docs_of):
     assert find_contained(docs_of([]), bench).collect() == [] and find_contained(df, bench.limit(0)).collect() == []
 
 
+def test_contaminated_rows_take_no_clean_ones_along(spark, docs_of):
+    rnd = random.Random(10)
+    item, clean = prose(rnd, 30, 10**6), [prose(rnd, 40, 10**6) for _ in range(4)]
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    rows = [(None, item), (None, clean[0]), (None, None), (5, "x " + item), (5, clean[1]), (5, clean[1]), (6, clean[2]), (7, item + " y")]
+    got = told(drop_contaminated(docs_of(rows), bench), "doc_id", "text")
+    assert got == sorted([(None, clean[0]), (None, None), (5, clean[1]), (5, clean[1]), (6, clean[2])], key=repr)
+
+
 def test_chunks_do_not_depend_on_blocks_and_resist_insertions(monkeypatch):
     rnd, gear = random.Random(7), chunks.gear_table()
     text = prose(rnd, 3000, 10**6).encode()
