@@ -6,10 +6,21 @@ import numpy as np
 
 #: Words of a window and words from one window's start to the next, so neighbours share WINDOW - STRIDE words.
 WINDOW, STRIDE = 48, 36
-#: Width of an embedding, of a direction's state, of the attention; buckets of the character n-grams; bytes of a word they see.
+#: Width of an embedding, of a direction's state, of the attention; buckets of the character n-grams; bytes of a step and its two marks.
 DIM, HIDDEN, ATTEND, BUCKETS, WIDTH = 12, 8, 8, 4096, 24
 
 
+def steps(text: bytes) -> list[bytes]:
+    """The steps of a text: its words, those above WIDTH - 2 bytes in pieces of so many, which share 3 bytes with the next.
+
+    So each 3- and 4-byte n-gram of a word is in some piece, also in texts that have no spaces.
+    """
+    words, size = text.split(), WIDTH - 2
+    if max(map(len, words), default=0) <= size:
+        return words
+    return [w[at : at + size] for w in words for at in range(0, max(1, len(w) - 3), size - 3)]
+
+
 def char_grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of the 3- and 4-byte n-grams of ``^word$`` (a column per place) and the weight of each (mean)."""
     m = np.array([b"^" + w[: WIDTH - 2] + b"$" for w in words], dtype=f"S{WIDTH}").view(np.uint8).reshape(len(words), WIDTH).astype(np.uint32)
@@ -84,9 +95,9 @@ def _recur_back(d_states: np.ndarray, kept: list, u: np.ndarray) -> tuple[np.nda
 
 def forward(p: dict, rows: np.ndarray, live: np.ndarray, pre_f: np.ndarray, pre_b: np.ndarray, keep: bool = False):
     """Logit of each window. rows: each step's row in the projected inputs pre_f and pre_b; live: 1 at words."""
-    steps = rows.shape[1]
-    f, kept_f = _recur([pre_f[rows[:, t]] for t in range(steps)], live, p["uf"], keep)
-    b, kept_b = _recur([pre_b[rows[:, t]] for t in range(steps - 1, -1, -1)], live[:, ::-1], p["ub"], keep)
+    n = rows.shape[1]
+    f, kept_f = _recur([pre_f[rows[:, t]] for t in range(n)], live, p["uf"], keep)
+    b, kept_b = _recur([pre_b[rows[:, t]] for t in range(n - 1, -1, -1)], live[:, ::-1], p["ub"], keep)
     h = np.concatenate([np.stack(f), np.stack(b[::-1])], axis=2)
     u = np.tanh(h @ p["a"])
     s = np.where(live.T > 0, u @ p["v"], -1e9)
@@ -175,18 +186,32 @@ class Network:
         return np.maximum.reduceat(out, np.searchsorted(owner, np.arange(len(texts))))
 
     def scores(self, texts: list[bytes], words: int = 100_000, known: int = 200_000) -> np.ndarray:
-        """Probabilities of UTF-8 texts, ``words`` words at a time; more than ``known`` different words are forgotten."""
-        out, ids, n = [], [], 0
-        for i, text in enumerate(texts):
-            ids.append(self.number(text.split()))
-            n += len(ids[-1])
-            if n >= words or i == len(texts) - 1:
-                out.append(self.logits(ids))
-                ids, n = [], 0
+        """Probabilities of UTF-8 texts, about ``words`` steps at a time; more than ``known`` different ones are forgotten.
+
+        A longer text is cut where a window starts, so its parts have the windows of the whole.
+        """
+        best, ids, owner, n = np.full(len(texts), -np.inf, np.float32), [], [], 0
+        part, shared = -(-words // STRIDE) * STRIDE, WINDOW - STRIDE
+
+        def flush() -> None:
+            nonlocal ids, owner, n
+            if ids:
+                np.maximum.at(best, owner, self.logits(ids))
+                ids, owner, n = [], [], 0
                 if len(self.rows) > known:
                     self.forget()
+
+        for i, text in enumerate(texts):
+            of_text = steps(text)
+            for at in range(0, max(1, len(of_text) - shared), part):
+                ids.append(self.number(of_text[at : at + part + shared]))
+                owner.append(i)
+                n += len(ids[-1])
+                if n >= words:
+                    flush()
+        flush()
         a, b = self.scale
-        return _sigmoid(a * np.concatenate(out).astype(np.float64) + b) if out else np.zeros(0)
+        return _sigmoid(a * best.astype(np.float64) + b)
 
 
 def log_odds(of_text: list[np.ndarray], labels: np.ndarray, n: int) -> np.ndarray:
@@ -204,12 +229,12 @@ def train(texts: list[bytes], labels: np.ndarray, epochs: int = 6, batch: int =
 
     Which window makes a text toxic is unknown, so a positive text teaches by its highest window, a
     negative one by its highest and by random ones; in the first epoch positive texts teach by all.
-    Words in ``least`` texts or more have an embedding of their own. The first number of each embedding starts
+    Words (steps, see :func:`steps`) in ``least`` texts or more have an embedding of their own. The first number of each embedding starts
     as the log odds of its word or n-gram between the labels. Deterministic.
     """
     rng = np.random.default_rng(seed)
     row: dict[bytes, int] = {}
-    rows = [np.fromiter((row.setdefault(w, len(row) + 1) for w in t.split()), np.int32) for t in texts]  # numbers, not words, are kept
+    rows = [np.fromiter((row.setdefault(w, len(row) + 1) for w in steps(t)), np.int32) for t in texts]  # numbers, not words, are kept
     every, used = list(row), [np.unique(r) for r in rows]
     in_texts = np.bincount(np.concatenate(used), minlength=len(every) + 1)[1:]
     vocabulary = {w: i + 1 for i, w in enumerate(sorted(w for w, n in zip(every, in_texts, strict=True) if n >= least))}

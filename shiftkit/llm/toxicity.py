@@ -61,7 +61,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``doc_id, held_out, score, predicted`` for each row of ``docs``, the text alone being the network's input.
 
     A document's score is that of its highest window, so a passage counts wherever it stands and in a text
-    of any length. Null and empty texts get the score of an empty window. Repeated rows are scored alike; a
+    of any length, with spaces or without. Null and empty texts get the score of an empty window. Repeated rows are scored alike; a
     null doc_id stays null. An empty table gives no rows; further columns are ignored.
     """
     score = toxicity_score(fit_toxicity(docs, labels))

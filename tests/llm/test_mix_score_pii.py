@@ -147,6 +147,31 @@ def test_windows_overlap_and_cover_everything():
         assert own[0] == 0 and (np.diff(own) == gru.STRIDE).all() and own[-1] + gru.WINDOW >= n and own[-1] < max(n, 1)
 
 
+def test_long_words_are_read_to_their_end():
+    rnd = random.Random(12)
+    alphabet = [chr(0x4E00 + i) for i in range(300)]
+    texts = ["".join(rnd.choice(alphabet) for _ in range(rnd.randrange(30, 200))) for _ in range(400)]
+    bad = "罵詈雑言悪口"
+    y = np.array([i % 4 == 0 for i in range(400)]).astype(int)
+    texts = [t[:20] + (bad if v else "") + t[20:] for t, v in zip(texts, y, strict=True)]
+    net = gru.train([t.encode() for t in texts[:300]], y[:300])
+    s = net.scores([t.encode() for t in texts[300:]])
+    assert ((s >= 0.3) == y[300:]).mean() >= 0.9
+    same = "".join(rnd.choice(alphabet) for _ in range(3000))
+    a, b, none = net.scores([f"{same}{same[:2000]}".encode(), f"{same}{bad}{same[:2000]}".encode(), b""])
+    assert b > a and 0 <= none <= 1  # the passage is seen 9000 bytes behind the start
+    for text in (b"", b"a b", b"x" * 22 + b" y", bytes(range(33, 127)) * 3, same.encode(), b"a " + b"b" * 23):
+        cut = gru.steps(text)
+        assert all(len(w) <= gru.WIDTH - 2 for w in cut)
+        for w in text.split():
+            assert {w[i : i + 4] for i in range(len(w) - 3)} <= {c[i : i + 4] for c in cut for i in range(len(c) - 3)}
+        assert len(text) > 22 or cut == text.split()
+    long = b" ".join(b"w%d" % rnd.randrange(500) for _ in range(5000))
+    whole = net.scores([long, b"", b"a b"])
+    for words in (1, 36, 50, 1000, 4990):
+        assert net.scores([long, b"", b"a b"], words=words, known=100) == pytest.approx(whole, abs=1e-5)
+
+
 def test_toxicity_on_held_out_rows(spark, docs_of):
     rows = toxic_rows(1500, 1)
     df, labels = docs_of([(i, t) for i, t, _ in rows]), spark.createDataFrame([(i, y) for i, _, y in rows] + [(None, 1), (3, None), (10**6, 1)], "doc_id long, toxic int")
