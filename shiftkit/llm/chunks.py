@@ -82,8 +82,8 @@ def digests(text: bytes, ends: list[int]) -> np.ndarray:
     return np.frombuffer(b"".join(out), "<i8").reshape(-1, 2)
 
 
-def runs(flags: list[bool], text: bytes, ends: list[int], min_words: int) -> list[tuple[int, int, int]]:
-    """Maximal runs of flagged chunks with at least ``min_words`` words: (first chunk, end chunk, words)."""
+def runs(flags: list[bool], text: bytes, ends: list[int], min_words: int, min_bytes: int | None = None) -> list[tuple[int, int, int]]:
+    """Maximal runs of flagged chunks with at least ``min_words`` words or ``min_bytes`` bytes: (first chunk, end chunk, words)."""
     out, i = [], 0
     while i < len(flags):
         if not flags[i]:
@@ -92,8 +92,9 @@ def runs(flags: list[bool], text: bytes, ends: list[int], min_words: int) -> lis
         j = i
         while j < len(flags) and flags[j]:
             j += 1
-        n = len(text[ends[i - 1] if i else 0 : ends[j - 1]].split())
-        if n >= min_words:
+        part = text[ends[i - 1] if i else 0 : ends[j - 1]].strip()
+        n = len(part.split())
+        if n >= min_words or (min_bytes is not None and len(part) >= min_bytes):
             out.append((i, j, n))
         i = j
     return out
@@ -119,7 +120,7 @@ def chunk_digests(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8(F.col("text")).alias("body")).mapInPandas(run, "doc_id long, a long, b long")
 
 
-def dedup_substrings(docs: DataFrame, min_words: int = 20) -> DataFrame:
+def dedup_substrings(docs: DataFrame, min_words: int = 20, min_bytes: int | None = None) -> DataFrame:
     """Drop passages that a document with a smaller doc_id, or the same document further up, has too.
 
     Texts are cut into variable chunks (about 6 words) at places a rolling hash of the last 16 bytes
@@ -127,7 +128,9 @@ def dedup_substrings(docs: DataFrame, min_words: int = 20) -> DataFrame:
     all documents with a map-side combine; digests of two or more documents go back to their documents
     with the smallest doc_id, their owner. In a second pass over the texts a chunk is a repeat if
     another document owns it or if the document had it before, and runs of repeats with ``min_words`` words
-    or more are cut out; shorter ones, such as a common phrase, stay.
+    or more are cut out; shorter ones, such as a common phrase, stay. With ``min_bytes`` runs of so many UTF-8 bytes go
+    too, whatever their words: a text without separators (Chinese, Japanese, Thai, encoded strings) is one word
+    however long it is, so without ``min_bytes`` its repeats stay.
 
     Returns ``doc_id, text`` (kept), ``n_chunks, n_shared`` (chunks in runs that other documents have too, owner or
     not), ``n_dropped`` (chunks cut out), ``dropped_words, spans`` (cut out, code points in the original text).
@@ -159,14 +162,14 @@ def dedup_substrings(docs: DataFrame, min_words: int = 20) -> DataFrame:
                     repeat.append(d in seen or not known.get(d, True))
                     seen.add(d)
                 kept, spans, at, words, dropped = [], [], 0, 0, 0
-                for i, j, n in runs(repeat, text, ends, min_words):
+                for i, j, n in runs(repeat, text, ends, min_words, min_bytes):
                     start, end = (ends[i - 1] if i else 0), ends[j - 1]
                     kept.append(text[at:start])
                     first = len(text[:start].decode())
                     spans.append({"start": first, "end": first + len(text[start:end].decode())})
                     at, words, dropped = end, words + n, dropped + j - i
                 kept.append(text[at:])
-                in_runs = sum(j - i for i, j, _ in runs(share, text, ends, min_words))
+                in_runs = sum(j - i for i, j, _ in runs(share, text, ends, min_words, min_bytes))
                 rows.append((b"".join(kept).decode(), len(ends), in_runs, dropped, words, spans))
             out = pd.DataFrame(rows, columns=["text", "n_chunks", "n_shared", "n_dropped", "dropped_words", "spans"])
             out.insert(0, "doc_id", batch["doc_id"].astype("Int64").to_numpy())

@@ -95,8 +95,8 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Passages that other documents have too are cut out of all but the first."""
-    found = dedup_substrings(table(spark, sf_dir, "documents"))
+    """Passages of 20 words or 120 bytes that other documents have too are cut out of all but the first."""
+    found = dedup_substrings(table(spark, sf_dir, "documents"), min_bytes=120)
     spans = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",")
     return found.select(
         "doc_id", "n_chunks", "n_shared", "n_dropped", "dropped_words", F.length("text").cast("long").alias("kept_chars"),

@@ -208,6 +208,21 @@ def test_substrings_match_brute_force_and_catch_passages(docs_of):
     assert chunks.dedup_substrings(docs_of([])).collect() == []
 
 
+def test_repeats_without_spaces_leave_one_copy(spark, docs_of, tmp_path):
+    from shiftkit.llm.queries import op10_substring_dedup
+
+    rnd = random.Random(11)
+    wide = lambda n: "".join(chr(0x4E00 + rnd.randrange(5000)) for _ in range(n))
+    whole, passage, code = wide(3000), wide(400), "".join(rnd.choice("abcdef0123456789") for _ in range(100000))
+    texts = [whole, whole, wide(200) + passage + wide(200), wide(300) + passage + wide(100), code, code, "short phrase 中文 " + wide(200), "short phrase 中文 " + wide(200), wide(30), wide(30)]
+    docs_of(list(enumerate(texts))).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in op10_substring_dedup(spark, str(tmp_path)).collect()}
+    assert [got[i]["kept_chars"] for i in (0, 1, 4, 5)] == [3000, 0, 100000, 0]
+    assert all(got[i]["n_shared"] == got[i]["n_chunks"] > 0 for i in (0, 1, 4, 5)) and got[1]["n_dropped"] == got[1]["n_chunks"]
+    assert got[2]["kept_chars"] == 800 and 400 <= got[3]["kept_chars"] < 700  # all but the ends of the passage goes
+    assert all(got[i]["n_dropped"] == 0 and got[i]["kept_chars"] == len(texts[i]) for i in (6, 7, 8, 9))
+
+
 def brute_nearest(rows, every, k):
     out = []
     for q, x in rows:
