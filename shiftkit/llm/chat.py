@@ -143,19 +143,27 @@ def log_of(rows: DataFrame, piece: int = 80) -> DataFrame:
     """An event log of finished rows (conv_id, turn, role, text), as a streaming service would write it.
 
     A turn is opened empty and streamed as deltas of ``piece`` code points; an assistant's turn is first
-    streamed up to its half, then regenerated. Order: turn, role, text digest, step.
+    streamed up to its half, then regenerated. Any other turn is first streamed with a wrong text, and a stray
+    message is opened behind it; the turn is edited to its first piece and the stray message deleted.
+    Order: turn, role, text digest, copy, step; copy tells equal rows apart, so each is a turn of its own.
     """
     body = F.coalesce(F.col("text"), F.lit(""))
-    n = F.length(body)
+    half = F.substring(body, F.lit(1), F.floor(F.length(body) / 2).cast("int"))
     pieces = F.regexp_extract_all(body, F.lit(f"(?s).{{1,{piece}}}"), F.lit(0))
-    deltas: Column = F.transform(pieces, lambda t: F.struct(F.lit("delta").alias("event"), t.alias("text")))
-    opened = F.array(F.struct(F.lit("open").alias("event"), F.lit("").alias("text")))
-    draft = F.array(
-        F.struct(F.lit("delta").alias("event"), F.substring(body, F.lit(1), F.floor(n / 2).cast("int")).alias("text")),
-        F.struct(F.lit("regenerate").alias("event"), F.lit("").alias("text")),
+
+    def step(event: str, text: Column, back: int = 0) -> Column:
+        return F.struct(F.lit(event).alias("event"), text.alias("text"), F.lit(back).alias("back"))
+
+    nothing = F.lit("")
+    drafted = F.array(step("open", nothing), step("delta", half), step("regenerate", nothing))
+    edited = F.array(
+        step("open", nothing), step("delta", F.concat(half, F.lit(" (wrong)"))), step("open", half),
+        step("edit", F.coalesce(F.get(pieces, F.lit(0)), nothing), 1), step("delete", nothing),
     )
-    steps = F.concat(opened, F.when(F.col("role") == "assistant", draft).otherwise(F.slice(draft, 1, 0)), deltas)
-    return rows.select("conv_id", "turn", "role", F.xxhash64("text").alias("row"), F.posexplode(steps).alias("step", "e")).select(
-        "conv_id", "turn", "role", "row", "step", F.col("e.event").alias("event"), F.col("e.text").alias("text"), F.lit(0).alias("back")
+    steps = F.when(F.col("role") == "assistant", F.concat(drafted, F.transform(pieces, lambda t: step("delta", t)))).otherwise(
+        F.concat(edited, F.transform(F.filter(pieces, lambda _, i: i > 0), lambda t: step("delta", t)))
+    )
+    numbered = rows.select("conv_id", "turn", "role", F.xxhash64("text").alias("row"), F.monotonically_increasing_id().alias("copy"), steps.alias("steps"))
+    return numbered.select("conv_id", "turn", "role", "row", "copy", F.posexplode("steps").alias("step", "e")).select(
+        "conv_id", "turn", "role", "row", "copy", "step", F.col("e.event").alias("event"), F.col("e.text").alias("text"), F.col("e.back").alias("back")
     )
-

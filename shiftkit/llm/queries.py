@@ -73,7 +73,7 @@ def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"),
         F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"),
     )
-    formatted = format_events(log_of(own.unionByName(more)), ["turn", "role", "row", "step"])
+    formatted = format_events(log_of(own.unionByName(more)), ["turn", "role", "row", "copy", "step"])
     said = F.transform(F.arrays_zip("roles", "texts"), lambda t: F.concat(t["roles"], F.lit("\n"), t["texts"], F.lit("\n")))
     learnt = F.array_join("masked", "")
     return read_back(formatted).select(

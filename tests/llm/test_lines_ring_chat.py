@@ -111,3 +111,20 @@ def test_log_round_trip_of_many_conversations(spark):
         want = [(r or "", t or "") for k, _, r, t in sorted(rows, key=lambda r: (r[0], r[1])) if k == c]
         assert list(zip(got[c]["roles"], got[c]["texts"], strict=True)) == want
         assert got[c]["masked"] == [t for r, t in want if r == "assistant"]
+
+
+def test_repeated_rows_of_the_query_match_its_sql(spark, tmp_path):
+    import duckdb
+
+    from shiftkit.llm.oracle import ORACLE
+    from shiftkit.llm.queries import op7_chat_formatting
+
+    rows = [(1, 0, "user", "hi " * 70), (1, 1, "assistant", "x" * 200), (1, 1, "assistant", "x" * 200), (1, 2, "user", "again"), (2, 0, "user", "é" * 300), (2, 0, "user", "é" * 300), (2, 0, "user", "é" * 300), (3, 0, "user", ""), (3, 0, "user", ""), (4, 0, "user", None)]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{tmp_path}/conversations.parquet/*.parquet')")
+    rel = con.execute(ORACLE["op7_chat_formatting"])
+    cols = [d[0] for d in rel.description]
+    assert told(op7_chat_formatting(spark, str(tmp_path)), *cols) == sorted(map(tuple, rel.fetchall()), key=repr)
+    logged = chat.log_of(spark.read.parquet(f"{tmp_path}/conversations.parquet"))
+    assert {r["event"] for r in logged.select("event").distinct().collect()} == {"open", "delta", "edit", "regenerate", "delete"}
