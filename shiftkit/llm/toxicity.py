@@ -26,17 +26,19 @@ def body(text: Column) -> Column:
     return utf8(F.lower(text))
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, positives: int = 1000, negatives: int = 3000, most_bytes: int = 20_000) -> Network | None:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, positives: int = 1500, negatives: int = 3000, most_bytes: int = 20_000) -> Network | None:
     """Fit the network on a bounded sample: by hash of doc_id, so many labelled documents of each class that aren't held out.
 
-    Documents above ``most_bytes`` bytes are left out of the sample (they are scored like all others).
+    Documents above ``most_bytes`` bytes are left out before the sample is drawn, so others take their places (they are
+    scored like all others).
     Labels are read where ``toxic`` is 0 or 1; with several for a document the largest counts. Without documents of
     both classes there is nothing to learn: None.
     """
     known = labels.where(~held_out(F.col("doc_id")) & F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    texts = docs.select(F.col("doc_id"), body(F.col("text")).alias("body")).where(F.octet_length("body") <= most_bytes)
+    known = known.join(texts.select("doc_id"), "doc_id", "left_semi")
     order = F.xxhash64(F.lit("sample"), "doc_id")
     sample = known.where("toxic = 1").orderBy(order, "doc_id").limit(positives).union(known.where("toxic = 0").orderBy(order, "doc_id").limit(negatives))
-    texts = docs.select(F.col("doc_id"), body(F.col("text")).alias("body")).where(F.octet_length("body") <= most_bytes)
     rows = texts.join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.min("body").alias("body"), F.max("toxic").alias("toxic")).collect()
     rows.sort(key=lambda r: r["doc_id"])
     y = np.array([r["toxic"] for r in rows])

@@ -184,6 +184,15 @@ def test_toxicity_on_held_out_rows(spark, docs_of):
     assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.3) for r in got.values())
 
 
+def test_long_documents_take_no_places_of_the_sample(spark, docs_of, monkeypatch):
+    rows = [(i, ("bad " if i % 2 else "good ") * (50 if i % 5 == 0 else 3), i % 2) for i in range(200)]
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows] + [(i, 1) for i in range(1000, 1200)], "doc_id long, toxic int")
+    drawn = []
+    monkeypatch.setattr(toxicity, "train", lambda texts, y: drawn.extend(zip(texts, y, strict=True)))
+    toxicity.fit_toxicity(docs_of([(i, t) for i, t, _ in rows]), labels, positives=20, negatives=30, most_bytes=100)
+    assert Counter(int(y) for _, y in drawn) == {1: 20, 0: 30} and all(len(t) <= 100 for t, _ in drawn)
+
+
 def test_toxicity_edges(spark, docs_of):
     rows = toxic_rows(400, 2)
     labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
