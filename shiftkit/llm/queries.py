@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shiftkit.llm.align import align_corpus
 from shiftkit.llm.chat import format_events, log_of, read_back
 from shiftkit.llm.chunks import dedup_substrings
 from shiftkit.llm.common import table
@@ -14,6 +16,8 @@ from shiftkit.llm.contain import find_contained
 from shiftkit.llm.lines import dedup_lines
 from shiftkit.llm.mixing import mix_sources, taken_words
 from shiftkit.llm.neardup import near_duplicates
+from shiftkit.llm.negatives import integer_vectors, mine_negatives
+from shiftkit.llm.ordermh import fingerprint_documents
 from shiftkit.llm.pii import KINDS, find_personal
 from shiftkit.llm.ring import assign_shards
 from shiftkit.llm.toxicity import score_toxicity
@@ -104,10 +108,28 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order MinHash of every whole document and of its edited text, and their likeness."""
+    return fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five negatives for each of the five positives of every hundredth vector; every seventh vector's label moves on by one."""
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = integer_vectors(table(spark, sf_dir, "embeddings").withColumn("label", moved))
+    return mine_negatives(vectors, F.col("vec_id") % 100 == 0)
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str, tokenizers: str = "/opt/tokenizers") -> DataFrame:
+    """Groups and links of byte-level and piece tokens of every whole document, weighed by the documents that hold each pair."""
+    files = [Path(tokenizers, name).read_bytes() for name in ("byte_bpe_50k.json", "piece_bpe_32k.model")]
+    return align_corpus(table(spark, sf_dir, "documents"), *files)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_mixing, op2_ring_sharding, op3_vp_tree, op4_toxicity, op5_personal_data, op6_near_duplicates,
-        op7_chat_formatting, op8_containment, op9_line_dedup, op10_substring_dedup,
+        op7_chat_formatting, op8_containment, op9_line_dedup, op10_substring_dedup, op11_order_minhash, op12_hard_negatives, op13_token_alignment,
     )
 }
