@@ -36,7 +36,7 @@ def kmer_keys(points: np.ndarray, k: int = K) -> np.ndarray:
     k = min(k, len(points))
     if not k:
         return np.zeros(0, np.uint64)
-    window, length, out, covered = _mix(points.astype(np.uint64) + np.uint64(1)), 1, None, 0
+    window, length, out, covered = (points + np.uint64(1)) * np.uint64(_STEP), 1, None, 0
     while True:
         if k & length:
             n = len(points) - covered - length + 1
@@ -55,7 +55,8 @@ def occurrences(keys: np.ndarray) -> np.ndarray:
     out = np.zeros(len(keys), np.uint64)
     if not twice.any():
         return out
-    repeated = np.unique(ordered[1:][twice])
+    repeated = ordered[1:][twice]
+    repeated = repeated[np.append(True, repeated[1:] != repeated[:-1])]
     at = np.minimum(np.searchsorted(repeated, keys), len(repeated) - 1)
     places = np.flatnonzero(repeated[at] == keys)
     groups = at[places]
@@ -66,54 +67,87 @@ def occurrences(keys: np.ndarray) -> np.ndarray:
     return out
 
 
+class Sketch:
+    """A text's fingerprint, and what its edited text shares with it: keys, and the minima over the part that stays."""
+
+    __slots__ = ("keys", "shared", "state", "fingerprint")
+
+    def __init__(self, keys: np.ndarray, shared: int, state: tuple | None, fingerprint: str) -> None:
+        self.keys, self.shared, self.state, self.fingerprint = keys, shared, state, fingerprint
+
+
 class OrderSketch:
-    """Fingerprints of texts: ``slots`` tuples of ``picks`` k-mers, each tuple hashed to DIGITS hex digits."""
+    """Fingerprints of texts: ``slots`` tuples of ``picks`` k-mers, each tuple hashed to DIGITS hex digits.
+
+    A slot orders the (k-mer, occurrence) pairs by a hash function of its own, takes the minimal ones, equal
+    values by place, and keeps them in text order.
+    """
 
     def __init__(self, k: int = K, picks: int = PICKS, slots: int = SLOTS, seed: int = 1) -> None:
         self.k, self.picks, self.slots = k, picks, slots
-        rng = np.random.default_rng(seed)
-        self.flip = rng.integers(0, 2**32, slots, dtype=np.uint32)[:, None]
-        self.times = (rng.integers(0, 2**32, slots, dtype=np.uint32) | np.uint32(1))[:, None]
-
-    def chosen(self, keys: np.ndarray) -> np.ndarray:
-        """The places of each slot's minimal (k-mer, occurrence) pairs, in text order: slots x picks.
-
-        Slot i orders the pairs by a hash function of its own; equal values are ordered by place.
-        """
-        seen, pairs = occurrences(keys), keys.copy()
-        again = seen > 0
-        pairs[again] = _mix(keys[again] + seen[again] * np.uint64(_STEP))
-        short = (pairs >> np.uint64(32)).astype(np.uint32)
-        picks, rows = min(self.picks, len(keys)), np.arange(self.slots)
-        best = at = None
-        for lo in range(0, len(short), BLOCK):
-            values = (short[lo : lo + BLOCK] ^ self.flip) * self.times
+        self.times = (np.random.default_rng(seed).integers(0, 2**32, slots, dtype=np.uint32) | np.uint32(1))[:, None]
+        self.rows, self.space = np.arange(slots), np.empty((slots, BLOCK), np.uint32)
+
+    def _pairs(self, keys: np.ndarray) -> np.ndarray:
+        """32 bits of each (k-mer, occurrence) pair, which the slots' hash functions multiply."""
+        seen = occurrences(keys)
+        again = np.flatnonzero(seen)
+        if len(again):
+            keys = keys.copy()
+            keys[again] = _mix(keys[again] + seen[again] * np.uint64(_STEP))
+        return (keys >> np.uint64(32)).astype(np.uint32)
+
+    def _extend(self, state: tuple | None, pairs: np.ndarray, start: int) -> tuple | None:
+        """Each slot's minimal values and their places, after more pairs that begin at a place."""
+        for lo in range(0, len(pairs), BLOCK):
+            some = pairs[lo : lo + BLOCK]
+            values = np.multiply(some, self.times, out=self.space[:, : len(some)])
             found, places = [], []
-            for n in range(min(picks, values.shape[1])):
+            for n in range(min(self.picks, len(some))):
                 j = values.argmin(axis=1)
-                found.append(values[rows, j])
-                places.append(j + lo)
-                if n + 1 < picks:
-                    values[rows, j] = 2**32 - 1
+                found.append(values[self.rows, j])
+                places.append(j + (start + lo))
+                if n + 1 < self.picks:
+                    values[self.rows, j] = 2**32 - 1
             found, places = np.stack(found, axis=1), np.stack(places, axis=1)
-            if best is not None:
-                found, places = np.concatenate([best, found], axis=1), np.concatenate([at, places], axis=1)
-                order = np.argsort(found, axis=1, kind="stable")[:, :picks]
+            if state is not None:
+                found, places = np.concatenate([state[0], found], axis=1), np.concatenate([state[1], places], axis=1)
+                order = np.argsort(found, axis=1, kind="stable")[:, : self.picks]
                 found, places = np.take_along_axis(found, order, 1), np.take_along_axis(places, order, 1)
-            best, at = found, places
-        return np.sort(at, axis=1)
+            state = found, places
+        return state
 
-    def fingerprint(self, text: str) -> str:
-        """``slots * DIGITS`` hex digits; empty for the empty text."""
-        keys = kmer_keys(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32), self.k)
-        if not len(keys):
+    def _digest(self, keys: np.ndarray, state: tuple | None) -> str:
+        if state is None:
             return ""
-        picked = keys[self.chosen(keys)]
         tuples = np.zeros(self.slots, np.uint64)
-        for column in picked.T:
+        for column in keys[np.sort(state[1], axis=1)].T:
             tuples = _mix(tuples * np.uint64(_STEP) + column)
         return (tuples >> np.uint64(64 - 4 * DIGITS)).astype(">u2").tobytes().hex()
 
+    def sketch(self, text: str) -> Sketch:
+        points = code_points(text)
+        keys = kmer_keys(points, self.k)
+        pairs = self._pairs(keys)
+        shared = max(0, len(points) - len(points) // 4 - self.k + 1)
+        state = self._extend(None, pairs[:shared], 0)
+        return Sketch(keys, shared, state, self._digest(keys, self._extend(state, pairs[shared:], shared)))
+
+    def fingerprint(self, text: str) -> str:
+        """``slots * DIGITS`` hex digits; empty for the empty text."""
+        return self.sketch(text).fingerprint
+
+    def fingerprint_edited(self, sketch: Sketch, new: str) -> str:
+        """:meth:`fingerprint` of a text that agrees with the sketched one up to its last quarter; only the rest is hashed."""
+        points = code_points(new)
+        shared = sketch.shared if len(points) - self.k >= sketch.shared else 0
+        keys = np.concatenate([sketch.keys[:shared], kmer_keys(points[shared:], self.k)])
+        return self._digest(keys, self._extend(sketch.state if shared else None, self._pairs(keys)[shared:], shared))
+
+
+def code_points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
 
 def likeness(a: str, b: str) -> float:
     """The share of equal slots of two fingerprints; two empty ones are alike, an empty one is unlike any other."""
@@ -152,11 +186,11 @@ def fingerprint_documents(docs: DataFrame, k: int = K, picks: int = PICKS, slots
     """
     ship_by_value()
 
-    def finish(sketch: OrderSketch, doc_id: int | None, text: str, own: str, following: str, its: str) -> tuple:
+    def finish(sketch: OrderSketch, doc_id: int | None, text: str, own: Sketch, following: str, its: str) -> tuple:
         new = edited(text, following)
-        changed = own if new == text else sketch.fingerprint(new)
-        digest = hashlib.sha256(new.encode("utf-8", "surrogatepass")).hexdigest()
-        return doc_id, len(text), digest, own, changed, likeness(own, changed), likeness(own, its)
+        changed = sketch.fingerprint_edited(own, new)
+        digest, mine = hashlib.sha256(new.encode("utf-8", "surrogatepass")).hexdigest(), own.fingerprint
+        return doc_id, len(text), digest, mine, changed, likeness(mine, changed), likeness(mine, its)
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -172,20 +206,20 @@ def fingerprint_documents(docs: DataFrame, k: int = K, picks: int = PICKS, slots
         for each in batches:
             rows = []
             for doc_id, text in zip(each.column("doc_id").to_pylist(), each.column("text").to_pylist(), strict=True):
-                own = sketch.fingerprint(text)
+                own = sketch.sketch(text)
                 if before is None:
-                    rows.append((1, part, text, None, None, None, own, None, None, None))
+                    rows.append((1, part, text, None, None, None, own.fingerprint, None, None, None))
                 else:
-                    rows.append((0, part, None, *finish(sketch, *before, text, own)))
+                    rows.append((0, part, None, *finish(sketch, *before, text, own.fingerprint)))
                 before = (doc_id, text, own)
             yield batch(rows)
         if before is not None:
-            yield batch([(2, part, before[1], before[0], None, None, before[2], None, None, None)])
+            yield batch([(2, part, before[1], before[0], None, None, before[2].fingerprint, None, None, None)])
 
     def last(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = OrderSketch(k, picks, slots)
         for each in batches:
-            rows = [finish(sketch, r["doc_id"], r["text"], r["fingerprint"], r["next_text"], r["next_fingerprint"]) for r in each.to_pylist()]
+            rows = [finish(sketch, r["doc_id"], r["text"], sketch.sketch(r["text"]), r["next_text"], r["next_fingerprint"]) for r in each.to_pylist()]
             columns = list(zip(*rows, strict=True)) if rows else [()] * len(_RESULT)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, _RESULT, strict=True)], schema=pa.schema(_RESULT))
 

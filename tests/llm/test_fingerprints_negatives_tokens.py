@@ -32,11 +32,11 @@ def slow_fingerprint(text, sketch):
         number.append(seen[w])
         seen[w] += 1
     out = ""
-    for flip, times in zip(sketch.flip[:, 0].tolist(), sketch.times[:, 0].tolist(), strict=True):
+    for times in sketch.times[:, 0].tolist():
         order = []
         for i, key in enumerate(keys):
             pair = int(_mix(np.array([(key + number[i] * _STEP) % 2**64], dtype=np.uint64))[0]) if number[i] else key
-            order.append((((pair >> 32) ^ flip) * times % 2**32, i))
+            order.append(((pair >> 32) * times % 2**32, i))
         tuple_ = 0
         for i in sorted(i for _, i in sorted(order)[: sketch.picks]):
             tuple_ = int(_mix(np.array([(tuple_ * _STEP + keys[i]) % 2**64], dtype=np.uint64))[0])
@@ -52,6 +52,9 @@ def test_fingerprint_matches_plain_loops(k, picks, monkeypatch):
     sketch, rnd = ordermh.OrderSketch(k, picks, 8), random.Random(3)
     for text in ["", "a", "ab" * 90, "x" * 200, prose(rnd, 60), "naïve 漢字 😀 " * 12, "".join(rnd.choice("ab") for _ in range(300))]:
         assert sketch.fingerprint(text) == slow_fingerprint(text, sketch)
+        for following in ("", "zz", prose(rnd, 50), text):
+            new = ordermh.edited(text, following)
+            assert sketch.fingerprint_edited(sketch.sketch(text), new) == slow_fingerprint(new, sketch)
 
 
 def test_fingerprint_is_sensitive_to_order_and_edits():
