@@ -54,7 +54,8 @@ class TokenizerPair:
         for t, i in special.items():
             self.bytes_a[i] = t.encode()
         self.file_a, self.library = file_a, None
-        self.fast = self._ranked(spec, vocabulary) and self._fast(plain)
+        ranked = self._ranked(spec, vocabulary)
+        self.fast = ranked and self._fast(plain)
         self.pieces = sentencepiece.SentencePieceProcessor(model_proto=file_b)
         n = self.pieces.get_piece_size()
         names = [self.pieces.id_to_piece(i) for i in range(n)]
@@ -66,8 +67,8 @@ class TokenizerPair:
         self.len_a, self.len_b = (np.array([len(t) for t in x], dtype=np.int64) for x in (self.bytes_a, self.bytes_b))
         if max(len(self.bytes_a), len(self.bytes_b)) >= 1 << SHIFT:
             raise ValueError(f"vocabularies of {1 << SHIFT} ids or more don't fit a pair's number")
-        ids = [str(i).rjust(7, "\0").encode() for i in range(max(len(self.bytes_a), len(self.bytes_b)))]
-        self.digits = np.frombuffer(b"".join(ids), np.uint8).reshape(-1, 7)
+        # whether a space can only begin a piece: then words can be encoded one by one
+        self.by_word = self.fast is not False and not any(" " in t.lstrip(" ") for t in (names[i].replace(PIECE_SPACE, " ") for i in range(n) if not fallback[i]))
 
     @staticmethod
     def _ranked(spec: dict, vocabulary: dict) -> bool:
@@ -111,7 +112,7 @@ class TokenizerPair:
 def _counted(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys, sorted, and the sums of their counts."""
     key, count = np.concatenate(keys), np.concatenate(counts)
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     key, count = key[order], count[order]
     first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
     return key[first], np.add.reduceat(count, first) if len(first) else count
@@ -120,7 +121,7 @@ def _counted(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarr
 def align(pair: TokenizerPair, texts: list[str]) -> dict:
     """Groups and links of some texts.
 
-    ``n_a, n_b, n_groups, n_links`` and ``sha`` by text; ``one`` and ``many`` as (text's place, id of A or pair, links): exact
+    ``n_a, n_b, n_groups, n_links`` and ``text``, the groups written out, by text; ``one`` and ``many`` as (text's place, id of A or pair, links): exact
     pairs, whose ids have the same bytes, and all other linked pairs.
     """
     ids_a, ids_b = pair.encode(texts)
@@ -141,7 +142,7 @@ def align(pair: TokenizerPair, texts: list[str]) -> dict:
     total = np.concatenate([[0], np.cumsum(size_a * size_b)])
     edge = np.searchsorted(doc, np.arange(n + 1))
     out["n_links"] = total[edge[1:]] - total[edge[:-1]]
-    out["sha"] = _digests(pair, a, b, cut_a, cut_b, size_a, size_b, start_a, start_b, n_a, n_b)
+    out["text"] = _written(ids_a, ids_b, edge, size_a, size_b)
 
     exact = (size_a == 1) & (size_b == 1)
     exact[exact] = pair.same[a[start_a[exact]]] == b[start_b[exact]]
@@ -176,23 +177,120 @@ def _sort_out(pair: TokenizerPair, doc: np.ndarray, x: np.ndarray, y: np.ndarray
         into[1].append(count)
 
 
-def _digests(pair, a, b, cut_a, cut_b, size_a, size_b, start_a, start_b, n_a, n_b) -> list[str]:
-    """SHA-256 of each text's groups as `a1,a2|b1;a3|b2,b3`; empty for a text without tokens.
+def _written(ids_a: list[list[int]], ids_b: list[list[int]], edge: np.ndarray, size_a: np.ndarray, size_b: np.ndarray) -> list[bytes]:
+    """Each text's groups as `a1,a2|b1;a3|b2,b3`; empty for a text without tokens."""
+    out, size_a, size_b = [], size_a.tolist(), size_b.tolist()
+    for i, (x, y) in enumerate(zip(ids_a, ids_b, strict=True)):
+        x, y, i_a, i_b, groups = list(map(str, x)), list(map(str, y)), 0, 0, []
+        for g in range(edge[i], edge[i + 1]):
+            groups.append(",".join(x[i_a : i_a + size_a[g]]) + "|" + ",".join(y[i_b : i_b + size_b[g]]))
+            i_a, i_b = i_a + size_a[g], i_b + size_b[g]
+        out.append(";".join(groups).encode())
+    return out
+
+
+def word_list(text: str) -> list[str]:
+    """Parts of a text, each without the one space before it, whose tokens are those of the parts on their own.
 
-    All ids are written at once into rows of seven digits and a separator, whose zero bytes are then left out.
+    Cut before each space that stands alone: neither encoding joins a space to what is before it. Runs of spaces are left
+    inside a part.
     """
-    cells = np.zeros((len(a) + len(b), 8), np.uint8)
-    group_a, group_b = np.cumsum(cut_a) - cut_a, np.cumsum(cut_b) - cut_b
-    at_a = np.arange(len(a)) + start_b[group_a]
-    at_b = np.arange(len(b)) + (start_a + size_a)[group_b]
-    cells[at_a, :7], cells[at_a, 7] = pair.digits[a], np.where(cut_a, ord("|"), ord(","))
-    cells[at_b, :7], cells[at_b, 7] = pair.digits[b], np.where(cut_b, ord(";"), ord(","))
-    flat = cells.ravel()
-    there = flat != 0
-    length = np.concatenate([[0], np.cumsum(there.reshape(-1, 8).sum(axis=1))])
-    text = flat[there].tobytes()
-    ends = length[np.cumsum(n_a + n_b)]
-    return [hashlib.sha256(text[lo : hi - 1]).hexdigest() if hi > lo else "" for lo, hi in zip([0, *ends[:-1]], ends, strict=True)]
+    words = text.split(" ")
+    if "" not in words:
+        return words
+    out, joined = [words[0]], words[0] == ""
+    for w in words[1:]:
+        if joined or w == "":
+            out[-1] += " " + w
+            joined = w == ""
+        else:
+            out.append(w)
+    return out
+
+
+class Words:
+    """Alignments of parts of texts, each made once; those of whole texts are put together from them.
+
+    Both tokenizers end a token where a part ends (:func:`word_list`), so no group reaches over it. Held are at
+    most MOST_WORDS parts or MOST_CHARS characters beyond those of one block of texts; then they are dropped and made anew.
+    """
+
+    MOST_WORDS, MOST_CHARS = 1 << 18, 1 << 22
+
+    def __init__(self, pair: TokenizerPair) -> None:
+        self.pair = pair
+        self._clear()
+
+    def _clear(self) -> None:
+        none = np.zeros(0, np.int64)
+        self.index: dict[str, int] = {}
+        self.text: list[bytes] = []
+        self.chars = 0
+        self.column = {c: none for c in ("n_a", "n_b", "n_groups", "n_links", "whole", "opens", "ends")}
+        # of each part: where its distinct exact ids, and its other pairs, begin; the last number is the end
+        self.lists = {c: [np.zeros(1, np.int64), none, none] for c in ("one", "many")}
+
+    def _add(self, words: list[str]) -> None:
+        made = align(self.pair, words)
+        for i, w in enumerate(words):
+            self.index[w] = len(self.text) + i
+        self.text += made["text"]
+        self.chars += sum(map(len, words))
+        flags = {"whole": [w == "" or n > 0 for w, n in zip(words, made["n_a"], strict=True)], "opens": [w[:1].isspace() for w in words], "ends": [w[-1:].isspace() for w in words]}
+        for c, old in self.column.items():
+            self.column[c] = np.concatenate([old, np.asarray(flags[c] if c in flags else made[c], dtype=np.int64)])
+        for c, shift in (("one", SHIFT), ("many", 2 * SHIFT)):
+            edge, key = _by_place(made[c][0], shift, len(words))
+            begin, ids, count = self.lists[c]
+            self.lists[c] = [np.concatenate([begin, begin[-1] + edge[1:]]), np.concatenate([ids, key]), np.concatenate([count, made[c][1]])]
+
+    def align(self, texts: list[str]) -> dict:
+        """:func:`align` of whole texts, with the groups' digests as ``sha``."""
+        if len(self.index) > self.MOST_WORDS or self.chars > self.MOST_CHARS:
+            self._clear()
+        by_text = [word_list(t) if t else [] for t in texts]
+        flat = list(chain.from_iterable(by_text))
+        new = [w for w in dict.fromkeys(flat) if w not in self.index]
+        if new:
+            self._add(new)
+        at = np.fromiter(map(self.index.__getitem__, flat), np.int64, len(flat))
+        n = len(texts)
+        size = np.array([len(w) for w in by_text], dtype=np.int64)
+        edge, doc = np.concatenate([[0], np.cumsum(size)]), np.repeat(np.arange(n), size)
+        # a space between other white space is not a place to cut, nor is a part that doesn't come back from its ids
+        odd = self.column["whole"][at] == 0
+        odd[:-1] |= (self.column["ends"][at[:-1]] * self.column["opens"][at[1:]] > 0) & (doc[:-1] == doc[1:])
+        whole = np.unique(doc[odd]) if self.pair.by_word else np.flatnonzero(size)
+        out = {c: _sums(edge, self.column[c][at]) for c in ("n_a", "n_b", "n_groups", "n_links")}
+        joined = [b";".join([self.text[i] for i in at[lo:hi].tolist()]) for lo, hi in zip(edge, edge[1:], strict=False)]
+        keep = np.ones(n, bool)
+        keep[whole] = False
+        # each distinct part of a text once, with its number
+        key, times = np.unique((doc << 32 | at)[keep[doc]], return_counts=True)
+        doc, at = key >> 32, key & (1 << 32) - 1
+        apart = align(self.pair, [texts[i] for i in whole]) if len(whole) else None
+        for c, shift in (("one", SHIFT), ("many", 2 * SHIFT)):
+            begin, ids, count = self.lists[c]
+            length = begin[at + 1] - begin[at]
+            where = np.arange(int(length.sum())) + np.repeat(begin[at] - (np.cumsum(length) - length), length)
+            keys, counts = [np.repeat(doc, length) << shift | ids[where]], [np.repeat(times, length) * count[where]]
+            if apart:
+                old, number = apart[c]
+                keys.append(whole[old >> shift] << shift | old & ((1 << shift) - 1))
+                counts.append(number)
+            out[c] = _counted(keys, counts)
+        for i, d in enumerate(whole):
+            joined[d] = apart["text"][i]
+            for c in ("n_a", "n_b", "n_groups", "n_links"):
+                out[c][d] = apart[c][i]
+        out["sha"] = [hashlib.sha256(t).hexdigest() if t else "" for t in joined]
+        return out
+
+
+def _sums(edge: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """Sums between offsets."""
+    total = np.concatenate([[0], np.cumsum(value)])
+    return total[edge[1:]] - total[edge[:-1]]
 
 
 _LISTS = pa.list_(pa.int64())
@@ -217,8 +315,8 @@ class _Chunk:
     def __init__(self, number: int) -> None:
         self.number, self.chars, self.blocks = number, 0, []
 
-    def add(self, pair: TokenizerPair, doc_ids: list, texts: list[str]) -> None:
-        self.blocks.append((doc_ids, align(pair, texts)))
+    def add(self, words: Words, doc_ids: list, texts: list[str]) -> None:
+        self.blocks.append((doc_ids, words.align(texts)))
         self.chars += sum(map(len, texts))
 
     def batches(self, vector: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -247,7 +345,7 @@ def _listed(kind: int, chunk: int | None, **lists: np.ndarray) -> pa.RecordBatch
 def align_corpus(docs: DataFrame, file_a: bytes, file_b: bytes, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
     """Alignment of two tokenizers over all documents (``doc_id, text``).
 
-    One pass encodes each text, cuts its tokens into groups where both tokenizers end a token, and writes its distinct linked
+    One pass encodes each text (its words once each, see :class:`Words`), cuts its tokens into groups where both tokenizers end a token, and writes its distinct linked
     pairs with their links. A pair of ids with the same bytes is read off the identity map: tasks count the
     documents of such pairs in vectors as long as the vocabulary. All other pairs, from irregular groups, are
     listed once for each chunk of documents with the number of its documents, so the pair shuffle gets a row for each
@@ -263,17 +361,15 @@ def align_corpus(docs: DataFrame, file_a: bytes, file_b: bytes, chunk_chars: int
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        pair, task, chunk = None, TaskContext.get().partitionId() << 32, _Chunk(0)
-        chunk.number = task
-        vector = np.zeros(0, np.int64)
+        words, chunk, vector = None, _Chunk(TaskContext.get().partitionId() << 32), np.zeros(0, np.int64)
         for batch in batches:
-            if pair is None:
-                pair = TokenizerPair(file_a, file_b)
-                vector = np.zeros(len(pair.bytes_a), np.int64)
+            if words is None:
+                words = Words(TokenizerPair(file_a, file_b))
+                vector = np.zeros(len(words.pair.bytes_a), np.int64)
             ids, texts = batch.column("doc_id").to_pylist(), [t or "" for t in batch.column("text").to_pylist()]
             block = np.cumsum([len(t) + 1 for t in texts]) // BLOCK_CHARS
             for lo, hi in _runs(block):
-                chunk.add(pair, ids[lo:hi], texts[lo:hi])
+                chunk.add(words, ids[lo:hi], texts[lo:hi])
                 if chunk.chars >= chunk_chars:
                     yield from chunk.batches(vector)
                     chunk = _Chunk(chunk.number + 1)
@@ -306,10 +402,6 @@ def align_corpus(docs: DataFrame, file_a: bytes, file_b: bytes, chunk_chars: int
     def lists(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
         return column.offsets.to_numpy() - column.offsets[0].as_py(), column.flatten().to_numpy()
 
-    def sums(edge: np.ndarray, value: np.ndarray) -> np.ndarray:
-        total = np.concatenate([[0], np.cumsum(value)])
-        return total[edge[1:]] - total[edge[:-1]]
-
     def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         here, found, known = None, [], None
         for batch in batches:
@@ -328,8 +420,8 @@ def align_corpus(docs: DataFrame, file_a: bytes, file_b: bytes, chunk_chars: int
                 times = lists(part.column("id_n"))[1]
                 edge_many, number = lists(part.column("pairs"))
                 times_many = lists(part.column("pair_n"))[1]
-                count = sums(edge, times * exact_docs[ids]) + sums(edge_many, times_many * known[0][number])
-                best = sums(edge, times * (exact_docs[ids] == highest[ids])) + sums(edge_many, times_many * known[1][number])
+                count = _sums(edge, times * exact_docs[ids]) + _sums(edge_many, times_many * known[0][number])
+                best = _sums(edge, times * (exact_docs[ids] == highest[ids])) + _sums(edge_many, times_many * known[1][number])
                 values = [part.column(c) for c in ("doc_id", "n_a", "n_b", "n_groups", "n_links")] + [pa.array(best, pa.int64()), pa.array(count, pa.int64()), part.column("groups_sha256")]
                 yield pa.RecordBatch.from_arrays(values, schema=pa.schema(result))
 

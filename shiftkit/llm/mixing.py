@@ -7,11 +7,12 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shiftkit.llm.common import WORD_PATTERN, ship_by_value
-from shiftkit.session import materialize
+from shiftkit.session import materialize, stored
 
 #: Weights of the sources in code-point order, null last, repeating.
 WEIGHTS = (3, 1, 2)
@@ -108,16 +109,28 @@ def moves(drawn: list[int], wanted: list[int]) -> list[tuple[int, int, int, int,
     return out
 
 
-def streams(docs: DataFrame) -> tuple[DataFrame, list[dict]]:
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` as a stored table with a number for each row, and the number's column, a name that ``docs`` doesn't have.
+
+    Rows may be equal in all their columns, so only a number that is written down tells them apart in several reads.
+    """
+    taken, key = {c.lower() for c in docs.columns}, "row_key"
+    while key in taken:
+        key += "_"
+    return stored(docs.withColumn(key, F.monotonically_increasing_id())), key
+
+
+def streams(docs: DataFrame, key: str | None = None) -> tuple[DataFrame, list[dict]]:
     """Each document's words and its place in its source's word stream; and the sources in order with their sizes.
 
-    ``doc_id, source, source_no, size, source_size, start, digest``. A stream is laid out in PARTS parts by a
+    ``doc_id, source, source_no, size, source_size, start, digest, row_key``, the last from ``key``, if given. A stream is laid out in PARTS parts by a
     hash, by doc_id inside, so that places come from sums of parts and a sort inside a part, and a source with a
     third of all rows is spread over all tasks. Brought to the driver: one row a source.
     """
     base = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
         F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD_PATTERN)).cast("long").alias("size"), F.xxhash64("text").alias("digest"),
+        (F.col(key) if key else F.lit(None)).cast("long").alias("row_key"),
     )
     base = materialize(base.withColumn("part", F.pmod(F.xxhash64("doc_id", "digest"), F.lit(PARTS))))
     sums = base.groupBy("source", "part").agg(F.sum("size").alias("words"))
@@ -127,9 +140,9 @@ def streams(docs: DataFrame) -> tuple[DataFrame, list[dict]]:
     before = sums.withColumn("before", F.sum("words").over(Window.partitionBy("source").orderBy("part")) - F.col("words"))
     parts = before.join(F.broadcast(numbers), F.col("source").eqNullSafe(F.col("name"))).select("source_no", "source_size", F.col("source").alias("of"), F.col("part").alias("at"), "before")
     placed = base.join(parts, F.col("source").eqNullSafe(F.col("of")) & (F.col("part") == F.col("at")))
-    inside = Window.partitionBy("source_no", "part").orderBy("doc_id", "digest").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("source_no", "part").orderBy("doc_id", "digest", "row_key").rowsBetween(Window.unboundedPreceding, 0)
     start = F.col("before") + F.sum("size").over(inside) - F.col("size")
-    return placed.withColumn("start", start).select("doc_id", "source", "source_no", "size", "source_size", "start", "digest"), [{"source": s, "size": int(n)} for s, n in known]
+    return placed.withColumn("start", start).select("doc_id", "source", "source_no", "size", "source_size", "start", "digest", "row_key"), [{"source": s, "size": int(n)} for s, n in known]
 
 
 def draw(spark, quotas: list[dict], seed: int, shard_slots: int) -> DataFrame:
@@ -180,7 +193,7 @@ def draw(spark, quotas: list[dict], seed: int, shard_slots: int) -> DataFrame:
     return slots.repartition("shard", "slot").mapInPandas(find, "shard long, slot long, source_no int, block long, words long")
 
 
-def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, total: float = 1.5, most: float = 2.0, seed: int = 1) -> tuple[DataFrame, DataFrame]:
+def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, total: float = 1.5, most: float = 2.0, seed: int = 1, key: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Mix all sources to their targets; returns (placements, documents).
 
     Words are the tokens. The documents of a source follow each other in one word stream, which is cut into
@@ -188,8 +201,9 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, total: fl
     blocks, and slots and documents join by block number. Each source gives exactly the whole words of its target, each
     block is taken ``most`` times at most, and so is each word.
 
-    placements: ``shard, slot, source_no, block, doc_id, digest, start, doc_start, words``: words
-    ``doc_start`` to ``doc_start + words`` of the document that lies at ``start`` of its source's stream. documents: see
+    placements: ``shard, slot, source_no, block, doc_id, digest, row_key, start, doc_start, words``: words
+    ``doc_start`` to ``doc_start + words`` of the document that lies at ``start`` of its source's stream; row_key is the
+    row's number from the column ``key`` (see :func:`numbered`), null without one. documents: see
     :func:`streams`, with ``target``, a row for each row of ``docs``.
 
     A null or empty text has no words and is never placed; a null source is a source, the last one; a source
@@ -197,19 +211,19 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, total: fl
     further columns are ignored. Everything is chosen by hashes and seeds, so reruns agree. Sources are
     assumed to be a configured list: one row for each is held by the driver.
     """
-    placed, sources = streams(docs)
+    placed, sources = streams(docs, key)
     wanted = targets([s["size"] for s in sources], weights, total, most)
     quotas = [quota(s["size"], t, seed, i, BLOCK) for i, (s, t) in enumerate(zip(sources, wanted, strict=True))]
     spark = docs.sparkSession
     goal = spark.createDataFrame([(i, float(t)) for i, t in enumerate(wanted)], "no int, target double")
     documents = materialize(placed.join(F.broadcast(goal), F.col("source_no") == F.col("no")).drop("no"))
     first, last = F.floor(F.col("start") / BLOCK), F.floor((F.col("start") + F.col("size") - 1) / BLOCK)
-    pieces = documents.where("size > 0").select("doc_id", "digest", F.col("source_no").alias("of"), "start", "size", F.explode(F.sequence(first, last)).alias("at"))
+    pieces = documents.where("size > 0").select("doc_id", "digest", "row_key", F.col("source_no").alias("of"), "start", "size", F.explode(F.sequence(first, last)).alias("at"))
     slots = draw(spark, quotas, seed, SHARD_SLOTS).select("shard", "slot", "source_no", "block", F.col("words").alias("take"))
     begin = F.greatest(F.col("start"), F.col("block") * BLOCK)
     end = F.least(F.col("start") + F.col("size"), F.col("block") * BLOCK + F.col("take"))
     joined = slots.join(pieces, (F.col("source_no") == F.col("of")) & (F.col("block") == F.col("at")))
-    placements = joined.where(end > begin).select("shard", "slot", "source_no", "block", "doc_id", "digest", "start", (begin - F.col("start")).alias("doc_start"), (end - begin).alias("words"))
+    placements = joined.where(end > begin).select("shard", "slot", "source_no", "block", "doc_id", "digest", "row_key", "start", (begin - F.col("start")).alias("doc_start"), (end - begin).alias("words"))
     return placements, documents
 
 
@@ -220,27 +234,27 @@ def taken_words(placements: DataFrame, documents: DataFrame) -> DataFrame:
     return documents.join(taken, match, "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
-def render(docs: DataFrame, placements: DataFrame) -> DataFrame:
-    """The mixed corpus as documents, with the columns of ``docs``: what is taken of a document, once for each time it is.
+def render(docs: DataFrame, placements: DataFrame, key: str) -> DataFrame:
+    """The mixed corpus as documents, with the columns of ``docs`` but ``key``: what is taken of a row, once for each time it is.
 
-    Row c of a document holds its words that are taken c times or more; whole documents keep their text as it is,
-    pieces apart are joined by a newline. ``n_chars``, if there, is counted anew. Documents that the mix
-    doesn't take give no row. Rows equal in doc_id and text are one document here.
+    ``docs`` and ``key`` are those of :func:`numbered` that were mixed. Row c of a document holds its words that are taken c times
+    or more; whole documents keep their text as it is, pieces apart are joined by a newline. ``n_chars``, if there, is counted anew.
+    Documents that the mix doesn't take give no row. Equal rows are documents of their own. Columns may have any names.
     """
     import re
 
     ship_by_value()
-    parts = placements.groupBy(F.col("doc_id").alias("mixed_id"), F.col("digest").alias("mixed_digest")).agg(
-        F.collect_list("doc_start").alias("mixed_starts"), F.collect_list("words").alias("mixed_words")
-    )
-    match = docs["doc_id"].cast("long").eqNullSafe(parts["mixed_id"]) & (F.xxhash64(docs["text"]) == parts["mixed_digest"])
+    parts = placements.groupBy(F.col("row_key").alias("of")).agg(F.collect_list(F.struct("doc_start", "words")).alias("taken"))
     word = re.compile(WORD_PATTERN.encode().decode("unicode_escape"))
+    names = docs.columns
+    at_text, at_chars = names.index("text"), names.index("n_chars") if "n_chars" in names else None
 
-    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for row, (text, starts, words) in enumerate(zip(batch["text"], batch["mixed_starts"], batch["mixed_words"], strict=True)):
+            rows, texts = [], []
+            for row, (text, taken) in enumerate(zip(batch.column(at_text).to_pylist(), batch.column(len(names)).to_pylist(), strict=True)):
                 at = [m.span() for m in word.finditer(text)]
+                starts, words = (np.array([t[c] for t in taken], dtype=np.int64) for c in ("doc_start", "words"))
                 change = np.zeros(len(at) + 1, np.int64)
                 np.add.at(change, starts, 1)
                 np.add.at(change, starts + words, -1)
@@ -248,11 +262,16 @@ def render(docs: DataFrame, placements: DataFrame) -> DataFrame:
                 for c in range(1, int(times.max(initial=0)) + 1):
                     edge = np.flatnonzero(np.diff(np.concatenate([[0], (times >= c).astype(np.int8), [0]])))
                     cut = [(int(i), int(j)) for i, j in zip(edge[::2], edge[1::2], strict=True)]
-                    rows.append((row, text if cut == [(0, len(at))] else "\n".join(text[at[i][0] : at[j - 1][1]] for i, j in cut)))
-            out = batch.iloc[[r for r, _ in rows]].drop(columns=["mixed_starts", "mixed_words"]).reset_index(drop=True)
-            out["text"] = [t for _, t in rows]
-            if "n_chars" in out:
-                out["n_chars"] = [len(t) for _, t in rows]
-            yield out
-
-    return docs.join(parts, match).drop("mixed_id", "mixed_digest").mapInPandas(run, docs.schema)
+                    rows.append(row)
+                    texts.append(text if cut == [(0, len(at))] else "\n".join(text[at[i][0] : at[j - 1][1]] for i, j in cut))
+            out = batch.select(range(len(names))).take(pa.array(rows, pa.int64()))
+            columns = out.columns
+            columns[at_text] = pa.array(texts, columns[at_text].type)
+            if at_chars is not None:
+                columns[at_chars] = pa.array([len(t) for t in texts], pa.int64()).cast(columns[at_chars].type)
+            keep = [i for i, c in enumerate(names) if c != key]
+            yield pa.RecordBatch.from_arrays([columns[i] for i in keep], names=[names[i] for i in keep])
+
+    # columns by place, so that no name of theirs meets one of the placements'
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    return plain.join(parts, F.col(f"c{names.index(key)}") == F.col("of")).drop("of").mapInArrow(run, docs.drop(key).schema)

@@ -107,11 +107,15 @@ def assign_shards(
 def add_shards(docs: DataFrame, n_shards: int = 8) -> DataFrame:
     """``docs`` with all its columns, and ``shard`` and ``slot`` of each row; a column of these names is replaced.
 
-    Rows equal in doc_id and text are put on their places in any order.
+    Rows equal in doc_id and text are put on their places in any order. A null doc_id is a key like any other, a null text
+    has no bytes; an empty table gives no rows. Further columns may have any names.
     """
-    same = Window.partitionBy("doc_id", "sharded_digest")
-    numbered = docs.drop("shard", "slot").withColumn("sharded_digest", F.xxhash64("text")).withColumn("sharded_copy", F.row_number().over(same.orderBy("text")))
-    placed = assign_shards(docs, n_shards).select(F.col("doc_id").alias("sharded_id"), F.col("digest").alias("of_digest"), "shard", "slot")
-    placed = placed.withColumn("of_copy", F.row_number().over(Window.partitionBy("sharded_id", "of_digest").orderBy("shard", "slot")))
-    match = F.col("doc_id").eqNullSafe(F.col("sharded_id")) & (F.col("sharded_digest") == F.col("of_digest")) & (F.col("sharded_copy") == F.col("of_copy"))
-    return numbered.join(placed, match).select(*[c for c in docs.columns if c not in ("shard", "slot")], "shard", "slot")
+    kept = [c for c in docs.columns if c not in ("shard", "slot")]
+    at = {c: f"c{i}" for i, c in enumerate(kept)}
+    plain = docs.select(*[F.col(f"`{c}`").alias(at[c]) for c in kept])
+    plain = plain.withColumn("own_digest", F.xxhash64(at["text"]))
+    plain = plain.withColumn("own_copy", F.row_number().over(Window.partitionBy(at["doc_id"], "own_digest").orderBy(at["text"])))
+    placed = assign_shards(docs, n_shards).select(F.col("doc_id").alias("of_id"), F.col("digest").alias("of_digest"), "shard", "slot")
+    placed = placed.withColumn("of_copy", F.row_number().over(Window.partitionBy("of_id", "of_digest").orderBy("shard", "slot")))
+    match = F.col(at["doc_id"]).eqNullSafe(F.col("of_id")) & (F.col("own_digest") == F.col("of_digest")) & (F.col("own_copy") == F.col("of_copy"))
+    return plain.join(placed, match).select(*[F.col(at[c]).alias(c) for c in kept], "shard", "slot")

@@ -249,6 +249,7 @@ def test_large_groups_and_both_encoders(files, monkeypatch):
     pair = align.TokenizerPair(*files)
     texts = ["abc def", "=" * 300, "漢字 and 日本語", "x" * 400 + " end"]
     whole = align.align(pair, texts)
+    assert whole["text"][0].count(b"|") == whole["n_groups"][0]
     monkeypatch.setattr(align, "LINKS", 3)  # most groups are counted from their distinct ids
     small = align.align(pair, texts)
     assert pair.fast
@@ -258,3 +259,24 @@ def test_large_groups_and_both_encoders(files, monkeypatch):
     monkeypatch.setattr(align, "LONG_TEXT", 0)
     assert [pair.encode_a(t) for t in texts + WORDS] == fast
     assert all(pair.bytes_b[s] == pair.bytes_a[i] for i, s in enumerate(pair.same) if s >= 0)
+
+
+@needs_tokenizers
+def test_words_give_the_alignment_of_whole_texts(files):
+    from shiftkit.llm import align
+
+    rnd, pair = random.Random(13), align.TokenizerPair(*files)
+    texts = ["".join(rnd.choice([" ", " ", "  ", "\n", "\t", "\u00a0", "\u3000", "\x1c", "\x85", "a", "the", "1", "'s", "'", "?!", "é", "漢", "▁", "\r\n", "don't"]) for _ in range(rnd.randrange(1, 25))) for _ in range(4000)]
+    texts += ["", " ", "  ", " a", "a ", "a  b", " \n \n x", "x \n", "<s> a"]
+    words, got = align.Words(pair), []
+    words.MOST_WORDS = 500  # dropped and made anew on the way
+    assert pair.by_word
+    for lo in range(0, len(texts), 300):
+        some, whole = words.align(texts[lo : lo + 300]), align.align(pair, texts[lo : lo + 300])
+        for c in ("n_a", "n_b", "n_groups", "n_links"):
+            assert some[c].tolist() == whole[c].tolist()
+        for c in ("one", "many"):
+            assert [x.tolist() for x in some[c]] == [x.tolist() for x in whole[c]]
+        assert some["sha"] == [hashlib.sha256(t).hexdigest() if t else "" for t in whole["text"]]
+        got.append(sum(n > 0 for n in some["n_a"]))
+    assert sum(got) > 2000

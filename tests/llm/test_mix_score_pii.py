@@ -43,7 +43,8 @@ def corpus(docs_of, monkeypatch):
     monkeypatch.setattr(mixing, "BLOCK", 16)
     rnd = random.Random(4)
     rows = [(i, prose(rnd, rnd.randrange(60)), rnd.choice(["a", "b", "b", "b", "é", None])) for i in range(300)]
-    rows += [(300, None, "a"), (301, "", "b"), (302, " ", "empty"), (303, "one", "tiny"), (304, prose(rnd, 5000), "b"), (5, "again words", "a"), (5, "again words", "a"), (None, "no id here", "a")]
+    rows += [(300, None, "a"), (301, "", "b"), (302, " ", "empty"), (303, "one", "tiny"), (304, prose(rnd, 5000), "b"), (5, "again words", "a"), (5, "again words", "a"), (5, "again words", "b"), (None, "no id here", "a")]
+    rows += [(306, prose(rnd, 50), "c")] * 2
     return rows, docs_of(rows)
 
 
@@ -81,25 +82,63 @@ def test_blocks_fill_the_slots(corpus):
 
 def test_rendered_rows_hold_the_words_taken(corpus):
     rows, df = corpus
-    placements, documents = mixing.mix_sources(df)
-    out = mixing.render(df, placements)
-    assert out.columns == df.columns
+    docs, key = mixing.numbered(df)
+    placements, documents = mixing.mix_sources(docs, key=key)
+    out = mixing.render(docs, placements, key)
+    assert out.columns == df.columns and out.dtypes == df.dtypes
     words, taken = Counter(), Counter()
     for r in out.collect():
-        words[r["doc_id"]] += len(r["text"].encode().split())
+        words[r["doc_id"], r["source"]] += len(r["text"].encode().split())
         assert r["n_chars"] == len(r["text"])
-    for r in mixing.taken_words(placements, documents).collect():
-        taken[r["doc_id"]] += r["taken"]
-    for d in words.keys() - {5}:
-        assert words[d] == taken[d]
+    source = {r[key]: r["source"] for r in docs.select(key, "source").collect()}
+    for r in placements.select("row_key", "doc_id", "words").collect():
+        taken[r["doc_id"], source[r["row_key"]]] += r["words"]
+    assert words == taken and sum(words.values()) == sum(r["taken"] for r in mixing.taken_words(placements, documents).collect())
     whole = {d: t for d, t, _ in rows}
     assert any(r["text"] == whole[r["doc_id"]] for r in out.collect() if r["doc_id"] is not None)
 
 
+def test_equal_rows_are_taken_each_for_itself(docs_of):
+    rnd = random.Random(8)
+    text = prose(rnd, 50)
+    docs, key = mixing.numbered(docs_of([(1, text, "a"), (1, text, "a"), (1, text, "b")]))
+    placements, _ = mixing.mix_sources(docs, key=key)
+    got = Counter()
+    for r in mixing.render(docs, placements, key).collect():
+        got[r["source"]] += len(r["text"].split())
+    assert got == {"a": 168, "b": 56}  # 225 words in shares of 3 to 1, whole words
+
+
+def test_stages_stand_clashing_columns_and_empty_tables(spark):
+    """Columns named like those that stages use inside; nulls, repeats and an empty table in each stage."""
+    import corpus_pipeline as p
+
+    names = ["row", "row_key", "of", "taken", "starts", "c0", "c1", "start", "words", "mixed_id", "mixed_starts", "sharded_digest", "own_digest", "of_id", "of_digest", "of_copy", "shard", "slot",
+             "contaminated_id", "contaminated_row", "kept_id", "kept_row", "class", "score", "a", "b", "sig", "node", "key", "cell", "digest", "size", "part", "gram", "item", "toxic"]
+    rnd = random.Random(2)
+    rows = [(i, prose(rnd, 30), "en", rnd.choice("ab"), 1) for i in range(12)] + [(None, "without an id", "en", None, 1), (3, None, None, "a", None), (4, "", "en", "a", 0)]
+    rows += [rows[0]] * 2
+    more = [tuple(2**62 + i for i in range(len(names)))]
+    df = spark.createDataFrame([r + more[0] for r in rows], "doc_id long, text string, lang string, source string, n_chars int, " + ", ".join(f"{n} long" for n in names))
+    labels = spark.createDataFrame([(i, 0, 0) for i in range(12)], "doc_id long, quality int, toxic int")  # nothing to learn: all stay
+    items = spark.createDataFrame([(0, prose(rnd, 9))], "item_id long, text string")
+    stages = [lambda d: p.drop_toxic(d, labels), lambda d: p.near_duplicates(spark, d, ""), lambda d: p.drop_contaminated(d, items), lambda d: p.mixing(spark, d, ""), lambda d: p.sharding(spark, d, "")]
+    for number, stage in enumerate(stages):
+        out = stage(df)
+        got = out.collect()
+        assert out.columns == ([c for c in df.columns if c not in ("shard", "slot")] + ["shard", "slot"] if number == 4 else df.columns)
+        assert got and all(r[n] == 2**62 + i for r in got for i, n in enumerate(names) if number < 4 or n not in ("shard", "slot"))
+        assert stage(df.where("false")).collect() == []
+        if number in (2, 4):
+            assert Counter((r["doc_id"], r["text"]) for r in got) == Counter(r[:2] for r in rows)
+
+
 def test_mix_of_nothing(docs_of):
     df = docs_of([])
     placements, documents = mixing.mix_sources(df)
-    assert mixing.taken_words(placements, documents).collect() == [] == mixing.render(df, placements).collect()
+    assert mixing.taken_words(placements, documents).collect() == []
+    docs, key = mixing.numbered(df)
+    assert mixing.render(docs, mixing.mix_sources(docs, key=key)[0], key).collect() == []
     only = docs_of([(1, None), (2, "")])
     assert told(mixing.taken_words(*mixing.mix_sources(only)), "doc_id", "taken") == [(1, 0), (2, 0)]
 
