@@ -67,6 +67,9 @@ class TokenizerPair:
         self.len_a, self.len_b = (np.array([len(t) for t in x], dtype=np.int64) for x in (self.bytes_a, self.bytes_b))
         if max(len(self.bytes_a), len(self.bytes_b)) >= 1 << SHIFT:
             raise ValueError(f"vocabularies of {1 << SHIFT} ids or more don't fit a pair's number")
+        ids = [str(i).rjust(7, "\0").encode() for i in range(max(len(self.bytes_a), len(self.bytes_b)))]
+        self.digits = np.frombuffer(b"".join(ids), np.uint8).reshape(-1, 7)
+        self.letters = [(np.frombuffer(b"".join(x), np.uint8), np.cumsum(n) - n) for x, n in ((self.bytes_a, self.len_a), (self.bytes_b, self.len_b))]
         # whether a space can only begin a piece: then words can be encoded one by one
         self.by_word = self.fast is not False and not any(" " in t.lstrip(" ") for t in (names[i].replace(PIECE_SPACE, " ") for i in range(n) if not fallback[i]))
 
@@ -108,6 +111,32 @@ class TokenizerPair:
             a.append(ids)
         return a, b
 
+    def spelled(self, ids: np.ndarray, side: int) -> np.ndarray:
+        """The bytes of many ids of A (side 0) or B (side 1)."""
+        letters, start = self.letters[side]
+        n = (self.len_a, self.len_b)[side][ids]
+        return letters[np.repeat(start[ids] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+
+    def encode_together(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
+        """:meth:`encode` of words that don't end in white space, as one text: ids and their number by word, of A and of B.
+
+        Neither encoding joins a space to what is before it, so the words' ids follow each other. None if some bytes don't come back.
+        """
+        text = " ".join(words)
+        data = np.frombuffer((" " + text).encode(), np.uint8)
+        ends = np.cumsum([1 + len(w.encode()) for w in words])
+        out = []
+        for side, (ids, size) in enumerate(((self.encode_a(" " + text), self.len_a), (self.pieces.encode(text), self.len_b))):
+            ids = np.array(ids, dtype=np.int64)
+            end = np.cumsum(size[ids])
+            if not len(end) or end[-1] != len(data) or not np.array_equal(self.spelled(ids, side), data):
+                return None
+            last = np.searchsorted(end, ends)
+            if not (end[last] == ends).all():
+                return None
+            out += [ids, np.diff(last, prepend=-1)]
+        return tuple(out)
+
 
 def _counted(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys, sorted, and the sums of their counts."""
@@ -125,9 +154,44 @@ def align(pair: TokenizerPair, texts: list[str]) -> dict:
     pairs, whose ids have the same bytes, and all other linked pairs.
     """
     ids_a, ids_b = pair.encode(texts)
-    n = len(texts)
     n_a, n_b = (np.array([len(x) for x in ids], dtype=np.int64) for ids in (ids_a, ids_b))
     a, b = (np.fromiter(chain.from_iterable(ids), np.int64, int(k.sum())) for ids, k in ((ids_a, n_a), (ids_b, n_b)))
+    return align_ids(pair, a, n_a, b, n_b)
+
+
+def align_words(pair: TokenizerPair, words: list[str]) -> dict:
+    """:func:`align` of words, many of which are encoded as one text."""
+    apart = [i for i, w in enumerate(words) if w == "" or w[-1].isspace() or len(w) > LONG_TEXT] if pair.by_word else range(len(words))
+    odd = set(apart)
+    together = [i for i in range(len(words)) if i not in odd]
+    runs = np.cumsum([len(words[i]) + 1 for i in together]) // LONG_TEXT
+    n_a, n_b, ids_a, ids_b, order = [], [], [], [], []
+    todo = [together[lo:hi] for lo, hi in _runs(runs)]
+    while todo:
+        some = todo.pop()
+        got = pair.encode_together([words[i] for i in some])
+        if got:
+            for into, x in zip((ids_a, n_a, ids_b, n_b, order), (*got, some), strict=True):
+                into.append(x)
+        elif len(some) > 16:  # find the word that doesn't come back
+            todo += [some[: len(some) // 2], some[len(some) // 2 :]]
+        else:
+            odd.update(some)
+    rest = sorted(odd)
+    if rest:
+        x, y = pair.encode([words[i] for i in rest])
+        for into, k, ids in ((ids_a, n_a, x), (ids_b, n_b, y)):
+            k.append(np.array([len(i) for i in ids], dtype=np.int64))
+            into.append(np.fromiter(chain.from_iterable(ids), np.int64, int(k[-1].sum())))
+        order.append(rest)
+    made = align_ids(pair, *[np.concatenate(x) if x else np.zeros(0, np.int64) for x in (ids_a, n_a, ids_b, n_b)])
+    made["order"] = np.array(list(chain.from_iterable(order)), dtype=np.int64)
+    return made
+
+
+def align_ids(pair: TokenizerPair, a: np.ndarray, n_a: np.ndarray, b: np.ndarray, n_b: np.ndarray) -> dict:
+    """:func:`align` from the ids of all texts and their numbers by text."""
+    n = len(n_a)
     end_a, end_b = np.cumsum(pair.len_a[a]), np.cumsum(pair.len_b[b])
     mark = np.zeros(int(end_a[-1]) + 1 if len(a) else 1, bool)
     mark[end_b] = True
@@ -142,7 +206,7 @@ def align(pair: TokenizerPair, texts: list[str]) -> dict:
     total = np.concatenate([[0], np.cumsum(size_a * size_b)])
     edge = np.searchsorted(doc, np.arange(n + 1))
     out["n_links"] = total[edge[1:]] - total[edge[:-1]]
-    out["text"] = _written(ids_a, ids_b, edge, size_a, size_b)
+    out["text"] = _written(pair, a, b, cut_a, cut_b, size_a, start_a, start_b, n_a, n_b)
 
     exact = (size_a == 1) & (size_b == 1)
     exact[exact] = pair.same[a[start_a[exact]]] == b[start_b[exact]]
@@ -177,16 +241,22 @@ def _sort_out(pair: TokenizerPair, doc: np.ndarray, x: np.ndarray, y: np.ndarray
         into[1].append(count)
 
 
-def _written(ids_a: list[list[int]], ids_b: list[list[int]], edge: np.ndarray, size_a: np.ndarray, size_b: np.ndarray) -> list[bytes]:
-    """Each text's groups as `a1,a2|b1;a3|b2,b3`; empty for a text without tokens."""
-    out, size_a, size_b = [], size_a.tolist(), size_b.tolist()
-    for i, (x, y) in enumerate(zip(ids_a, ids_b, strict=True)):
-        x, y, i_a, i_b, groups = list(map(str, x)), list(map(str, y)), 0, 0, []
-        for g in range(edge[i], edge[i + 1]):
-            groups.append(",".join(x[i_a : i_a + size_a[g]]) + "|" + ",".join(y[i_b : i_b + size_b[g]]))
-            i_a, i_b = i_a + size_a[g], i_b + size_b[g]
-        out.append(";".join(groups).encode())
-    return out
+def _written(pair, a, b, cut_a, cut_b, size_a, start_a, start_b, n_a, n_b) -> list[bytes]:
+    """Each text's groups as `a1,a2|b1;a3|b2,b3`; empty for a text without tokens.
+
+    All ids are written at once into rows of seven digits and a separator, whose zero bytes are then left out.
+    """
+    cells = np.zeros((len(a) + len(b), 8), np.uint8)
+    group_a, group_b = np.cumsum(cut_a) - cut_a, np.cumsum(cut_b) - cut_b
+    at_a = np.arange(len(a)) + start_b[group_a]
+    at_b = np.arange(len(b)) + (start_a + size_a)[group_b]
+    cells[at_a, :7], cells[at_a, 7] = pair.digits[a], np.where(cut_a, ord("|"), ord(","))
+    cells[at_b, :7], cells[at_b, 7] = pair.digits[b], np.where(cut_b, ord(";"), ord(","))
+    there = cells.ravel() != 0
+    length = np.concatenate([[0], np.cumsum(there.reshape(-1, 8).sum(axis=1))])
+    text = cells.ravel()[there].tobytes()
+    ends = length[np.cumsum(n_a + n_b)].tolist()
+    return [text[lo : hi - 1] if hi > lo else b"" for lo, hi in zip([0, *ends[:-1]], ends, strict=True)]
 
 
 def word_list(text: str) -> list[str]:
@@ -215,7 +285,7 @@ class Words:
     most MOST_WORDS parts or MOST_CHARS characters beyond those of one block of texts; then they are dropped and made anew.
     """
 
-    MOST_WORDS, MOST_CHARS = 1 << 18, 1 << 22
+    MOST_WORDS, MOST_CHARS = 1 << 19, 1 << 23
 
     def __init__(self, pair: TokenizerPair) -> None:
         self.pair = pair
@@ -231,9 +301,9 @@ class Words:
         self.lists = {c: [np.zeros(1, np.int64), none, none] for c in ("one", "many")}
 
     def _add(self, words: list[str]) -> None:
-        made = align(self.pair, words)
-        for i, w in enumerate(words):
-            self.index[w] = len(self.text) + i
+        made = align_words(self.pair, words)
+        words = [words[i] for i in made["order"].tolist()]
+        self.index.update(zip(words, range(len(self.text), len(self.text) + len(words)), strict=True))
         self.text += made["text"]
         self.chars += sum(map(len, words))
         flags = {"whole": [w == "" or n > 0 for w, n in zip(words, made["n_a"], strict=True)], "opens": [w[:1].isspace() for w in words], "ends": [w[-1:].isspace() for w in words]}
