@@ -1,10 +1,10 @@
 """All-pairs work on vectors without emitting pairs.
 
-Vectors are packed into blocks of bounded size per pool; a pair table of block ids (generated, not
-joined) brings two blocks together, and numpy does one matrix product per block pair inside
-``mapInPandas``. What leaves a task is a summary of the block pair (a histogram, the rows below a
-bound, or one candidate per row), never the pairs themselves. The work is spread over block pairs,
-so a pool holding a third of the rows is split into many tasks.
+Vectors are packed into blocks of bounded size, near ones together; what a block holds is known by bounds (a centre and a
+radius, or its distances to a few vantage rows). A pair table of block ids (generated, not joined) brings two blocks together
+where their bounds leave the question open, and numpy does one matrix product per block pair inside
+``mapInPandas``. What leaves a task is a summary of the block pair (a histogram, distinct values, or one candidate per row), never the
+pairs themselves. The work is spread over block pairs, so a pool holding a third of the rows is split into many tasks.
 """
 
 from __future__ import annotations
@@ -16,8 +16,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shiftkit.functions.vectors import as_double, distance_fn, norm
-from shiftkit.operators.positional import dense_index
+from shiftkit.functions.hashing import hash_u60
+from shiftkit.functions.vectors import as_double, distance_fn, dot, euclidean_distance, norm
+from shiftkit.operators.positional import dense_index, running_total
 from shiftkit.operators.vectors import null_safe
 from shiftkit.session import materialize, ship_package, stored
 
@@ -29,96 +30,137 @@ def has_direction(vec: str):
     return F.col(vec).isNotNull() & (norm(as_double(vec)) > 0)
 
 
-def vector_blocks(df: DataFrame, pool: Sequence[str], key: str, vec: str, block_size: int = DEFAULT_BLOCK,
-                  normalize: bool = False) -> DataFrame:
-    """Pack rows into blocks: (pool..., block, nb, keys, vecs); ``nb`` = blocks in the pool.
+def unit(vec: str):
+    """The vector over its length, in double precision."""
+    nrm = norm(as_double(vec))
+    return F.transform(as_double(vec), lambda x: x / nrm)
 
-    Rows go to block ``hash(key) mod nb`` with ``nb = ceil(n_pool / block_size)``, so blocks hold
-    about ``block_size`` rows however large the pool.
-    """
-    pool = list(pool)
-    v = as_double(vec)
-    if normalize:
-        df = df.where(has_direction(vec))
-        nrm = norm(v)
-        v = F.transform(v, lambda x: x / nrm)
-    rows = df.select(*pool, F.col(key).alias("_k"), v.alias("_v"))
-    if pool:
-        # block count per pool from its size (a per-pool table, sized at runtime by AQE)
-        sizes = df.groupBy(*pool).agg(F.count(F.lit(1)).alias("_n"))
-        rows = null_safe(rows, sizes, pool)
-    else:
-        rows = rows.withColumn("_n", F.lit(df.count()))
-    nb = F.greatest(F.ceil(F.col("_n") / F.lit(block_size)), F.lit(1)).cast("long")
-    rows = rows.withColumn("nb", nb).withColumn("block", F.pmod(F.xxhash64("_k"), F.col("nb")))
-    # one list of (key, vector) pairs, split afterwards, so keys and vectors stay aligned
-    g = rows.groupBy(*pool, "block", "nb").agg(F.collect_list(F.struct("_k", "_v")).alias("_kv"))
-    return g.select(*pool, "block", "nb", F.transform("_kv", lambda e: e["_k"]).alias("keys"),
-                    F.transform("_kv", lambda e: e["_v"]).alias("vecs"))
-
-
-def self_block_pairs(blocks: DataFrame, pool: Sequence[str]) -> DataFrame:
-    """Block pairs (b1 <= b2) inside each pool, joined with both blocks' contents.
 
-    The pair list is generated from the block count in two explodes (first ids, then partners) so
-    even a pool with very many blocks does not produce its pair list in one task.
-    """
-    pool = list(pool)
-    counts = blocks.select(*pool, "nb").distinct()
-    firsts = counts.select(*pool, "nb", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("b1"))
-    pairs = firsts.repartition(*pool, "b1").select(
-        *pool, "b1", F.explode(F.sequence(F.col("b1"), F.col("nb") - 1)).alias("b2"))
-    left = blocks.select(*pool, F.col("block").alias("b1"), F.col("keys").alias("keys1"), F.col("vecs").alias("vecs1"))
-    right = blocks.select(*pool, F.col("block").alias("b2"), F.col("keys").alias("keys2"), F.col("vecs").alias("vecs2"))
-    return pairs.join(left, [*pool, "b1"]).join(right, [*pool, "b2"])
+def split_cells(rows: DataFrame, cell: Sequence[str], key: str, block_size: int) -> DataFrame:
+    """``rows`` with ``_sub``: cells above ``block_size`` rows are cut by a hash into blocks of about that size."""
+    sizes = rows.groupBy(*cell).agg(F.ceil(F.count(F.lit(1)) / block_size).cast("long").alias("_nb"))
+    return null_safe(rows, sizes, cell).withColumn("_sub", F.pmod(F.xxhash64(key), F.col("_nb"))).drop("_nb")
 
 
 def _mat(v) -> np.ndarray:
     return np.stack([np.asarray(x, dtype=np.float64) for x in v]) if len(v) else np.zeros((0, 0))
 
 
-def pair_values(row, kind: str = "cosine") -> np.ndarray:
-    """Similarity (or distance) values of one block pair: i<j inside one block, all across two."""
+def _numbers(v) -> DataFrame:
+    return F.array(*[F.lit(float(x)) for x in v])
+
+
+def leader_blocks(df: DataFrame, key: str, vec: str, block_size: int = DEFAULT_BLOCK, leaders: int = 64, band: float = 0.2) -> DataFrame:
+    """Unit vectors of each pool ``_p`` in blocks around leaders: (_p, block, n, centre, radius, vecs).
+
+    The rows of a pool with the smallest hashes lead, four for each block's worth of rows and at most ``leaders``. A row goes to its most
+    similar leader and there to the band (of so many radians) of its angle to it; what lies in a band is cut into blocks of about
+    ``block_size``. A block's centre is its mean direction and its radius the largest angle to it. Blocks of a pool are numbered from 0.
+    """
+    rows = df.select("_p", F.col(key).alias("_k"), unit(vec).alias("_v"))
+    first = Window.partitionBy("_p").orderBy(hash_u60("leader", "_k"), "_k")
+    lead = df.select("_p", F.col(key).alias("_k"), unit(vec).alias("_v")).withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= leaders)
+    many = df.groupBy("_p").agg(F.ceil(F.count(F.lit(1)) * 4 / block_size).alias("_most"))
+    lead = lead.join(many, "_p").where(F.col("_r") <= F.col("_most")).groupBy("_p").agg(F.transform(F.array_sort(F.collect_list(F.struct("_r", "_v"))), lambda x: x["_v"]).alias("_ls"))
+    near = F.transform("_ls", lambda x: F.round(dot(F.col("_v"), x), 12))
+    most = F.array_max("_near")
+    ring = F.floor(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), most))) / band)
+    rows = rows.join(lead, "_p").withColumn("_near", near).withColumn("_c", F.array_position("_near", most) * 64 + ring).drop("_ls", "_near")
+    packed = split_cells(rows, ["_p", "_c"], "_k", block_size).groupBy("_p", "_c", "_sub").agg(F.collect_list("_v").alias("vecs"))
+
+    def bounds(it):
+        for pdf in it:
+            out = pdf[["_p", "_c", "_sub", "vecs"]].copy()
+            n, centre, radius = [], [], []
+            for v in pdf["vecs"]:
+                m = _mat(v)
+                mean = m.sum(axis=0)
+                size = np.linalg.norm(mean)
+                mean = mean / size if size > 1e-9 else m[0]
+                n.append(len(m))
+                centre.append(mean)
+                radius.append(float(np.arccos(np.clip((m @ mean).min(), -1.0, 1.0))) + 1e-7)
+            out["n"], out["centre"], out["radius"] = n, centre, radius
+            yield out
+
+    made = materialize(packed.mapInPandas(bounds, "_p string, _c long, _sub long, vecs array<array<double>>, n long, centre array<double>, radius double"))
+    numbers = dense_index(made.select("_p", "_c", "_sub"), ["_c", "_sub"], by=["_p"], out="block")
+    return made.join(numbers, ["_p", "_c", "_sub"]).drop("_c", "_sub")
+
+
+def block_pairs(blocks: DataFrame) -> DataFrame:
+    """Block pairs (b1 <= b2) inside each pool, with their number of row pairs and bounds of their similarities:
+    (_p, b1, b2, m, smin, smax).
+
+    The pair list is generated from the block count in two explodes (first ids, then partners) so
+    even a pool with very many blocks does not produce its pair list in one task.
+    """
+    counts = blocks.groupBy("_p").agg((F.max("block") + 1).alias("nb"))
+    firsts = counts.select("_p", "nb", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)).alias("b1"))
+    pairs = firsts.repartition("_p", "b1").select("_p", "b1", F.explode(F.sequence(F.col("b1"), F.col("nb") - 1)).alias("b2"))
+    side = [blocks.select("_p", F.col("block").alias(f"b{i}"), F.col("n").alias(f"n{i}"), F.col("centre").alias(f"c{i}"), F.col("radius").alias(f"r{i}")) for i in (1, 2)]
+    both = pairs.join(side[0], ["_p", "b1"]).join(side[1], ["_p", "b2"])
+    own = F.col("b1") == F.col("b2")
+    angle = F.when(own, 0.0).otherwise(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot("c1", "c2")))))
+    reach = F.col("r1") + F.col("r2")
+    return both.select(
+        "_p", "b1", "b2", F.when(own, F.col("n1") * (F.col("n1") - 1) / 2).otherwise(F.col("n1") * F.col("n2")).cast("long").alias("m"),
+        (F.cos(F.least(F.lit(float(np.pi)), angle + reach)) - 1e-9).alias("smin"), (F.cos(F.greatest(F.lit(0.0), angle - reach)) + 1e-9).alias("smax"))
+
+
+def pair_values(row) -> np.ndarray:
+    """Similarities of one block pair: i<j inside one block, all across two."""
     a, b = _mat(row["vecs1"]), _mat(row["vecs2"])
-    if kind == "cosine":
-        m = a @ b.T
-    else:
-        sq = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * (a @ b.T)
-        m = np.sqrt(np.maximum(sq, 0.0))
-    if row["b1"] == row["b2"]:
-        iu = np.triu_indices(m.shape[0], k=1)
-        return m[iu]
-    return m.ravel()
+    m = a @ b.T
+    return m[np.triu_indices(len(m), k=1)] if row["b1"] == row["b2"] else m.ravel()
 
 
-def _pool_schema(pairs: DataFrame, pool: Sequence[str]) -> str:
-    return ", ".join(f"`{c}` {pairs.schema[c].dataType.simpleString()}" for c in pool)
+def _at_rank(counts: DataFrame, value: str, rank: str) -> DataFrame:
+    """(_p, value): the value that covers the pool's rank, from (_p, value, m) and the rank's column."""
+    summed = counts.groupBy("_p", value, rank).agg(F.sum("m").alias("m"))
+    ranked = running_total(summed, [value], ["_p"], F.col("m"), "_start")
+    return ranked.where((F.col("m") > 0) & (F.col("_start") <= F.col(rank)) & (F.col(rank) < F.col("_start") + F.col("m"))).select("_p", value)
 
 
 def pairwise_median_similarity(df: DataFrame, pool: Sequence[str], key: str, vec: str,
                                block_size: int = DEFAULT_BLOCK, bins: int = 4096,
-                               max_candidates: int = 2_000_000, out: str = "median_similarity") -> DataFrame:
+                               max_candidates: int = 2_000_000, out: str = "median_similarity",
+                               stats: list | None = None) -> DataFrame:
     """Exact median of the cosine similarity over all unordered pairs of distinct rows, per pool.
 
-    Pass 1 counts similarities in ``bins`` equal bins per pool; the bins holding the two middle
-    ranks give a bracket. Further passes narrow the bracket until it holds at most
-    ``max_candidates`` values, or gets no narrower: then it holds little but ties of the two middle values. The last pass returns the count below
-    the bracket and the distinct values inside it, from which the middle ranks are read exactly. Zero and NULL vectors
-    have no similarity and take no part. The work is quadratic in a pool's size, as the median of all pairs is.
+    Blocks are built around leaders, so a block pair's similarities are known to lie in an interval. The medians of all pairs'
+    lower and upper ends bracket the median before anything is multiplied. A pass multiplies the block pairs whose interval
+    straddles the bracket and counts the others as a whole; it bins the similarities inside the bracket, narrows it to the bins
+    of the two middle ranks, and learns the multiplied pairs' true ends for the next pass. Passes go on
+    until the bracket holds at most ``max_candidates`` values, or gets no narrower: then it holds little but ties of the two
+    middle values. The last pass returns the distinct values inside it, from which the middle ranks are read exactly. Zero and NULL
+    vectors have no similarity and take no part. Where nothing is near anything (random directions) all block pairs straddle, and the
+    work is quadratic in a pool's size. ``stats`` gets for each pass the share of row pairs that were multiplied.
     """
-    names, pool = list(pool), ["_p"]
+    names = list(pool)
     # one text names a pool, so that NULL is a pool like any other
     df = df.where(has_direction(vec)).withColumn("_p", F.to_json(F.struct(*names), {"ignoreNullFields": "false"}) if names else F.lit(""))
     ship_package(df.sparkSession)
-    # every pass reads the blocks: checkpoint them once (1x the data, not the replicated pairs)
-    blocks = materialize(vector_blocks(df, pool, key, vec, block_size, normalize=True))
-    pairs = self_block_pairs(blocks, pool)
-    ps = _pool_schema(pairs, pool)
-    sizes = df.groupBy(*pool).agg(F.count(F.lit(1)).alias("_n"))
-    m = F.col("_n") * (F.col("_n") - 1) / 2
-    targets = sizes.where(F.col("_n") >= 2).select(
-        *pool, F.floor((m - 1) / 2).cast("long").alias("_lo"), F.ceil((m - 1) / 2).cast("long").alias("_hi"),
-        F.lit(-1.0 - 1e-9).alias("_a"), F.lit(1.0 + 1e-9).alias("_b"), F.lit(0).cast("long").alias("_base"))
+    blocks = materialize(leader_blocks(df, key, vec, block_size))
+    pairs = stored(block_pairs(blocks))
+    sizes = pairs.groupBy("_p").agg(F.sum("m").alias("_m")).where("_m > 0")
+    ranks = stored(sizes.select("_p", F.floor((F.col("_m") - 1) / 2).cast("long").alias("_lo"), F.ceil((F.col("_m") - 1) / 2).cast("long").alias("_hi")))
+    known = pairs.join(ranks, "_p")
+    low = _at_rank(known, "smin", "_lo").withColumnRenamed("smin", "_a")
+    high = _at_rank(known, "smax", "_hi").withColumnRenamed("smax", "_b")
+    targets = stored(ranks.join(low, "_p").join(high, "_p"))
+
+    def multiplied(pairs: DataFrame, targets: DataFrame, fn, schema: str) -> tuple[DataFrame, DataFrame]:
+        """What a function makes of the pairs that straddle their pool's bracket, and the number of row pairs below of the others."""
+        both = pairs.join(targets, "_p")
+        open_ = both.where((F.col("smax") >= F.col("_a")) & (F.col("smin") <= F.col("_b")))
+        left = blocks.select("_p", F.col("block").alias("b1"), F.col("vecs").alias("vecs1"))
+        right = blocks.select("_p", F.col("block").alias("b2"), F.col("vecs").alias("vecs2"))
+        made = open_.select("_p", "b1", "b2", "_a", "_b").join(left, ["_p", "b1"]).join(right, ["_p", "b2"]).mapInPandas(fn, schema)
+        if stats is not None:
+            done, whole = open_.agg(F.sum("m")).first()[0] or 0, pairs.agg(F.sum("m")).first()[0] or 0
+            stats.append(done / whole if whole else 0.0)
+        return made, both.where(F.col("smax") < F.col("_a")).groupBy("_p").agg(F.sum("m").alias("_below"))
 
     def hist_fn(it):
         for pdf in it:
@@ -126,13 +168,15 @@ def pairwise_median_similarity(df: DataFrame, pool: Sequence[str], key: str, vec
             for _, row in pdf.iterrows():
                 s = pair_values(row)
                 a, b = row["_a"], row["_b"]
-                s = s[(s >= a) & (s < b)]
-                idx = np.clip(((s - a) / (b - a) * bins).astype(np.int64), 0, bins - 1)
+                inside = s[(s >= a) & (s <= b)]
+                idx = np.clip(((inside - a) / (b - a) * bins).astype(np.int64), 0, bins - 1) if b > a else np.zeros(len(inside), np.int64)
                 cnt = np.bincount(idx, minlength=bins)
                 nz = np.nonzero(cnt)[0]
-                o = pd.DataFrame({c: row[c] for c in pool}, index=range(len(nz)))
-                o["bin"] = nz
-                o["cnt"] = cnt[nz]
+                o = pd.DataFrame({"_p": row["_p"], "b1": row["b1"], "b2": row["b2"]}, index=range(len(nz) + 1))
+                # the first row has the pairs below the bracket and the true ends
+                o["bin"] = np.concatenate([[-1], nz])
+                o["cnt"] = np.concatenate([[int((s < a).sum())], cnt[nz]])
+                o["smin"], o["smax"] = (s.min(), s.max()) if len(s) else (2.0, -2.0)
                 outs.append(o)
             if outs:
                 yield pd.concat(outs, ignore_index=True)
@@ -145,7 +189,7 @@ def pairwise_median_similarity(df: DataFrame, pool: Sequence[str], key: str, vec
                 a, b = row["_a"], row["_b"]
                 # distinct values with their counts: ties collapse to one row
                 vals, cnts = np.unique(s[(s >= a) & (s <= b)], return_counts=True)
-                o = pd.DataFrame({c: row[c] for c in pool}, index=range(len(vals) + 1))
+                o = pd.DataFrame({"_p": row["_p"]}, index=range(len(vals) + 1))
                 o["kind"] = np.concatenate([[0], np.ones(len(vals), dtype=np.int64)]).astype(np.int32)
                 o["val"] = np.concatenate([[0.0], vals])
                 o["cnt"] = np.concatenate([[int((s < a).sum())], cnts.astype(np.int64)])
@@ -153,53 +197,45 @@ def pairwise_median_similarity(df: DataFrame, pool: Sequence[str], key: str, vec
             if outs:
                 yield pd.concat(outs, ignore_index=True)
 
-    # Narrow the bracket [a, b) while the values inside it are too many to rank in one task.
+    # Narrow the bracket [a, b] while the values inside it are too many to rank in one task.
     while True:
-        hist = pairs.join(targets, pool).mapInPandas(hist_fn, f"{ps}, bin long, cnt long")
-        counts = hist.groupBy(*pool, "bin").agg(F.sum("cnt").alias("cnt"))
-        w = Window.partitionBy(*pool).orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        cum = counts.withColumn("_cum", F.sum("cnt").over(w)).join(targets, pool)
-        # bins holding rank lo and rank hi (ranks counted from the bracket start)
-        lo_rank = F.col("_lo") - F.col("_base")
-        hi_rank = F.col("_hi") - F.col("_base")
-        first_bin = cum.groupBy(*pool).agg(
-            F.min(F.when(F.col("_cum") > lo_rank, F.col("bin"))).alias("_blo"),
-            F.min(F.when(F.col("_cum") > hi_rank, F.col("bin"))).alias("_bhi"),
-            F.max("_cum").alias("_tot"),
-        )
-        below = cum.join(first_bin, pool).groupBy(*pool).agg(
-            F.sum(F.when(F.col("bin") < F.col("_blo"), F.col("cnt")).otherwise(0)).alias("_under"),
-            F.sum(F.when((F.col("bin") >= F.col("_blo")) & (F.col("bin") <= F.col("_bhi")), F.col("cnt")).otherwise(0)).alias("_inside"),
-        )
+        made, below = multiplied(pairs, targets, hist_fn, "_p string, b1 long, b2 long, bin long, cnt long, smin double, smax double")
+        made = stored(made)
+        under = made.where("bin = -1").groupBy("_p").agg(F.sum("cnt").alias("_counted")).join(below, "_p", "left")
+        under = under.select("_p", (F.col("_counted") + F.coalesce("_below", F.lit(0))).alias("_under"))
+        counts = made.where("bin >= 0").groupBy("_p", "bin").agg(F.sum("cnt").alias("cnt"))
+        w = Window.partitionBy("_p").orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        cum = counts.withColumn("_cum", F.sum("cnt").over(w)).join(under, "_p").join(targets, "_p")
+        end = F.col("_cum") + F.col("_under")
+        found = cum.groupBy("_p").agg(
+            F.min(F.when(end > F.col("_lo"), F.col("bin"))).alias("_blo"), F.min(F.when(end > F.col("_hi"), F.col("bin"))).alias("_bhi"))
+        inside = cum.join(found, "_p").where((F.col("bin") >= F.col("_blo")) & (F.col("bin") <= F.col("_bhi"))).groupBy("_p").agg(F.sum("cnt").alias("_inside"))
         width = (F.col("_b") - F.col("_a")) / bins
-        nxt = targets.join(first_bin, pool).join(below, pool).select(
-            *pool, "_lo", "_hi",
-            (F.col("_a") + F.col("_blo") * width).alias("_a"),
-            (F.col("_a") + (F.col("_bhi") + 1) * width).alias("_b"),
-            (F.col("_base") + F.col("_under")).alias("_base"),
-            F.col("_inside").alias("_inside"), (F.col("_b") - F.col("_a")).alias("_was"),
-        )
-        # one row per pool; storing it keeps each round's plan from nesting the previous ones
-        nxt = stored(nxt)
-        width_now = F.col("_b") - F.col("_a")
-        open_ = nxt.where((F.col("_inside") > max_candidates) & (width_now > 1e-14) & (width_now < 0.9 * F.col("_was"))).count()
+        # a margin for the rounding of bins; the next pass counts against the new ends itself. One row per pool
+        nxt = stored(targets.join(found, "_p").join(inside, "_p").select(
+            "_p", "_lo", "_hi", (F.col("_a") + F.col("_blo") * width - 1e-12).alias("_a"), (F.col("_a") + (F.col("_bhi") + 1) * width + 1e-12).alias("_b"),
+            "_inside", (F.col("_b") - F.col("_a")).alias("_was")))
+        now = F.col("_b") - F.col("_a")
+        open_ = nxt.where((F.col("_inside") > max_candidates) & (now > 1e-11) & (now < 0.9 * F.col("_was"))).count()
         targets = nxt.drop("_inside", "_was")
+        ends = made.where("bin = -1").select("_p", "b1", "b2", F.col("smin").alias("_s0"), F.col("smax").alias("_s1"))
+        pairs = stored(pairs.join(ends, ["_p", "b1", "b2"], "left").select(
+            "_p", "b1", "b2", "m", F.coalesce(F.col("_s0") - 1e-12, "smin").alias("smin"), F.coalesce(F.col("_s1") + 1e-12, "smax").alias("smax")))
         if not open_:
             break
-    # widen by a rounding margin so the last pass's own count decides membership
-    targets = targets.withColumn("_a", F.col("_a") - F.lit(1e-12)).withColumn("_b", F.col("_b") + F.lit(1e-12))
-    ext = pairs.join(targets, pool).mapInPandas(extract_fn, f"{ps}, kind int, val double, cnt long")
-    under = ext.where("kind = 0").groupBy(*pool).agg(F.sum("cnt").alias("_under"))
-    cand = ext.where("kind = 1").groupBy(*pool, "val").agg(F.sum("cnt").alias("cnt"))
-    wr = Window.partitionBy(*pool).orderBy("val").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ext, below = multiplied(pairs, targets, extract_fn, "_p string, kind int, val double, cnt long")
+    ext = stored(ext)
+    under = ext.where("kind = 0").groupBy("_p").agg(F.sum("cnt").alias("_counted")).join(below, "_p", "left")
+    cand = ext.where("kind = 1").groupBy("_p", "val").agg(F.sum("cnt").alias("cnt"))
+    wr = Window.partitionBy("_p").orderBy("val").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     # value v covers ranks [end - cnt, end) where end = under + cumulative count
-    ranked = cand.join(under, pool).withColumn("_end", F.sum("cnt").over(wr) + F.col("_under")).withColumn(
-        "_start", F.col("_end") - F.col("cnt")).join(targets, pool)
+    ranked = cand.join(under, "_p").withColumn("_end", F.sum("cnt").over(wr) + F.col("_counted") + F.coalesce("_below", F.lit(0))).withColumn(
+        "_start", F.col("_end") - F.col("cnt")).join(targets, "_p")
 
     def covers(r):
         return (F.col("_start") <= F.col(r)) & (F.col(r) < F.col("_end"))
 
-    picked = ranked.where(covers("_lo") | covers("_hi")).groupBy(*pool).agg(
+    picked = ranked.where(covers("_lo") | covers("_hi")).groupBy("_p").agg(
         F.max(F.when(covers("_lo"), F.col("val"))).alias("_vlo"),
         F.max(F.when(covers("_hi"), F.col("val"))).alias("_vhi"),
     )
@@ -207,58 +243,112 @@ def pairwise_median_similarity(df: DataFrame, pool: Sequence[str], key: str, vec
     return named.select(*names, out)
 
 
+def vantage_rows(rows: DataFrame, n: int) -> np.ndarray:
+    """``n`` vectors far from each other: from 16 n rows drawn by hash, each next one is the farthest from those taken."""
+    drawn = rows.orderBy(hash_u60("vantage", "_k"), "_k").limit(16 * n).collect()
+    if not drawn:
+        return np.zeros((0, 0))
+    m, taken = _mat([r["_v"] for r in drawn]), [0]
+    far = np.linalg.norm(m - m[0], axis=1)
+    while len(taken) < min(n, len(m)) and far.max() > 0:
+        taken.append(int(far.argmax()))
+        far = np.minimum(far, np.linalg.norm(m - m[taken[-1]], axis=1))
+    return m[taken]
+
+
 def band_match(left: DataFrame, right: DataFrame, key: str, vec: str, target: float, width: float,
-               metric: str = "euclidean", block_size: int = DEFAULT_BLOCK) -> DataFrame:
+               metric: str = "euclidean", block_size: int = DEFAULT_BLOCK, pivots: int = 4, stats: dict | None = None) -> DataFrame:
     """For each left row, the first right row (smallest key) with ``|d - target| < width``.
 
-    The right side is numbered in key order and cut into blocks of consecutive keys. Left rows are matched
-    against the first blocks, the matched ones are taken out, and the rest goes on to the next, twice as many, blocks,
-    until no left row or no right block is left: most rows meet few blocks, and only rows without any
-    match meet all. A block pair reports one candidate per left row. Rows without a match are absent.
-    Keys may be of any ordered type; an empty side gives no rows.
+    Every row carries its distances to a few vantage rows (``pivots``); the triangle inequality says which rows can be
+    that far apart: their distances to a vantage row differ by less than the band's upper end and add up to more than its lower
+    end. Rows are partitioned into cells of the first two vantage distances, cells are cut into blocks, and a block meets
+    the blocks of the cells its band can reach, if the intervals of all vantage distances allow it; inside a block pair the rows
+    are held against the other block's intervals before the rest is multiplied. (Under cosine, unit vectors and the Euclidean
+    distance sqrt(2 d) are used.)
+
+    The right side comes in key order, first a few blocks' worth, then twice as much each round: matched rows leave, so most rows meet little, and a
+    row without any match meets what its band can reach. Rows without a match are absent. Keys may be of any
+    ordered type; an empty side gives no rows; NULL vectors, and zero ones under cosine, match nothing. ``stats`` gets
+    ``pairs``, the distances computed, and ``all``, the number of pairs.
     """
-    ship_package(left.sparkSession)
+    spark = left.sparkSession
+    ship_package(spark)
     kt = left.schema[key].dataType.simpleString()
     cosine = metric == "cosine"
-    if cosine:
-        left, right = left.where(has_direction(vec)), right.where(has_direction(vec))
-    rows = dense_index(right.select(F.col(key).alias("_k"), as_double(vec).alias("_v")), ["_k"], out="_i")
-    packed = rows.groupBy(F.floor(F.col("_i") / block_size).alias("b2")).agg(F.array_sort(F.collect_list(F.struct("_i", "_k", "_v"))).alias("_s"))
-    blocks = materialize(packed.select("b2", F.transform("_s", lambda e: e["_k"]).alias("keys2"), F.transform("_s", lambda e: e["_v"]).alias("vecs2")))
-    last = blocks.agg(F.max("b2")).first()[0]
-    n_right = 0 if last is None else int(last) + 1
+    near, far = (float(np.sqrt(2 * max(0.0, x))) if cosine else float(x) for x in (target - width, target + width))
+    near, far = near - 1e-7, far + 1e-7
+    none = spark.createDataFrame([], f"key_a {kt}, key_b {kt}, distance double")
+
+    def rows_of(df):
+        df = df.where(has_direction(vec)) if cosine else df.where(F.col(vec).isNotNull())
+        return df.select(F.col(key).alias("_k"), (unit(vec) if cosine else as_double(vec)).alias("_v"))
+
+    points = vantage_rows(rows_of(right), pivots)
+    if not len(points) or far <= 0:
+        return none
+    cell = far / 4
+    reach = 5  # cells that distances less than `far` apart can be in
+
+    def placed(rows):
+        d = F.array(*[euclidean_distance(F.col("_v"), _numbers(p)) for p in points])
+        rows = rows.withColumn("_d", d)
+        second = F.floor(F.col("_d")[1] / cell) if len(points) > 1 else F.lit(0).cast("long")
+        return rows.withColumn("_c", F.floor(F.col("_d")[0] / cell)).withColumn("_c2", second)
+
+    def packed(rows, side):
+        """Blocks of a side with the intervals of their vantage distances; keys ascend in a block."""
+        ends = [F.array(*[f(F.col("_d")[i]) for i in range(len(points))]) for f in (F.min, F.max)]
+        cut = split_cells(rows, ["_c", "_c2"], "_k", block_size)
+        made = cut.groupBy("_c", "_c2", "_sub").agg(F.array_sort(F.collect_list(F.struct("_i", "_k", "_v", "_d"))).alias("_s"), ends[0].alias(f"lo{side}"), ends[1].alias(f"hi{side}"))
+        lists = [F.col("_s")[c].alias(f"{n}{side}") for c, n in (("_k", "keys"), ("_v", "vecs"), ("_d", "dist"))]
+        return stored(made.select(F.col("_c").alias(f"cell{side}"), F.xxhash64("_c", "_c2", "_sub").alias(f"id{side}"), f"lo{side}", f"hi{side}", *lists))
 
     def fn(it):
         for pdf in it:
             outs = []
             for _, row in pdf.iterrows():
-                a, b = _mat(row["vecs1"]), _mat(row["vecs2"])
+                a, b, da, db = _mat(row["vecs1"]), _mat(row["vecs2"]), _mat(row["dist1"]), _mat(row["dist2"])
+                can = [((d > row[f"lo{o}"] - far) & (d < row[f"hi{o}"] + far) & (d + row[f"hi{o}"] > near)).all(axis=1) for d, o in ((da, 2), (db, 1))]
+                a, b, ka, kb = a[can[0]], b[can[1]], np.asarray(row["keys1"])[can[0]], np.asarray(row["keys2"])[can[1]]
+                outs.append(pd.DataFrame({"key_a": [None], "key_b": [None], "pairs": [len(a) * len(b)]}))
+                if not len(a) or not len(b):
+                    continue
                 if cosine:
-                    d = 1.0 - (a @ b.T) / np.outer(np.linalg.norm(a, axis=1), np.linalg.norm(b, axis=1))
+                    d = 1.0 - a @ b.T
                 else:
                     d = np.sqrt(np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * (a @ b.T), 0.0))
                 ok = np.abs(d - target) < width
                 hit = ok.any(axis=1)
                 if hit.any():  # keys ascend inside a block
-                    outs.append(pd.DataFrame({"key_a": np.asarray(row["keys1"])[hit], "key_b": np.asarray(row["keys2"])[ok[hit].argmax(axis=1)]}))
+                    outs.append(pd.DataFrame({"key_a": ka[hit], "key_b": kb[ok[hit].argmax(axis=1)], "pairs": 0}))
             if outs:
-                yield pd.concat(outs, ignore_index=True)
-
-    spark, todo, best, at, step = left.sparkSession, left, None, 0, 1
-    while at < n_right:
-        lb = vector_blocks(todo, [], key, vec, block_size)
-        span = min(step, n_right - at)
-        meet = lb.select(F.col("keys").alias("keys1"), F.col("vecs").alias("vecs1"), F.explode(F.sequence(F.lit(at).cast("long"), F.lit(at + span - 1).cast("long"))).alias("b2"))
-        found = meet.join(blocks, "b2").mapInPandas(fn, f"key_a {kt}, key_b {kt}").groupBy("key_a").agg(F.min("key_b").alias("key_b"))
-        found = stored(found)
+                yield pd.concat(outs, ignore_index=True).astype({"key_a": object, "key_b": object})
+
+    rights = materialize(placed(dense_index(rows_of(right), ["_k"], out="_i")))
+    last = rights.agg(F.max("_i")).first()[0]
+    todo, best, at, step = placed(rows_of(left)).withColumn("_i", F.lit(0).cast("long")), None, 0, 2 * block_size
+    if stats is not None:
+        stats["pairs"], stats["all"] = 0, todo.count() * (last + 1)
+    while at <= last:
+        lefts, some = packed(todo, 1), packed(rights.where((F.col("_i") >= at) & (F.col("_i") < at + step)), 2)
+        meta = lefts.select("id1", "lo1", "hi1", F.explode(F.sequence(F.col("cell1") - reach, F.col("cell1") + reach)).alias("cell2"))
+        pairs = meta.join(some.select("id2", "cell2", "lo2", "hi2"), "cell2")
+        open_ = F.lit(True)
+        for i in range(len(points)):
+            (lo1, hi1), (lo2, hi2) = ((F.col(f"lo{x}")[i], F.col(f"hi{x}")[i]) for x in (1, 2))
+            open_ = open_ & (lo2 - hi1 < far) & (lo1 - hi2 < far) & (hi1 + hi2 > near)
+        meet = pairs.where(open_).select("id1", "id2").join(lefts.drop("cell1"), "id1").join(some.drop("cell2"), "id2")
+        made = stored(meet.mapInPandas(fn, f"key_a {kt}, key_b {kt}, pairs long"))
+        if stats is not None:
+            stats["pairs"] += made.agg(F.sum("pairs")).first()[0] or 0
+        found = made.where(F.col("key_a").isNotNull()).groupBy("key_a").agg(F.min("key_b").alias("key_b"))
         best = found if best is None else best.unionByName(found)
-        at, step = at + span, step * 2
-        if at < n_right:
-            todo = stored(todo.join(found.select(F.col("key_a").alias(key)), key, "left_anti"))
+        at, step = at + step, step * 2
+        if at <= last:
+            todo = stored(todo.join(found.select(F.col("key_a").alias("_k")), "_k", "left_anti"))
             if todo.isEmpty():
                 break
-    if best is None:
-        best = spark.createDataFrame([], f"key_a {kt}, key_b {kt}")
     # the winning distance on the JVM from the original vectors
     lv = left.select(F.col(key).alias("key_a"), as_double(vec).alias("_va"))
     rv = right.select(F.col(key).alias("key_b"), as_double(vec).alias("_vb"))

@@ -104,20 +104,20 @@ def parse_updates(long: DataFrame, var: str = "variable", val: str = "value", ke
     return rows.withColumn("update_type", kind).withColumn(key, F.element_at(F.split(v, "_"), -1).try_cast("long"))
 
 
-def pivot_updates(parsed: DataFrame, key: str, types: Sequence[str], kind: str = "update_type",
+def pivot_updates(parsed: DataFrame, key: str | Sequence[str], types: Sequence[str], kind: str = "update_type",
                   val: str = "value", check_unique: bool = True) -> DataFrame:
-    """One row per key, one column per update type (the known list avoids a discovery pass).
+    """One row per key (one or several columns), one column per update type (the known list avoids a discovery pass).
 
     A type outside the list fails the query, and with ``check_unique`` so does a (key, type) that
     repeats, as ``pandas.pivot`` would.
     """
     from shiftkit.operators.scores import pivot_listed
 
-    one = F.max(val)
+    one, keys = F.max(val), [key] if isinstance(key, str) else list(key)
     if check_unique:
-        name = F.concat_ws(" ", F.lit(f"duplicate {key}, {kind}:"), F.first(F.col(key).cast("string")), F.first(kind))
+        name = F.concat_ws(" ", F.lit(f"duplicate {', '.join(keys)}, {kind}:"), *[F.first(F.col(k).cast("string")) for k in keys], F.first(kind))
         one = F.when(F.count(F.lit(1)) > 1, F.raise_error(name).cast("string")).otherwise(one)
-    return pivot_listed(parsed, [key], kind, types, one)
+    return pivot_listed(parsed, keys, kind, types, one)
 
 
 def split_model_prefix(df: DataFrame, name: str, models: Sequence[str], model_out: str = "update_model",

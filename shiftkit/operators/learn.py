@@ -51,8 +51,13 @@ def make_classifier(method: str, n_features: int, label: str = "label"):
 
 def featurize(df: DataFrame, text: str, label: str, split: str, vocab_size: int):
     """Bag-of-words vectors of all rows, fitted on the train rows only, and the vocabulary's size. The vectors are
-    persisted, so every classifier iteration reads them instead of the texts; the caller unpersists them."""
+    persisted, so every classifier iteration reads them instead of the texts; the caller unpersists them.
+
+    Rows are spread over the session's cores first: a fit goes over them a hundred times, and a table may be one file.
+    """
+    parts = df.sparkSession.sparkContext.defaultParallelism
     data = df.select(text, F.col(label).cast("double").alias("label"), split).fillna({text: ""})
+    data = data.repartition(max(parts, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     train = data.where(F.col(split) == "train")
     feats = Pipeline(stages=bag_of_words(text, vocab_size)).fit(train)
     n = len(feats.stages[-1].vocabulary)
@@ -77,49 +82,73 @@ def _in_parallel(fn, items):
         return list(pool.map(fn, items))
 
 
+def confusion_counts():
+    """The four aggregates of 0/1 columns ``label`` and ``prediction``."""
+    t, p = F.col("label") == 1, F.col("prediction") == 1
+    return [F.count_if(t & p).alias("tp"), F.count_if(~t & p).alias("fp"), F.count_if(t & ~p).alias("fn"), F.count_if(~t & ~p).alias("tn")]
+
+
 def classifier_accuracy(df: DataFrame, text: str, label: str, split: str, methods: Sequence[str],
                         vocab_size: int = 5000) -> DataFrame:
-    """Train each named classifier on the train split and report, on the test split: accuracy, rows, rows of label 1, and
+    """Train each named classifier on the train split and report, on the test split: accuracy, the four confusion counts, and
     whether it beats always naming the larger class."""
     vec, n = featurize(df, text, label, split, vocab_size)
 
     def one(m):
         hit = F.avg((F.col("label") == F.col("prediction")).cast("double"))
         share = F.avg("label")
-        row = _scored(vec, n, split, m).agg(
-            hit.alias("accuracy"), F.count(F.lit(1)).alias("n"), F.sum("label").cast("long").alias("n_positive"),
-            (hit > F.greatest(share, 1 - share)).alias("beats_majority")).first()
+        row = _scored(vec, n, split, m).agg(hit.alias("accuracy"), *confusion_counts(), (hit > F.greatest(share, 1 - share)).alias("beats_majority")).first()
         return (m, *row)
 
     try:
         rows = _in_parallel(one, methods)
     finally:
         vec.unpersist()
-    return df.sparkSession.createDataFrame(
-        rows, "method string, accuracy double, n long, n_positive long, beats_majority boolean")
+    return df.sparkSession.createDataFrame(rows, "method string, accuracy double, tp long, fp long, fn long, tn long, beats_majority boolean")
 
 
-def variant_auroc(df: DataFrame, variants: Sequence[str], label: str, split: str, method: str = "gbt",
-                  vocab_size: int = 5000) -> DataFrame:
-    """For each text variant: fit bag-of-words + classifier; AUROC of the hard test predictions (the
-    reference's measure) and of the classifier scores, with the test rows of each class. A test split with
-    one class has no AUROC (NULL)."""
-    from shiftkit.operators.metrics import auroc_hard
+def variant_scores(df: DataFrame, variants: Sequence[str], label: str, split: str, method: str = "gbt", vocab_size: int = 5000) -> DataFrame:
+    """For each text variant: bag-of-words + classifier fitted to the train rows; the test rows with their hard prediction and
+    score: (variant, label, prediction, score)."""
+    from pyspark.ml.functions import vector_to_array
 
-    from pyspark.ml.evaluation import BinaryClassificationEvaluator
+    from shiftkit.session import stored
 
     def one(v):
         vec, n = featurize(df, v, label, split, vocab_size)
-        scored = _scored(vec, n, split, method).select("label", "prediction", "rawPrediction").persist()
         try:
-            pred = scored.select(F.col("label").cast("int").alias("t"), F.col("prediction").cast("int").alias("p"))
-            r = auroc_hard(pred, "t", "p").first()
-            pos, neg = r["tp"] + r["fn"], r["tn"] + r["fp"]
-            score = float(BinaryClassificationEvaluator(labelCol="label").evaluate(scored)) if pos and neg else None
-            return (v, r["auroc"], score, pos, neg)
+            return stored(_scored(vec, n, split, method).select(
+                F.lit(v).alias("variant"), F.col("label").cast("int").alias("label"), F.col("prediction").cast("int").alias("prediction"),
+                vector_to_array("rawPrediction")[1].alias("score")))
         finally:
-            scored.unpersist()
             vec.unpersist()
 
-    rows = _in_parallel(one, variants)
-    return df.sparkSession.createDataFrame(rows, "variant string, auroc double, auroc_score double, n_positive long, n_negative long")
+    out = None
+    for scored in _in_parallel(one, variants):
+        out = scored if out is None else out.union(scored)
+    return out
+
+
+def variant_auroc(df: DataFrame, variants: Sequence[str], label: str, split: str, method: str = "gbt",
+                  vocab_size: int = 5000) -> DataFrame:
+    """AUROC of each text variant's test rows (:func:`variant_scores`): of the hard predictions (the reference's measure), and of the
+    scores by rank sums and as the area under their ROC points, with the confusion counts.
+
+    (variant, tp, fp, fn, tn, auroc, auroc_score, auroc_area). A test split with one class has no AUROC (NULL).
+    """
+    from pyspark.sql import Window
+
+    from shiftkit.operators.roc import auroc_score, roc_points
+
+    scored = variant_scores(df, variants, label, split, method, vocab_size)
+    counts = scored.groupBy("variant").agg(*confusion_counts())
+    ranks = auroc_score(scored, "label", "score", ["variant"]).select("variant", F.col("auroc").alias("auroc_score"))
+    # the trapezoids between neighbouring thresholds; the curve begins at (0, 0)
+    w = Window.partitionBy("variant").orderBy(F.desc("threshold"))
+    step = roc_points(scored, "label", "score", ["variant"]).select(
+        "variant", "tpr", "fpr", F.lag("tpr", 1, 0.0).over(w).alias("_t"), F.lag("fpr", 1, 0.0).over(w).alias("_f"))
+    area = step.groupBy("variant").agg(F.sum((F.col("fpr") - F.col("_f")) * (F.col("tpr") + F.col("_t")) / 2).alias("auroc_area"))
+    hard = (F.try_divide(F.col("tp"), F.col("tp") + F.col("fn")) + F.try_divide(F.col("tn"), F.col("tn") + F.col("fp"))) / 2
+    every = df.sparkSession.createDataFrame([(v,) for v in variants], "variant string")
+    joined = every.join(counts, "variant", "left").fillna(0, ["tp", "fp", "fn", "tn"]).join(ranks, "variant", "left").join(area, "variant", "left")
+    return joined.select("variant", "tp", "fp", "fn", "tn", hard.alias("auroc"), "auroc_score", "auroc_area")

@@ -7,7 +7,9 @@ from typing import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shiftkit.operators.positional import dense_index
 from shiftkit.operators.quantiles import group_quantiles
+from shiftkit.operators.vectors import null_safe
 
 
 def value_counts(df: DataFrame, col, out: str = "n") -> DataFrame:
@@ -28,7 +30,7 @@ def null_profile(df: DataFrame) -> DataFrame:
 
 
 def describe(df: DataFrame, value: str, by: Sequence[str] = (), method: str = "exact") -> DataFrame:
-    """count, mean, sample std, min, exact quartiles, max per group."""
+    """count, mean, sample std, min, exact quartiles, max per group; NULL is a group like any other."""
     by = list(by)
     x = F.col(value)
     base = df.groupBy(*by).agg(
@@ -37,7 +39,7 @@ def describe(df: DataFrame, value: str, by: Sequence[str] = (), method: str = "e
     )
     q = group_quantiles(df, value, by, [0.25, 0.5, 0.75], ["q25", "q50", "q75"], method=method)
     if by:
-        return base.join(q, by)
+        return null_safe(base, q, by)
     # one global row: attach the quartiles as scalar subqueries
     return base.select("*", *[q.select(c).scalar().alias(c) for c in ("q25", "q50", "q75")])
 
@@ -45,16 +47,14 @@ def describe(df: DataFrame, value: str, by: Sequence[str] = (), method: str = "e
 def confusion_matrix(df: DataFrame, truth: str, pred: str) -> DataFrame:
     """Cells (true_label, pred_label, n) over the sorted union of labels, zero cells included.
 
-    The label set is tiny (classes), so the grid is two explodes of one collected array row, not a
-    join; counts come from one grouping.
+    Labels are numbered, each makes its row of cells from the numbers, and the numbers are joined back to
+    labels: no task holds the label set, however many labels there are. Counts come from one grouping.
     """
-    labels = (
-        df.select(F.col(truth).alias("l")).union(df.select(F.col(pred).alias("l"))).where(F.col("l").isNotNull())
-        .agg(F.array_sort(F.collect_set("l")).alias("ls"))
-    )
-    grid = labels.select(F.explode("ls").alias("true_label"), "ls").select(
-        "true_label", F.explode("ls").alias("pred_label")
-    )
+    labels = df.select(F.col(truth).alias("l")).union(df.select(F.col(pred).alias("l"))).where(F.col("l").isNotNull()).distinct()
+    numbered = dense_index(labels, ["l"], out="i")
+    last = numbered.agg(F.max("i")).scalar()
+    cells = numbered.select(F.col("l").alias("true_label"), F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("i"))
+    grid = cells.join(numbered.select("i", F.col("l").alias("pred_label")), "i")
     counts = df.groupBy(F.col(truth).alias("true_label"), F.col(pred).alias("pred_label")).agg(
         F.count(F.lit(1)).alias("n")
     )

@@ -11,7 +11,7 @@ any recomputation after a lost executor sees the same rows in the same partition
 
 from __future__ import annotations
 
-from typing import Sequence
+from typing import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,7 +21,13 @@ from shiftkit.session import materialize
 
 def running_total(df: DataFrame, order: Sequence[str], by: Sequence[str], amount: Column, out: str,
                   num_partitions: int | None = None) -> DataFrame:
-    """``df`` with the sum of ``amount`` (whole numbers) over the rows before each one in its group.
+    """``df`` with the sum of ``amount`` (whole numbers) over the rows before each one in its group; see :func:`running_totals`."""
+    return running_totals(df, order, by, {out: amount}, num_partitions)
+
+
+def running_totals(df: DataFrame, order: Sequence[str], by: Sequence[str], amounts: Mapping[str, Column],
+                   num_partitions: int | None = None) -> DataFrame:
+    """``df`` with, for each named amount (whole numbers), its sum over the rows before each one in its group.
 
     Rows equal in all order columns follow each other in an order given by a hash of the whole row,
     which also spreads a value that many rows share over the partitions. NULLs in group or order
@@ -30,23 +36,31 @@ def running_total(df: DataFrame, order: Sequence[str], by: Sequence[str], amount
     by, order = list(by), list(order)
     n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     tie = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
-    rows = df.withColumn("_tie", tie).withColumn("_amount", amount)
+    names = list(amounts)
+    rows = df.withColumn("_tie", tie)
+    for i, name in enumerate(names):
+        rows = rows.withColumn(f"_amount{i}", amounts[name])
     keys = [F.col(f"`{c}`") for c in [*by, *(c for c in order if c not in by)]] + [F.col("_tie")]
     tagged = materialize(rows.repartitionByRange(n, *keys).withColumn("_pid", F.spark_partition_id()))
     groups = [F.col(f"`{c}`") for c in by]
     inside = Window.partitionBy("_pid", *groups).orderBy(*keys).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    local = tagged.withColumn("_local", F.sum("_amount").over(inside) - F.col("_amount"))
-    parts = tagged.groupBy("_pid", *groups).agg(F.sum("_amount").alias("_part"))
+    local = tagged
+    for i in range(len(names)):
+        local = local.withColumn(f"_local{i}", F.sum(f"_amount{i}").over(inside) - F.col(f"_amount{i}"))
+    parts = tagged.groupBy("_pid", *groups).agg(*[F.sum(f"_amount{i}").alias(f"_part{i}") for i in range(len(names))])
     earlier = Window.partitionBy(*groups).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    crossing = parts.withColumn("_before", F.sum("_part").over(earlier)).where(F.col("_before").isNotNull()).select(
-        F.col("_pid").alias("_opid"), *[F.col(f"`{c}`").alias(f"_o{i}") for i, c in enumerate(by)], "_before")
+    for i in range(len(names)):
+        parts = parts.withColumn(f"_before{i}", F.sum(f"_part{i}").over(earlier))
+    befores = [f"_before{i}" for i in range(len(names))]
+    crossing = parts.where(F.col("_before0").isNotNull()).select(
+        F.col("_pid").alias("_opid"), *[F.col(f"`{c}`").alias(f"_o{i}") for i, c in enumerate(by)], *befores)
     cond = F.col("_pid") == F.col("_opid")
     for i, c in enumerate(by):
         cond = cond & F.col(f"`{c}`").eqNullSafe(F.col(f"_o{i}"))
     # at most one crossing group a partition: bounded by the number of partitions
-    total = local.join(F.broadcast(crossing), cond, "left").withColumn(
-        out, (F.col("_local") + F.coalesce("_before", F.lit(0))).cast("long"))
-    return total.select(*[F.col(f"`{c}`") for c in df.columns], out)
+    total = local.join(F.broadcast(crossing), cond, "left")
+    sums = [(F.col(f"_local{i}") + F.coalesce(f"_before{i}", F.lit(0))).cast("long").alias(n) for i, n in enumerate(names)]
+    return total.select(*[F.col(f"`{c}`") for c in df.columns], *sums)
 
 
 def dense_index(df: DataFrame, order: Sequence[str], by: Sequence[str] = (), out: str = "idx",

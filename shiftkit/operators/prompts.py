@@ -90,7 +90,7 @@ def template_fill(templates: DataFrame, rows: DataFrame, row_key: Sequence[str],
     """Fill templates for every row from its other columns, whose names are the parameters.
 
     A row that names its template in ``template_key`` is joined with it; else every row gets every
-    template. Templates are configuration: they reach the rows as one array value, so texts are not
+    template. Templates are configuration and broadcast if they are counted to be few, so texts are not
     shuffled. A NULL or unknown parameter keeps its mark.
     """
     row_key = list(row_key)
@@ -100,8 +100,7 @@ def template_fill(templates: DataFrame, rows: DataFrame, row_key: Sequence[str],
     if template_key in rows.columns:
         both = slim.select(*row_key, template_key, "_vals").join(templates.select(template_key, template_col), template_key)
     else:
-        every = templates.agg(F.collect_list(F.struct(F.col(template_key), F.col(template_col))).alias("l")).scalar()
-        both = slim.select(*row_key, "_vals", F.inline(every))
+        both = with_each(slim.select(*row_key, "_vals"), templates.select(template_key, template_col), template_key)
     return both.select(*row_key, template_key, fill_expr(F.col(template_col), F.col("_vals")).alias("filled"))
 
 
@@ -117,17 +116,70 @@ def prompt_id(kind, name, agent, model) -> Column:
     return F.sha2(F.concat_ws("|", c(kind), c(name).cast("string"), c(agent), c(model)), 256)
 
 
-def build_prompts(texts: DataFrame, name: str, text: str, kinds: Sequence[str], personas: Sequence[str],
-                  models: Sequence[str], post: str | None = None, templates: dict | None = None,
+#: A configuration table of at most this many rows is broadcast; a larger one is joined by a shuffle.
+CONFIG_ROWS = 10_000
+
+
+def config_join(rows: DataFrame, config: DataFrame, on) -> DataFrame:
+    """Join with a configuration table, broadcast if it is counted to be small."""
+    return rows.join(F.broadcast(config) if config.limit(CONFIG_ROWS + 1).count() <= CONFIG_ROWS else config, on)
+
+
+def with_each(rows: DataFrame, config: DataFrame, order: str) -> DataFrame:
+    """Every row with every row of a configuration table: rows are repeated by number, and the numbers joined."""
+    numbered = dense_index(config, [order], out="_no")
+    n = config.count()
+    if not n:
+        return config_join(rows.limit(0).withColumn("_no", F.lit(0).cast("long")), numbered, "_no").drop("_no")
+    return config_join(rows.withColumn("_no", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))), numbered, "_no").drop("_no")
+
+
+def prompts_from_tables(texts: DataFrame, name: str, text: str, kinds, personas, models, post: str | None = None,
+                        history: DataFrame | None = None) -> DataFrame:
+    """:func:`build_prompts` from configuration tables: ``kinds`` (kind, template), ``personas`` (persona) and ``models`` (model).
+
+    Values are distinct rows; a NULL one is left out. A list instead of a table is made one.
+    """
+    spark = texts.sparkSession
+
+    def table(values, schema: str, cols: list[str]) -> DataFrame:
+        df = values if isinstance(values, DataFrame) else spark.createDataFrame(values, schema)
+        return df.select(*cols).dropna().distinct()
+
+    if not isinstance(kinds, DataFrame):
+        kinds = [(k, PROMPT_KINDS[k]) for k in kinds]
+    rows = texts.where(F.col(text).isNotNull()).select(
+        F.col(name).cast("string").alias("text_name"), F.col(text).alias("_text"), (F.coalesce(F.col(post), F.lit("")) if post else F.lit("")).alias("_post"))
+    for values, schema, cols in ((kinds, "kind string, template string", ["kind", "template"]), (personas, "persona string", ["persona"]), (models, "model string", ["model"])):
+        values = values if isinstance(values, DataFrame) or schema[:4] == "kind" else [(v,) for v in values]
+        rows = with_each(rows, table(values, schema, cols), cols[0])
+    marks, more = {"TEXT": F.col("_text"), "PERSONA": F.col("persona"), "POST": F.col("_post")}, []
+    if history is not None:
+        known = history.select(F.col("persona").alias("_of"), "block", F.col("history").alias("_history"))
+        rows = config_join(rows, known, F.col("persona") == F.col("_of"))
+        marks["HISTORY"], more = F.col("_history"), ["block"]
+    values = F.create_map(*[x for k, v in marks.items() for x in (F.lit(k), v)])
+    return rows.select(
+        prompt_id("kind", "text_name", "persona", "model").alias("prompt_id"), "kind", "text_name", F.col("persona").alias("agent"), "model",
+        *more, fill_expr(F.col("template"), values).alias("prompt"))
+
+
+def build_prompts(texts: DataFrame, name: str, text: str, kinds: Sequence[str] | DataFrame, personas: Sequence[str] | DataFrame,
+                  models: Sequence[str] | DataFrame, post: str | None = None, templates: dict | None = None,
                   history: DataFrame | None = None) -> DataFrame:
     """Texts x kinds x personas x models prompt rows.
 
-    The configuration lists are small parameters, so the product is an explode of a literal array on
-    each text row: no join, no shuffle, and work grows linearly with the texts. ``history`` (persona,
+    Configuration lists are small parameters, so their product is an explode of a literal array on
+    each text row: no join, no shuffle, and work grows linearly with the texts. Any of them may be a table
+    instead (:func:`prompts_from_tables`), which gives the same prompts. ``history`` (persona,
     block, history; see ``history_blocks``) puts each persona's earlier decisions into its prompts, one
-    prompt for each block; it comes from a training sample of a chosen size, so it is broadcast.
+    prompt for each block; it is broadcast if it is counted to be small.
     A NULL text has no prompt (``unprompted`` lists such rows).
     """
+    if any(isinstance(x, DataFrame) for x in (kinds, personas, models)):
+        if templates and not isinstance(kinds, DataFrame):
+            kinds = texts.sparkSession.createDataFrame([(k, templates[k]) for k in kinds], "kind string, template string")
+        return prompts_from_tables(texts, name, text, kinds, personas, models, post, history)
     templates = templates or PROMPT_KINDS
     grid = F.array(*[
         F.struct(F.lit(k).alias("kind"), F.lit(p).alias("agent"), F.lit(m).alias("model"))
@@ -140,7 +192,7 @@ def build_prompts(texts: DataFrame, name: str, text: str, kinds: Sequence[str],
     more = []
     if history is not None:
         known = history.select(F.col("persona").alias("_of"), "block", F.col("history").alias("_history"))
-        rows = rows.join(F.broadcast(known), F.col("_g.agent") == F.col("_of"))
+        rows = config_join(rows, known, F.col("_g.agent") == F.col("_of"))
         values["HISTORY"], more = F.col("_history"), ["block"]
     prompt = None
     for k in kinds:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from shiftkit.functions.hashing import hash_u60, hash_uniform, poisson1_weight
 from shiftkit.operators.positional import dense_index
+from shiftkit.operators.vectors import null_safe
 
 
 def sample_n(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
@@ -75,7 +76,7 @@ def bootstrap_draws(df: DataFrame, key: str, by: Sequence[str] = (), iters: int
     ``hash(seed:g:b:j) mod n_g``. ``size`` = m draws per iteration (default: the group size). The
     draws are generated from the rows themselves (row j makes draw j, and rows j mod m make the extra
     draws when m > n), so no task builds a whole group. Output: group, ``iter``, ``key`` and
-    ``weight`` (times drawn; rows never drawn are absent).
+    ``weight`` (times drawn; rows never drawn are absent). NULL is a group like any other.
     """
     by = list(by)
     grouped = bool(by)
@@ -84,7 +85,7 @@ def bootstrap_draws(df: DataFrame, key: str, by: Sequence[str] = (), iters: int
         # a constant in the hash only; draws are grouped by iteration and pick
         idx, by = idx.withColumn("_g", F.lit(0)), ["_g"]
     if grouped:
-        base = idx.join(idx.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")), by)
+        base = null_safe(idx, idx.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")), by)
     else:  # one size for everything: a scalar subquery, not a join
         base = idx.withColumn("_n", idx.agg(F.count(F.lit(1))).scalar())
     if size is None:
@@ -105,7 +106,7 @@ def bootstrap_draws(df: DataFrame, key: str, by: Sequence[str] = (), iters: int
         "_pick", F.pmod(hash_u60(seed, *by, "_iter", "_draw"), F.col("_n"))
     )
     counted = draws.groupBy(*by, "_iter", "_pick").agg(F.count(F.lit(1)).alias("weight"))
-    out = counted.join(idx.withColumnRenamed("_j", "_pick"), [*by, "_pick"]).select(
+    out = null_safe(counted, idx.withColumnRenamed("_j", "_pick"), [*by, "_pick"]).select(
         *by, F.col("_iter").alias("iter"), key, F.col("weight").cast("long").alias("weight")
     )
     return out if grouped else out.drop("_g")

@@ -9,6 +9,8 @@ from typing import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shiftkit.operators.vectors import null_safe
+
 
 def pivot_listed(df: DataFrame, rows: Sequence[str], col: str, values: Sequence[str], agg) -> DataFrame:
     """Pivot on a known list of values; a value outside the list is an error and not a lost column."""
@@ -74,7 +76,7 @@ def equal_width_histogram(df: DataFrame, value: str, by: Sequence[str] = (), bin
     numpy's rules are followed exactly: a zero-width range is widened to [v - 0.5, v + 0.5]; the bin is
     ``floor((x - lo) * bins / (hi - lo))`` (the maximum goes to the last bin, where a raw
     ``width_bucket`` would open an extra one), then corrected against the ``linspace`` edges. All bins
-    are emitted from a per-group bin list, then counts join in.
+    are emitted from a per-group bin list, then counts join in. NULL is a group like any other.
     """
     by_out = list(by)
     x = F.col(value)
@@ -97,10 +99,10 @@ def equal_width_histogram(df: DataFrame, value: str, by: Sequence[str] = (), bin
     i0 = F.least(F.floor((x - lo) * (F.lit(float(bins)) / (hi - lo))), F.lit(bins - 1)).cast("int")
     i1 = F.when(x < edge(i0), i0 - 1).otherwise(i0)
     i2 = F.when((x >= edge(i1 + 1)) & (i1 != bins - 1), i1 + 1).otherwise(i1)
-    binned = data.join(rng if by_out else F.broadcast(rng), by).withColumn("bin", i2)
+    binned = (null_safe(data, rng, by) if by_out else data.join(F.broadcast(rng), by)).withColumn("bin", i2)
     counts = binned.groupBy(*by, "bin").agg(F.count(F.lit(1)).alias("n"))
     grid = rng.select(*by, "_lo", "_hi", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
-    return grid.join(counts, [*by, "bin"], "left").select(
+    return null_safe(grid, counts, [*by, "bin"], "left").select(
         *by_out, "bin",
         edge(F.col("bin")).alias("bin_lo"),
         edge(F.col("bin") + 1).alias("bin_hi"),
@@ -109,7 +111,7 @@ def equal_width_histogram(df: DataFrame, value: str, by: Sequence[str] = (), bin
 
 
 def integer_edge_histogram(df: DataFrame, value: str, by: Sequence[str] = (), lo: int = -10, hi: int = 9) -> DataFrame:
-    """Histogram on integer edges lo..hi (hi - lo bins, the last one closed, outside values dropped)."""
+    """Histogram on integer edges lo..hi (hi - lo bins, the last one closed, outside values dropped); NULL is a group."""
     by = list(by)
     x = F.col(value)
     nb = hi - lo
@@ -118,7 +120,7 @@ def integer_edge_histogram(df: DataFrame, value: str, by: Sequence[str] = (), lo
     keys = df.select(*by).distinct() if by else None
     edges = F.explode(F.sequence(F.lit(lo), F.lit(lo + nb - 1))).alias("bin_lo")
     grid = keys.select(*by, edges) if by else df.sparkSession.range(1).select(edges)
-    return grid.join(counts, [*by, "bin_lo"], "left").select(*by, "bin_lo", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+    return null_safe(grid, counts, [*by, "bin_lo"], "left").select(*by, "bin_lo", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
 def score_matrix(scores: DataFrame, rows: Sequence[str], col: str, score: str, values: Sequence[str]) -> DataFrame:

@@ -57,22 +57,91 @@ def vocabulary(df: DataFrame, col: str, size: int = 5000, stop_words=ENGLISH_STO
     return top.withColumn("term_id", (F.row_number().over(w) - 1).cast("int"))
 
 
+#: A vocabulary is a fitted table of a chosen size and travels with the tasks; more terms than this are an error.
+MOST_TERMS = 1_000_000
+
+
+def _fixed_length(seq, max_len: int | None, pad_id: int):
+    """Ids cut and padded to a model's input length; as they are without one."""
+    if max_len is None:
+        return seq
+    cut = F.slice(seq, 1, max_len)
+    return F.concat(cut, F.array_repeat(F.lit(pad_id), F.greatest(F.lit(max_len) - F.size(cut), F.lit(0))))
+
+
 def token_ids(df: DataFrame, key: str, col: str, vocab: DataFrame, max_len: int | None = None, pad_id: int = -1,
               unknown_id: int = -2) -> DataFrame:
-    """Token ids of each whole text; out-of-vocabulary tokens get ``unknown_id``. The vocabulary
-    (bounded by its size) is broadcast.
+    """Token ids of each whole text, a row for each row; out-of-vocabulary tokens get ``unknown_id``, a NULL text has none.
+
+    Texts are tokenised on the JVM and looked up in Arrow batches in the vocabulary, which tasks carry (at most MOST_TERMS terms): one
+    pass, no shuffle. ``max_len`` is a model's input limit: with it ids are truncated and padded to that length.
+    """
+    from shiftkit.session import ship_package
 
-    ``max_len`` is a model's input limit: with it ids are truncated and padded to that length.
+    ship_package(df.sparkSession)
+    known = vocab.select("term", "term_id").limit(MOST_TERMS + 1).collect()
+    if len(known) > MOST_TERMS:
+        raise ValueError(f"a vocabulary of more than {MOST_TERMS} terms")
+    terms, numbers = [r["term"] for r in known], [r["term_id"] for r in known]
+    kt = df.schema[key].dataType.simpleString()
+
+    def look_up(batches):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        names, ids = pa.array(terms, pa.string()), pa.array([*numbers, unknown_id], pa.int32())
+        for batch in batches:
+            words = batch.column("w")
+            found = pc.fill_null(pc.index_in(words.flatten(), value_set=names), len(terms))
+            start = words.offsets.to_numpy() - words.offsets[0].as_py()
+            yield pa.RecordBatch.from_arrays([batch.column("k"), pa.ListArray.from_arrays(pa.array(start, pa.int32()), ids.take(found))], names=["k", "ids"])
+
+    words = F.coalesce(word_tokens(col), F.array().cast("array<string>"))
+    found = df.select(F.col(key).alias("k"), words.alias("w")).mapInArrow(look_up, f"k {kt}, ids array<int>")
+    return found.select(F.col("k").alias(key), _fixed_length(F.col("ids"), max_len, pad_id).alias("input_ids"))
+
+
+def subword_ids(df: DataFrame, key: str, col: str, tokenizer: bytes, max_len: int | None = None, pad_id: int = 0) -> DataFrame:
+    """Subword ids of each whole text by a model's tokenizer file (the JSON of the ``tokenizers`` library, given as bytes), without
+    special tokens: (key, input_ids, n_tokens).
+
+    ``max_len`` truncates and pads the ids to a model's input length, ``n_tokens`` is the number before that. Strings of special
+    tokens inside a text are plain text; a NULL text has no ids. A row for each row, in one pass of Arrow batches.
     """
-    toks = df.select(key, F.posexplode_outer(word_tokens(col)).alias("pos", "term"))
-    ids = toks.join(F.broadcast(vocab.select("term", "term_id")), "term", "left")
-    known = F.when(F.col("pos").isNotNull(), F.struct("pos", F.coalesce("term_id", F.lit(unknown_id)).alias("id")))
-    g = ids.groupBy(key).agg(F.array_sort(F.collect_list(known)).alias("_s"))
-    seq = F.transform("_s", lambda s: s["id"])
-    if max_len is not None:
-        cut = F.slice(seq, 1, max_len)
-        seq = F.concat(cut, F.array_repeat(F.lit(pad_id), F.greatest(F.lit(max_len) - F.size(cut), F.lit(0))))
-    return g.select(key, seq.alias("input_ids"))
+    return _subwords(df, key, col, tokenizer, "array<int>", False).select(
+        key, _fixed_length(F.col("out"), max_len, pad_id).alias("input_ids"), F.size("out").cast("long").alias("n_tokens"))
+
+
+def subword_texts(ids: DataFrame, key: str, col: str, tokenizer: bytes) -> DataFrame:
+    """The texts of subword ids: (key, text)."""
+    return _subwords(ids, key, col, tokenizer, "string", True).withColumnRenamed("out", "text")
+
+
+def _subwords(df: DataFrame, key: str, col: str, tokenizer: bytes, to: str, back: bool) -> DataFrame:
+    from shiftkit.session import ship_package
+
+    ship_package(df.sparkSession)
+    kt = df.schema[key].dataType.simpleString()
+
+    def run(batches):
+        import os
+
+        import pyarrow as pa
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        made = Tokenizer.from_str(tokenizer.decode("utf-8"))
+        made.encode_special_tokens = True
+        for batch in batches:
+            rows = batch.column("x").to_pylist()
+            if back:
+                out = pa.array(made.decode_batch([r or [] for r in rows], skip_special_tokens=False), pa.string())
+            else:
+                out = pa.array([e.ids for e in made.encode_batch_fast([r or "" for r in rows], add_special_tokens=False)], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column("k"), out], names=["k", "out"])
+
+    return df.select(F.col(key).alias("k"), F.col(col).alias("x")).mapInArrow(run, f"k {kt}, out {to}").select(F.col("k").alias(key), "out")
 
 
 def token_diff(pairs: DataFrame, keys: Sequence[str], before: str, after: str) -> DataFrame:
@@ -99,33 +168,98 @@ def token_diff(pairs: DataFrame, keys: Sequence[str], before: str, after: str) -
     )
 
 
-def ordered_diff(df: DataFrame, before: str, after: str, out: str = "edits") -> DataFrame:
-    """The word-by-word edit script of each pair, in order: ``array<struct<op, token>>`` with op ``=``, ``-`` or ``+``.
-
-    A moved sentence is a removal and an addition here, unlike in ``token_diff``. Each row is a text pair of its own,
-    compared inside its task.
+def _longest_run(it):
+    """Of the candidate anchors of each pair and segment (sorted by place in the old text) the longest run whose places in the new
+    text ascend too."""
+    from bisect import bisect_left
+
+    keep, here, tops, last, back = [], None, [], [], []
+
+    def run():
+        out, k = [], last[-1] if last else None
+        while k is not None:
+            out.append(rows[k])
+            k = back[k]
+        return out[::-1]
+
+    rows: list[tuple] = []
+    for pdf in it:
+        for p, seg, i, j in zip(pdf["_p"], pdf["_seg"], pdf["i"], pdf["j"]):
+            if (p, seg) != here:
+                keep += run()
+                here, rows, tops, last, back = (p, seg), [], [], [], []
+            at = bisect_left(tops, j)
+            rows.append((p, i, j))
+            back.append(last[at - 1] if at else None)
+            if at == len(tops):
+                tops.append(j)
+                last.append(len(rows) - 1)
+            else:
+                tops[at], last[at] = j, len(rows) - 1
+        yield pd.DataFrame(keep, columns=["_p", "i", "j"])
+        keep = []
+    yield pd.DataFrame(run(), columns=["_p", "i", "j"])
+
+
+def ordered_diff(pairs: DataFrame, keys: Sequence[str], before: str, after: str) -> DataFrame:
+    """The word-by-word edit script of each pair of texts: (keys..., step, op, token, pos_before, pos_after), op ``=``, ``-`` or ``+``.
+
+    Anchors cut both texts into segments, and only gaps between anchors are compared further. In a round the words that stand
+    equally often on both sides of a segment are joined by word, the first with the first and so on, and the longest run of
+    them that ascends on both sides become anchors. Rounds go on until one finds nothing. What is left in a gap is removed or added, removals
+    first. All rounds are groupings of the words of all pairs; the runs are found in sorted streams, in n log n of a segment's candidates.
+
+    ``step`` numbers a pair's rows from 0; kept and removed words in its order are the old text's, kept and added ones the new one's.
+    A moved sentence is a removal and an addition, unlike in ``token_diff``. A NULL text has no words, NULL keys are keys; a pair
+    without words has no rows, and a key that repeats is an error.
     """
-    from shiftkit.session import ship_package
-
-    ship_package(df.sparkSession)
-
-    @F.pandas_udf("array<struct<op: string, token: string>>")
-    def script(old: pd.Series, new: pd.Series) -> pd.Series:
-        from difflib import SequenceMatcher
+    from shiftkit.session import ship_package, stored
 
-        def one(a, b):
-            a, b = (a or "").split(), (b or "").split()
-            edits = []
-            for op, i, j, k, m in SequenceMatcher(None, a, b, autojunk=False).get_opcodes():
-                if op == "equal":
-                    edits += [{"op": "=", "token": t} for t in a[i:j]]
-                else:
-                    edits += [{"op": "-", "token": t} for t in a[i:j]] + [{"op": "+", "token": t} for t in b[k:m]]
-            return edits
-
-        return pd.Series([one(a, b) for a, b in zip(old, new)])
-
-    return df.withColumn(out, script(F.col(before), F.col(after)))
+    ship_package(pairs.sparkSession)
+    keys = list(keys)
+    name = F.to_json(F.struct(*keys), {"ignoreNullFields": "false"})
+    named = pairs.withColumn("_p", name)
+    twice = named.groupBy("_p").count().where("count > 1").select("_p").first()
+    if twice:
+        raise ValueError(f"a pair's key repeats: {twice[0]}")
+
+    def words(col, side):
+        return named.select("_p", F.lit(side).alias("side"), F.posexplode(whitespace_tokens(F.coalesce(F.col(col), F.lit("")))).alias("pos", "token"))
+
+    tokens = stored(words(before, 0).union(words(after, 1)))
+    anchors = pairs.sparkSession.createDataFrame([], "_p string, i int, j int")
+
+    def segmented(anchors):
+        """Words with the number of anchors up to them; an anchor carries both its places."""
+        known = anchors.select("_p", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("i").alias("pos")), F.struct(F.lit(1).alias("side"), F.col("j").alias("pos")))).alias("x"), "i", "j")
+        known = known.select("_p", "x.side", "x.pos", "i", "j")
+        w = Window.partitionBy("_p", "side").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return tokens.join(known, ["_p", "side", "pos"], "left").withColumn("_seg", F.count("i").over(w))
+
+    def places(side):
+        return F.sort_array(F.collect_list(F.when(F.col("side") == side, F.col("pos"))))
+
+    while True:
+        free = segmented(anchors).where("i is null")
+        both = free.groupBy("_p", "_seg", "token").agg(places(0).alias("i"), places(1).alias("j")).where((F.size("i") > 0) & (F.size("i") == F.size("j")))
+        met = both.select("_p", "_seg", F.explode(F.arrays_zip("i", "j")).alias("x")).select("_p", "_seg", "x.i", "x.j")
+        met = met.repartition("_p", "_seg").sortWithinPartitions("_p", "_seg", "i")
+        more = stored(met.mapInPandas(_longest_run, "_p string, i int, j int"))
+        if more.isEmpty():
+            break
+        anchors = stored(anchors.union(more))
+    done = segmented(anchors)
+    # a kept word is listed once, after what was removed and added before it
+    rows = done.where("i is null or side = 0")
+    op = F.when(F.col("i").isNotNull(), "=").when(F.col("side") == 0, "-").otherwise("+")
+    rank = F.when(F.col("i").isNotNull(), 2).otherwise(F.col("side"))
+    gap = F.col("_seg") - F.when(F.col("i").isNotNull(), 1).otherwise(0)
+    order = Window.partitionBy("_p").orderBy("_gap", "_rank", "pos")
+    script = rows.select(
+        "_p", "pos", op.alias("op"), "token", gap.alias("_gap"), rank.alias("_rank"), F.when(F.col("side") == 0, F.col("pos")).alias("pos_before"),
+        F.when(F.col("i").isNotNull(), F.col("j")).otherwise(F.when(F.col("side") == 1, F.col("pos"))).alias("pos_after"))
+    script = script.withColumn("step", (F.row_number().over(order) - 1).cast("long"))
+    return script.join(named.select("_p", *keys), "_p").select(*keys, "step", "op", "token", "pos_before", "pos_after")
 
 
 def revision_summary(diff: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -107,6 +107,52 @@ def expand_weights(df: DataFrame, weight: str = "weight") -> DataFrame:
     return df.withColumn("_rep", F.explode(F.array_repeat(F.lit(1), F.col(weight).cast("int")))).drop("_rep")
 
 
+def weighted_centroids(rows: DataFrame, pool: Sequence[str], iters: int) -> DataFrame:
+    """Centroids of each pool under ``iters`` sets of weights: (pool..., centroids), an array of one vector for each set (NULL where all
+    weights are 0), from rows (pool..., _v, _w).
+
+    Every task multiplies its rows' weights with their vectors, pool by pool, so it sends one row of ``iters`` x dimensions sums for each of
+    its pools; no row is repeated.
+    """
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    from shiftkit.session import ship_package
+
+    ship_package(rows.sparkSession)
+    pool = list(pool)
+    text = F.to_json(F.struct(*pool), {"ignoreNullFields": "false"}) if pool else F.lit("")
+
+    def sums(it):
+        import numpy as np
+        import pandas as pd
+
+        held: dict = {}
+        for pdf in it:
+            for name, part in pdf.groupby("name", sort=False):
+                v, w = np.stack(part["v"].to_list()), np.stack(part["w"].to_list()).astype(np.float64)
+                both = np.concatenate([w.sum(axis=0)[:, None], w.T @ v], axis=1)
+                held[name] = held[name] + both if name in held else both
+            if len(held) > 256:  # many pools: partial sums leave early
+                yield pd.DataFrame({"name": list(held), "s": [m.ravel() for m in held.values()]})
+                held = {}
+        if held:
+            yield pd.DataFrame({"name": list(held), "s": [m.ravel() for m in held.values()]})
+
+    slim = rows.where(F.col("_v").isNotNull()).select(text.alias("name"), F.col("_v").alias("v"), F.col("_w").alias("w"))
+    parts = slim.mapInPandas(sums, "name string, s array<double>")
+    total = parts.select("name", array_to_vector("s").alias("s")).groupBy("name").agg(Summarizer.sum(F.col("s")).alias("s")).select("name", vector_to_array("s").alias("s"))
+    width = (F.size("s") / iters).cast("int")
+
+    def one(i):
+        some = F.slice("s", i * width + 1, width)
+        return F.when(some[0] > 0, F.transform(F.slice(some, 2, width - 1), lambda x: x / some[0]))
+
+    made = total.select("name", F.transform(F.sequence(F.lit(0), F.lit(iters - 1)), one).alias("centroids"))
+    names = rows.select(text.alias("name"), *pool).distinct()
+    return names.join(made, "name").drop("name")
+
+
 def separation_bootstrap(df: DataFrame, pool: Sequence[str], key: str, vec: str, metric="cosine",
                          iters: int = 100, seed: int = 0, method: str = "exact",
                          draws: str = "poisson") -> DataFrame:
@@ -114,27 +160,36 @@ def separation_bootstrap(df: DataFrame, pool: Sequence[str], key: str, vec: str,
     full-size resamples with replacement).
 
     ``draws="poisson"`` gives every row a Poisson(1) weight per iteration, which needs no index and
-    no join; ``draws="multinomial"`` resamples exactly n rows per pool (``bootstrap_draws``). Each
-    resample's centroid is a weighted mean and its median a weighted one: no row is repeated.
+    no join; ``draws="multinomial"`` resamples exactly n rows per pool (``bootstrap_draws``). A row carries its weights
+    as one array and meets its pool's centroids as one array (:func:`weighted_centroids`), so vectors aren't copied; what is
+    exploded is (iteration, distance, weight), and each resample's median is a weighted one.
     """
-    from shiftkit.operators.sampling import bootstrap_draws, poisson_weights
+    from shiftkit.functions.hashing import hash_uniform, poisson1_weight
+    from shiftkit.operators.sampling import bootstrap_draws
+    from shiftkit.session import materialize
 
     pool = list(pool)
+    rows = df.select(*pool, key, as_double(vec).alias("_v"))
+    every = F.sequence(F.lit(0), F.lit(iters - 1))
     if draws == "poisson":
-        rows = poisson_weights(df.select(*pool, key, vec), key, iters=iters, seed=seed)
+        rows = rows.withColumn("_w", F.transform(every, lambda i: poisson1_weight(hash_uniform(seed, key, i))))
     else:
-        from shiftkit.session import materialize
-
-        # draws feed both the centroids and the distances: checkpoint the narrow table once
-        picks = materialize(bootstrap_draws(df.select(*pool, key), key, pool, iters=iters, seed=seed))
-        rows = picks.join(df.select(*pool, key, vec), [*pool, key])
-    d = distance_to_centroid(rows, [*pool, "iter"], vec, metric, "_dist", weight="weight").select(*pool, "iter", "_dist", "weight")
-    seps = group_quantiles(d, "_dist", [*pool, "iter"], [0.5], ["_sep"], method=method, weight="weight")
+        picks = bootstrap_draws(df.select(*pool, key), key, pool, iters=iters, seed=seed)
+        drawn = picks.groupBy(*pool, key).agg(F.map_from_entries(F.collect_list(F.struct("iter", "weight"))).alias("_m"))
+        rows = null_safe(rows, drawn, [*pool, key]).withColumn("_w", F.transform(every, lambda i: F.coalesce(F.element_at("_m", i), F.lit(0)))).drop("_m")
+    # weights feed the centroids and the distances; rows are spread first, as a table may be one file
+    rows = materialize(rows.repartition(df.sparkSession.sparkContext.defaultParallelism, key))
+    dist = distance_fn(metric)
+    both = null_safe(rows, weighted_centroids(rows, pool, iters), pool)
+    each = F.transform(F.arrays_zip("_w", "centroids"), lambda x: F.when(x["_w"] > 0, dist(F.col("_v"), x["centroids"])))
+    far = both.select(*pool, F.posexplode(F.arrays_zip(each.alias("d"), F.col("_w").alias("w"))).alias("iter", "x"))
+    far = far.select(*pool, "iter", F.col("x.d").alias("_dist"), F.col("x.w").alias("weight")).where("weight > 0")
+    seps = group_quantiles(far, "_dist", [*pool, "iter"], [0.5], ["_sep"], method=method, weight="weight")
     sd = seps.groupBy(*pool).agg(F.stddev_pop("_sep").alias("separation_sd"))
     return null_safe(pool_separation(df, pool, vec, metric, method=method), sd, pool, "left")
 
 
-def sample_metrics(df: DataFrame, pool: Sequence[str], key: str, vec: str, iters: int = 1000, size: int = 100,
+def sample_metrics(df: DataFrame, pool: Sequence[str], key: str, vec: str | None = None, iters: int = 1000, size: int | None = 100,
                    seed: int = 0, metrics: dict | None = None) -> DataFrame:
     """Bootstrap samples of ``size`` rows per pool and iteration, and on each: the median pairwise
     cosine similarity (diagonal excluded) and the number of distinct vector elements.
@@ -143,16 +198,32 @@ def sample_metrics(df: DataFrame, pool: Sequence[str], key: str, vec: str, iters
     batches with numpy. ``metrics`` replaces the two defaults with any ``{name: f(matrix) -> float}``
     (each row of the matrix is one drawn vector, repeats included); every metric becomes a double
     column.
+
+    A metric may also be an aggregate Column over the sample's rows with the column ``weight``, the times each was drawn (such as
+    ``sum(x * weight) / sum(weight)``). Samples then are groups of weighted rows and nothing is collected, so with Columns alone
+    ``size=None`` draws full-size samples.
     """
+    from pyspark.sql import Column
+
     from shiftkit.operators.sampling import bootstrap_draws
 
     from shiftkit.session import ship_package
 
     pool = list(pool)
     ship_package(df.sparkSession)
+    columns = {n: m for n, m in (metrics or {}).items() if isinstance(m, Column)}
+    metrics = None if metrics is None else {n: m for n, m in metrics.items() if n not in columns}
+    if (metrics is None or metrics) and (size is None or vec is None):
+        raise ValueError("a metric of a matrix needs a sample size and a vector column")
     draws = bootstrap_draws(df.select(*pool, key), key, pool, iters=iters, size=size, seed=seed)
+    if columns:
+        weighted = null_safe(draws, df.select(*[c for c in df.columns if c not in ("iter", "weight")]), [*pool, key])
+        summed = weighted.groupBy(*pool, "iter").agg(*[m.alias(n) for n, m in columns.items()])
+        if not metrics:
+            return summed
+        return null_safe(sample_metrics(df, pool, key, vec, iters, size, seed, metrics), summed, [*pool, "iter"])
     # vectors travel in their stored precision; numpy widens them to double
-    rows = expand_weights(draws.join(df.select(*pool, key, F.col(vec).alias("_v")), [*pool, key]))
+    rows = expand_weights(null_safe(draws, df.select(*pool, key, F.col(vec).alias("_v")), [*pool, key]))
     schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in pool)
     # one row per sample (its size is the ``size`` parameter), then numpy over a stack of samples
     packed = rows.groupBy(*pool, "iter").agg(F.flatten(F.collect_list("_v")).alias("_m"), F.count(F.lit(1)).alias("_k"))
@@ -241,17 +312,77 @@ def density_grid(df: DataFrame, x: str, y: str, cell: float, by: Sequence[str] =
         F.count(F.lit(1)).alias("n"))
 
 
+def moments(df: DataFrame, vec: str) -> tuple[int, "np.ndarray", "np.ndarray"]:
+    """Number, mean and population covariance of all vectors, in one pass: every task sums its rows and their products
+    (blocks of rows times themselves), and the tasks' sums are added up element by element.
+
+    Brought to the driver: one number for each pair of dimensions. NULL vectors take no part; vectors of different lengths are an error.
+    """
+    import numpy as np
+
+    from shiftkit.session import ship_package
+
+    ship_package(df.sparkSession)
+
+    def sums(batches):
+        import pandas as pd
+
+        total, first, n = None, None, 0
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            m = np.stack(pdf["v"].to_list())
+            if total is None:
+                total, first = np.zeros((m.shape[1], m.shape[1])), np.zeros(m.shape[1])
+            n, first, total = n + len(m), first + m.sum(axis=0), total + m.T @ m
+        if total is not None:
+            d = len(first)
+            i, j = np.triu_indices(d)
+            yield pd.DataFrame({
+                "i": np.concatenate([[-2], np.full(d, -1), i]), "j": np.concatenate([[0], np.arange(d), j]),
+                "s": np.concatenate([[float(n)], first, total[i, j]])})
+
+    rows = df.where(F.col(vec).isNotNull()).select(as_double(vec).alias("v"))
+    parts = rows.mapInPandas(sums, "i int, j int, s double").groupBy("i", "j").agg(F.sum("s").alias("s")).collect()
+    if not parts:
+        return 0, np.zeros(0), np.zeros((0, 0))
+    at = {(r["i"], r["j"]): r["s"] for r in parts}
+    n, d = int(at[-2, 0]), 1 + max(j for i, j in at if i == -1)
+    mean = np.array([at[-1, j] for j in range(d)]) / n
+    cov = np.array([[at[min(i, j), max(i, j)] for j in range(d)] for i in range(d)]) / n - np.outer(mean, mean)
+    return n, mean, cov
+
+
+def principal_components(df: DataFrame, vec: str, k: int = 2) -> tuple["np.ndarray", "np.ndarray"]:
+    """Mean of all vectors and their ``k`` principal components (rows, largest variance first).
+
+    A component's sign is fixed: its entry of largest size, the first of equal ones, is positive.
+    """
+    import numpy as np
+
+    _, mean, cov = moments(df, vec)
+    if not len(mean):
+        return mean, np.zeros((k, 0))
+    values, vectors = np.linalg.eigh(cov)
+    parts = vectors[:, np.argsort(-values, kind="stable")[:k]].T
+    lead = parts[np.arange(len(parts)), np.abs(np.round(parts, 12)).argmax(axis=1)]
+    return mean, parts * np.where(lead < 0, -1.0, 1.0)[:, None]
+
+
 def pca_project(df: DataFrame, vec: str, k: int = 2, out: str = "pc") -> DataFrame:
-    """Fit PCA on all rows (centred, as scikit-learn does) and add the projection; component signs
-    are arbitrary."""
-    from pyspark.ml.feature import PCA
-    from pyspark.ml.functions import array_to_vector, vector_to_array
+    """Principal components of all rows (centred), and each row's scores on them as ``out`` (``array<double>``).
 
-    mean = vector_mean(df, [], vec, "_mean").select("_mean").scalar()  # one row: a scalar subquery
-    centred = df.withColumn("_mean", mean).withColumn(
-        "_cv", array_to_vector(F.zip_with(as_double(vec), F.col("_mean"), lambda a, b: a - b))).drop("_mean")
-    model = PCA(k=k, inputCol="_cv", outputCol="_pc").fit(centred)
-    return model.transform(centred).withColumn(out, vector_to_array("_pc")).drop("_cv", "_pc")
+    The fit reads the vectors once (:func:`moments`); scores are sums of products on the JVM. Signs are fixed
+    (:func:`principal_components`). A NULL vector has no scores.
+    """
+    mean, parts = principal_components(df, vec, k)
+    if not len(mean):
+        return df.withColumn(out, F.lit(None).cast("array<double>"))
+    centre = F.array(*[F.lit(float(x)) for x in mean])
+    centred = F.zip_with(as_double(vec), centre, lambda a, b: a - b)
+    rows = df.withColumn("_cv", centred)
+    scores = [F.aggregate(F.zip_with(F.col("_cv"), F.array(*[F.lit(float(x)) for x in p]), lambda a, b: a * b), F.lit(0.0), lambda acc, x: acc + x) for p in parts]
+    return rows.withColumn(out, F.when(F.col(vec).isNotNull(), F.array(*scores))).drop("_cv")
 
 
 def hashed_words(df: DataFrame, text: str, out: str, dim: int) -> DataFrame:

@@ -43,16 +43,16 @@ SELECT 'persona' AS agent, 'model' AS model,
 FROM conversations
 """
 _UPDATES_LONG = """
-SELECT 'persona' AS agent, variable, value FROM (
+SELECT 'persona' AS agent, part, variable, value FROM (
   WITH k AS (SELECT *, CASE WHEN role = 'assistant' THEN (turn - 1) // 2 ELSE turn // 2 END AS k FROM conversations),
-  r AS (SELECT role, conv_id + (k // 3) * 1000000000 AS key, (['clean','redact','improve'])[k % 3 + 1] AS kind, text, conv_id, turn FROM k),
-  q AS (SELECT DISTINCT key FROM r WHERE role = 'user'),
-  a AS (SELECT q.key, t.kind FROM q CROSS JOIN (VALUES ('clean'), ('redact'), ('improve')) t(kind))
-  SELECT 'answer.' || a.kind || '_' || a.key AS variable, r.text AS value
-  FROM a LEFT JOIN r ON r.role = 'user' AND r.key = a.key AND r.kind = a.kind
+  r AS (SELECT role, conv_id AS key, CAST(k // 3 AS BIGINT) AS part, (['clean','redact','improve'])[k % 3 + 1] AS kind, text, conv_id, turn FROM k),
+  q AS (SELECT DISTINCT key, part FROM r WHERE role = 'user'),
+  a AS (SELECT q.key, q.part, t.kind FROM q CROSS JOIN (VALUES ('clean'), ('redact'), ('improve')) t(kind))
+  SELECT 'answer.' || a.kind || '_' || a.key AS variable, a.part, r.text AS value
+  FROM a LEFT JOIN r ON r.role = 'user' AND r.key = a.key AND r.part = a.part AND r.kind = a.kind
   UNION ALL
   SELECT CASE WHEN role = 'assistant' THEN 'answer.' || kind || '_' || key || '_comment'
-              ELSE 'agent.' || role || '_' || conv_id || '_' || turn END, text
+              ELSE 'agent.' || role || '_' || conv_id || '_' || turn END, part, text
   FROM r WHERE role <> 'user' OR role IS NULL)
 """
 _PARSED_UPDATES = f"""
@@ -63,10 +63,10 @@ SELECT *, substr(variable, instr(variable, '.') + 1,
 FROM ({_UPDATES_LONG}) WHERE variable LIKE '%answer%' AND variable NOT LIKE '%\\_comment%' ESCAPE '\\'
 """
 _PIVOT_UPDATES = f"""
-SELECT key, max(value) FILTER (WHERE update_type = 'clean') AS clean,
+SELECT key, part, max(value) FILTER (WHERE update_type = 'clean') AS clean,
   max(value) FILTER (WHERE update_type = 'redact') AS redact,
   max(value) FILTER (WHERE update_type = 'improve') AS improve
-FROM ({_PARSED_UPDATES}) GROUP BY key
+FROM ({_PARSED_UPDATES}) GROUP BY key, part
 """
 _DECISIONS_LONG = """
 SELECT 'quality' AS agent, 'answer.q_' || doc_id AS variable, CASE WHEN quality = 1 THEN 'Yes' ELSE 'No' END AS value FROM labels
@@ -149,10 +149,10 @@ FROM ({_DECISIONS_LONG}) WHERE variable LIKE '%answer.q\\_%' ESCAPE '\\' AND NOT
     "parse_answers": f"""
 SELECT regexp_extract(variable, 'q_(\\d+)_', 1) AS key, value
 FROM ({_ANSWERS_LONG}) WHERE variable LIKE '%answer.q\\_%' ESCAPE '\\'""",
-    "parse_updates": f"SELECT variable, update_type, key, value FROM ({_PARSED_UPDATES})",
+    "parse_updates": f"SELECT part, variable, update_type, key, value FROM ({_PARSED_UPDATES})",
     "pivot_updates": _PIVOT_UPDATES,
     "profiles_with_updates": f"""
-SELECT d.doc_id, d.text AS original, p.clean, p.redact, p.improve
+SELECT d.doc_id, p.part, d.text AS original, p.clean, p.redact, p.improve
 FROM documents d JOIN ({_PIVOT_UPDATES}) p ON p.key = d.doc_id
 WHERE p.key IS NOT NULL AND p.clean IS NOT NULL AND p.redact IS NOT NULL AND p.improve IS NOT NULL""",
     "split_model_prefix": """
@@ -179,10 +179,10 @@ SELECT user_id, event_type, round(score_original, 9) AS score_original, round(sc
 FROM ({_BEFORE_AFTER})""",
     "patch_answers": f"""
 WITH u AS ({_UPDATES_LONG}),
-p AS (SELECT variable, 'retry: ' || variable AS value FROM u WHERE value IS NULL AND starts_with(variable, 'answer.'))
-SELECT u.variable, coalesce(p.value, u.value) AS value FROM u LEFT JOIN p USING (variable)""",
+p AS (SELECT part, variable, 'retry: ' || variable AS value FROM u WHERE value IS NULL AND starts_with(variable, 'answer.'))
+SELECT part, variable, coalesce(p.value, u.value) AS value FROM u LEFT JOIN p USING (part, variable)""",
     "unanswered_questions": f"""
-SELECT u.variable, string_split(u.variable, '.')[-1] AS question_name, u.key, u.update_type,
+SELECT u.part, u.variable, string_split(u.variable, '.')[-1] AS question_name, u.key, u.update_type,
   u.update_type || ': ' || d.text AS prompt
 FROM ({_PARSED_UPDATES}) u JOIN documents d ON d.doc_id = u.key
 WHERE u.value IS NULL OR u.value = ''""",
@@ -265,6 +265,19 @@ SELECT (SELECT count(*) FROM s) AS n_sequences, count(*) AS n_tokens,
 WITH c AS (SELECT count(*) FILTER (WHERE quality = 1 AND toxic = 1) AS tp, count(*) FILTER (WHERE quality = 1 AND toxic = 0) AS fn,
   count(*) FILTER (WHERE quality = 0 AND toxic = 0) AS tn, count(*) FILTER (WHERE quality = 0 AND toxic = 1) AS fp FROM labels)
 SELECT tp, fn, tn, fp, round((tp / (tp + fn) + tn / (tn + fp)) / 2, 9) AS auroc FROM c""",
+    "auroc_score": """
+WITH d AS (SELECT source, quality AS t, n_chars AS x FROM labels JOIN documents USING (doc_id)),
+r AS (SELECT *, rank() OVER (PARTITION BY source ORDER BY x) + (count(*) OVER (PARTITION BY source, x) - 1) / 2 AS r FROM d WHERE x IS NOT NULL AND t IN (0, 1)),
+g AS (SELECT source, count(*) FILTER (WHERE t = 1) AS p, count(*) FILTER (WHERE t = 0) AS n, sum(r) FILTER (WHERE t = 1) AS s FROM r GROUP BY source)
+SELECT k.source, CAST(coalesce(p, 0) AS BIGINT) AS n_positive, CAST(coalesce(n, 0) AS BIGINT) AS n_negative, k.u AS n_unscored,
+  round(CASE WHEN p > 0 AND n > 0 THEN (s - p * (p + 1) / 2) / (p * n) END, 9) AS auroc
+FROM (SELECT source, count(*) FILTER (WHERE x IS NULL AND t IN (0, 1)) AS u FROM d GROUP BY source) k LEFT JOIN g ON k.source IS NOT DISTINCT FROM g.source""",
+    "roc_points": """
+WITH d AS (SELECT source, quality AS t, CAST(n_chars AS DOUBLE) AS x FROM labels JOIN documents USING (doc_id) WHERE n_chars IS NOT NULL),
+c AS (SELECT source, x, count(*) FILTER (WHERE t = 1) AS p, count(*) FILTER (WHERE t = 0) AS n FROM d GROUP BY source, x),
+s AS (SELECT source, x, sum(p) OVER w AS tp, sum(n) OVER w AS fp, sum(p) OVER (PARTITION BY source) AS ps, sum(n) OVER (PARTITION BY source) AS ns
+      FROM c WINDOW w AS (PARTITION BY source ORDER BY x DESC))
+SELECT source, x AS threshold, CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp, round(tp / nullif(ps, 0), 9) AS tpr, round(fp / nullif(ns, 0), 9) AS fpr FROM s""",
     "distinct_elements": """
 SELECT pool, count(DISTINCT x) AS n_distinct FROM (SELECT label AS pool, unnest(embedding) AS x FROM embeddings) GROUP BY pool""",
     "sample_n": f"SELECT doc_id FROM documents ORDER BY {_h(7, 'doc_id')}, doc_id LIMIT 100",
@@ -321,20 +334,62 @@ _SHIFT_PAIRS = f"""
 SELECT x.pool // 2 AS pair, x.rank, x.e AS x, y.e AS y FROM ({_RANKED}) x JOIN ({_RANKED}) y
 ON x.pool % 2 = 0 AND y.pool = x.pool + 1 AND x.rank = y.rank
 """
+
+
+def _power(name: str, start: str, steps: int = 14) -> str:
+    """Recursive squaring of a matrix (a list of rows), scaled to trace 1: near the projection on its first component."""
+    scaled = "list_transform(mm, lambda r: list_transform(r, lambda v: v / list_sum(list_transform(range(1, len(mm) + 1), lambda i: mm[i][i]))))"
+    return f"""
+{name}(k, m) AS (
+  SELECT 0, {scaled} FROM (SELECT m AS mm FROM {start})
+  UNION ALL
+  SELECT k + 1, {scaled} FROM (SELECT k, list_transform(m, lambda r: list_transform(m, lambda s: list_dot_product(r, s))) AS mm FROM {name} WHERE k < {steps}))"""
+
+
+def _direction(name: str, power: str) -> str:
+    """The unit vector of a power's largest row, its largest entry positive."""
+    return f"""
+{name} AS (
+  SELECT list_transform(u, lambda x: x * sign(u[list_position(a, list_max(a))])) AS v FROM (
+    SELECT u, list_transform(u, lambda x: abs(round(x, 12))) AS a FROM (
+      SELECT list_transform(r, lambda x: x / sqrt(list_dot_product(r, r))) AS u FROM (
+        SELECT m[list_position(d, list_max(d))] AS r FROM (
+          SELECT m, list_transform(range(1, len(m) + 1), lambda i: m[i][i]) AS d FROM {power} ORDER BY k DESC LIMIT 1)))))"""
+
+
+# Scores on the first two principal components of all rows.
+_PCS = f"""
+WITH RECURSIVE x AS (SELECT vec_id, pool, unnest(e) AS v, unnest(range(1, len(e) + 1)) AS i FROM ({_POOLS})),
+mu AS (SELECT i, avg(v) AS m FROM x GROUP BY i),
+z AS (SELECT vec_id, pool, list(v - m ORDER BY i) AS e FROM x JOIN mu USING (i) GROUP BY vec_id, pool),
+zi AS (SELECT vec_id, unnest(e) AS v, unnest(range(1, len(e) + 1)) AS i FROM z),
+cov AS (SELECT a.i, b.i AS j, sum(a.v * b.v) / (SELECT count(*) FROM z) AS c FROM zi a JOIN zi b USING (vec_id) GROUP BY a.i, b.i),
+c1 AS (SELECT list(r ORDER BY i) AS m FROM (SELECT i, list(c ORDER BY j) AS r FROM cov GROUP BY i)),
+{_power("p1", "c1")},
+{_direction("v1", "p1")},
+l1 AS (SELECT list_dot_product(v, list_transform(m, lambda r: list_dot_product(r, v))) AS l FROM c1, v1),
+c2 AS (SELECT list_transform(range(1, len(m) + 1), lambda i: list_transform(range(1, len(m) + 1), lambda j: m[i][j] - l * v[i] * v[j])) AS m FROM c1, v1, l1),
+{_power("p2", "c2")},
+{_direction("v2", "p2")}
+SELECT vec_id, pool, list_dot_product(z.e, v1.v) AS pc0, list_dot_product(z.e, v2.v) AS pc1 FROM z, v1, v2
+"""
 _SHIFT_MAPS = f"""
-WITH p AS ({_SHIFT_PAIRS}),
+WITH c AS MATERIALIZED ({_PCS}),
+rk AS (SELECT *, row_number() OVER (PARTITION BY pool ORDER BY vec_id) - 1 AS rank FROM c),
+p AS (SELECT x.pool // 2 AS pair, x.rank, x.pc0 AS x0, x.pc1 AS x1, y.pc0 AS y0, y.pc1 AS y1 FROM rk x JOIN rk y
+      ON x.pool % 2 = 0 AND y.pool = x.pool + 1 AND x.rank = y.rank),
 idx AS (SELECT pair, rank, row_number() OVER (PARTITION BY pair ORDER BY rank) - 1 AS j, count(*) OVER (PARTITION BY pair) AS n FROM p),
 src AS (SELECT i.pair, it, s.draw, i.n FROM (SELECT DISTINCT pair, n FROM idx) i CROSS JOIN range(100) s(draw) CROSS JOIN range(10) t(it)),
 d AS (SELECT pair, it, ({_h(13, 'pair', 'it', 'draw')}) % n AS pick FROM src),
-sample AS (SELECT CAST(d.it AS INTEGER) AS iter, CAST(k.dim AS INTEGER) AS dim, x[k.dim + 1] AS x0, x[k.dim + 2] AS x1, y[k.dim + 1] AS y0, y[k.dim + 2] AS y1
-           FROM d JOIN idx ON idx.pair = d.pair AND idx.j = d.pick JOIN p ON p.pair = idx.pair AND p.rank = idx.rank CROSS JOIN range(0, 64, 2) k(dim)),
-g AS (SELECT iter, dim, o.out_dim, var_pop(x0) AS s00, var_pop(x1) AS s11, covar_pop(x0, x1) AS s01,
+sample AS (SELECT CAST(d.it AS INTEGER) AS iter, x0, x1, y0, y1
+           FROM d JOIN idx ON idx.pair = d.pair AND idx.j = d.pick JOIN p ON p.pair = idx.pair AND p.rank = idx.rank),
+g AS (SELECT iter, o.out_dim, var_pop(x0) AS s00, var_pop(x1) AS s11, covar_pop(x0, x1) AS s01,
         covar_pop(CASE o.out_dim WHEN 0 THEN y0 ELSE y1 END, x0) AS sy0, covar_pop(CASE o.out_dim WHEN 0 THEN y0 ELSE y1 END, x1) AS sy1,
         avg(x0) AS m0, avg(x1) AS m1, avg(CASE o.out_dim WHEN 0 THEN y0 ELSE y1 END) AS my
       FROM sample CROSS JOIN (SELECT CAST(range AS INTEGER) AS out_dim FROM range(2)) o GROUP BY ALL),
-c AS (SELECT iter, dim, out_dim, (sy0 * s11 - sy1 * s01) / (s00 * s11 - s01 * s01) AS b0,
+co AS (SELECT iter, out_dim, (sy0 * s11 - sy1 * s01) / (s00 * s11 - s01 * s01) AS b0,
         (sy1 * s00 - sy0 * s01) / (s00 * s11 - s01 * s01) AS b1, m0, m1, my FROM g)
-SELECT iter, dim, out_dim, b0, b1, my - b0 * m0 - b1 * m1 AS b FROM c
+SELECT iter, out_dim, b0, b1, my - b0 * m0 - b1 * m1 AS b FROM co
 """
 _MEDSIM_TRUE = f"""
 SELECT a.pool, quantile_cont(list_cosine_similarity(a.e, b.e), 0.5) AS median_similarity
@@ -400,19 +455,19 @@ m AS (SELECT a.vec_id AS vec_id_a, b.vec_id AS vec_id_b, list_distance(a.e, b.e)
       WHERE abs(list_distance(a.e, b.e) - 1.2) < 0.05)
 SELECT vec_id_a, min(vec_id_b) AS vec_id_b, round(arg_min(d, vec_id_b), 9) AS distance FROM m GROUP BY vec_id_a""",
     "shift_linear_map": f"""
-SELECT iter, dim, out_dim, round(b0, 9) AS coef_0, round(b1, 9) AS coef_1, round(b, 9) AS intercept FROM ({_SHIFT_MAPS})""",
+SELECT iter, out_dim, round(b0, 9) AS coef_0, round(b1, 9) AS coef_1, round(b, 9) AS intercept FROM ({_SHIFT_MAPS})""",
     "shift_map_summary": f"""
-SELECT dim, out_dim, count(*) AS n_samples, round(avg(b0), 9) AS mean_coef_0, round(stddev_pop(b0), 9) AS sd_coef_0,
+SELECT out_dim, count(*) AS n_samples, round(avg(b0), 9) AS mean_coef_0, round(stddev_pop(b0), 9) AS sd_coef_0,
   round(avg(b1), 9) AS mean_coef_1, round(stddev_pop(b1), 9) AS sd_coef_1, round(avg(b), 9) AS mean_intercept, round(stddev_pop(b), 9) AS sd_intercept
-FROM ({_SHIFT_MAPS}) GROUP BY dim, out_dim""",
+FROM ({_SHIFT_MAPS}) GROUP BY out_dim""",
+    "pca_project": f"SELECT vec_id, pool, round(pc0, 9) AS pc0, round(pc1, 9) AS pc1 FROM ({_PCS})",
     "shift_pull_estimate": f"""
 WITH p AS ({_SHIFT_PAIRS}),
 z AS (SELECT unnest(x) AS x, unnest(y) AS y, unnest(range(0, len(x))) AS dim FROM p),
 g AS (SELECT CAST(dim AS INTEGER) AS dim, regr_slope(y - x, x) AS s, regr_intercept(y - x, x) AS i, count(*) AS n FROM z GROUP BY dim)
 SELECT dim, round(-s, 9) AS alpha, round(-i / s, 9) AS fixed_point, n FROM g""",
     "density_grid": f"""
-SELECT CAST(d.dim AS INTEGER) AS dim, CAST(floor(e[d.dim + 1] / 0.05) AS BIGINT) AS gx, CAST(floor(e[d.dim + 2] / 0.05) AS BIGINT) AS gy, count(*) AS n
-FROM ({_POOLS}) CROSS JOIN range(0, 64, 2) d(dim) GROUP BY ALL""",
+SELECT pool, CAST(floor(pc0 / 0.05) AS BIGINT) AS gx, CAST(floor(pc1 / 0.05) AS BIGINT) AS gy, count(*) AS n FROM ({_PCS}) GROUP BY ALL""",
     "rewrite_trajectory": f"""
 WITH r AS (SELECT rank, pool AS round, e FROM ({_RANKED})),
 f AS (SELECT rank, arg_min(e, round) AS fe FROM r GROUP BY rank)
@@ -483,6 +538,11 @@ SELECT d.doc_id, array_to_string(coalesce(ids.l, []), ',') AS input_ids FROM doc
     "revision_token_diff": f"""
 SELECT conv_id, turn, CAST(sum(kept) AS BIGINT) AS kept, CAST(sum(removed) AS BIGINT) AS removed,
   CAST(sum(added) AS BIGINT) AS added FROM ({_TOKDIFF}) GROUP BY conv_id, turn""",
+    "ordered_token_diff": f"""
+WITH p AS ({_PAIRS_TXT}),
+w AS (SELECT conv_id, turn, list_filter(regexp_split_to_array(coalesce(original, ''), '\\s+'), lambda x: x <> '') AS a,
+        list_filter(regexp_split_to_array(coalesce(updated, ''), '\\s+'), lambda x: x <> '') AS b FROM p)
+SELECT conv_id, turn, md5(array_to_string(a, ' ')) AS before_md5, md5(array_to_string(b, ' ')) AS after_md5, TRUE AS in_order FROM w WHERE len(a) + len(b) > 0""",
     "top_added_tokens": f"""
 SELECT token, CAST(sum(added) AS BIGINT) AS added FROM ({_TOKDIFF}) GROUP BY token HAVING sum(added) > 0
 ORDER BY added DESC, token LIMIT 20""",
@@ -547,16 +607,44 @@ SELECT sha256(concat_ws('|', 'label', conv_id || '_' || turn, 'annotator', 'mode
     array_to_string(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> ''), ' | ')) AS prompt
 FROM conversations WHERE role = 'user' AND text IS NOT NULL""",
     "classifier_accuracy": f"""
-SELECT m AS method, count(*) AS n, CAST(sum({_IS_US}) AS BIGINT) AS n_positive, TRUE AS beats_majority
+SELECT m AS method, CAST(sum({_IS_US}) AS BIGINT) AS n_positive, CAST(sum(1 - {_IS_US}) AS BIGINT) AS n_negative, TRUE AS accuracy_of_counts, TRUE AS beats_majority
 FROM documents CROSS JOIN (VALUES ('logistic_regression'), ('random_forest'), ('neural_network')) v(m)
 WHERE NOT ({_h(7, 'doc_id')} / 1152921504606846976.0 < 0.8) GROUP BY m""",
     "variant_auroc": f"""
 WITH p AS (SELECT key FROM ({_PIVOT_UPDATES}) WHERE clean IS NOT NULL AND redact IS NOT NULL AND improve IS NOT NULL),
 d AS (SELECT {_IS_US} AS y FROM documents JOIN p ON p.key = doc_id WHERE NOT ({_h(7, 'doc_id')} / 1152921504606846976.0 < 0.8))
 SELECT v AS variant, CAST(count(*) FILTER (WHERE y = 1) AS BIGINT) AS n_positive, CAST(count(*) FILTER (WHERE y = 0) AS BIGINT) AS n_negative,
-  count(*) FILTER (WHERE y = 1) > 0 AND count(*) FILTER (WHERE y = 0) > 0 AS scored
+  count(*) FILTER (WHERE y = 1) > 0 AND count(*) FILTER (WHERE y = 0) > 0 AS scored,
+  CASE WHEN count(*) FILTER (WHERE y = 1) > 0 AND count(*) FILTER (WHERE y = 0) > 0 THEN TRUE END AS areas_agree
 FROM (VALUES ('original'), ('clean'), ('redact'), ('improve')) t(v) LEFT JOIN d ON TRUE GROUP BY v""",
 })
+ORACLE.update({
+    "streamed_answers": f"""
+WITH u AS (SELECT part, variable, value FROM ({_UPDATES_LONG}) WHERE starts_with(variable, 'answer.') AND NOT suffix(variable, '_comment')),
+a AS (SELECT part, variable, CASE WHEN value IS NULL AND {_h('retry', 'part', 'variable')} % 3 <> 0 THEN 'retry: ' || variable ELSE value END AS value FROM u)
+SELECT part, variable, value, CASE WHEN value IS NULL THEN 'open' ELSE 'answered' END AS status FROM a""",
+    "text_folder_roundtrip": """
+SELECT 'documents' AS folder, source AS model, CAST(doc_id AS VARCHAR) AS name, md5(text) AS text_md5, length(text) AS n_chars FROM documents
+UNION ALL SELECT 'turns', role, CAST(conv_id AS VARCHAR), md5(arg_max(text, turn)), length(arg_max(text, turn)) FROM conversations GROUP BY role, conv_id""",
+    "subword_roundtrip": "SELECT doc_id, md5(text) AS text_md5, length(text) AS n_chars FROM documents",
+    "bootstrap_accuracy": f"""
+WITH l AS (SELECT source, doc_id, quality = toxic AS hit FROM labels JOIN documents USING (doc_id)),
+idx AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS j, count(*) OVER (PARTITION BY source) AS n FROM l),
+d AS (SELECT source, it, ({_h(17, 'source', 'it', 'j')}) % n AS pick FROM idx CROSS JOIN range(50) t(it))
+SELECT d.source, CAST(it AS INTEGER) AS iter, round(avg(CAST(hit AS DOUBLE)), 9) AS accuracy
+FROM d JOIN idx ON idx.source = d.source AND idx.j = d.pick GROUP BY ALL""",
+    "sketched_scores": """
+SELECT event_type, count(*) AS n_rows, count(DISTINCT user_id) AS n_users, TRUE AS users_within, TRUE AS q25_within, TRUE AS q50_within, TRUE AS q75_within
+FROM events GROUP BY event_type""",
+    "retried_answers": f"""
+WITH u AS (SELECT part || '/' || variable AS variable, value FROM ({_UPDATES_LONG}) WHERE starts_with(variable, 'answer.') AND NOT suffix(variable, '_comment'))
+SELECT variable, CASE WHEN value IS NULL OR value = '' THEN 'again: ' || variable ELSE value END AS value FROM u""",
+    "first_documents": "SELECT doc_id, lang, n_chars FROM documents ORDER BY doc_id LIMIT 10",
+    "renamed_columns": "SELECT doc_id AS text_name, lang AS answer_lang, n_chars AS answer_size FROM documents",
+    "answer_columns": "SELECT lang, n_chars FROM documents",
+    "shuffled_documents": f"SELECT doc_id, row_number() OVER (ORDER BY {_h(29, 'doc_id')}, doc_id) - 1 AS position FROM documents",
+    "csv_chunks_roundtrip": "SELECT conv_id, turn, md5(text) AS text_md5 FROM conversations",
+})
 for _name, _kind in (("learn_prompts", "learn"), ("adjust_prompts", "adjust_tailored")):
     ORACLE[_name] = f"""
 WITH s AS (SELECT x.persona, x.doc_id, x.decision, doc.text, row_number() OVER (PARTITION BY x.persona ORDER BY {_h(23, 'x.doc_id')}, x.doc_id) AS r

@@ -95,25 +95,25 @@ UPDATE_TYPES = ["clean", "redact", "improve"]
 
 
 def _updates_long(spark, sf):
-    """``conversations`` as update answers: the k-th exchange (turn // 2) answers ``<type>_<key>``, the types taking turns
-    and three exchanges sharing the key conv_id + 10^9 * (k // 3); the assistant turn is the comment. Every
-    key was asked for all three types: a left join from the questions leaves the missing answers NULL."""
+    """``conversations`` as update answers: the k-th exchange (turn // 2) answers ``<type>_<conv_id>``, the types taking turns,
+    and three exchanges make a ``part`` (k // 3) of a conversation; the assistant turn is the comment. Every
+    part was asked for all three types: a left join from the questions leaves the missing answers NULL."""
     c = read_table(spark, sf, "conversations")
     kinds = F.array(*[F.lit(k) for k in UPDATE_TYPES])
     k = F.floor((F.col("turn") - F.when(F.col("role") == "assistant", 1).otherwise(0)) / 2)
-    key = (F.col("conv_id") + F.floor(k / 3) * 1_000_000_000).cast("string")
+    key, part = F.col("conv_id").cast("string"), F.floor(k / 3)
     kind = F.element_at(kinds, (F.pmod(k, F.lit(3)) + 1).cast("int"))
     var = (
         F.when(F.col("role") == "user", F.concat(F.lit("answer."), kind, F.lit("_"), key))
         .when(F.col("role") == "assistant", F.concat(F.lit("answer."), kind, F.lit("_"), key, F.lit("_comment")))
         .otherwise(F.concat(F.lit("agent."), F.col("role"), F.lit("_"), F.col("conv_id").cast("string"), F.lit("_"), F.col("turn").cast("string")))
     )
-    rows = c.select("role", key.alias("_key"), var.alias("variable"), F.col("text").alias("value"))
-    asked = rows.where(F.col("role") == "user").select("_key").distinct().select("_key", F.explode(kinds).alias("_kind")).select(
-        F.concat(F.lit("answer."), F.col("_kind"), F.lit("_"), F.col("_key")).alias("variable"))
-    answers = asked.join(rows.where(F.col("role") == "user").select("variable", "value"), "variable", "left")
-    rest = rows.where((F.col("role") != "user") | F.col("role").isNull()).select("variable", "value")
-    return answers.unionByName(rest).select(F.lit("persona").alias("agent"), "variable", "value")
+    rows = c.select("role", key.alias("_key"), part.alias("part"), var.alias("variable"), F.col("text").alias("value"))
+    asked = rows.where(F.col("role") == "user").select("_key", "part").distinct().select("_key", "part", F.explode(kinds).alias("_kind")).select(
+        F.concat(F.lit("answer."), F.col("_kind"), F.lit("_"), F.col("_key")).alias("variable"), "part")
+    answers = asked.join(rows.where(F.col("role") == "user").select("variable", "part", "value"), ["variable", "part"], "left")
+    rest = rows.where((F.col("role") != "user") | F.col("role").isNull()).select("variable", "part", "value")
+    return answers.unionByName(rest).select(F.lit("persona").alias("agent"), "part", "variable", "value")
 
 
 def _decisions_long(spark, sf):
@@ -260,21 +260,21 @@ def _parsed_updates(spark, sf):
 
 @query
 def parse_updates(spark, sf):
-    return _parsed_updates(spark, sf).select("variable", "update_type", "key", "value")
+    return _parsed_updates(spark, sf).select("part", "variable", "update_type", "key", "value")
 
 
 @query
 def pivot_updates(spark, sf):
     from shiftkit.operators.answers import pivot_updates as pv
 
-    return pv(_parsed_updates(spark, sf), "key", UPDATE_TYPES)
+    return pv(_parsed_updates(spark, sf), ["key", "part"], UPDATE_TYPES)
 
 
 @query
 def profiles_with_updates(spark, sf):
     from shiftkit.operators.answers import pivot_updates as pv
 
-    upd = pv(_parsed_updates(spark, sf), "key", UPDATE_TYPES).dropna(how="any")
+    upd = pv(_parsed_updates(spark, sf), ["key", "part"], UPDATE_TYPES).dropna(how="any")
     prof = _docs(spark, sf).select("doc_id", F.col("text").alias("original"))
     return prof.join(upd.withColumnRenamed("key", "doc_id"), "doc_id")
 
@@ -362,14 +362,14 @@ def _patch(spark, sf):
     """A retry run: every answer that was missing comes back as 'retry: <question>'."""
     upd = _updates_long(spark, sf)
     return upd.where(F.col("value").isNull() & F.col("variable").startswith("answer.")).select(
-        "variable", F.concat(F.lit("retry: "), F.col("variable")).alias("value"))
+        "part", "variable", F.concat(F.lit("retry: "), F.col("variable")).alias("value"))
 
 
 @query
 def patch_answers(spark, sf):
     from shiftkit.operators.answers import patch_answers as pa
 
-    return pa(_updates_long(spark, sf).select("variable", "value"), _patch(spark, sf))
+    return pa(_updates_long(spark, sf).select("part", "variable", "value"), _patch(spark, sf), on=["part", "variable"])
 
 
 @query
@@ -379,7 +379,7 @@ def unanswered_questions(spark, sf):
     todo = unanswered(_parsed_updates(spark, sf))
     prof = _docs(spark, sf).select(F.col("doc_id").alias("key"), "text")
     return todo.join(prof, "key").select(
-        "variable", F.element_at(F.split("variable", r"\."), -1).alias("question_name"), "key", "update_type",
+        "part", "variable", F.element_at(F.split("variable", r"\."), -1).alias("question_name"), "key", "update_type",
         F.concat(F.col("update_type"), F.lit(": "), F.col("text")).alias("prompt"))
 
 
@@ -487,6 +487,28 @@ def describe_scores(spark, sf):
     return d.select("event_type", "count", *[r9(c).alias(c) for c in ["mean", "std", "min", "q25", "q50", "q75", "max"]])
 
 
+@query
+def sketched_scores(spark, sf):
+    """Scores summarised from sketches of chunks of a thousand events, held against the rows: exact counts, and whether the estimated
+    number of users and the ranks of the estimated quartiles are within the sketches' stated errors."""
+    from shiftkit.operators.sketches import chunk_sketches, distinct_error, merge_sketches, rank_error, sketch_summary
+    from shiftkit.session import materialize, stored
+
+    ev = read_table(spark, sf, "events").withColumn("chunk", F.floor(F.col("event_id") / 1000))
+    chunks = stored(chunk_sketches(ev, ["chunk", "event_type"], "user_id", "value"))
+    # merged in two steps, as a run that adds chunks day by day would
+    days = merge_sketches(chunks.withColumn("day", F.floor(F.col("chunk") / 7)), ["day", "event_type"])
+    got = materialize(sketch_summary(merge_sketches(days, ["event_type"]), ["event_type"]))
+    probs = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
+    both = ev.select("event_type", "user_id", "value").join(F.broadcast(got.select(F.col("event_type").alias("of"), "n_distinct", *probs)), F.col("event_type").eqNullSafe(F.col("of")))
+    n = F.count("value")
+    # the estimate is right if the wanted rank lies between the ranks of its first and last equal value
+    inside = [((F.count_if(F.col("value") < F.col(q)) <= (p + rank_error()) * n) & (F.count_if(F.col("value") <= F.col(q)) >= (p - rank_error()) * n)).alias(f"{q}_within") for q, p in probs.items()]
+    users = F.countDistinct("user_id")
+    return both.groupBy("event_type").agg(
+        F.count(F.lit(1)).alias("n_rows"), users.alias("n_users"), (F.abs(F.max("n_distinct") - users) <= distinct_error() * users).alias("users_within"), *inside)
+
+
 @query
 def evaluator_counts(spark, sf):
     ev = read_table(spark, sf, "events")
@@ -554,6 +576,27 @@ def auroc_hard(spark, sf):
     return au(read_table(spark, sf, "labels"), "quality", "toxic").select("tp", "fn", "tn", "fp", r9("auroc").alias("auroc"))
 
 
+def _scored_labels(spark, sf):
+    """Quality labels with a score, the text's length, and the source; a document without a label is left out."""
+    return read_table(spark, sf, "labels").select("doc_id", "quality").join(_docs(spark, sf).select("doc_id", "source", "n_chars"), "doc_id")
+
+
+@query
+def auroc_score(spark, sf):
+    from shiftkit.operators.roc import auroc_score as au
+
+    out = au(_scored_labels(spark, sf), "quality", "n_chars", ["source"])
+    return out.select("source", "n_positive", "n_negative", "n_unscored", r9("auroc").alias("auroc"))
+
+
+@query
+def roc_points(spark, sf):
+    from shiftkit.operators.roc import roc_points as rp
+
+    out = rp(_scored_labels(spark, sf), "quality", "n_chars", ["source"])
+    return out.select("source", "threshold", "tp", "fp", r9("tpr").alias("tpr"), r9("fpr").alias("fpr"))
+
+
 @query
 def distinct_elements(spark, sf):
     from shiftkit.operators.metrics import distinct_elements as de
@@ -716,6 +759,17 @@ def bootstrap_ci(spark, sf):
         "pool", "metric", r9("value").alias("value"), r9("ci_lo").alias("ci_lo"), r9("ci_hi").alias("ci_hi"))
 
 
+@query
+def bootstrap_accuracy(spark, sf):
+    """Accuracy of the toxic label as a prediction of quality, on 50 full-size resamples of each source's labels."""
+    from shiftkit.operators.vectors import sample_metrics
+
+    rows = read_table(spark, sf, "labels").join(_docs(spark, sf).select("doc_id", "source"), "doc_id")
+    hit = F.sum(F.when(F.col("quality") == F.col("toxic"), F.col("weight")).otherwise(0)) / F.sum("weight")
+    out = sample_metrics(rows, ["source"], "doc_id", iters=50, size=None, seed=17, metrics={"accuracy": hit})
+    return out.select("source", "iter", r9("accuracy").alias("accuracy"))
+
+
 def _paired(spark, sf):
     from shiftkit.operators.vectors import paired_distance as pdist
 
@@ -734,7 +788,9 @@ ROUNDS = list(range(1, 10))
 
 
 def _drift(spark, sf):
-    wide = _paired(spark, sf).groupBy("rank").pivot("pool", ROUNDS).agg(F.first("distance"))
+    from shiftkit.operators.scores import pivot_listed
+
+    wide = pivot_listed(_paired(spark, sf), ["rank"], "pool", ROUNDS, F.first("distance"))
     return wide.select("rank", *[F.col(str(r)).alias(f"distance_{r}") for r in ROUNDS])
 
 
@@ -768,37 +824,43 @@ def _shift_pairs(spark, sf):
     return x.join(y, ["pair", "rank"])
 
 
-def _two_by_two(pairs):
-    """Each two neighbouring dimensions of a pair as a point (x0, x1) moved to (y0, y1); ``dim`` is the first's number."""
-    at = F.explode(F.sequence(F.lit(0), F.size("x") - 2, F.lit(2)))
-    return pairs.withColumn("dim", at).select(
-        "pair", "rank", "dim", F.get("x", F.col("dim")).alias("x0"), F.get("x", F.col("dim") + 1).alias("x1"),
-        F.get("y", F.col("dim")).alias("y0"), F.get("y", F.col("dim") + 1).alias("y1"))
+def _components(spark, sf):
+    """All pools with each vector's scores on the first two principal components of all rows."""
+    from shiftkit.operators.vectors import pca_project as pp
+
+    return pp(_pools(spark, sf), "embedding", 2)
 
 
 def _shift_maps(spark, sf):
+    """The linear map from an original's two component scores to its improved one's, per bootstrap sample of all pairs."""
+    from shiftkit.operators.positional import dense_index
     from shiftkit.operators.sampling import bootstrap_draws
     from shiftkit.operators.vectors import expand_weights, regression_2d
     from shiftkit.session import materialize
 
-    pairs = materialize(_shift_pairs(spark, sf))
+    # scores only, the vectors stay behind
+    pc = _components(spark, sf).select("vec_id", "pool", F.col("pc")[0].alias("c0"), F.col("pc")[1].alias("c1"))
+    rp = dense_index(pc, ["vec_id"], by=["pool"], out="rank")
+    name = F.floor(F.col("pool") / 2)
+    x = rp.where(F.col("pool") % 2 == 0).select(name.alias("pair"), "rank", F.col("c0").alias("x0"), F.col("c1").alias("x1"))
+    y = rp.where(F.col("pool") % 2 == 1).select(name.alias("pair"), "rank", F.col("c0").alias("y0"), F.col("c1").alias("y1"))
+    pairs = materialize(x.join(y, ["pair", "rank"]))
     draws = bootstrap_draws(pairs.select("pair", "rank"), "rank", ["pair"], iters=10, size=100, seed=13)
-    sample = expand_weights(draws.join(_two_by_two(pairs), ["pair", "rank"]))
-    return regression_2d(sample, ["iter", "dim"], "x0", "x1", ["y0", "y1"])
+    return regression_2d(expand_weights(draws.join(pairs, ["pair", "rank"])), ["iter"], "x0", "x1", ["y0", "y1"])
 
 
 @query
 def shift_linear_map(spark, sf):
     return _shift_maps(spark, sf).select(
-        "iter", "dim", "out_dim", r9("coef_0").alias("coef_0"), r9("coef_1").alias("coef_1"), r9("intercept").alias("intercept"))
+        "iter", "out_dim", r9("coef_0").alias("coef_0"), r9("coef_1").alias("coef_1"), r9("intercept").alias("intercept"))
 
 
 @query
 def shift_map_summary(spark, sf):
     from shiftkit.operators.vectors import coefficient_summary
 
-    out = coefficient_summary(_shift_maps(spark, sf), ["dim", "out_dim"])
-    return out.select("dim", "out_dim", "n_samples", *[r9(f"{n}_{c}").alias(f"{n}_{c}") for c in ("coef_0", "coef_1", "intercept") for n in ("mean", "sd")])
+    out = coefficient_summary(_shift_maps(spark, sf), ["out_dim"])
+    return out.select("out_dim", "n_samples", *[r9(f"{n}_{c}").alias(f"{n}_{c}") for c in ("coef_0", "coef_1", "intercept") for n in ("mean", "sd")])
 
 
 @query
@@ -814,10 +876,8 @@ def shift_pull_estimate(spark, sf):
 def density_grid(spark, sf):
     from shiftkit.operators.vectors import density_grid as dg
 
-    v = _pools(spark, sf).select(F.col("embedding").cast("array<double>").alias("v"))
-    at = F.explode(F.sequence(F.lit(0), F.size("v") - 2, F.lit(2)))
-    p = v.withColumn("dim", at).select("dim", F.get("v", F.col("dim")).alias("x"), F.get("v", F.col("dim") + 1).alias("y"))
-    return dg(p, "x", "y", 0.05, ["dim"])
+    points = _components(spark, sf).select("pool", F.col("pc")[0].alias("x"), F.col("pc")[1].alias("y"))
+    return dg(points, "x", "y", 0.05, ["pool"])
 
 
 @query
@@ -831,10 +891,8 @@ def rewrite_trajectory(spark, sf):
 
 @query
 def pca_project(spark, sf):
-    from shiftkit.operators.vectors import pca_project as pp
-
-    out = pp(_pools(spark, sf), "embedding", 2)
-    return out.select("vec_id", "pool", F.col("pc")[0].alias("pc0"), F.col("pc")[1].alias("pc1"))
+    out = _components(spark, sf)
+    return out.select("vec_id", "pool", r9(F.col("pc")[0]).alias("pc0"), r9(F.col("pc")[1]).alias("pc1"))
 
 
 @query
@@ -875,6 +933,23 @@ def token_ids(spark, sf):
     return out.select("doc_id", F.array_join("input_ids", ",").alias("input_ids"))
 
 
+#: Where the public tokenizer files are.
+TOKENIZERS = "/opt/tokenizers"
+
+
+@query
+def subword_roundtrip(spark, sf, tokenizers=TOKENIZERS):
+    """Every document as subword ids of a byte-level tokenizer, and decoded again."""
+    from pathlib import Path
+
+    from shiftkit.operators.text import subword_ids, subword_texts
+
+    file = Path(tokenizers, "byte_bpe_50k.json").read_bytes()
+    ids = subword_ids(_docs(spark, sf).select("doc_id", "text"), "doc_id", "text", file)
+    out = subword_texts(ids, "doc_id", "input_ids", file)
+    return out.select("doc_id", F.md5("text").alias("text_md5"), F.length("text").cast("long").alias("n_chars"))
+
+
 def _revisions(spark, sf):
     from shiftkit.operators.text import token_diff
 
@@ -888,6 +963,25 @@ def revision_token_diff(spark, sf):
     return revision_summary(_revisions(spark, sf), ["conv_id", "turn"])
 
 
+@query
+def ordered_token_diff(spark, sf):
+    """The edit script of each user turn and the assistant turn after it, put together to both texts again: words kept or removed
+    give the first, words kept or added the second, each in the script's order."""
+    from shiftkit.operators.text import ordered_diff
+
+    script = ordered_diff(_turn_pairs(spark, sf), ["conv_id", "turn"], "original", "updated")
+    row = F.struct("step", "op", "token", "pos_before", "pos_after")
+    g = script.groupBy("conv_id", "turn").agg(F.array_sort(F.collect_list(row)).alias("s"))
+
+    def side(op, pos):
+        rows = F.filter("s", lambda r: r["op"].isin("=", op))
+        in_order = F.transform(rows, lambda r: r[pos]) == F.when(F.size(rows) > 0, F.sequence(F.lit(0), F.size(rows) - 1)).otherwise(F.array().cast("array<int>"))
+        return F.md5(F.array_join(F.transform(rows, lambda r: r["token"]), " ")), in_order
+
+    (before, first), (after, second) = side("-", "pos_before"), side("+", "pos_after")
+    return g.select("conv_id", "turn", before.alias("before_md5"), after.alias("after_md5"), (first & second).alias("in_order"))
+
+
 @query
 def top_added_tokens(spark, sf):
     from shiftkit.operators.text import top_changed_tokens
@@ -928,7 +1022,10 @@ PROMPT_MODELS = ["gpt4", "gemini", "mixtral"]
 def prompt_grid(spark, sf):
     from shiftkit.operators.prompts import build_prompts
 
-    return build_prompts(_docs(spark, sf), "doc_id", "text", ["score"], PERSONAS, PROMPT_MODELS)
+    # personas and models as configuration tables
+    personas = spark.createDataFrame([(p,) for p in PERSONAS], "persona string")
+    models = spark.createDataFrame([(m,) for m in PROMPT_MODELS], "model string")
+    return build_prompts(_docs(spark, sf), "doc_id", "text", ["score"], personas, models)
 
 
 @query
@@ -1036,7 +1133,7 @@ def label_prompts(spark, sf):
 
 
 # ---------------------------------------------------------------------------------------------
-# learning (rows-only checks: model fits have no SQL form)
+# learning (SQL checks the counts and what follows from them; the fits have no SQL form)
 
 
 @query
@@ -1045,8 +1142,11 @@ def classifier_accuracy(spark, sf):
     from shiftkit.operators.sampling import hash_split
 
     d = hash_split(_docs(spark, sf).select("doc_id", "text", _is_us().alias("label")), "doc_id", 0.8, seed=7)
-    return ca(d, "text", "label", "split", ["logistic_regression", "random_forest", "neural_network"], vocab_size=5000).select(
-        "method", "n", "n_positive", "beats_majority")
+    out = ca(d, "text", "label", "split", ["logistic_regression", "random_forest", "neural_network"], vocab_size=5000)
+    n = F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn")
+    return out.select(
+        "method", (F.col("tp") + F.col("fn")).alias("n_positive"), (F.col("tn") + F.col("fp")).alias("n_negative"),
+        (F.abs(F.col("accuracy") - (F.col("tp") + F.col("tn")) / n) < 1e-9).alias("accuracy_of_counts"), "beats_majority")
 
 
 @query
@@ -1055,11 +1155,13 @@ def variant_auroc(spark, sf):
     from shiftkit.operators.learn import variant_auroc as va
     from shiftkit.operators.sampling import hash_split
 
-    upd = pv(_parsed_updates(spark, sf), "key", UPDATE_TYPES).dropna(how="any").withColumnRenamed("key", "doc_id")
+    upd = pv(_parsed_updates(spark, sf), ["key", "part"], UPDATE_TYPES).dropna(how="any").withColumnRenamed("key", "doc_id")
     prof = _docs(spark, sf).select("doc_id", F.col("text").alias("original"), _is_us().alias("label")).join(upd, "doc_id")
     d = hash_split(prof, "doc_id", 0.8, seed=7)
     out = va(d, ["original", *UPDATE_TYPES], "label", "split")
-    return out.select("variant", "n_positive", "n_negative", F.col("auroc").isNotNull().alias("scored"))
+    # the two ways to the area agree, and there is one wherever there are both classes
+    return out.select("variant", (F.col("tp") + F.col("fn")).alias("n_positive"), (F.col("tn") + F.col("fp")).alias("n_negative"),
+                      F.col("auroc").isNotNull().alias("scored"), (F.abs(F.col("auroc_score") - F.col("auroc_area")) < 1e-9).alias("areas_agree"))
 
 
 # ---------------------------------------------------------------------------------------------
@@ -1071,3 +1173,144 @@ def incremental_prompts(spark, sf):
     from shiftkit.streaming.incremental import incremental_prompt_run
 
     return incremental_prompt_run(spark, f"{sf}/conversations.parquet").select("prompt_id", "kind", "text_name", "prompt")
+
+
+def _arrivals(spark, sf):
+    """Answers with the time they come: all at first (a quarter of an hour in), then in three later hours the retries of a third of the
+    missing ones each; the third at the hash's remainder 0 never gets one. Among them are NULL retries, repeated rows and older answers."""
+    from shiftkit.functions.hashing import hash_u60
+
+    first = _updates_long(spark, sf).where(F.col("variable").startswith("answer.") & ~F.col("variable").endswith("_comment")).select("part", "variable", "value")
+    third = F.pmod(hash_u60("retry", "part", "variable"), F.lit(3))
+    missing = first.where(F.col("value").isNull()).withColumn("third", third)
+
+    def at(hours):
+        return F.timestamp_seconds(F.lit(1_000_000_000 + int(3600 * hours)))
+
+    retry = F.concat(F.lit("retry: "), F.col("variable"))
+    rows = [
+        first.select(F.lit(0).alias("batch"), "part", "variable", "value", at(0.25).alias("at")),
+        missing.where("third = 1").select(F.lit(1), "part", "variable", retry, at(1)),
+        missing.where("third = 2").select(F.lit(1), "part", "variable", F.lit(None).cast("string"), at(1)),
+        missing.where("third = 2").select(F.lit(2), "part", "variable", retry, at(2)),
+        missing.where("third = 1").select(F.lit(2), "part", "variable", retry, at(1)),
+        missing.where("third = 1").select(F.lit(2), "part", "variable", F.lit("older"), at(0.9)),
+        missing.where("third = 2").select(F.lit(3), "part", "variable", retry, at(3)),
+    ]
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.union(r)
+    return out
+
+
+@query
+def streamed_answers(spark, sf):
+    """Answers and retries fed to the stream in four files, two before and two after a restart."""
+    import uuid
+
+    from shiftkit.session import checkpoint_dir, materialize
+    from shiftkit.streaming.answers import current_answers, run_merge
+
+    base = f"{checkpoint_dir(spark).rstrip('/')}/answers-{uuid.uuid4().hex}"
+    rows = materialize(_arrivals(spark, sf))
+    for batch in range(4):
+        rows.where(F.col("batch") == batch).drop("batch").coalesce(1).write.parquet(f"{base}/in/{batch}")
+        if batch % 2:
+            run_merge(spark, f"{base}/in", f"{base}/out", f"{base}/progress", "part long, variable string, value string, at timestamp", ["part", "variable"])
+    out = current_answers(spark, f"{base}/out", ["part", "variable"])
+    return out.select("part", "variable", "value", "status")
+
+
+@query
+def retried_answers(spark, sf):
+    """The open questions asked again until all are answered, by a stand-in model that answers half of the open ones a round, and the rest of a few at once."""
+    from shiftkit.functions.hashing import hash_u60
+    from shiftkit.operators.answers import retry_unanswered
+
+    rows = _updates_long(spark, sf).where(F.col("variable").startswith("answer.") & ~F.col("variable").endswith("_comment"))
+    name = F.concat_ws("/", "part", "variable")
+    asked = rows.select(name.alias("variable"), "value")
+    turn = [0]
+
+    def respond(open_rows):
+        turn[0] += 1
+        half = F.pmod(hash_u60(turn[0], "variable"), F.lit(2)) == 0
+        return open_rows.select("variable", F.when(half | F.lit(turn[0] > 5), F.concat(F.lit("again: "), F.col("variable"))).alias("value"))
+
+    return retry_unanswered(asked, respond, allow_open=True)
+
+
+# ---------------------------------------------------------------------------------------------
+# small ones
+
+
+@query
+def first_documents(spark, sf):
+    """The first ten documents in doc_id order (a head of a table)."""
+    return _docs(spark, sf).select("doc_id", "lang", "n_chars").orderBy("doc_id").limit(10)
+
+
+@query
+def renamed_columns(spark, sf):
+    """Chosen columns under the names that answers have."""
+    return _docs(spark, sf).select(F.col("doc_id").alias("text_name"), F.col("lang").alias("answer_lang"), F.col("n_chars").alias("answer_size"))
+
+
+@query
+def answer_columns(spark, sf):
+    """The columns whose name has a part, and the rest without another."""
+    from shiftkit.operators.answers import columns_containing
+
+    named = _docs(spark, sf).select("doc_id", F.col("lang").alias("answer.lang"), F.col("n_chars").alias("answer.n_chars"), F.col("source").alias("agent.source"))
+    out = columns_containing(columns_containing(named, ".", keep=True), "agent", keep=False)
+    return out.select(F.col("`answer.lang`").alias("lang"), F.col("`answer.n_chars`").alias("n_chars"))
+
+
+@query
+def shuffled_documents(spark, sf):
+    """Documents in a reproducible random order, numbered."""
+    from shiftkit.functions.hashing import hash_u60
+    from shiftkit.operators.positional import dense_index
+
+    docs = _docs(spark, sf).select("doc_id").withColumn("_h", hash_u60(29, "doc_id"))
+    return dense_index(docs, ["_h", "doc_id"], out="position").select("doc_id", "position")
+
+
+# ---------------------------------------------------------------------------------------------
+# sources and sinks
+
+
+@query
+def text_folder_roundtrip(spark, sf):
+    """Documents as one file for each (source, doc_id), in two folders, read back with the folder in the key."""
+    import uuid
+
+    from shiftkit.session import checkpoint_dir
+    from shiftkit.sources.textfolder import read_text_folder, write_text_folder
+
+    base = f"{checkpoint_dir(spark).rstrip('/')}/texts-{uuid.uuid4().hex}"
+    docs = _docs(spark, sf).select(F.col("source").alias("model"), F.col("doc_id").cast("string").alias("name"), "text")
+    turns = read_table(spark, sf, "conversations").groupBy("role", "conv_id").agg(F.max_by("text", "turn").alias("text"))
+    last = turns.select(F.col("role").alias("model"), F.col("conv_id").cast("string").alias("name"), "text")
+    write_text_folder(docs, f"{base}/documents")
+    write_text_folder(last, f"{base}/turns")
+    back = read_text_folder(spark, [f"{base}/documents", f"{base}/turns"])
+    return back.select(F.element_at(F.split("dir", "/"), -1).alias("folder"), "model", "name", F.md5("text").alias("text_md5"), F.length("text").cast("long").alias("n_chars"))
+
+
+@query
+def csv_chunks_roundtrip(spark, sf):
+    """Conversations written as CSV files, a folder for each role, and read back as one table with its column contract."""
+    import uuid
+
+    from shiftkit.operators.answers import columns_containing, require_columns
+    from shiftkit.session import checkpoint_dir
+    from shiftkit.sources.corpus import read_csv_table, write_table
+
+    base = f"{checkpoint_dir(spark).rstrip('/')}/csv-{uuid.uuid4().hex}"
+    conv = read_table(spark, sf, "conversations").select("conv_id", "turn", "text", "role")
+    write_table(conv, base, "csv", partition_by=["role"])
+    back = read_csv_table(spark, base, "conv_id long, turn long, text string, role string", required=["conv_id", "turn", "text"])
+    named = require_columns(back, ["conv_id", "role"], "chunks").withColumnRenamed("text", "answer.text").withColumnRenamed("role", "agent.role")
+    answers = columns_containing(named, "agent", keep=False)
+    return answers.select("conv_id", "turn", F.md5(F.col("`answer.text`")).alias("text_md5"))

@@ -50,7 +50,8 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: Se
     if partition_by:
         w = w.partitionBy(*partition_by)
     if fmt == "csv":
-        w.option("header", True).option("escape", '"').csv(path)
+        # spaces around a value are part of it
+        w.option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
     else:
         w.format(fmt).save(path)
 

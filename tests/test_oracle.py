@@ -66,11 +66,11 @@ def test_query_matches_oracle(spark, duck, name):
     assert sr == dr
 
 
-def test_every_query_of_the_library_has_an_oracle_but_pca():
+def test_every_query_of_the_library_has_an_oracle():
     from shiftkit.plans.oracle import ORACLE
     from shiftkit.plans.registry import QUERIES
 
-    assert set(QUERIES) - set(ORACLE) == {"pca_project"} and not set(ORACLE) - set(QUERIES)
+    assert set(QUERIES) == set(ORACLE)
 
 
 def test_entry_runs(spark):

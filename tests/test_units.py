@@ -362,8 +362,38 @@ def test_token_diff_of_empty_pairs_and_order(spark):
     df = spark.createDataFrame([(1, "", None), (2, "a b c", "c a b")], "k int, o string, u string")
     s = {r["k"]: (r["kept"], r["removed"], r["added"]) for r in text.revision_summary(text.token_diff(df, ["k"], "o", "u"), ["k"]).collect()}
     assert s == {1: (0, 0, 0), 2: (3, 0, 0)}
-    edits = {r["k"]: [(e["op"], e["token"]) for e in r["edits"]] for r in text.ordered_diff(df, "o", "u").collect()}
-    assert edits == {1: [], 2: [("+", "c"), ("=", "a"), ("=", "b"), ("-", "c")]}
+    edits = [tuple(r) for r in text.ordered_diff(df, ["k"], "o", "u").orderBy("k", "step").collect()]
+    assert edits == [(2, 0, "+", "c", None, 0), (2, 1, "=", "a", 0, 1), (2, 2, "=", "b", 1, 2), (2, 3, "-", "c", 2, None)]
+
+
+def test_ordered_diff_rebuilds_both_texts(spark):
+    import random
+    from difflib import SequenceMatcher
+
+    rnd, pairs = random.Random(6), [(None, "x y", "x z y"), (0, None, "new text"), (1, "gone", None), (2, "a a a b", "a a b b"), (3, "", "")]
+    for k in range(10, 60):
+        a = [rnd.choice("abcdefghijklmnopqrstuvwxyz" if k % 2 else "ab") for _ in range(rnd.randrange(40))]
+        b = [w for w in a if rnd.random() < 0.8]
+        for _ in range(rnd.randrange(6)):
+            b.insert(rnd.randrange(len(b) + 1), rnd.choice("abXYZ"))
+        pairs.append((k, " ".join(a), " ".join(b)))
+    long = [f"w{rnd.randrange(900)}" for _ in range(4000)]
+    pairs.append((99, " ".join(long), " ".join(long[:1000] + ["inserted"] * 7 + long[1500:])))
+    got = {}
+    for r in text.ordered_diff(spark.createDataFrame(pairs, "k int, o string, u string"), ["k"], "o", "u").orderBy("k", "step").collect():
+        got.setdefault(r["k"], []).append(r)
+    kept = best = 0
+    for k, o, u in pairs:
+        rows_, a, b = got.get(k, []), (o or "").split(), (u or "").split()
+        assert [r["step"] for r in rows_] == list(range(len(rows_)))
+        assert [r["token"] for r in rows_ if r["op"] in "=-"] == a and [r["pos_before"] for r in rows_ if r["op"] in "=-"] == list(range(len(a)))
+        assert [r["token"] for r in rows_ if r["op"] in "=+"] == b and [r["pos_after"] for r in rows_ if r["op"] in "=+"] == list(range(len(b)))
+        kept += sum(r["op"] == "=" for r in rows_)
+        best += sum(m.size for m in SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks())
+    assert kept > 0.9 * best
+    assert sum(r["op"] == "=" for r in got[99]) > 3450  # of 3500 words that stay
+    with pytest.raises(ValueError, match="repeats"):
+        text.ordered_diff(spark.createDataFrame([(1, "a", "b"), (1, "c", "d")], "k int, o string, u string"), ["k"], "o", "u")
 
 
 def test_rewrite_rounds_loop(spark):
