@@ -72,19 +72,28 @@ N = len(LABELS)
 
 
 def features(token: str, before: str) -> list[str]:
-    """What the field sees of a token: its shape, and the word before it. No check sums, no ranges."""
+    """What the field sees of a token: its shape's first 12 signs, counts, and the last 8 letters of the word before it (looked for in the
+    24 characters before). No check sums, no ranges."""
     shape = re.sub(r"[0-9]+", "9", re.sub(r"[A-Za-z]+", "a", token))
     digits = sum(map(str.isdigit, token))
     return ["bias", f"shape={shape[:12]}", f"digits={min(digits, 20)}", f"dots={min(token.count('.'), 4)}", f"at={'@' in token}", f"plus={token[:1] == '+'}", f"letters={any(map(str.isalpha, token))}", f"before={before[-8:].lower()}"]
 
 
-def graph(text: str) -> tuple[list[tuple[int, int]], list[list[str]], list[tuple[int, int]], list[tuple[int, int]]]:
-    """Tokens (spans without closing punctuation), their features, chain edges and skip edges.
+#: Digits that make two numbers similar: the last so many are equal, and one number ends with the other.
+TAIL = 7
+#: A number is written in at most so many neighbouring tokens.
+WINDOW = 6
+_NUMBER = re.compile(r"[^A-Za-z@]*")
 
-    Chain edges join neighbouring tokens with only separators between; skip edges join a token to the next
-    one, however far, that is the same or similar: equal digits (three or more), or equal letters of an address.
+
+def graph(text: str, base: list[Span]) -> tuple[list[tuple[int, int]], list[list[str]], list[tuple[int, int]], list[list[int]]]:
+    """Tokens (spans without closing punctuation), their features, chain edges, and hubs.
+
+    Chain edges join neighbouring tokens with only separators between. A hub stands for one entity and joins, however far apart, all tokens
+    that are the same or similar: the parts of numbers that end in the same digits as a number of the base spans (see TAIL), addresses with
+    the local part of one, and besides tokens of TAIL digits or more that repeat as they are.
     """
-    spans, seen, chain, skip, feats = [], {}, [], [], []
+    spans, chain, feats, digits, words = [], [], [], [], []
     for m in _TOKEN.finditer(text):
         token = m[0].rstrip(".,;:!?\"'").lstrip("\"'")
         start = m.start() + len(m[0]) - len(m[0].lstrip("\"'"))
@@ -93,14 +102,32 @@ def graph(text: str) -> tuple[list[tuple[int, int]], list[list[str]], list[tuple
         feats.append(features(token, head[-1] if head else ""))
         if i and not text[spans[-1][1] : start].strip(" "):
             chain.append((i - 1, i))
-        digits = re.sub(r"[^0-9]", "", token)
-        key = token.lower() if "@" in token else digits if len(digits) >= 3 else None
-        if key:
-            if key in seen and (seen[key], i) not in chain[-1:]:
-                skip.append((seen[key], i))
-            seen[key] = i
         spans.append((start, start + len(token)))
-    return spans, feats, chain, skip
+        words.append(token.lower())
+        digits.append(re.sub(r"[^0-9]", "", token) if _NUMBER.fullmatch(token) else "")
+    hubs: dict = {}
+    known: dict[str, set[str]] = {}
+    for lo, hi, kind in base:
+        if kind in ("card", "phone"):
+            number = re.sub(r"[^0-9]", "", text[lo:hi])
+            known.setdefault(number[-TAIL:], set()).add(number)
+    locals_ = {text[lo:hi].lower().split("@")[0] for lo, hi, kind in base if kind == "email"}
+    follows = {j for _, j in chain}
+    for i, word in enumerate(words):
+        if "@" in word:
+            local = word.split("@")[0]
+            hubs.setdefault(("email", local) if local in locals_ and len(local) > 2 else word, set()).add(i)
+        elif sum(map(str.isdigit, word)) >= TAIL:
+            hubs.setdefault(word, set()).add(i)
+        number = ""
+        for j in range(i, min(i + WINDOW, len(words))):
+            if not digits[j] or (j > i and j not in follows):
+                break
+            number += digits[j]
+            for whole in known.get(number[-TAIL:], ()) if len(number) >= TAIL else ():
+                if whole.endswith(number) or number.endswith(whole):
+                    hubs.setdefault(("number", whole), set()).update(range(i, j + 1))
+    return spans, feats, chain, [sorted(h) for h in hubs.values() if len(h) > 1]
 
 
 class Field:
@@ -108,44 +135,69 @@ class Field:
 
     def __init__(self) -> None:
         self.names: dict[str, int] = {}
-        self.node, self.chain, self.skip = np.zeros((0, N)), np.zeros((N, N)), np.eye(N)
+        self.node, self.chain, self.skip = np.zeros((0, N)), np.zeros((N, N)), agreement(np.zeros((N, N)))
 
     def scores(self, feats: list[list[str]]) -> np.ndarray:
         return np.array([sum((self.node[self.names[f]] for f in fs if f in self.names), np.zeros(N)) for fs in feats]).reshape(-1, N)
 
-    def marginals(self, feats: list[list[str]], chain: list[tuple[int, int]], skip: list[tuple[int, int]], rounds: int = 12, damp: float = 0.3, known: np.ndarray | None = None) -> np.ndarray:
-        """Label probabilities by loopy sum-product messages along both sorts of edges, for all edges at once.
+    def marginals(self, feats: list[list[str]], chain: list[tuple[int, int]], hubs: list[list[int]], damp: float = 0.3, known: np.ndarray | None = None, tolerance: float = 1e-4) -> np.ndarray:
+        """Label probabilities of the tokens by loopy sum-product messages along chain edges and between tokens and their hubs.
 
-        ``known`` has the labels of tokens inside pattern spans (0: none); they are evidence, and flow along the edges.
+        ``known`` has the labels of tokens inside pattern spans (0: none); they are evidence. In two steps it reaches all tokens of its hub.
+        A hub's tokens without evidence are alike, so together they have one vote there: their messages count by one over
+        their number. Messages go on until they change less than ``tolerance``, at most for as many rounds as the longest chain takes and thirty more.
         """
-        own = self.scores(feats)
+        own, n = self.scores(feats), len(feats)
+        free = np.ones(n, bool)
         if known is not None:
             at = np.flatnonzero(known)
-            own[at, known[at]] += 10
-        edges = np.array([*chain, *skip], dtype=np.int64).reshape(-1, 2)
+            own[at, known[at]] += 50
+            free[at] = False
+        own = np.concatenate([own, np.zeros((len(hubs), N))])
+        joins = [(i, n + h) for h, members in enumerate(hubs) for i in members]
+        votes = [1 / max(1, sum(free[i] for i in members)) for members in hubs]
+        edges = np.array([*chain, *joins], dtype=np.int64).reshape(-1, 2)
         belief = own
         if len(edges):
-            pot = np.concatenate([np.repeat(self.chain[None], len(chain), 0), np.repeat(self.skip[None], len(skip), 0)])
+            pot = np.concatenate([np.repeat(self.chain[None], len(chain), 0), np.repeat(self.skip[None], len(joins), 0)])
+            weight = np.array([1.0] * len(chain) + [votes[h - n] if free[i] else 1.0 for i, h in joins] + [1.0] * len(edges))[:, None]
             src, dst = np.concatenate([edges[:, 0], edges[:, 1]]), np.concatenate([edges[:, 1], edges[:, 0]])
             pot, back = np.concatenate([pot, pot.transpose(0, 2, 1)]), np.concatenate([np.arange(len(edges)) + len(edges), np.arange(len(edges))])
             message = np.zeros((len(src), N))
-            for _ in range(rounds):
+            for _ in range(30 + 2 * longest(chain)):
                 belief = own.copy()
                 np.add.at(belief, dst, message)
                 x = (belief[src] - message[back])[:, :, None] + pot
                 top = x.max(axis=1, keepdims=True)
                 new = (top + np.log(np.exp(x - top).sum(axis=1, keepdims=True)))[:, 0]
-                new -= new.max(axis=1, keepdims=True)
+                new = (new - new.max(axis=1, keepdims=True)) * weight
                 change = np.abs(new - message).max()
                 message = damp * message + (1 - damp) * new
-                if change < 1e-4:
+                if change < tolerance:
                     break
             belief = own.copy()
             np.add.at(belief, dst, message)
+        belief = belief[:n]
         e = np.exp(belief - belief.max(axis=1, keepdims=True))
         return e / e.sum(axis=1, keepdims=True)
 
 
+def agreement(counts: np.ndarray, agree: float = 100.0, differ: float = 1e-5) -> np.ndarray:
+    """Potentials of a token's label and its hub's from how often they were seen together, with counts ahead of the data that say an entity
+    has one label. Labels that are seen to differ weaken it."""
+    seen = counts + np.where(np.eye(N) > 0, agree, differ)
+    return np.log(seen / seen.sum(axis=0, keepdims=True))
+
+
+def longest(chain: list[tuple[int, int]]) -> int:
+    """Edges of the longest chain."""
+    best = here = 0
+    for (_, j), (i, _) in zip([(0, -1), *chain], chain, strict=False):
+        here = here + 1 if i == j else 1
+        best = max(best, here)
+    return best
+
+
 def silver(spans: list[tuple[int, int]], base: list[Span]) -> np.ndarray:
     """The label of each token: the kind of the base span it lies in, or out."""
     out, i = np.zeros(len(spans), np.int64), 0
@@ -159,26 +211,39 @@ def silver(spans: list[tuple[int, int]], base: list[Span]) -> np.ndarray:
 
 
 def fit(texts: list[str], steps: int = 300, rate: float = 0.5, least: int = 2) -> Field:
-    """Fit the field to texts that the patterns label, by pseudo-likelihood: each token given its neighbours' labels."""
-    field, rows, y, left, right, counts = Field(), [], [], [], [], {}
+    """Fit the field to texts that the patterns label: token and chain weights by pseudo-likelihood, each token given its neighbours'
+    labels; the hubs' potentials from the labels that tokens of one entity have.
+
+    A token outside the patterns that shares a hub with one inside is no example of anything: that the patterns leave it out doesn't say what it is.
+    """
+    field, rows, y, left, counts, pairs = Field(), [], [], [], {}, np.zeros((N, N))
     for text in texts:
-        spans, feats, chain, skip = graph(text)
-        labels = silver(spans, base_spans(text))
-        sides = [np.zeros((len(spans), N)) for _ in range(3)]
+        base = base_spans(text)
+        spans, feats, chain, hubs = graph(text, base)
+        labels = silver(spans, base)
+        use = np.ones(len(spans), bool)
+        for members in hubs:
+            told = labels[members]
+            inside = told[told > 0]
+            if len(inside):
+                use[np.array(members)[told == 0]] = False
+                label = int(np.bincount(inside).argmax())
+                np.add.at(pairs, (inside, label), 1)
+            else:
+                pairs[0, 0] += len(members)
+        sides = [np.zeros((len(spans), N)) for _ in range(2)]
         for i, j in chain:
             sides[0][j, labels[i]] += 1
             sides[1][i, labels[j]] += 1
-        for i, j in skip:
-            sides[2][j, labels[i]] += 1
-            sides[2][i, labels[j]] += 1
-        for fs in feats:
-            for f in fs:
+        keep = np.flatnonzero(use)
+        for i in keep:
+            for f in feats[i]:
                 counts[f] = counts.get(f, 0) + 1
-        rows += feats
-        y += labels.tolist()
-        left.append(np.concatenate(sides, axis=1))
+        rows += [feats[i] for i in keep]
+        y += labels[keep].tolist()
+        left.append(np.concatenate(sides, axis=1)[keep])
     field.names = {f: i for i, f in enumerate(sorted(f for f, n in counts.items() if n >= least))}
-    field.node = np.zeros((len(field.names), N))
+    field.node, field.skip = np.zeros((len(field.names), N)), agreement(pairs)
     if not rows:
         return field
     at = [(i, field.names[f]) for i, fs in enumerate(rows) for f in fs if f in field.names]
@@ -188,25 +253,23 @@ def fit(texts: list[str], steps: int = 300, rate: float = 0.5, least: int = 2) -
     for _ in range(steps):
         s = np.zeros((len(y), N))
         np.add.at(s, r, field.node[c])
-        s += context[:, :N] @ field.chain + context[:, N : 2 * N] @ field.chain.T + context[:, 2 * N :] @ field.skip
+        s += context[:, :N] @ field.chain + context[:, N:] @ field.chain.T
         e = np.exp(s - s.max(axis=1, keepdims=True))
         wrong = (truth - e / e.sum(axis=1, keepdims=True)) / len(y)
         g = np.zeros_like(field.node)
         np.add.at(g, c, wrong[r])
         field.node += rate * (g - 1e-4 * field.node)
-        field.chain += rate * (context[:, :N].T @ wrong + wrong.T @ context[:, N : 2 * N] - 1e-4 * field.chain)
-        pull = context[:, 2 * N :].T @ wrong
-        field.skip += rate * (pull + pull.T) / 2 - rate * 1e-3 * (field.skip - np.eye(N))
+        field.chain += rate * (context[:, :N].T @ wrong + wrong.T @ context[:, N:] - 1e-4 * field.chain)
     return field
 
 
 def added_spans(text: str, base: list[Span], field: Field, sure: float) -> list[Span]:
     """Spans the field adds: runs of tokens of one kind with a probability above ``sure``, apart from all base spans."""
-    spans, feats, chain, skip = graph(text)
+    spans, feats, chain, hubs = graph(text, base)
     if not spans:
         return []
     known = silver(spans, base)
-    p = field.marginals(feats, chain, skip, known=known)
+    p = field.marginals(feats, chain, hubs, known=known)
     kind, linked, out = np.where(p[:, 1:].max(axis=1) >= sure, p[:, 1:].argmax(axis=1), -1), set(chain), []
     free = known == 0
     for i, (a, b) in enumerate(spans):
@@ -232,8 +295,8 @@ def find_personal(docs: DataFrame, sure: float = 0.9, sample: int = 2000) -> Dat
     """Personal data of every whole text: ``doc_id, base, added``, arrays of ``start, end, kind`` in code points.
 
     ``base`` has the spans of the patterns. ``added`` has what the field finds besides: its tokens are joined to their neighbours
-    and, however far apart, to the same or similar tokens of the document, and messages along these edges
-    bring their labels to agree; so a number written without its mark is found if the document shows elsewhere what it
+    and, however far apart, through one hub an entity to the same or similar tokens of the document, and messages along these edges
+    bring their labels to agree; so a number written without its mark is found, however often, if the document shows elsewhere what it
     is. The field learns from what the patterns label in ``sample`` documents. A text without digits and at
     signs has no spans.
 

@@ -133,6 +133,78 @@ def test_stages_stand_clashing_columns_and_empty_tables(spark):
             assert Counter((r["doc_id"], r["text"]) for r in got) == Counter(r[:2] for r in rows)
 
 
+def plain_permute(i, n, key):
+    """The Feistel permutation of one index with Python's integers."""
+    half, mask = -(-int(np.ceil(np.log2(max(n, 2) + 1))) // 2), 2**64 - 1
+
+    def f(x, k):
+        z = (x + k) * 0x9E3779B97F4A7C15 & mask
+        z = (z ^ z >> 29) * 0xBF58476D1CE4E5B9 & mask
+        return (z ^ z >> 32) & (1 << half) - 1
+
+    while True:
+        left, right = i >> half, i & (1 << half) - 1
+        for r in range(4):
+            left, right = right, left ^ f(right, (key + r * 0xD1B54A32D192ED03) & mask)
+        i = left << half | right
+        if i < n:
+            return i
+
+
+def test_mix_replayed_in_plain_loops(corpus, monkeypatch):
+    monkeypatch.setattr(mixing, "SHARD_SLOTS", 50)
+    rows, df = corpus
+    placements, documents = mixing.mix_sources(df)
+    docs = documents.collect()
+    sizes = Counter()
+    for _, t, s in rows:
+        sizes[s] += len((t or "").encode().split())
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    goal = [int(t) for t in mixing.targets([sizes[s] for s in order])]
+
+    def taken(s, i):
+        """Block and words of slot i of a source, if none were cut short."""
+        blocks = -(-sizes[order[s]] // 16)
+        block = plain_permute(i % blocks, blocks, mixing.epoch_key(1, s, i // blocks))
+        return block, (sizes[order[s]] - 16 * (blocks - 1)) if block == blocks - 1 else 16
+
+    slots = []  # of each source, until its target is met to the word
+    for s, most in enumerate(goal):
+        mine, left = [], most
+        while left:
+            block, words = taken(s, len(mine))
+            mine.append((block, min(words, left)))
+            left -= mine[-1][1]
+        slots.append(mine)
+    wanted, total = [len(x) for x in slots], sum(map(len, slots))
+    drawn, at = [0] * len(order), []
+    for shard in range(-(-total // 50)):
+        n = np.random.default_rng([1, shard]).multinomial(min(50, total - 50 * shard), np.array(wanted) / total)
+        slot = 0
+        for s, k in enumerate(n.tolist()):
+            for _ in range(k):
+                at.append((shard, slot, s, drawn[s]))
+                drawn[s], slot = drawn[s] + 1, slot + 1
+    # draws beyond a source's need go, in order, to the sources that lack some
+    extra = dict(zip([(s, i) for s in range(len(order)) for i in range(wanted[s], drawn[s])], [(s, i) for s in range(len(order)) for i in range(drawn[s], wanted[s])], strict=True))
+    want = Counter()
+    for shard, slot, s, i in at:
+        s, i = extra.get((s, i), (s, i))
+        block, words = slots[s][i]
+        for d in docs:
+            lo, hi = max(d["start"], 16 * block), min(d["start"] + d["size"], 16 * block + words)
+            if d["source_no"] == s and lo < hi:
+                want[shard, slot, s, block, d["doc_id"], lo - d["start"], hi - lo] += 1
+    got = Counter(tuple(r[c] for c in ("shard", "slot", "source_no", "block", "doc_id", "doc_start", "words")) for r in placements.collect())
+    assert got == want
+    for s, name in enumerate(order):  # each source's documents lie end to end in its stream
+        end = 0
+        for d in sorted((d for d in docs if d["source_no"] == s and d["size"]), key=lambda d: d["start"]):
+            assert d["start"] == end and d["source"] == name
+            end += d["size"]
+        assert end == sizes[name]
+
+
 def test_mix_of_nothing(docs_of):
     df = docs_of([])
     placements, documents = mixing.mix_sources(df)
@@ -155,6 +227,63 @@ def toxic_rows(n, seed):
     return out
 
 
+def slow_score(net, text):
+    """One text's score word by word and window by window, with the network's parameters only."""
+    p = {k: v.astype(np.float64) for k, v in net.params.items()}
+    size, h_ = gru.WIDTH - 2, gru.HIDDEN
+    words = []
+    for w in text.split():
+        at = 0
+        while True:
+            words.append(w[at : at + size])
+            at += size - 3
+            if len(w) <= size or at >= len(w) - 3:
+                break
+
+    def vector(w):
+        marked, rows = b"^" + w + b"$", []
+        for n in (3, 4):
+            for i in range(len(marked) - n + 1):
+                code = 0
+                for c in marked[i : i + n]:
+                    code = code * 16777619 % 2**32 ^ c
+                rows.append((code ^ code >> 15) * 2654435761 % 2**32 >> 20)
+        return np.concatenate([p["word"][net.vocabulary.get(w, 0)], p["char"][rows].mean(axis=0)])
+
+    def states(xs, d):
+        h, out = np.zeros(h_), []
+        for x in xs:
+            a, g = x @ p[f"x{d}"] + p[f"c{d}"], h @ p[f"u{d}"]
+            r, z = (1 / (1 + np.exp(-(a[i : i + h_] + g[i : i + h_]))) for i in (0, h_))
+            h = (1 - z) * np.tanh(a[2 * h_ :] + r * g[2 * h_ :]) + z * h
+            out.append(h)
+        return out
+
+    best, start = -np.inf, 0
+    while True:
+        xs = [vector(w) for w in words[start : start + gru.WINDOW]]
+        hs = [np.concatenate(x) for x in zip(states(xs, "f"), states(xs[::-1], "b")[::-1], strict=True)]
+        weight = np.array([np.exp(np.tanh(x @ p["a"]) @ p["v"]) for x in hs])
+        pooled = sum((x * k for x, k in zip(hs, weight / weight.sum(), strict=True)), np.zeros(2 * h_)) if hs else np.zeros(2 * h_)
+        best = max(best, pooled @ p["o"] + p["o0"][0])
+        if start + gru.WINDOW >= len(words):
+            break
+        start += gru.STRIDE
+    a, b = net.scale
+    return 1 / (1 + np.exp(-(a * best + b)))
+
+
+def test_scores_match_a_plain_forward_pass():
+    rnd = random.Random(21)
+    rows = toxic_rows(120, 22)
+    net = gru.train([t.encode() for _, t, _ in rows], np.array([y for _, _, y in rows]), epochs=2)
+    texts = [t.encode() for _, t, _ in toxic_rows(20, 23)]
+    texts += [b"", b" \n", b"one", "漢字".encode() * 60, b"x" * 23 + b" " + b"y" * 22, b" ".join(b"w%d" % rnd.randrange(99) for _ in range(84)), prose(rnd, 700).encode() + b" idiot", b"a" * 500]
+    got = net.scores(texts, words=200)
+    assert got == pytest.approx([slow_score(net, t) for t in texts], abs=2e-3)
+    assert max(got) - min(got) > 0.1
+
+
 def test_gradients_are_right():
     rng = np.random.default_rng(0)
     p = {k: v.astype(np.float64) for k, v in gru.start(5, 3).items()}
@@ -280,7 +409,7 @@ def test_skip_edges_carry_labels(docs_of):
     rows = [(i, TRAIN) for i in range(30)] + [(100, "x 77 y"), (101, None), (102, ""), (None, "a@b.cc")]
     rows += [(200, "it is +1 (555) 123-4567 ok. Far away again (555) 123-4567 and 12 apples"), (201, "mail a.b@c.de " + "word " * 30000 + "A.B@C.DE and a.b@c.de")]
     rows += [(202, " ".join(str(i) for i in range(3000)))]
-    got = {r["doc_id"]: r for r in pii.find_personal(docs_of(rows), sure=0.6).collect()}
+    got = {r["doc_id"]: r for r in pii.find_personal(docs_of(rows)).collect()}
     for d, t in rows:
         assert [(s["start"], s["end"], s["kind"]) for s in got[d]["base"]] == brute_spans(t or "")
     text = rows[-3][1]
@@ -289,18 +418,45 @@ def test_skip_edges_carry_labels(docs_of):
     assert pii.find_personal(docs_of([])).collect() == []
 
 
+BARE = ["5551234567", "(555) 123-4567", "555.123.4567", "1 555 123 4567", "4111.1111.1111.1111", "4111/1111/1111/1111", "j.doe@intranet"]
+
+
+@pytest.mark.parametrize("times", [1, 12, 50])
+def test_bare_repeats_of_a_marked_entity_are_all_found(docs_of, times):
+    """With the query's own parameters; numbers that no pattern marks anywhere stay out."""
+    rnd = random.Random(times)
+    plain = [" ".join(rnd.choice(["order", "of", "in", "item"]) + " " + rnd.choice([str(rnd.randrange(10**k)) for k in (2, 4, 7, 10, 12)]) for _ in range(40)) for _ in range(60)]
+    rows = [(i, t) for i, t in enumerate(plain)] + [(100 + i, TRAIN.replace("123-4567", f"123-{4000 + i}")) for i in range(30)]
+    marked = "call +1 (555) 123-4567, pay 4111 1111 1111 1111, write j.doe@example.org"
+    for i, bare in enumerate(BARE):
+        words = prose(rnd, 400).split()
+        words[10] = marked
+        for _ in range(times):
+            words.insert(rnd.randrange(20, len(words)), f"again {bare} and")
+        words.insert(300, "in 2024 or 1111 of 123-9999 and 5551239999 too")
+        rows.append((1000 + i, " ".join(words)))
+    got = {r["doc_id"]: r for r in pii.find_personal(docs_of(rows)).collect()}
+    text = dict(rows)
+    for i, bare in enumerate(BARE):
+        found = Counter(text[1000 + i][s["start"] : s["end"]] for s in got[1000 + i]["added"])
+        assert found == {bare: times}, (bare, found)
+    assert not any(got[i]["added"] for i in [*range(60), *range(100, 130)])
+
+
 def test_messages_agree_with_enumeration():
     rng = np.random.default_rng(5)
     field = pii.Field()
     field.names, field.node = {"a": 0, "b": 1, "c": 2}, rng.standard_normal((3, pii.N))
     field.chain, field.skip = rng.standard_normal((pii.N, pii.N)), np.eye(pii.N) * 1.5
-    feats, chain, skip = [["a"], ["b"], ["c"], ["a"]], [(0, 1), (1, 2)], [(1, 3)]  # a tree: messages are exact
+    # a tree, so messages are exact: a hub of two tokens, one of which is known
+    feats, chain, hubs, known = [["a"], ["b"], ["c"], ["a"]], [(0, 1), (1, 2)], [[1, 3]], np.array([0, 0, 0, 2])
     want, own = np.zeros((4, pii.N)), field.scores(feats)
-    for labels in np.ndindex(*[pii.N] * 4):
-        w = np.exp(sum(own[i, k] for i, k in enumerate(labels)) + sum(field.chain[labels[i], labels[j]] for i, j in chain) + sum(field.skip[labels[i], labels[j]] for i, j in skip))
-        for i, k in enumerate(labels):
+    own[3, 2] += 50
+    for labels in np.ndindex(*[pii.N] * 5):
+        w = np.exp(sum(own[i, k] for i, k in enumerate(labels[:4])) + sum(field.chain[labels[i], labels[j]] for i, j in chain) + sum(field.skip[labels[i], labels[4]] for i in hubs[0]))
+        for i, k in enumerate(labels[:4]):
             want[i, k] += w
-    assert field.marginals(feats, chain, skip, rounds=60) == pytest.approx(want / want.sum(axis=1, keepdims=True), abs=1e-3)
+    assert field.marginals(feats, chain, hubs, known=known) == pytest.approx(want / want.sum(axis=1, keepdims=True), abs=1e-3)
 
 
 def test_pipeline_stages(spark, docs_of):

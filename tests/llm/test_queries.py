@@ -22,14 +22,14 @@ def run(spark, name):
     return queries()[name](spark, SF)
 
 
-@pytest.mark.parametrize("name", ["op6_near_duplicates", "op7_chat_formatting", "op8_containment", "op9_line_dedup"])
+@pytest.mark.parametrize("name", ["op6_near_duplicates", "op7_chat_formatting", "op8_containment", "op9_line_dedup", "op12_hard_negatives"])
 def test_query_matches_sql(spark, name):
     import duckdb
 
     from __spark_entry__ import oracle_sql
 
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "conversations"):
+    for t in ("documents", "benchmark", "conversations", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     rel = con.execute(oracle_sql()[name])
     cols = [d[0] for d in rel.description]
@@ -100,3 +100,27 @@ def test_toxicity_and_pipeline_run(spark, docs):
     out = run(spark, "pipeline").collect()
     n = Counter(r["shard"] for r in out)
     assert out and max(n.values()) - min(n.values()) <= 1 and {r["doc_id"] for r in out} <= docs.keys()
+
+
+def test_fingerprint_contract(spark, docs):
+    from shiftkit.llm.ordermh import OrderSketch, edited, likeness
+
+    order, sketch = sorted(docs), OrderSketch()
+    print_of = {d: sketch.fingerprint(docs[d]["text"] or "") for d in order}
+    got = {r["doc_id"]: r for r in run(spark, "op11_order_minhash").collect()}
+    assert got.keys() == docs.keys()
+    for d, following in zip(order, order[1:] + order[:1]):
+        text, r = docs[d]["text"] or "", got[d]
+        new = edited(text, docs[following]["text"] or "")
+        assert (r["n_chars"], r["edited_sha256"], r["fingerprint"]) == (len(text), hashlib.sha256(new.encode()).hexdigest(), print_of[d])
+        assert r["edited_fingerprint"] == sketch.fingerprint(new) and r["near_edited"] == likeness(print_of[d], r["edited_fingerprint"])
+        assert r["near_next"] == likeness(print_of[d], print_of[following])
+
+
+@pytest.mark.skipif(not os.path.isdir("/opt/tokenizers"), reason="tokenizer files not present")
+def test_alignment_contract(spark, docs):
+    from test_fingerprints_negatives_tokens import ALIGNED, slow_alignment
+
+    files = [open(f"/opt/tokenizers/{n}", "rb").read() for n in ("byte_bpe_50k.json", "piece_bpe_32k.model")]
+    got = sorted((tuple(r[c] for c in ALIGNED) for r in run(spark, "op13_token_alignment").collect()), key=repr)
+    assert got == slow_alignment([(d, docs[d]["text"]) for d in docs], files)
