@@ -22,11 +22,16 @@ def test_stratified_sample_limits_before_shuffle(spark):
     assert "WindowGroupLimit" in p and "Partial" in p
 
 
-def test_prompt_grid_is_a_generator_not_a_join(spark):
-    p = plan_of(spark, "prompt_grid")
+def test_prompt_grid_of_lists_is_a_generator_not_a_join(spark):
+    p = plan_of(spark, "prompt_kinds")
     assert "Generate" in p and "Join" not in p and "CartesianProduct" not in p
 
 
+def test_prompt_grid_of_tables_joins_small_tables_by_number(spark):
+    p = plan_of(spark, "prompt_grid")
+    assert "BroadcastHashJoin" in p and "SortMergeJoin" not in p and "NestedLoop" not in p
+
+
 def _plannable():
     from shiftkit.plans.registry import QUERIES
 
