@@ -5,7 +5,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
-from shiftkit.llm import chat, ring
+from shiftkit.llm import chat, lines, ring
 from shiftkit.llm.lines import dedup_lines
 from llm_helpers import lower, told
 
@@ -14,7 +14,7 @@ WS = " \t\n\x0b\x0c\r"
 
 def brute_lines(rows, min_docs):
     key = lambda x: lower(x.strip(WS))
-    n = Counter(k for _, t in rows for k in {key(x) for x in (t or "").split("\n")} if k)
+    n = Counter(k for k, _ in {(key(x), d) for d, t in rows if d is not None for x in (t or "").split("\n")} if k)
     out = []
     for d, t in rows:
         lines = (t or "").split("\n")
@@ -35,6 +35,23 @@ def test_lines_of_nothing(docs_of):
     assert dedup_lines(docs_of([])).collect() == []
 
 
+def test_lines_count_documents_not_rows(docs_of):
+    rows = [(1, f"twice\nrow {i}") for i in range(10)] + [(2, "twice\nshared")] + [(i, "shared") for i in range(3, 12)] + [(None, "twice")] * 10 + [(None, "x\nshared")] * 2
+    got = told(dedup_lines(docs_of(rows), 10), "doc_id", "text", "n_lines", "n_dropped")
+    assert got == brute_lines(rows, 10)
+    assert (2, "twice", 2, 1) in got and (None, "x", 2, 1) in got and (None, "twice", 1, 0) in got
+
+
+def test_common_lines_are_dealt_over_tasks(docs_of, monkeypatch):
+    monkeypatch.setattr(lines, "HOT_KEYS", 8)
+    rows = [(i, "\n".join(["common"] * (1 + i % 3) + [f"own {i}", f"some {i % 20}"])) for i in range(400)]
+    assert told(dedup_lines(docs_of(rows), 10), "doc_id", "text", "n_lines", "n_dropped") == brute_lines(rows, 10)
+    held = docs_of(rows).selectExpr("1L AS a", "2L AS b", "doc_id AS r1", "0L AS r2", "0 AS pos")
+    dealt, wanted = lines.salted(held, held.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n_lines")))
+    n = Counter(r["salt"] for r in dealt.collect())
+    assert len(n) == 9 == wanted.count() and max(n.values()) < 100
+
+
 def test_ring_is_the_sequential_insertion(docs_of):
     rows = [(i, "t" * (i % 5)) for i in range(997)]
     got = ring.assign_shards(docs_of(rows), 5, vnodes=4, waves=3).select("doc_id", "shard", "slot").collect()
