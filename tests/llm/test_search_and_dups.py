@@ -9,7 +9,7 @@ import pytest
 from shiftkit.llm import chunks, neardup
 from shiftkit.llm.components import components
 from shiftkit.llm.contain import drop_contaminated, find_contained
-from shiftkit.llm.vptree import VPTree, nearest
+from shiftkit.llm.vptree import VPTree, nearest, scored_share
 from llm_helpers import lower, prose, told
 
 
@@ -246,6 +246,24 @@ def test_nearest_is_exact_at_factor_one(spark):
     assert [tuple(r) for r in nearest(few).orderBy("query_id").collect()] == [(0, 1, 1, 4.0)]
 
 
+def test_clustered_vectors_meet_few_shards(spark):
+    rng = np.random.default_rng(4)
+    centres = rng.standard_normal((40, 8))
+    centres *= 5 / np.linalg.norm(centres, axis=1)[:, None]
+    x = centres[rng.integers(40, size=4000)] + 0.02 * rng.standard_normal((4000, 8))
+    x[1000:1700] = x[7]  # more equal rows than a shard holds
+    rows = [(i, list(map(float, v))) for i, v in enumerate(x)] + [(5020, [1.0] * 8), (5020, [9.0] * 8)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in nearest(df.where("vec_id < 5000"), 100, 20, shard_rows=128).orderBy("query_id", "rank").collect()]
+    want = brute_nearest(rows[:4000], 100, 20)
+    assert len(got) == len(want) and [g[3] for g in got] == pytest.approx([w[3] for w in want], abs=1e-9)
+    same = sum(g[2] == w[2] for g, w in zip(got, want, strict=True))
+    assert same == len(want)
+    assert nearest(df, 5020, 20, shard_rows=128).where("query_id = 5020").count() == 20
+    full = scored_share(df, 100, 20, 1.0, 128)
+    assert 0 < scored_share(df, 100, 20, 4.0, 128) < full < 0.6
+
+
 def test_relaxing_trades_recall_for_work():
     rng = np.random.default_rng(3)
     x = rng.standard_normal((4000, 8))
