@@ -53,11 +53,18 @@ def poisson1_cdf() -> list[float]:
 
 
 def poisson1_weight(u: Column) -> Column:
-    """Inverse-CDF Poisson(1) weight of a uniform ``u``: the number of CDF steps at or below ``u``."""
-    w = F.lit(0)
-    for c in poisson1_cdf():
-        w = w + F.when(u >= F.lit(c), 1).otherwise(0)
-    return w
+    """Inverse-CDF Poisson(1) weight of a uniform ``u``: the number of CDF steps at or below ``u``.
+
+    ``u`` is computed once a weight, also inside another function's lambda, where Spark shares no subexpressions.
+    """
+
+    def steps(x: Column) -> Column:
+        w = F.lit(0)
+        for c in poisson1_cdf():
+            w = w + F.when(x >= F.lit(c), 1).otherwise(0)
+        return w
+
+    return F.transform(F.array(u), steps)[0]
 
 
 def sql_poisson1_weight(u: str) -> str:
