@@ -52,18 +52,17 @@ FROM t GROUP BY conv_id
     "op8_containment": """
 WITH b AS (
     SELECT item_id, list_filter(string_split_regex(lower(text), '[ \\x09-\\x0D]+'), lambda x: x <> '') AS w FROM benchmark
+), bk AS (
+    SELECT item_id, w, least(5, len(w)) AS k FROM b WHERE len(w) > 0
 ), bg AS (
-    SELECT DISTINCT item_id, g FROM (
-        SELECT item_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(generate_series(1, len(w) - 4), lambda i: array_to_string(w[i:i+4], ' '))
-            WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM b)
+    SELECT DISTINCT item_id, unnest(list_transform(generate_series(1, len(w) - k + 1), lambda i: array_to_string(w[i:i+k-1], ' '))) AS g FROM bk
 ), n AS (
     SELECT item_id, count(*) AS n_shingles FROM bg GROUP BY item_id
 ), d AS (
     SELECT doc_id, list_filter(string_split_regex(lower(text), '[ \\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents
 ), dg AS (
-    SELECT DISTINCT doc_id, g FROM (
-        SELECT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(generate_series(1, len(w) - 4), lambda i: array_to_string(w[i:i+4], ' '))
-            WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM d)
+    SELECT DISTINCT doc_id, unnest(list_transform(generate_series(1, len(w) - k + 1), lambda i: array_to_string(w[i:i+k-1], ' '))) AS g
+    FROM d, (SELECT DISTINCT k FROM bk)
 )
 SELECT doc_id, item_id, n_shingles, count(*) AS n_found, CAST(count(*) AS DOUBLE) / n_shingles AS containment
 FROM dg JOIN bg USING (g) JOIN n USING (item_id)

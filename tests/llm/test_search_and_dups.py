@@ -101,14 +101,14 @@ def test_components(spark, links):
     assert got == want
 
 
-def brute_contained(docs, items):
+def brute_contained(docs, items, inside=True):
+    """``inside``: items of fewer than five words are looked for inside documents too."""
     low = str.lower
     out = set()
     for d, t in docs:
-        have = sets(t, 5, low)
         for b, x in items:
             want = sets(x, 5, low)
-            k = len(want & have)
+            k = len(want & sets(t, max((len(g) for g in want), default=5) if inside else 5, low))
             if want and 5 * k >= 4 * len(want):
                 out.add((d, b, len(want), k))
     return sorted(out, key=repr)
@@ -127,7 +127,9 @@ def test_containment_matches_brute_force(spark, docs_of):
     bench = spark.createDataFrame([(b, t, 1, 2) for b, t in items], "item_id long, text string, size int, gram int")
     got = told(find_contained(docs_of(rows), bench), "doc_id", "item_id", "n_shingles", "n_found")
     assert got == brute_contained(rows, items) and any(g[3] < g[2] for g in got)
-    hit = {g[0] for g in got}
+    assert {(102, 1), (103, 1)} <= {g[:2] for g in got}
+    hit = {g[0] for g in brute_contained(rows, items, inside=False)}
+    assert 103 not in hit
     df = docs_of(rows)
     clean = drop_contaminated(df, bench)
     assert clean.columns == df.columns and told(clean, "doc_id") == sorted(((d,) for d, _ in rows if d not in hit), key=repr)
