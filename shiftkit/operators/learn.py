@@ -6,12 +6,12 @@ from __future__ import annotations
 from typing import Sequence
 
 from pyspark.ml import Pipeline
-from pyspark.ml.classification import (GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier,
-                                       RandomForestClassifier)
+from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import CountVectorizer, RegexTokenizer, StopWordsRemover
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shiftkit.operators.network import SparseNetwork
 from shiftkit.operators.text import WORD_PATTERN
 
 
@@ -35,29 +35,33 @@ CLASSIFIER_NAMES = {
 
 
 def make_classifier(method: str, n_features: int, label: str = "label"):
-    """A Spark ML classifier by name (scikit-learn-like defaults: 100 trees, one hidden layer of 100)."""
+    """A classifier by name, Spark ML's but for the network (scikit-learn-like defaults: 100 trees, one hidden layer of 100)."""
     kind = CLASSIFIER_NAMES.get(method)
     if kind == "logistic":
         return LogisticRegression(labelCol=label, featuresCol="features", maxIter=100)
     if kind == "forest":
         return RandomForestClassifier(labelCol=label, featuresCol="features", numTrees=100, seed=1)
     if kind == "mlp":
-        return MultilayerPerceptronClassifier(labelCol=label, featuresCol="features", layers=[n_features, 100, 2],
-                                              maxIter=100, seed=1)
+        return SparseNetwork(n_features, hidden=100, label=label, max_iter=100, seed=1)
     if kind == "gbt":
         return GBTClassifier(labelCol=label, featuresCol="features", maxIter=20, seed=1)
     raise ValueError(f"unknown classifier {method!r}; known: {sorted(CLASSIFIER_NAMES)}")
 
 
+#: Rows of a partition of the feature vectors, at most about.
+ROWS_A_PARTITION = 10_000
+
+
 def featurize(df: DataFrame, text: str, label: str, split: str, vocab_size: int):
     """Bag-of-words vectors of all rows, fitted on the train rows only, and the vocabulary's size. The vectors are
     persisted, so every classifier iteration reads them instead of the texts; the caller unpersists them.
 
-    Rows are spread over the session's cores first: a fit goes over them a hundred times, and a table may be one file.
+    Rows are spread over the session's cores first: a fit goes over them a hundred times, and a table may be one file. A core gets
+    more than one partition from ROWS_A_PARTITION rows on: in each step of a tree, every partition sends its sums for all features.
     """
     parts = df.sparkSession.sparkContext.defaultParallelism
     data = df.select(text, F.col(label).cast("double").alias("label"), split).fillna({text: ""})
-    data = data.repartition(max(parts, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    data = data.repartition(parts * max(1, -(-data.count() // (parts * ROWS_A_PARTITION))))
     train = data.where(F.col(split) == "train")
     feats = Pipeline(stages=bag_of_words(text, vocab_size)).fit(train)
     n = len(feats.stages[-1].vocabulary)
@@ -101,7 +105,8 @@ def classifier_accuracy(df: DataFrame, text: str, label: str, split: str, method
         return (m, *row)
 
     try:
-        rows = _in_parallel(one, methods)
+        # one after the other: each fit keeps a form of the train rows of its own
+        rows = [one(m) for m in methods]
     finally:
         vec.unpersist()
     return df.sparkSession.createDataFrame(rows, "method string, accuracy double, tp long, fp long, fn long, tn long, beats_majority boolean")

@@ -178,3 +178,42 @@ def test_auroc_of_variants(spark):
     assert got["noise"]["auroc_score"] == pytest.approx(brute_auroc([r["score"] for r in scored if r["label"]], [r["score"] for r in scored if not r["label"]]))
     one = variant_auroc(df.where("y = 1 or split = 'train'"), ["clear"], "y", "split", vocab_size=50).first()
     assert one["auroc"] is None and one["auroc_score"] is None
+
+
+def test_the_network_keeps_rows_sparse(spark, monkeypatch):
+    from pyspark.ml.functions import vector_to_array
+    from pyspark.ml.linalg import SparseVector, Vectors
+
+    from shiftkit.operators import network
+    from shiftkit.operators.learn import make_classifier
+
+    width, kept, found = 5_000, [], network.minimise
+
+    def watched(f, x, steps):
+        f(x)
+        kept.extend(i.memSize() + i.diskSize() for i in spark.sparkContext._jsc.sc().getRDDStorageInfo())
+        return found(f, x, 25)
+
+    monkeypatch.setattr(network, "minimise", watched)
+    rows = [(SparseVector(width, [i % 2, 2 + i], [1.0, 2.0]), float(i % 2)) for i in range(300)] + [(Vectors.dense([0.0] * width), 0.0), (SparseVector(width, [], []), 0.0)]
+    df = spark.createDataFrame(rows, ["features", "label"])
+    got = make_classifier("neural_network", width).fit(df).transform(df).select("label", "prediction", vector_to_array("rawPrediction").alias("r")).collect()
+    # dense rows would be 12 MB
+    assert sum(kept) < 1_000_000 and kept
+    assert len(got) == 302 and all(r["prediction"] == (r["r"][1] > r["r"][0]) for r in got) and sum(r["label"] == r["prediction"] for r in got) >= 300
+
+
+def test_the_networks_gradient_is_that_of_its_loss():
+    from shiftkit.operators import network
+
+    rng = np.random.default_rng(4)
+    width, hidden, n = 6, 3, 11
+    x = rng.normal(size=(n, width)).astype(np.float32)
+    y = rng.integers(0, 2, n)
+    at, cols, values = network.sparse_parts([(None, r) for r in x])
+    flat = rng.normal(size=(width + 1) * hidden + (hidden + 1) * 2)
+    total = network.loss_and_gradient(flat, width, hidden, [(y, at, cols, values)])
+    assert total[-1] == n
+    for k in range(len(flat)):
+        near = [network.loss_and_gradient(flat + s * np.eye(len(flat))[k], width, hidden, [(y, at, cols, values)])[-2] for s in (1e-4, -1e-4)]
+        assert total[k] == pytest.approx((near[0] - near[1]) / 2e-4, abs=1e-3)
