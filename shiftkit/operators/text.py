@@ -117,6 +117,22 @@ def subword_texts(ids: DataFrame, key: str, col: str, tokenizer: bytes) -> DataF
     return _subwords(ids, key, col, tokenizer, "string", True).withColumnRenamed("out", "text")
 
 
+#: Characters of text (or ids, for texts from ids) that a task hands to the tokenizer at a time, and rows at most.
+MOST_AT_ONCE, MOST_ROWS = 1 << 18, 256
+
+
+def _slices(sizes):
+    """Ends of runs of rows that hold MOST_AT_ONCE or less (a larger row is a run of its own) and MOST_ROWS rows at most."""
+    start, held = 0, 0
+    for i, n in enumerate(sizes):
+        if i > start and (held + n > MOST_AT_ONCE or i - start == MOST_ROWS):
+            yield start, i
+            start, held = i, 0
+        held += n
+    if start < len(sizes):
+        yield start, len(sizes)
+
+
 def _subwords(df: DataFrame, key: str, col: str, tokenizer: bytes, to: str, back: bool) -> DataFrame:
     from shiftkit.session import ship_package
 
@@ -126,7 +142,9 @@ def _subwords(df: DataFrame, key: str, col: str, tokenizer: bytes, to: str, back
     def run(batches):
         import os
 
+        import numpy as np
         import pyarrow as pa
+        import pyarrow.compute as pc
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -134,12 +152,18 @@ def _subwords(df: DataFrame, key: str, col: str, tokenizer: bytes, to: str, back
         made = Tokenizer.from_str(tokenizer.decode("utf-8"))
         made.encode_special_tokens = True
         for batch in batches:
-            rows = batch.column("x").to_pylist()
-            if back:
-                out = pa.array(made.decode_batch([r or [] for r in rows], skip_special_tokens=False), pa.string())
-            else:
-                out = pa.array([e.ids for e in made.encode_batch_fast([r or "" for r in rows], add_special_tokens=False)], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column("k"), out], names=["k", "out"])
+            x = batch.column("x")
+            size = pc.list_value_length(x) if back else pc.binary_length(x)
+            # what the tokenizer makes of a text is many times the text's size, so an Arrow batch goes through it in slices
+            for start, end in _slices(pc.fill_null(size, 0).to_pylist()):
+                rows = x.slice(start, end - start).to_pylist()
+                if back:
+                    out = pa.array(made.decode_batch([r or [] for r in rows], skip_special_tokens=False), pa.string())
+                else:
+                    made_of = made.encode_batch_fast([r or "" for r in rows], add_special_tokens=False)
+                    out = pa.array([np.asarray(e.ids, np.int32) for e in made_of], pa.list_(pa.int32()))
+                    del made_of
+                yield pa.RecordBatch.from_arrays([batch.column("k").slice(start, end - start), out], names=["k", "out"])
 
     return df.select(F.col(key).alias("k"), F.col(col).alias("x")).mapInArrow(run, f"k {kt}, out {to}").select(F.col("k").alias(key), "out")
 

@@ -165,3 +165,12 @@ def test_prompts_from_tables_equal_those_from_lists(spark, monkeypatch):
     mixed = prompts.build_prompts(texts, "k", "t", kinds, ["anna"], table["model"], post="p").collect()
     assert sorted(r["kind"] for r in mixed) == ["clean"] * 4 + ["score_post"] * 4
     assert prompts.build_prompts(texts, "k", "t", ["clean"], table["persona"].where("false"), ["m"]).collect() == []
+
+
+def test_subword_slices_are_bounded_and_hold_every_row(monkeypatch):
+    monkeypatch.setattr(text, "MOST_AT_ONCE", 10)
+    monkeypatch.setattr(text, "MOST_ROWS", 4)
+    sizes = [3, 3, 3, 3, 50, 0, 0, 0, 0, 0, 0, 10, 1]
+    got = list(text._slices(sizes))
+    assert [i for a, b in got for i in range(a, b)] == list(range(len(sizes)))
+    assert all(b - a <= 4 and (sum(sizes[a:b]) <= 10 or b - a == 1) for a, b in got) and list(text._slices([])) == []
