@@ -9,9 +9,9 @@ from __future__ import annotations
 import re
 from typing import Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shiftkit.functions.stopwords import ENGLISH_STOP_WORDS
 
@@ -192,37 +192,59 @@ def token_diff(pairs: DataFrame, keys: Sequence[str], before: str, after: str) -
     )
 
 
-def _longest_run(it):
-    """Of the candidate anchors of each pair and segment (sorted by place in the old text) the longest run whose places in the new
-    text ascend too."""
+def _longest_run(rows: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Of candidate anchors (sorted by place in the old text) the longest run whose places in the new text ascend too."""
     from bisect import bisect_left
 
-    keep, here, tops, last, back = [], None, [], [], []
-
-    def run():
-        out, k = [], last[-1] if last else None
-        while k is not None:
-            out.append(rows[k])
-            k = back[k]
-        return out[::-1]
-
-    rows: list[tuple] = []
-    for pdf in it:
-        for p, seg, i, j in zip(pdf["_p"], pdf["_seg"], pdf["i"], pdf["j"]):
-            if (p, seg) != here:
-                keep += run()
-                here, rows, tops, last, back = (p, seg), [], [], [], []
-            at = bisect_left(tops, j)
-            rows.append((p, i, j))
-            back.append(last[at - 1] if at else None)
-            if at == len(tops):
-                tops.append(j)
-                last.append(len(rows) - 1)
-            else:
-                tops[at], last[at] = j, len(rows) - 1
-        yield pd.DataFrame(keep, columns=["_p", "i", "j"])
-        keep = []
-    yield pd.DataFrame(run(), columns=["_p", "i", "j"])
+    tops, last, back = [], [], []
+    for _, j in rows:
+        at = bisect_left(tops, j)
+        back.append(last[at - 1] if at else None)
+        if at == len(tops):
+            tops.append(j)
+            last.append(len(back) - 1)
+        else:
+            tops[at], last[at] = j, len(back) - 1
+    out, k = [], last[-1] if last else None
+    while k is not None:
+        out.append(rows[k])
+        k = back[k]
+    return out[::-1]
+
+
+def _anchors(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+    """Places of the kept words of two texts, ascending. A segment is cut at its anchors and its gaps are segments in the next round."""
+    found, todo = [], [(0, len(a), 0, len(b))]
+    while todo:
+        i0, i1, j0, j1 = todo.pop()
+        places: dict[str, tuple[list[int], list[int]]] = {}
+        for i in range(i0, i1):
+            places.setdefault(a[i], ([], []))[0].append(i)
+        for j in range(j0, j1):
+            if a_and_b := places.get(b[j]):
+                a_and_b[1].append(j)
+        run = _longest_run(sorted(x for i, j in places.values() if len(i) == len(j) for x in zip(i, j)))
+        if run:
+            found += run
+            ends = [(i0 - 1, j0 - 1), *run, (i1, j1)]
+            todo += [(i + 1, k, j + 1, m) for (i, j), (k, m) in zip(ends, ends[1:]) if i + 1 < k and j + 1 < m]
+    return sorted(found)
+
+
+def _script(a: list[str], b: list[str]):
+    """The edit script's rows (step, op, token, pos_before, pos_after); in a gap removals come first, then additions, then the anchor."""
+    i = j = step = 0
+    for k, m in [*_anchors(a, b), (len(a), len(b))]:
+        for i in range(i, k):
+            yield step, "-", a[i], i, None
+            step += 1
+        for j in range(j, m):
+            yield step, "+", b[j], None, j
+            step += 1
+        if k < len(a):
+            yield step, "=", a[k], k, m
+            step += 1
+        i, j = k + 1, m + 1
 
 
 def ordered_diff(pairs: DataFrame, keys: Sequence[str], before: str, after: str) -> DataFrame:
@@ -231,59 +253,56 @@ def ordered_diff(pairs: DataFrame, keys: Sequence[str], before: str, after: str)
     Anchors cut both texts into segments, and only gaps between anchors are compared further. In a round the words that stand
     equally often on both sides of a segment are joined by word, the first with the first and so on, and the longest run of
     them that ascends on both sides become anchors. Rounds go on until one finds nothing. What is left in a gap is removed or added, removals
-    first. All rounds are groupings of the words of all pairs; the runs are found in sorted streams, in n log n of a segment's candidates.
+    first. A pair is a row with its two texts, which a task compares whole, in n log n of a segment's candidates; its words are not shuffled.
 
     ``step`` numbers a pair's rows from 0; kept and removed words in its order are the old text's, kept and added ones the new one's.
     A moved sentence is a removal and an addition, unlike in ``token_diff``. A NULL text has no words, NULL keys are keys; a pair
     without words has no rows, and a key that repeats is an error.
     """
-    from shiftkit.session import ship_package, stored
+    from shiftkit.session import ship_package
 
     ship_package(pairs.sparkSession)
     keys = list(keys)
-    name = F.to_json(F.struct(*keys), {"ignoreNullFields": "false"})
-    named = pairs.withColumn("_p", name)
-    twice = named.groupBy("_p").count().where("count > 1").select("_p").first()
+    twice = pairs.groupBy(*keys).count().where("count > 1").select(F.to_json(F.struct(*keys), {"ignoreNullFields": "false"})).first()
     if twice:
         raise ValueError(f"a pair's key repeats: {twice[0]}")
+    names = [f"_k{i}" for i in range(len(keys))]
+    words = [F.coalesce(whitespace_tokens(c), F.array().cast("array<string>")) for c in (before, after)]
+    rows = pairs.select(*[F.col(k).alias(n) for k, n in zip(keys, names)], words[0].alias("_a"), words[1].alias("_b"))
+    schema = T.StructType([T.StructField(n, pairs.schema[k].dataType) for k, n in zip(keys, names)] + list(_SCRIPT.fields))
+    return rows.mapInArrow(_diff_batches(len(keys)), schema).select(*[F.col(n).alias(k) for k, n in zip(keys, names)], *_SCRIPT.names)
+
+
+_SCRIPT = T.StructType().add("step", "long").add("op", "string").add("token", "string").add("pos_before", "integer").add("pos_after", "integer")
+
+
+def _diff_batches(n_keys: int, most: int = 50_000):
+    """A task function: scripts of the pairs, in batches of about ``most`` rows."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
 
-    def words(col, side):
-        return named.select("_p", F.lit(side).alias("side"), F.posexplode(whitespace_tokens(F.coalesce(F.col(col), F.lit("")))).alias("pos", "token"))
-
-    tokens = stored(words(before, 0).union(words(after, 1)))
-    anchors = pairs.sparkSession.createDataFrame([], "_p string, i int, j int")
-
-    def segmented(anchors):
-        """Words with the number of anchors up to them; an anchor carries both its places."""
-        known = anchors.select("_p", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("i").alias("pos")), F.struct(F.lit(1).alias("side"), F.col("j").alias("pos")))).alias("x"), "i", "j")
-        known = known.select("_p", "x.side", "x.pos", "i", "j")
-        w = Window.partitionBy("_p", "side").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        return tokens.join(known, ["_p", "side", "pos"], "left").withColumn("_seg", F.count("i").over(w))
-
-    def places(side):
-        return F.sort_array(F.collect_list(F.when(F.col("side") == side, F.col("pos"))))
-
-    while True:
-        free = segmented(anchors).where("i is null")
-        both = free.groupBy("_p", "_seg", "token").agg(places(0).alias("i"), places(1).alias("j")).where((F.size("i") > 0) & (F.size("i") == F.size("j")))
-        met = both.select("_p", "_seg", F.explode(F.arrays_zip("i", "j")).alias("x")).select("_p", "_seg", "x.i", "x.j")
-        met = met.repartition("_p", "_seg").sortWithinPartitions("_p", "_seg", "i")
-        more = stored(met.mapInPandas(_longest_run, "_p string, i int, j int"))
-        if more.isEmpty():
-            break
-        anchors = stored(anchors.union(more))
-    done = segmented(anchors)
-    # a kept word is listed once, after what was removed and added before it
-    rows = done.where("i is null or side = 0")
-    op = F.when(F.col("i").isNotNull(), "=").when(F.col("side") == 0, "-").otherwise("+")
-    rank = F.when(F.col("i").isNotNull(), 2).otherwise(F.col("side"))
-    gap = F.col("_seg") - F.when(F.col("i").isNotNull(), 1).otherwise(0)
-    order = Window.partitionBy("_p").orderBy("_gap", "_rank", "pos")
-    script = rows.select(
-        "_p", "pos", op.alias("op"), "token", gap.alias("_gap"), rank.alias("_rank"), F.when(F.col("side") == 0, F.col("pos")).alias("pos_before"),
-        F.when(F.col("i").isNotNull(), F.col("j")).otherwise(F.when(F.col("side") == 1, F.col("pos"))).alias("pos_after"))
-    script = script.withColumn("step", (F.row_number().over(order) - 1).cast("long"))
-    return script.join(named.select("_p", *keys), "_p").select(*keys, "step", "op", "token", "pos_before", "pos_after")
+        types = [pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32()]
+
+        def made(batch, at, rows):
+            kept = [batch.column(i).take(pa.array(np.asarray(at, np.int64))) for i in range(n_keys)]
+            cols = [pa.array(c, t) for c, t in zip(zip(*rows), types)]
+            return pa.RecordBatch.from_arrays([*kept, *cols], names=[*batch.schema.names[:n_keys], "step", "op", "token", "pos_before", "pos_after"])
+
+        for batch in batches:
+            at, rows = [], []
+            for i in range(batch.num_rows):
+                script = list(_script(batch.column(n_keys)[i].as_py(), batch.column(n_keys + 1)[i].as_py()))
+                rows += script
+                at += [i] * len(script)
+                if len(rows) >= most:
+                    yield made(batch, at, rows)
+                    at, rows = [], []
+            if rows:
+                yield made(batch, at, rows)
+
+    return run
 
 
 def revision_summary(diff: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -553,3 +553,13 @@ def test_hot_pool_scale_paths_agree(spark):
     m = np.array([v for _, p, v in data if p == 0])
     s = (m @ m.T) / np.outer(np.linalg.norm(m, axis=1), np.linalg.norm(m, axis=1))
     assert got["median_similarity"] == pytest.approx(float(np.median(s[~np.eye(len(m), dtype=bool)])), abs=1e-12)
+
+
+def test_ordered_diff_shuffles_keys_only(spark):
+    from shiftkit.operators import text
+
+    pairs = spark.createDataFrame([(1, "a b c d", "a c b d e"), (None, None, "x")], "k int, o string, u string")
+    df = text.ordered_diff(pairs, ["k"], "o", "u")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan, plan
+    assert sorted(map(tuple, df.where("k is null").collect())) == [(None, 0, "+", "x", None, 0)]
