@@ -166,7 +166,7 @@ def prompts_from_tables(texts: DataFrame, name: str, text: str, kinds, personas,
 
 def build_prompts(texts: DataFrame, name: str, text: str, kinds: Sequence[str] | DataFrame, personas: Sequence[str] | DataFrame,
                   models: Sequence[str] | DataFrame, post: str | None = None, templates: dict | None = None,
-                  history: DataFrame | None = None) -> DataFrame:
+                  history: DataFrame | None = None, keep: Sequence[str] = ()) -> DataFrame:
     """Texts x kinds x personas x models prompt rows.
 
     Configuration lists are small parameters, so their product is an explode of a literal array on
@@ -174,9 +174,11 @@ def build_prompts(texts: DataFrame, name: str, text: str, kinds: Sequence[str] |
     instead (:func:`prompts_from_tables`), which gives the same prompts. ``history`` (persona,
     block, history; see ``history_blocks``) puts each persona's earlier decisions into its prompts, one
     prompt for each block; it is broadcast if it is counted to be small.
-    A NULL text has no prompt (``unprompted`` lists such rows).
+    A NULL text has no prompt (``unprompted`` lists such rows). With lists, ``keep`` names columns of the texts that their prompts carry.
     """
     if any(isinstance(x, DataFrame) for x in (kinds, personas, models)):
+        if keep:
+            raise ValueError("prompts from tables carry no other columns")
         if templates and not isinstance(kinds, DataFrame):
             kinds = texts.sparkSession.createDataFrame([(k, templates[k]) for k in kinds], "kind string, template string")
         return prompts_from_tables(texts, name, text, kinds, personas, models, post, history)
@@ -187,7 +189,8 @@ def build_prompts(texts: DataFrame, name: str, text: str, kinds: Sequence[str] |
     ])
     rows = texts.where(F.col(text).isNotNull()).select(
         F.col(name).cast("string").alias("text_name"), F.col(text).alias("_text"),
-        (F.coalesce(F.col(post), F.lit("")) if post else F.lit("")).alias("_post"), F.explode(grid).alias("_g"))
+        (F.coalesce(F.col(post), F.lit("")) if post else F.lit("")).alias("_post"), *[F.col(c).alias(f"_keep{i}") for i, c in enumerate(keep)],
+        F.explode(grid).alias("_g"))
     values = {"TEXT": F.col("_text"), "PERSONA": F.col("_g.agent"), "POST": F.col("_post")}
     more = []
     if history is not None:
@@ -201,7 +204,7 @@ def build_prompts(texts: DataFrame, name: str, text: str, kinds: Sequence[str] |
     return rows.select(
         prompt_id(F.col("_g.kind"), "text_name", F.col("_g.agent"), F.col("_g.model")).alias("prompt_id"),
         F.col("_g.kind").alias("kind"), "text_name", F.col("_g.agent").alias("agent"), F.col("_g.model").alias("model"),
-        *more, prompt.alias("prompt"),
+        *more, prompt.alias("prompt"), *[F.col(f"_keep{i}").alias(c) for i, c in enumerate(keep)],
     )
 
 
@@ -246,13 +249,14 @@ def history_blocks(df: DataFrame, group: Sequence[str], order: str, text: str, d
 
 
 def run_responder(prompts: DataFrame, respond, key: str = "prompt_id", prompt: str = "prompt",
-                  batch_size: int = 100) -> DataFrame:
+                  batch_size: int = 100, keep: Sequence[str] = ()) -> DataFrame:
     """Answers for a prompt table from ``respond(list[str]) -> list[str | None]``, called on batches
-    of ``batch_size`` prompts inside tasks (``mapInPandas``); the result is (key, answer)."""
+    of ``batch_size`` prompts inside tasks (``mapInPandas``); the result is (key, answer), and the columns named in ``keep``."""
     from shiftkit.session import ship_package
 
     ship_package(prompts.sparkSession)
-    kt = prompts.schema[key].dataType.simpleString()
+    kept = [key, *keep]
+    types = {c: prompts.schema[c].dataType.simpleString() for c in kept}
 
     def run(it):
         import pandas as pd
@@ -260,9 +264,10 @@ def run_responder(prompts: DataFrame, respond, key: str = "prompt_id", prompt: s
         for pdf in it:
             for start in range(0, len(pdf), batch_size):
                 part = pdf.iloc[start:start + batch_size]
-                yield pd.DataFrame({key: part[key].values, "answer": list(respond(part[prompt].tolist()))})
+                yield pd.DataFrame({key: part[key].values, "answer": list(respond(part[prompt].tolist())), **{c: part[c].values for c in keep}})
 
-    return prompts.select(key, prompt).mapInPandas(run, f"{key} {kt}, answer string")
+    schema = ", ".join([f"{key} {types[key]}", "answer string", *[f"{c} {types[c]}" for c in keep]])
+    return prompts.select(key, prompt, *keep).mapInPandas(run, schema)
 
 
 def rewrite_rounds(texts: DataFrame, name: str, text: str, respond, rounds: int, kind: str = "improve",
@@ -271,17 +276,17 @@ def rewrite_rounds(texts: DataFrame, name: str, text: str, respond, rounds: int,
 
     Each round is materialised (checkpointed in the shared folder) before the next one reads it, so
     the plan never nests the previous rounds. Output is long: (text_name, round, text), round 0 being
-    the input; a text whose answer is missing keeps its previous version.
+    the input; a text whose answer is missing keeps its previous version, as does one without a name. A prompt carries its text's name and
+    previous version through the responder, so a round is one pass without a shuffle, and rows that repeat are rewritten each.
     """
     from shiftkit.session import materialize
 
     cur = texts.select(F.col(name).cast("string").alias("text_name"), F.col(text).alias("text"))
     out = cur.withColumn("round", F.lit(0))
+    asked = F.col("text_name").isNotNull() & F.col("text").isNotNull()
     for r in range(1, rounds + 1):
-        p = build_prompts(cur, "text_name", "text", [kind], [persona], [model])
-        ans = run_responder(p, respond).join(p.select("prompt_id", "text_name"), "prompt_id")
-        nxt = cur.join(ans.select("text_name", "answer"), "text_name", "left").select(
-            "text_name", F.coalesce("answer", "text").alias("text"))
-        cur = materialize(nxt)
+        p = build_prompts(cur.where(asked), "text_name", "text", [kind], [persona], [model], keep=["text"])
+        ans = run_responder(p, respond, keep=["text_name", "text"])
+        cur = materialize(ans.select("text_name", F.coalesce("answer", "text").alias("text")).union(cur.where(~asked)))
         out = out.unionByName(cur.withColumn("round", F.lit(r)))
     return out

@@ -563,3 +563,13 @@ def test_ordered_diff_shuffles_keys_only(spark):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Join" not in plan, plan
     assert sorted(map(tuple, df.where("k is null").collect())) == [(None, 0, "+", "x", None, 0)]
+
+
+def test_rewriting_needs_no_shuffle_and_rewrites_repeated_rows_each(spark):
+    from shiftkit.operators import prompts
+
+    texts = spark.createDataFrame([("a", "x"), ("a", "y"), ("a", "y"), (None, "z"), ("n", None), ("s", "stop")], "k string, t string")
+    out = prompts.rewrite_rounds(texts, "k", "t", lambda ps: [None if p.endswith("stop") else p.split("\n\n")[-1] + "!" for p in ps], rounds=2, kind="clean")
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    got = sorted(map(tuple, out.where("round = 2").select("text_name", "text").collect()), key=str)
+    assert got == sorted([("a", "x!!"), ("a", "y!!"), ("a", "y!!"), (None, "z"), ("n", None), ("s", "stop")], key=str)
