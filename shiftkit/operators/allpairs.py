@@ -23,6 +23,8 @@ from shiftkit.operators.vectors import null_safe
 from shiftkit.session import materialize, ship_package, stored
 
 DEFAULT_BLOCK = 512
+#: Rows of a side of a tile: blocks next to each other in number that are multiplied by one task with those of another such run.
+TILE_ROWS = 8192
 
 
 def has_direction(vec: str):
@@ -51,7 +53,8 @@ def _numbers(v) -> DataFrame:
 
 
 def leader_blocks(df: DataFrame, key: str, vec: str, block_size: int = DEFAULT_BLOCK, leaders: int = 64, band: float = 0.2) -> DataFrame:
-    """Unit vectors of each pool ``_p`` in blocks around leaders: (_p, block, n, centre, radius, vecs).
+    """Unit vectors of each pool ``_p`` in blocks around leaders: (_p, block, run, n, centre, radius, vecs), the vectors as the bytes
+    of a matrix of doubles; a run is TILE_ROWS rows' worth of blocks.
 
     The rows of a pool with the smallest hashes lead, four for each block's worth of rows and at most ``leaders``. A row goes to its most
     similar leader and there to the band (of so many radians) of its angle to it; what lies in a band is cut into blocks of about
@@ -71,26 +74,29 @@ def leader_blocks(df: DataFrame, key: str, vec: str, block_size: int = DEFAULT_B
     def bounds(it):
         for pdf in it:
             out = pdf[["_p", "_c", "_sub", "vecs"]].copy()
-            n, centre, radius = [], [], []
+            n, centre, radius, packed = [], [], [], []
             for v in pdf["vecs"]:
                 m = _mat(v)
+                packed.append(m.tobytes())
                 mean = m.sum(axis=0)
                 size = np.linalg.norm(mean)
                 mean = mean / size if size > 1e-9 else m[0]
                 n.append(len(m))
                 centre.append(mean)
                 radius.append(float(np.arccos(np.clip((m @ mean).min(), -1.0, 1.0))) + 1e-7)
-            out["n"], out["centre"], out["radius"] = n, centre, radius
+            out["vecs"], out["n"], out["centre"], out["radius"] = packed, n, centre, radius
             yield out
 
-    made = materialize(packed.mapInPandas(bounds, "_p string, _c long, _sub long, vecs array<array<double>>, n long, centre array<double>, radius double"))
-    numbers = dense_index(made.select("_p", "_c", "_sub"), ["_c", "_sub"], by=["_p"], out="block")
+    made = materialize(packed.mapInPandas(bounds, "_p string, _c long, _sub long, vecs binary, n long, centre array<double>, radius double"))
+    numbers = dense_index(made.select("_p", "_c", "_sub", "n"), ["_c", "_sub"], by=["_p"], out="block")
+    # a run of blocks has about TILE_ROWS rows: the block's rows begin in that run
+    numbers = running_total(numbers, ["block"], ["_p"], F.col("n"), "_start").select("_p", "_c", "_sub", "block", F.floor(F.col("_start") / TILE_ROWS).alias("run"))
     return made.join(numbers, ["_p", "_c", "_sub"]).drop("_c", "_sub")
 
 
 def block_pairs(blocks: DataFrame) -> DataFrame:
     """Block pairs (b1 <= b2) inside each pool, with their number of row pairs and bounds of their similarities:
-    (_p, b1, b2, m, smin, smax).
+    (_p, b1, b2, r1, r2, m, smin, smax), with the runs of the two blocks.
 
     The pair list is generated from the block count in two explodes (first ids, then partners) so
     even a pool with very many blocks does not produce its pair list in one task.
@@ -98,21 +104,39 @@ def block_pairs(blocks: DataFrame) -> DataFrame:
     counts = blocks.groupBy("_p").agg((F.max("block") + 1).alias("nb"))
     firsts = counts.select("_p", "nb", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)).alias("b1"))
     pairs = firsts.repartition("_p", "b1").select("_p", "b1", F.explode(F.sequence(F.col("b1"), F.col("nb") - 1)).alias("b2"))
-    side = [blocks.select("_p", F.col("block").alias(f"b{i}"), F.col("n").alias(f"n{i}"), F.col("centre").alias(f"c{i}"), F.col("radius").alias(f"r{i}")) for i in (1, 2)]
+    side = [blocks.select("_p", F.col("block").alias(f"b{i}"), F.col("n").alias(f"n{i}"), F.col("centre").alias(f"c{i}"), F.col("radius").alias(f"_radius{i}"), F.col("run").alias(f"r{i}")) for i in (1, 2)]
     both = pairs.join(side[0], ["_p", "b1"]).join(side[1], ["_p", "b2"])
     own = F.col("b1") == F.col("b2")
     angle = F.when(own, 0.0).otherwise(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot("c1", "c2")))))
-    reach = F.col("r1") + F.col("r2")
+    reach = F.col("_radius1") + F.col("_radius2")
     return both.select(
-        "_p", "b1", "b2", F.when(own, F.col("n1") * (F.col("n1") - 1) / 2).otherwise(F.col("n1") * F.col("n2")).cast("long").alias("m"),
+        "_p", "b1", "b2", "r1", "r2", F.when(own, F.col("n1") * (F.col("n1") - 1) / 2).otherwise(F.col("n1") * F.col("n2")).cast("long").alias("m"),
         (F.cos(F.least(F.lit(float(np.pi)), angle + reach)) - 1e-9).alias("smin"), (F.cos(F.greatest(F.lit(0.0), angle - reach)) + 1e-9).alias("smax"))
 
 
-def pair_values(row) -> np.ndarray:
+def tile_pairs(batches):
+    """What a task reads: (pool, bracket, blocks of the tile, pairs of their numbers) for each tile, from rows sorted by tile, one for each block."""
+    here, held = None, []
+
+    def tile():
+        mats = {r["block"]: np.frombuffer(r["vecs"]).reshape(r["n"], -1) for r in held}
+        return held[0]["_p"], held[0]["_a"], held[0]["_b"], mats, [(r["block"], int(b)) for r in held for b in r["partners"]]
+
+    for pdf in batches:
+        for r in pdf.to_dict("records"):
+            if (r["_p"], r["r1"], r["r2"]) != here:
+                if held:
+                    yield tile()
+                here, held = (r["_p"], r["r1"], r["r2"]), []
+            held.append(r)
+    if held:
+        yield tile()
+
+
+def pair_values(mats: dict, b1: int, b2: int) -> np.ndarray:
     """Similarities of one block pair: i<j inside one block, all across two."""
-    a, b = _mat(row["vecs1"]), _mat(row["vecs2"])
-    m = a @ b.T
-    return m[np.triu_indices(len(m), k=1)] if row["b1"] == row["b2"] else m.ravel()
+    m = mats[b1] @ mats[b2].T
+    return m[np.triu_indices(len(m), k=1)] if b1 == b2 else m.ravel()
 
 
 def _at_rank(counts: DataFrame, value: str, rank: str) -> DataFrame:
@@ -131,7 +155,8 @@ def pairwise_median_similarity(df: DataFrame, pool: Sequence[str], key: str, vec
     Blocks are built around leaders, so a block pair's similarities are known to lie in an interval. The medians of all pairs'
     lower and upper ends bracket the median before anything is multiplied. A pass multiplies the block pairs whose interval
     straddles the bracket and counts the others as a whole; it bins the similarities inside the bracket, narrows it to the bins
-    of the two middle ranks, and learns the multiplied pairs' true ends for the next pass. Passes go on
+    of the two middle ranks, and learns the multiplied pairs' true ends for the next pass. Blocks are multiplied in tiles of two runs of
+    blocks, so a row travels once for each run its pool has, and a tile sends one histogram. Passes go on
     until the bracket holds at most ``max_candidates`` values, or gets no narrower: then it holds little but ties of the two
     middle values. The last pass returns the distinct values inside it, from which the middle ranks are read exactly. Zero and NULL
     vectors have no similarity and take no part. Where nothing is near anything (random directions) all block pairs straddle, and the
@@ -154,48 +179,49 @@ def pairwise_median_similarity(df: DataFrame, pool: Sequence[str], key: str, vec
         """What a function makes of the pairs that straddle their pool's bracket, and the number of row pairs below of the others."""
         both = pairs.join(targets, "_p")
         open_ = both.where((F.col("smax") >= F.col("_a")) & (F.col("smin") <= F.col("_b")))
-        left = blocks.select("_p", F.col("block").alias("b1"), F.col("vecs").alias("vecs1"))
-        right = blocks.select("_p", F.col("block").alias("b2"), F.col("vecs").alias("vecs2"))
-        made = open_.select("_p", "b1", "b2", "_a", "_b").join(left, ["_p", "b1"]).join(right, ["_p", "b2"]).mapInPandas(fn, schema)
+        # each block goes once to every tile that has a pair of it, with its partners there
+        firsts = open_.select("_p", "r1", "r2", F.col("b1").alias("block"), F.col("b2").alias("partner"))
+        seconds = open_.where("b1 <> b2").select("_p", "r1", "r2", F.col("b2").alias("block"), F.lit(None).cast("long").alias("partner"))
+        wanted = firsts.union(seconds).groupBy("_p", "r1", "r2", "block").agg(F.collect_list("partner").alias("partners"))
+        placed = wanted.join(blocks.select("_p", "block", "n", "vecs"), ["_p", "block"]).join(targets.select("_p", "_a", "_b"), "_p")
+        made = placed.repartition("_p", "r1", "r2").sortWithinPartitions("_p", "r1", "r2").mapInPandas(fn, schema)
         if stats is not None:
             done, whole = open_.agg(F.sum("m")).first()[0] or 0, pairs.agg(F.sum("m")).first()[0] or 0
             stats.append(done / whole if whole else 0.0)
         return made, both.where(F.col("smax") < F.col("_a")).groupBy("_p").agg(F.sum("m").alias("_below"))
 
     def hist_fn(it):
-        for pdf in it:
-            outs = []
-            for _, row in pdf.iterrows():
-                s = pair_values(row)
-                a, b = row["_a"], row["_b"]
+        for p, a, b, mats, todo in tile_pairs(it):
+            total, under, ends = np.zeros(bins, np.int64), 0, []
+            for b1, b2 in todo:
+                s = pair_values(mats, b1, b2)
                 inside = s[(s >= a) & (s <= b)]
                 idx = np.clip(((inside - a) / (b - a) * bins).astype(np.int64), 0, bins - 1) if b > a else np.zeros(len(inside), np.int64)
-                cnt = np.bincount(idx, minlength=bins)
-                nz = np.nonzero(cnt)[0]
-                o = pd.DataFrame({"_p": row["_p"], "b1": row["b1"], "b2": row["b2"]}, index=range(len(nz) + 1))
-                # the first row has the pairs below the bracket and the true ends
-                o["bin"] = np.concatenate([[-1], nz])
-                o["cnt"] = np.concatenate([[int((s < a).sum())], cnt[nz]])
-                o["smin"], o["smax"] = (s.min(), s.max()) if len(s) else (2.0, -2.0)
-                outs.append(o)
-            if outs:
-                yield pd.concat(outs, ignore_index=True)
+                total += np.bincount(idx, minlength=bins)
+                under += int((s < a).sum())
+                ends.append((b1, b2, s.min(), s.max()) if len(s) else (b1, b2, 2.0, -2.0))
+            # the first row has the tile's pairs below the bracket, the next ones the true ends of its block pairs
+            yield pd.DataFrame({"_p": [p], "b1": [-1], "b2": [-1], "bin": [-1], "cnt": [under], "smin": [0.0], "smax": [0.0]})
+            o = pd.DataFrame(ends, columns=["b1", "b2", "smin", "smax"])
+            yield o.assign(_p=p, bin=-2, cnt=0)[["_p", "b1", "b2", "bin", "cnt", "smin", "smax"]]
+            nz = np.nonzero(total)[0]
+            yield pd.DataFrame({"_p": p, "b1": -1, "b2": -1, "bin": nz, "cnt": total[nz], "smin": 0.0, "smax": 0.0}, index=range(len(nz)))
 
     def extract_fn(it):
-        for pdf in it:
-            outs = []
-            for _, row in pdf.iterrows():
-                s = pair_values(row)
-                a, b = row["_a"], row["_b"]
-                # distinct values with their counts: ties collapse to one row
-                vals, cnts = np.unique(s[(s >= a) & (s <= b)], return_counts=True)
-                o = pd.DataFrame({"_p": row["_p"]}, index=range(len(vals) + 1))
-                o["kind"] = np.concatenate([[0], np.ones(len(vals), dtype=np.int64)]).astype(np.int32)
-                o["val"] = np.concatenate([[0.0], vals])
-                o["cnt"] = np.concatenate([[int((s < a).sum())], cnts.astype(np.int64)])
-                outs.append(o)
-            if outs:
-                yield pd.concat(outs, ignore_index=True)
+        for p, a, b, mats, todo in tile_pairs(it):
+            found, under = [np.zeros(0)], 0
+            for b1, b2 in todo:
+                s = pair_values(mats, b1, b2)
+                found.append(s[(s >= a) & (s <= b)])
+                under += int((s < a).sum())
+                if sum(map(len, found)) > 4 * max_candidates:  # little but ties of a few values: a row each
+                    vals, cnts = np.unique(np.concatenate(found), return_counts=True)
+                    yield pd.DataFrame({"_p": p, "kind": np.int32(1), "val": vals, "cnt": cnts.astype(np.int64)})
+                    found = [np.zeros(0)]
+            # distinct values with their counts: ties collapse to one row
+            vals, cnts = np.unique(np.concatenate(found), return_counts=True)
+            yield pd.DataFrame({"_p": p, "kind": np.concatenate([[0], np.ones(len(vals), np.int64)]).astype(np.int32),
+                                "val": np.concatenate([[0.0], vals]), "cnt": np.concatenate([[under], cnts.astype(np.int64)])})
 
     # Narrow the bracket [a, b] while the values inside it are too many to rank in one task.
     while True:
@@ -218,9 +244,9 @@ def pairwise_median_similarity(df: DataFrame, pool: Sequence[str], key: str, vec
         now = F.col("_b") - F.col("_a")
         open_ = nxt.where((F.col("_inside") > max_candidates) & (now > 1e-11) & (now < 0.9 * F.col("_was"))).count()
         targets = nxt.drop("_inside", "_was")
-        ends = made.where("bin = -1").select("_p", "b1", "b2", F.col("smin").alias("_s0"), F.col("smax").alias("_s1"))
+        ends = made.where("bin = -2").select("_p", "b1", "b2", F.col("smin").alias("_s0"), F.col("smax").alias("_s1"))
         pairs = stored(pairs.join(ends, ["_p", "b1", "b2"], "left").select(
-            "_p", "b1", "b2", "m", F.coalesce(F.col("_s0") - 1e-12, "smin").alias("smin"), F.coalesce(F.col("_s1") + 1e-12, "smax").alias("smax")))
+            "_p", "b1", "b2", "r1", "r2", "m", F.coalesce(F.col("_s0") - 1e-12, "smin").alias("smin"), F.coalesce(F.col("_s1") + 1e-12, "smax").alias("smax")))
         if not open_:
             break
     ext, below = multiplied(pairs, targets, extract_fn, "_p string, kind int, val double, cnt long")

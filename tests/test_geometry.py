@@ -217,3 +217,23 @@ def test_the_networks_gradient_is_that_of_its_loss():
     for k in range(len(flat)):
         near = [network.loss_and_gradient(flat + s * np.eye(len(flat))[k], width, hidden, [(y, at, cols, values)])[-2] for s in (1e-4, -1e-4)]
         assert total[k] == pytest.approx((near[0] - near[1]) / 2e-4, abs=1e-3)
+
+
+def test_a_median_block_travels_once_a_tile_and_a_tile_sends_one_histogram(spark, monkeypatch):
+    from shiftkit.operators import allpairs
+
+    written, found = [], allpairs.stored
+    monkeypatch.setattr(allpairs, "stored", lambda df: (lambda t: (written.append((set(t.columns), t)), t)[1])(found(df)))
+    rng = np.random.default_rng(2)
+    data = [(i, rng.normal(size=8).tolist()) for i in range(600)]
+    df = spark.createDataFrame(data, "k long, v array<double>")
+    for rows in (8192, 100):
+        monkeypatch.setattr(allpairs, "TILE_ROWS", rows)
+        written.clear()
+        got = pairwise_median_similarity(df, [], "k", "v", block_size=16, bins=64).first()[0]
+        m = np.array([v for _, v in data])
+        m /= np.linalg.norm(m, axis=1)[:, None]
+        assert got == pytest.approx(float(np.median((m @ m.T)[np.triu_indices(600, k=1)])), abs=1e-12)
+        if rows == 8192:  # one tile: a row for each bin, whatever the number of block pairs
+            hist = next(t for c, t in written if "bin" in c)
+            assert hist.where("bin >= 0").count() <= 64 and hist.where("bin = -2").count() > 500
