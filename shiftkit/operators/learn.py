@@ -119,6 +119,9 @@ def variant_scores(df: DataFrame, variants: Sequence[str], label: str, split: st
 
     from shiftkit.session import stored
 
+    # read by a vocabulary and by a transformation of each variant, so what the texts were made from runs once
+    df = stored(df.select(*variants, label, split))
+
     def one(v):
         vec, n = featurize(df, v, label, split, vocab_size)
         try:

@@ -237,3 +237,19 @@ def test_a_median_block_travels_once_a_tile_and_a_tile_sends_one_histogram(spark
         if rows == 8192:  # one tile: a row for each bin, whatever the number of block pairs
             hist = next(t for c, t in written if "bin" in c)
             assert hist.where("bin >= 0").count() <= 64 and hist.where("bin = -2").count() > 500
+
+
+def test_feature_vectors_are_dealt_to_the_cores(spark, monkeypatch):
+    from shiftkit.operators import learn
+
+    cores = spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(learn, "ROWS_A_PARTITION", 30)
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        for n, parts in ((20, cores), (30 * cores, cores), (160, cores * -(-160 // (30 * cores)))):
+            vec, _ = learn.featurize(_separable(spark, n), "clear", "y", "split", 50)
+            assert vec.rdd.getNumPartitions() == parts and vec.count() == n
+            vec.unpersist()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
