@@ -6,11 +6,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shiftkit.llm.common import ship_by_value, utf8
-from shiftkit.llm.gru import Network, train
+from shiftkit.llm.gru import Network
+from shiftkit.llm.gru import train as fit_network
 
 #: Documents are toxic from this score on.
 REJECT = 0.3
@@ -26,6 +27,17 @@ def body(text: Column) -> Column:
     return utf8(F.lower(text))
 
 
+def train(texts: list[bytes], labels: np.ndarray) -> Network:
+    """Fit the network in a task, so that the driver, which has the other stages' plans to hold, needs no memory for it."""
+    ship_by_value()
+
+    def fitted(sample):
+        net = fit_network(*sample)
+        return net.params, net.vocabulary, net.scale
+
+    return Network(*SparkSession.active().sparkContext.parallelize([(texts, labels)], 1).map(fitted).first())
+
+
 def fit_toxicity(docs: DataFrame, labels: DataFrame, positives: int = 1500, negatives: int = 3000, most_bytes: int = 20_000) -> Network | None:
     """Fit the network on a bounded sample: by hash of doc_id, so many labelled documents of each class that aren't held out.
 
@@ -39,8 +51,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, positives: int = 1500, nega
     known = known.join(texts.select("doc_id"), "doc_id", "left_semi")
     order = F.xxhash64(F.lit("sample"), "doc_id")
     sample = known.where("toxic = 1").orderBy(order, "doc_id").limit(positives).union(known.where("toxic = 0").orderBy(order, "doc_id").limit(negatives))
-    rows = texts.join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.min("body").alias("body"), F.max("toxic").alias("toxic")).collect()
-    rows.sort(key=lambda r: r["doc_id"])
+    rows = texts.join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.min("body").alias("body"), F.max("toxic").alias("toxic"))
+    rows = sorted(rows.collect(), key=lambda r: r["doc_id"])
     y = np.array([r["toxic"] for r in rows])
     return train([bytes(r["body"]) for r in rows], y) if len(set(y)) == 2 else None
 

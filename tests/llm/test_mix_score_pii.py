@@ -474,3 +474,19 @@ def test_pipeline_stages(spark, docs_of):
     assert sharded.columns == [*df.columns, "shard", "slot"] and sharded.count() == mixed.count()
     n = Counter(r["shard"] for r in sharded.collect())
     assert max(n.values()) - min(n.values()) <= 1
+
+
+def test_the_network_is_fitted_in_a_task(spark, monkeypatch):
+    import os
+
+    def where(texts, labels):
+        # the sample comes whole and in order of doc_id
+        return gru.Network(gru.start(1, 0), {b"w": 1}, (os.getpid(), float(texts == sorted(texts) and len(texts) * int(np.sum(labels)))))
+
+    monkeypatch.setattr(toxicity, "fit_network", where)
+    docs = spark.createDataFrame([(i, f"text {i:03}") for i in range(60)], "doc_id long, text string").repartition(5)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    net = toxicity.fit_toxicity(docs, labels)
+    known = docs.where(~toxicity.held_out(docs["doc_id"])).select("doc_id").collect()
+    assert net.scale[0] != os.getpid() and net.scale[1] == len(known) * sum(r[0] % 2 for r in known)
+    assert toxicity.fit_toxicity(docs, labels.where("toxic = 1")) is None and toxicity.fit_toxicity(docs.where("false"), labels) is None
