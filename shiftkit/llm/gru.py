@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 import numpy as np
 
 #: Words of a window and words from one window's start to the next, so neighbours share WINDOW - STRIDE words.
 WINDOW, STRIDE = 48, 36
 #: Width of an embedding, of a direction's state, of the attention; buckets of the character n-grams; bytes of a step and its two marks.
 DIM, HIDDEN, ATTEND, BUCKETS, WIDTH = 12, 8, 8, 4096, 24
+#: Words whose n-grams are taken at a time: the arrays in between have about 1 KB a word.
+SLICE = 4096
 
 
 def steps(text: bytes) -> list[bytes]:
@@ -23,6 +27,9 @@ def steps(text: bytes) -> list[bytes]:
 
 def char_grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of the 3- and 4-byte n-grams of ``^word$`` (a column per place) and the weight of each (mean)."""
+    if len(words) > SLICE:
+        grams, weight = zip(*(char_grams(words[i : i + SLICE]) for i in range(0, len(words), SLICE)))
+        return np.concatenate(grams), np.concatenate(weight)
     m = np.array([b"^" + w[: WIDTH - 2] + b"$" for w in words], dtype=f"S{WIDTH}").view(np.uint8).reshape(len(words), WIDTH).astype(np.uint32)
     n = np.array([min(len(w), WIDTH - 2) + 2 for w in words])
     at, ok = [], []
@@ -59,7 +66,7 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-x))
 
 
-def _recur(pre: list[np.ndarray], live: np.ndarray, u: np.ndarray, keep: bool) -> tuple[list[np.ndarray], list]:
+def _recur(pre: Iterable[np.ndarray], live: np.ndarray, u: np.ndarray, keep: bool) -> tuple[list[np.ndarray], list]:
     """States at each step of one direction; with ``keep`` also what :func:`_recur_back` needs."""
     h, states, kept = np.zeros((len(live), HIDDEN), np.float32), [], []
     for t, a in enumerate(pre):
@@ -96,8 +103,8 @@ def _recur_back(d_states: np.ndarray, kept: list, u: np.ndarray) -> tuple[np.nda
 def forward(p: dict, rows: np.ndarray, live: np.ndarray, pre_f: np.ndarray, pre_b: np.ndarray, keep: bool = False):
     """Logit of each window. rows: each step's row in the projected inputs pre_f and pre_b; live: 1 at words."""
     n = rows.shape[1]
-    f, kept_f = _recur([pre_f[rows[:, t]] for t in range(n)], live, p["uf"], keep)
-    b, kept_b = _recur([pre_b[rows[:, t]] for t in range(n - 1, -1, -1)], live[:, ::-1], p["ub"], keep)
+    f, kept_f = _recur((pre_f[rows[:, t]] for t in range(n)), live, p["uf"], keep)
+    b, kept_b = _recur((pre_b[rows[:, t]] for t in range(n - 1, -1, -1)), live[:, ::-1], p["ub"], keep)
     h = np.concatenate([np.stack(f), np.stack(b[::-1])], axis=2)
     u = np.tanh(h @ p["a"])
     s = np.where(live.T > 0, u @ p["v"], -1e9)
@@ -168,12 +175,16 @@ class Network:
     def project(self) -> None:
         """Project the inputs of the new words, once for all places they stand at."""
         if self.fresh:
-            p, ids = self.params, np.array([self.vocabulary.get(w, 0) for w in self.fresh])
-            x = inputs(p, ids, *char_grams(self.fresh))
-            self.pre = [np.concatenate([old, x @ p[f"x{d}"] + p[f"c{d}"]]) for old, d in zip(self.pre, "fb", strict=True)]
+            p, made = self.params, ([], [])
+            for at in range(0, len(self.fresh), SLICE):
+                words = self.fresh[at : at + SLICE]
+                x = inputs(p, np.array([self.vocabulary.get(w, 0) for w in words]), *char_grams(words))
+                for rows, d in zip(made, "fb", strict=True):
+                    rows.append(x @ p[f"x{d}"] + p[f"c{d}"])
+            self.pre = [np.concatenate([old, *rows]) for old, rows in zip(self.pre, made, strict=True)]
             self.fresh = []
 
-    def logits(self, texts: list[np.ndarray], rows: int = 2048) -> np.ndarray:
+    def logits(self, texts: list[np.ndarray], rows: int = 512) -> np.ndarray:
         """The largest logit of each text's windows; a text without words has the logit of an empty window."""
         self.project()
         pad = np.zeros(WINDOW, np.int32)
@@ -185,7 +196,7 @@ class Network:
             out[at : at + rows] = forward(self.params, ids, (ids > 0).astype(np.float32), *self.pre)[0]
         return np.maximum.reduceat(out, np.searchsorted(owner, np.arange(len(texts))))
 
-    def scores(self, texts: list[bytes], words: int = 100_000, known: int = 200_000) -> np.ndarray:
+    def scores(self, texts: list[bytes], words: int = 50_000, known: int = 100_000) -> np.ndarray:
         """Probabilities of UTF-8 texts, about ``words`` steps at a time; more than ``known`` different ones are forgotten.
 
         A longer text is cut where a window starts, so its parts have the windows of the whole.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +15,8 @@ from shiftkit.llm.gru import train as fit_network
 
 #: Documents are toxic from this score on.
 REJECT = 0.3
+#: Texts that a task scores at a time.
+ROWS = 1024
 
 
 def held_out(doc_id: Column) -> Column:
@@ -63,10 +65,12 @@ def toxicity_score(net: Network | None) -> Callable[[Column], Column]:
     if net is None:
         return lambda text: F.lit(0.0)
 
-    @F.pandas_udf("double")
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            yield pd.Series(net.scores(list(batch)))
+            # an Arrow batch has up to 10,000 texts; only a slice of them is copied at a time
+            slices = [net.scores(batch.slice(at, ROWS).to_pylist()) for at in range(0, len(batch), ROWS)]
+            yield pa.array(np.concatenate([np.zeros(0), *slices]))
 
     return lambda text: score(body(text))
 

@@ -490,3 +490,33 @@ def test_the_network_is_fitted_in_a_task(spark, monkeypatch):
     known = docs.where(~toxicity.held_out(docs["doc_id"])).select("doc_id").collect()
     assert net.scale[0] != os.getpid() and net.scale[1] == len(known) * sum(r[0] % 2 for r in known)
     assert toxicity.fit_toxicity(docs, labels.where("toxic = 1")) is None and toxicity.fit_toxicity(docs.where("false"), labels) is None
+
+
+def test_scoring_holds_a_slice_of_a_batch(spark, monkeypatch):
+    class Counting:
+        def scores(self, texts):
+            return np.full(len(texts), len(texts) / 100)
+
+    monkeypatch.setattr(toxicity, "ROWS", 4)
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(10)], "doc_id long, text string").coalesce(1)
+    score = toxicity.toxicity_score(Counting())
+    got = docs.select("doc_id", score(docs["text"]).alias("n")).orderBy("doc_id").collect()
+    assert [round(100 * r["n"]) for r in got] == [4] * 8 + [2, 2]
+    assert docs.where("false").select(score(docs["text"])).collect() == []
+
+
+def test_the_network_s_arrays_are_made_in_slices(monkeypatch):
+    rng = np.random.default_rng(6)
+    words = [b"w%d" % i for i in range(300)] + [b"", b"x" * 30]
+    texts = [b" ".join(words[i] for i in rng.integers(0, 300, 400)) for _ in range(6)] + [b""]
+    net = gru.train(texts, np.array([0, 1, 0, 1, 0, 1, 0]), epochs=1)
+    grams, weight = gru.char_grams(words)
+    want = net.scores(texts)
+    most = []
+    inputs = gru.inputs
+    monkeypatch.setattr(gru, "SLICE", 16)
+    monkeypatch.setattr(gru, "inputs", lambda p, ids, *a: most.append(len(ids)) or inputs(p, ids, *a))
+    sliced = gru.char_grams(words)
+    assert (sliced[0] == grams).all() and (sliced[1] == weight).all()
+    net.forget()
+    assert net.scores(texts) == pytest.approx(want, abs=1e-6) and max(most) == 16 and sum(most) >= 300
