@@ -85,6 +85,37 @@ def test_answers_merge_across_batches_and_restarts(spark, tmp_path):
     assert run() == got  # nothing new, nothing changes
 
 
+@pytest.mark.parametrize("buckets", [1, 1024])
+def test_keys_of_a_bucket_have_their_own_answers_and_timeouts(spark, tmp_path, buckets):
+    from shiftkit.streaming.answers import merge_answers
+
+    t0, big = datetime(2020, 1, 1), 2**60 + 1
+    schema = "part long, name string, value string, at timestamp"
+    feeds = [
+        [(big, "a", None, 0), (big + 1, "a", None, 0), (None, "a", "x", 0), (None, None, None, 1), (3, "", None, 0.5), (3, None, "late", 0)],
+        [(3, "z", "tick", 2.5)],  # the watermark passes the first deadlines
+        [(3, "", None, 2.6), (big, "a", "after all", 2.6), (3, "z", "tock", 9)],
+        [(3, "z", "last", 20)],
+    ]
+    for number, rows in enumerate(feeds):
+        spark.createDataFrame([(p, n, v, t0 + timedelta(hours=h)) for p, n, v, h in rows], schema).coalesce(1).write.parquet(f"{tmp_path}/in/{number}")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").parquet(f"{tmp_path}/in")
+    said = []
+
+    def sink(batch, number):
+        rows = batch.collect()
+        assert len({r[:2] for r in rows}) == len(rows)
+        said.extend((*r[:3], r["status"]) for r in rows)
+
+    made = merge_answers(stream, ["part", "name"], wait="2 hours", buckets=buckets)
+    assert [f.dataType.simpleString() for f in made.schema] == ["bigint", "string", "string", "timestamp", "string"]
+    made.writeStream.outputMode("update").foreachBatch(sink).option("checkpointLocation", f"{tmp_path}/progress").trigger(availableNow=True).start().awaitTermination()
+    z = [(3, "z", v, "answered") for v in ("tick", "tock", "last")]
+    opened = [(big + 1, "a", None, "open"), (None, None, None, "open"), (3, "", None, "open")]
+    answered = [(None, "a", "x", "answered"), (3, None, "late", "answered"), (big, "a", "after all", "answered")]
+    assert Counter(r for r in said if r != (big, "a", None, "open")) == Counter(z + opened + answered)
+
+
 @pytest.mark.skipif(not os.path.isfile(TOKENIZER), reason="tokenizer files not present")
 def test_subword_ids_decode_and_have_a_length(spark):
     from tokenizers import Tokenizer
