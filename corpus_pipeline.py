@@ -16,14 +16,16 @@ from shiftkit.llm.mixing import mix_sources, numbered, render
 from shiftkit.llm.neardup import keep_one
 from shiftkit.llm.ring import add_shards
 from shiftkit.llm.toxicity import drop_toxic
-from shiftkit.session import checkpoint_dir
+from shiftkit.session import checkpoint_dir, cut_batches, small_batches
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score as toxic go; the network is fitted to the labelled ones among ``docs``.
 
     Null and empty texts score as an empty window; equal rows score alike; without labels of both classes all rows stay.
+    The texts are scored when the rows are written, so the session's Arrow batches stay small from here on; :func:`run` puts the limit back.
     """
+    cut_batches(spark)
     return drop_toxic(docs, table(spark, sf_dir, "labels"))
 
 
@@ -74,8 +76,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each stage's rows are written as Parquet to the shared folder and read again."""
     folder = f"{checkpoint_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
-    for i, (name, stage) in enumerate(STAGES):
-        path = f"{folder}/{i}-{name}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+    with small_batches(spark):
+        for i, (name, stage) in enumerate(STAGES):
+            path = f"{folder}/{i}-{name}"
+            stage(spark, docs, sf_dir).write.parquet(path)
+            docs = spark.read.parquet(path)
     return docs

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from shiftkit.llm.common import lower_ascii, ship_by_value, utf8
 from shiftkit.llm.components import components
-from shiftkit.session import materialize, stored
+from shiftkit.session import materialize, small_batches, stored
 
 #: A signature: SYMBOLS MinHash values of 16 bits each, split into chunks of CHUNK symbols.
 SYMBOLS, CHUNK = 48, 4
@@ -248,12 +248,8 @@ def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 80) -> DataF
     return classed(docs, words, percent).select("doc_id", "n_shingles", "component_id").withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def classed(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The classes of :func:`near_duplicates` by row: ``doc_id, n_shingles, row, class, component_id``.
-
-    row is the row's digest as in :func:`sign`, class tells the classes apart, also those without a name; it is
-    null for a text without words.
-    """
+def grouped_nodes(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The rows of ``docs`` as in :func:`sign`, their different sets with a ``node`` each, and the ``root`` of each node that has links."""
     signed = materialize(sign(docs, words))
     sets = signed.where("n_shingles > 0").groupBy("a", "b", "n_shingles").agg(F.min("doc_id").alias("first_id"), F.min("row").alias("row"), F.min("sig").alias("sig"))
     nodes = materialize(sets.withColumn("node", F.monotonically_increasing_id()))
@@ -262,15 +258,24 @@ def classed(docs: DataFrame, words: int, percent: int) -> DataFrame:
     held = materialize(keys.join(several, F.col("key") == F.col("bucket")).select("key", "node"))
     grams = materialize(whole_sets(docs, nodes.join(held.select("node").distinct(), "node").select("row", "node"), words))
 
-    links = docs.sparkSession.createDataFrame([], "u long, v long")
+    links = docs.sparkSession.range(0).select(F.col("id").alias("u"), F.col("id").alias("v"))  # without Python, which an empty list would start in every executor
     groups = components(links)
     for turn in range(2):
         near = near_enough(star_pairs(grouped(held, groups), turn), nodes, percent / 100)
         closest = near.groupBy("v").agg(F.min(F.struct("errors", "u")).alias("closest")).select("closest.u", "v")
         links = stored(links.union(confirm(closest, grams, percent)))
         groups = components(links)
-    groups = components(links.union(settle(grouped(held, groups), grams, percent)))
+    return signed, nodes, components(links.union(settle(grouped(held, groups), grams, percent)))
+
 
+def classed(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """The classes of :func:`near_duplicates` by row: ``doc_id, n_shingles, row, class, component_id``.
+
+    row is the row's digest as in :func:`sign`, class tells the classes apart, also those without a name; it is
+    null for a text without words. All jobs that send texts or sets to Python run in here, on small Arrow batches.
+    """
+    with small_batches(docs.sparkSession):
+        signed, nodes, groups = grouped_nodes(docs, words, percent)
     named = nodes.join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
     names = named.groupBy(F.col("root").alias("class")).agg(F.min("first_id").alias("component_id"))
     classes = named.join(names, F.col("root") == F.col("class")).select(F.col("a").alias("x"), F.col("b").alias("y"), F.col("n_shingles").alias("n"), "class", "component_id")

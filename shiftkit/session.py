@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -78,6 +81,36 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Bytes of an Arrow batch of texts. A task's JVM and Python worker hold several copies of a batch at a time, and Spark's
+#: own limits (10,000 rows, 64 MB) let a batch of documents take 30 MB and more a copy.
+TEXT_BATCH = 4 << 20
+
+
+def _size(value: str) -> int:
+    """Bytes of a size as Spark writes it: ``67108864b``, ``32m``."""
+    number, unit = re.fullmatch(r"\s*(\d+)\s*([kmgtp]?)b?\s*", value.lower()).groups()
+    return int(number) << 10 * " kmgtp".index(unit or " ")
+
+
+def cut_batches(spark: SparkSession, most: int | None = None) -> str:
+    """From now on the session's Arrow batches end at ``most`` bytes (TEXT_BATCH), if its limit is not lower already; returns the limit before."""
+    before, most = spark.conf.get(BATCH_CONF), most or TEXT_BATCH
+    if _size(before) > most:
+        spark.conf.set(BATCH_CONF, str(most))
+    return before
+
+
+@contextmanager
+def small_batches(spark: SparkSession, most: int | None = None) -> Iterator[None]:
+    """:func:`cut_batches` for the jobs that run inside; the limit before holds again afterwards."""
+    before = cut_batches(spark, most)
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH_CONF, before)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Read one of the driver's parquet tables (``<sf_dir>/<name>.parquet``)."""
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))

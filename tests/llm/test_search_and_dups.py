@@ -6,6 +6,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
+from shiftkit import session
 from shiftkit.llm import chunks, neardup
 from shiftkit.llm.components import components
 from shiftkit.llm.contain import drop_contaminated, find_contained
@@ -78,6 +79,46 @@ def test_keep_one_loses_no_class_on_null_or_repeated_ids(docs_of):
     assert rest == {(None, t) for t in [texts[0], *texts[3:20], None, ""]} | {(9, texts[2]), (7, texts[20]), (3, texts[21]), (8, texts[22]), (2, texts[23] + " more")}
 
 
+def test_near_duplicates_send_small_batches_to_python(docs_of, spark, monkeypatch):
+    seen, plans = [], []
+    keep, link = neardup.materialize, neardup.components
+    monkeypatch.setattr(neardup, "materialize", lambda df: seen.append(spark.conf.get(session.BATCH_CONF)) or keep(df))
+    monkeypatch.setattr(neardup, "components", lambda links: plans.append(links._jdf.queryExecution().toString()) or link(links))
+    before = spark.conf.get(session.BATCH_CONF)
+    try:
+        spark.conf.set(session.BATCH_CONF, "64m")
+        text = "a b c d e f g h i j k"
+        assert told(neardup.keep_one(docs_of([(1, text), (2, text + " l"), (3, "z y x")])), "doc_id") == [(1,), (3,)]
+        assert seen == [str(session.TEXT_BATCH)] * 4 and spark.conf.get(session.BATCH_CONF) == "64m"
+        assert "ExistingRDD" not in plans[0]  # an empty list of links would start Python workers of another kind
+    finally:
+        spark.conf.set(session.BATCH_CONF, before)
+
+
+def test_small_batches_are_cut_by_bytes_and_the_limit_is_put_back(spark):
+    def lengths(batches):
+        for batch in batches:
+            yield batch.head(1).assign(n=len(batch))[["n"]]
+
+    df = spark.range(0, 2000, 1, 1).selectExpr("repeat('x', 4000) AS text")
+    before = spark.conf.get(session.BATCH_CONF)
+    try:
+        for limit, wanted in (("64m", "200000"), ("64MB", "200000"), ("67108864b", "200000"), ("100k", "100k"), ("1000", "1000")):
+            spark.conf.set(session.BATCH_CONF, limit)
+            with session.small_batches(spark, 200_000):
+                assert spark.conf.get(session.BATCH_CONF) == wanted
+            assert spark.conf.get(session.BATCH_CONF) == limit
+        spark.conf.set(session.BATCH_CONF, "64m")
+        with session.small_batches(spark, 200_000):
+            sizes = [r["n"] for r in df.mapInPandas(lengths, "n long").collect()]
+        assert sum(sizes) == 2000 and max(sizes) <= 100
+        with pytest.raises(KeyError), session.small_batches(spark):
+            raise KeyError
+        assert spark.conf.get(session.BATCH_CONF) == "64m"
+    finally:
+        spark.conf.set(session.BATCH_CONF, before)
+
+
 def test_pigeonhole_keys_meet_up_to_the_threshold(spark):
     rng = np.random.default_rng(1)
     a = rng.integers(0, 65536, neardup.SYMBOLS).astype("<u2")
